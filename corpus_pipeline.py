@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talkloom.llm import decontaminate, linededup, mixing, simhash
+from talkloom.llm import decontaminate, linededup, mixing, quality, simhash
 from talkloom.sources.scratch import cut, table
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return linededup.with_deduped_text(docs)
 
@@ -24,7 +28,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-STAGES = [("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("source_mix", source_mix)]
+STAGES = [("quality", quality_filter), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("source_mix", source_mix)]
 
 #: The classifier and the fingerprints have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None

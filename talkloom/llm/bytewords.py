@@ -39,7 +39,7 @@ SPACED = byte_table(lambda b: not (b == 0x20 or 0x09 <= b <= 0x0D))
 class Words:
     """The words of a list of texts: ``hash`` (64 bits each), ``doc`` (index of its text), ``length`` in bytes."""
 
-    def __init__(self, texts: list[bytes], table: np.ndarray = ALNUM, prefix: int = 0):
+    def __init__(self, texts: list[bytes], table: np.ndarray = ALNUM):
         sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         raw = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
         mapped = table[raw]
@@ -53,7 +53,18 @@ class Words:
         body = mapped[inside]
         first = np.cumsum(self.length) - self.length
         self.hash = _hash(body, first, self.length)
-        self.prefix = _hash(body, first, np.minimum(self.length, prefix)) if prefix else None
+        self._body, self._first = body, first
+
+    def prefixes(self, sizes: tuple[int, ...]):
+        """For each size of at most 8 bytes: which words are longer, and the hashes of their first bytes."""
+        head = np.zeros(len(self._first), np.uint64)
+        last = max(0, len(self._body) - 1)
+        for k in range(max(sizes)):
+            if len(head):
+                head |= self._body[np.minimum(self._first + k, last)].astype(np.uint64) << U(8 * k)
+            if k + 1 in sizes:
+                longer = self.length > k + 1
+                yield longer, mix64(head[longer] + U((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
 
     def per_doc(self, weights=None) -> np.ndarray:
         return np.bincount(self.doc, weights, self.n_docs)

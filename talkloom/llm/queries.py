@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from talkloom.llm import decontaminate, linededup, mixing, simhash
+from talkloom.llm import decontaminate, linededup, mixing, quality, secrets, simhash, toxicity
 from talkloom.sources.scratch import table
 
 
@@ -14,8 +14,11 @@ def queries() -> dict:
     import corpus_pipeline
 
     return {
+        "op2_secret_scan": _on("documents", secrets.op2),
         "op3_benchmark_decontamination": lambda spark, d: decontaminate.op3(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op6_simhash_near_dedup": _on("documents", simhash.op6),
+        "op7_toxicity_fm": lambda spark, d: toxicity.op7(table(spark, d, "documents"), table(spark, d, "labels")),
+        "op8_quality_mil": lambda spark, d: quality.op8(table(spark, d, "documents"), table(spark, d, "labels")),
         "op9_mixing_poisson": _on("documents", mixing.op9),
         "op10_line_dedup": _on("documents", linededup.op10),
         "pipeline": corpus_pipeline.run,
