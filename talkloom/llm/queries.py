@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from talkloom.llm import decontaminate, linededup, mixing, quality, secrets, simhash, toxicity
+from talkloom.llm import decontaminate, lbl, linededup, mixing, pagetext, quality, secrets, simhash, toxicity
 from talkloom.sources.scratch import table
 
 
@@ -16,6 +16,8 @@ def queries() -> dict:
     return {
         "op2_secret_scan": _on("documents", secrets.op2),
         "op3_benchmark_decontamination": lambda spark, d: decontaminate.op3(table(spark, d, "documents"), table(spark, d, "benchmark")),
+        "op4_page_text": _on("pages", pagetext.op4),
+        "op5_lbl_scores": _on("documents", lbl.op5),
         "op6_simhash_near_dedup": _on("documents", simhash.op6),
         "op7_toxicity_fm": lambda spark, d: toxicity.op7(table(spark, d, "documents"), table(spark, d, "labels")),
         "op8_quality_mil": lambda spark, d: quality.op8(table(spark, d, "documents"), table(spark, d, "labels")),
