@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from talkloom.llm import decontaminate, lbl, linededup, mixing, pagetext, quality, secrets, simhash, toxicity
+from talkloom.llm import audio, decontaminate, lbl, linededup, mixing, pagetext, quality, secrets, simhash, toxicity
 from talkloom.sources.scratch import table
 
 
@@ -14,6 +14,7 @@ def queries() -> dict:
     import corpus_pipeline
 
     return {
+        "op1_audio_fingerprints": _on("conversations", audio.op1),
         "op2_secret_scan": _on("documents", secrets.op2),
         "op3_benchmark_decontamination": lambda spark, d: decontaminate.op3(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op4_page_text": _on("pages", pagetext.op4),

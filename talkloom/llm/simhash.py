@@ -24,6 +24,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talkloom.sources.scratch import cut, drop_cut
 
@@ -53,7 +54,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > n).view(">u8")[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def simhash64(texts: pd.Series) -> pd.Series:
     values = np.fromiter((fingerprint(x.encode("utf-8", "surrogatepass")) if isinstance(x, str) else 0 for x in texts), np.uint64, len(texts))
     return pd.Series(values.view(np.int64))
