@@ -120,3 +120,214 @@ TEAMS = {
     "Sales / Product": [3, 17, 22, 23],
     "Engineering": [5, 6, 8, 9, 10, 11, 12, 13, 15, 16, 18, 19, 20],
 }
+# --- fixed values: whole messages that say nothing ------------------------------------------------------------------
+EMPTY_MESSAGES = """
+hi
+hello
+hey
+yes
+no
+ok
+okay
+sure
+thanks
+bye
+goodbye
+please
+alright
+right
+great
+perfect
+awesome
+cool
+fine
+noted
+understood
+agree
+agreed
+welcome
+yep
+nope
+np
+ty
+thx
+yw
+k
+hmm
+oh
+ah
+well
+nice
+good
+wow
+sorry
+correct
+true
+wait
+idk
+one moment
+please wait
+hold on
+stand by
+just a moment
+one sec
+one second
+brb
+i'm sorry
+i am sorry
+my apologies
+apologies
+that's right
+you're right
+you are right
+i agree
+sure thing
+not really
+i don't know
+i do not know
+thank you
+thank you!
+thanks!
+good morning
+good afternoon
+good evening
+got it
+i see
+sounds good
+no problem
+no worries
+my pleasure
+of course
+absolutely
+certainly
+will do
+sounds great
+works for me
+makes sense
+fair enough
+i know
+i understand
+take care
+good luck
+same to you
+no rush
+that works
+you are welcome
+you're welcome
+it was my pleasure
+thank you very much
+many thanks
+much appreciated
+have a great day
+have a nice day
+have a good day
+have a great week
+have a good week
+good to know
+talk soon
+see you
+best regards
+kind regards
+warm regards
+best wishes
+sincerely
+cheers
+regards
+ok thanks
+okay thanks
+ok thank you
+got it thanks
+thank you for your help
+thanks for your help
+thanks for helping
+you're welcome!
+you are welcome!
+""".strip().split("\n")
+# --- fixed values: beginnings of messages that say nothing ----------------------------------------------------------
+EMPTY_BEGINNINGS = """
+as an ai
+i am an ai
+i'm an ai
+i am a virtual assistant
+i'm a virtual assistant
+i am a chatbot
+i'm a chatbot
+please note that i am
+i do not have access to
+i cannot access your account
+i don't have access to
+is there anything else i can help
+let me know if you need anything else
+let me know if you have any
+feel free to reach out
+feel free to ask
+feel free to contact
+please don't hesitate
+please feel free
+please let me know
+hope that helps
+hope this helps
+have a great day
+have a nice day
+have a good day
+have a wonderful day
+have a great week
+if you have any other
+if you have any questions
+if you need anything else
+if there's anything else
+thank you for reaching out
+thank you for contacting
+thank you for your message
+thank you for your inquiry
+thank you for your patience
+thank you for using
+thank you for choosing
+thank you for your time
+i'm here to help
+i am here to help
+i'd be happy to
+i would be happy to
+i'll be happy to
+i will be happy to
+i'm happy to assist
+i am happy to assist
+of course, i
+certainly, i
+absolutely, i
+i apologize for any inconvenience
+i'm sorry for any inconvenience
+i apologize for the inconvenience
+i'm sorry for the inconvenience
+i understand your frustration
+i understand how frustrating
+i can understand your
+i can see that you
+i see that you are
+one moment please
+just a moment please
+please wait while
+please hold on
+please give me a moment
+let me help you
+i'll help you with that
+i will help you with that
+i can help you with that
+i'd be glad to
+i would be glad to
+i'll be glad to
+i will be glad to
+happy to help
+glad to help
+great question
+good question
+that's a great question
+let me explain
+allow me to explain
+as i mentioned
+as mentioned earlier
+as stated above
+to summarize
+in summary
+to recap
+""".strip().split("\n")

@@ -236,4 +236,7 @@ def assemble(body: str) -> str:
     ctes = ", ".join(f"{k} AS MATERIALIZED ({v})" for k, v in CTES.items() if k in needed)
     if not ctes:
         return body
-    return f"WITH {ctes}{', ' + body[5:] if body.lstrip().upper().startswith('WITH ') else ' ' + body}"
+    head = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", body)
+    if not head:
+        return f"WITH {ctes} {body}"
+    return f"WITH {head[1] or ''}{ctes}, {body[head.end():]}"
