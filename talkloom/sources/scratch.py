@@ -17,23 +17,41 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def cut(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+#: Paths of tables made by ``cut`` and not deleted yet, in order.
+LIVE: list[str] = []
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there and any executor can reread it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/talkloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._scratch_path = path
+    LIVE.append(path)
     return back
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in LIVE:
+        LIVE.remove(path)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete a table made by ``cut`` that nothing will read again."""
     path = getattr(df, "_scratch_path", None)
     if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
+
+
+def drop_all(spark: SparkSession, keep: tuple[DataFrame, ...] = (), since: int = 0) -> None:
+    """Delete what ``cut`` has made since ``LIVE`` had that length, except ``keep``: when all that read it is written."""
+    spared = {getattr(df, "_scratch_path", None) for df in keep}
+    for path in LIVE[since:]:
+        if path not in spared:
+            _delete(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
