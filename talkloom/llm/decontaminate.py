@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkloom.llm.bytewords import Words, as_bytes, blocks
+from talkloom.llm.rows import packed, unpacked
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
@@ -240,4 +241,5 @@ def op3(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without those that hold a window of an item."""
-    return findings(docs, benchmark).where(F.col("_found.n_hit") == 0).drop("_found")
+    found = findings(packed(docs, _text=F.col("text")), benchmark, "_text")
+    return unpacked(found.where(F.col("_found.n_hit") == 0), docs)

@@ -5,7 +5,7 @@ lines of two or more documents and the smallest doc_id that keeps them. Only (do
 shuffled to that join, never text. The positions that go are gathered per document and joined to the documents, whose
 remaining lines are put together by position.
 
-Defined cases: null text counts as one empty line and stays null where nothing is dropped from it (nothing can be); a row without
+Defined cases: null text counts as one empty line and stays null; a row without
 doc_id holds no line for others and keeps all its own; rows that repeat a doc_id are one document for counting and each
 lose the same lines; keys of fewer than ``MIN_CHARS`` code points always stay.
 """
@@ -15,8 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talkloom.llm.rows import ROW, packed, unpacked
+
 MIN_CHARS = 10
-MIN_DOCS = 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -27,43 +28,41 @@ def line_key(line: Column) -> Column:
 
 
 def dropped_positions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_id, _row, _gone): 0-based positions of the lines to drop of each document that loses any."""
-    lines = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_row"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("_pos", "_line"))
-    keyed = lines.select("_id", "_row", "_pos", line_key(F.col("_line")).alias("_key")).where(F.length("_key") >= MIN_CHARS)
-    hashed = keyed.select("_id", "_row", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit("line"), "_key").alias("_h2"))
+    """(_id, _hash, _gone): 0-based positions of the lines to drop of each document that loses any."""
+    lines = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_hash"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("_pos", "_line"))
+    keyed = lines.select("_id", "_hash", "_pos", line_key(F.col("_line")).alias("_key")).where(F.length("_key") >= MIN_CHARS)
+    hashed = keyed.select("_id", "_hash", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit("line"), "_key").alias("_h2"))
     shared = hashed.groupBy("_h1", "_h2").agg(F.min("_id").alias("_keep"), F.max("_id").alias("_last")).where("_keep < _last")
     # dealt anew, so that the join below shuffles both sides and a line in very many documents can be split
     shared = shared.select("_h1", "_h2", "_keep").hint("rebalance")
     gone = hashed.join(shared, ["_h1", "_h2"]).where("_id > _keep")
-    return gone.groupBy("_id", "_row").agg(F.sort_array(F.collect_set("_pos")).alias("_gone"))
+    return gone.groupBy("_id", "_hash").agg(F.sort_array(F.collect_set("_pos")).alias("_gone"))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the remaining lines in ``_kept``, and ``_n_lines``, ``_n_dropped`` (long)."""
+    """Each row of ``docs`` as a struct, its remaining lines in ``_kept``, and ``_n_lines``, ``_n_dropped`` (long)."""
     gone = dropped_positions(docs, doc_id, text)
-    tagged = docs.withColumn("_at", F.xxhash64(text))
-    joined = tagged.join(gone, (tagged[doc_id] == gone["_id"]) & (tagged["_at"] == gone["_row"]), "left")
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
+    rows = packed(docs, _doc=F.col(doc_id), _text=F.col(text), _at=F.xxhash64(text))
+    joined = rows.join(gone, (F.col("_doc") == F.col("_id")) & (F.col("_at") == F.col("_hash")), "left")
+    lines = F.split(F.coalesce(F.col("_text"), F.lit("")), "\n", -1)
     joined = joined.withColumn("_n_lines", F.size(lines).cast("long")).withColumn("_n_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
     stay = F.array_except(F.sequence(F.lit(0), (F.col("_n_lines") - 1).cast("int")), F.col("_gone"))
-    kept = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    return joined.withColumn("_kept", kept).drop("_at", "_id", "_row", "_gone")
+    kept = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    return joined.select(ROW, "_n_lines", "_n_dropped", kept.alias("_kept"))
 
 
 def op10(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_lines, n_dropped, kept_sha256."""
     out = dedup_lines(docs.select("doc_id", "text"))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("_kept", F.lit("")), 256).alias("kept_sha256"))
+    return out.select(F.col(ROW).getField("doc_id").alias("doc_id"), F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("_kept", F.lit("")), 256).alias("kept_sha256"))
 
 
 def with_deduped_text(docs: DataFrame) -> DataFrame:
-    """``docs`` with its text, and n_chars where it has that, after dropping; documents left without text go."""
-    out = dedup_lines(docs)
-    columns = {"text": F.col("_kept")}
+    """``docs`` with its text, and n_chars where it has that, after dropping; every document stays, if without text."""
+    new = {"text": F.col("_kept")}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.length("_kept").cast("long")
-    out = out.withColumns(columns).select(*docs.columns)
-    return out
+        new["n_chars"] = F.length("_kept").cast("long")
+    return unpacked(dedup_lines(docs), docs, **new)
 
 
 OP10_SQL = """

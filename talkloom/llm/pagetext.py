@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talkloom.llm.rows import packed, unpacked
 from talkloom.sources.scratch import cut
 
 TOP = 3
@@ -246,7 +247,8 @@ def with_text(pages: DataFrame, into: str = "_text", sent_bytes: int = SENT_BYTE
             common, other = sent.value
             return pd.Series([extract(h, other.get(host_of(u), common)) for u, h in zip(urls, htmls, strict=True)], dtype=object)
 
-        return pages.withColumn(into, take("url", "html"))
+        rows = packed(pages, _url=F.col("url"), _html=F.col("html"))
+        return unpacked(rows.withColumn("_text", take("_url", "_html")), pages, **{into: F.col("_text")})
 
     @F.pandas_udf("string")
     def host(urls: pd.Series) -> pd.Series:
@@ -257,8 +259,9 @@ def with_text(pages: DataFrame, into: str = "_text", sent_bytes: int = SENT_BYTE
         return pd.Series([extract(h, p) for p, h in zip(paths, htmls, strict=True)], dtype=object)
 
     named = winners.select(F.col("host").alias("_host"), F.col("path").alias("_path"))
-    joined = pages.withColumn("_of", host("url")).join(named, F.col("_of") == F.col("_host"), "left")
-    return joined.withColumn(into, take_at("_path", "html")).select(*pages.columns, into)
+    rows = packed(pages, _html=F.col("html"), _of=host(F.col("url")))
+    joined = rows.join(named, F.col("_of") == F.col("_host"), "left").withColumn("_text", take_at("_path", "_html"))
+    return unpacked(joined, pages, **{into: F.col("_text")})
 
 
 def op4(pages: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkloom.llm.bytewords import SPACED, Words, as_bytes, blocks
+from talkloom.llm.rows import packed, unpacked
 
 PASSAGE_WORDS = 48
 MAX_TRAIN = 6000
@@ -204,4 +205,5 @@ def op8(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those scored below the threshold."""
     score = scorer(docs.sparkSession, fit(docs, labels))
-    return docs.withColumn("_score", score("text")).where(F.col("_score") >= THRESHOLD).drop("_score")
+    scored = packed(docs, _text=F.col("text")).withColumn("_score", score("_text"))
+    return unpacked(scored.where(F.col("_score") >= THRESHOLD), docs)

@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talkloom.llm.rows import ROW
 from talkloom.sources.scratch import cut
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -79,10 +80,11 @@ def _spans(pieces: str, matches: str) -> Column:
 
 
 def found(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without its text, with arrays of spans ``_assign``, ``_access``, ``_hex`` and ``_candidate``."""
-    rest = [c for c in docs.columns if c != text]
+    """The rows of ``docs`` without their text as a struct, with arrays of spans ``_assign``, ``_access``, ``_hex`` and ``_candidate``."""
+    rest = [ROW]
     patterns = {"_assign": ASSIGN, "_access": ACCESS, "_hex": HEX, "_candidate": CANDIDATE}
-    t = docs.select(*rest, F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    others = [c for c in docs.columns if c != text]
+    t = docs.select(F.struct(*[docs[c] for c in others]).alias(ROW), F.coalesce(F.col(text), F.lit("")).alias("_t"))
     t = t.select("*", *[F.regexp_extract_all("_t", F.lit(p), F.lit(0)).alias(f"{k}_m") for k, p in patterns.items()])
     value = F.when(F.size("_assign_m") > 0, F.regexp_extract_all("_t", F.lit(ASSIGN), F.lit(2)))
     t = t.select("*", value.alias("_value"), *[F.when(F.size(f"{k}_m") > 0, F.split("_t", p, -1)).alias(f"{k}_p") for k, p in patterns.items()])
@@ -97,7 +99,7 @@ def _joined(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, samples: DataFrame | None = None, text: str = "text") -> DataFrame:
-    """``docs`` without its text, with ``_base`` and ``_all``: spans (s, o, e, k) by start and then kind, where k names
+    """The rows of ``docs`` without their text as a struct, with ``_base`` and ``_all``: spans (s, o, e, k) by start and then kind, where k names
     the kind and o its rank."""
     spark = docs.sparkSession
     table = cut(found(docs, text), "secrets-spans")
@@ -131,4 +133,4 @@ def op2(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, n_markov, base_sha256, spans."""
     out = scan(docs.select("doc_id", "text"))
     n = lambda k: F.size(f"_{k}").cast("long").alias(f"n_{k}")
-    return out.select("doc_id", n("assign"), n("access"), n("hex"), F.size("_candidate").cast("long").alias("n_markov"), F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"), _joined(F.col("_all")).alias("spans"))
+    return out.select(F.col(ROW).getField("doc_id").alias("doc_id"), n("assign"), n("access"), n("hex"), F.size("_candidate").cast("long").alias("n_markov"), F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"), _joined(F.col("_all")).alias("spans"))

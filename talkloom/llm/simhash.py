@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from talkloom.llm.rows import ROW, packed, unpacked
 from talkloom.sources.scratch import cut, drop_cut
 
 SHINGLE = 3
@@ -164,8 +165,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     (the smallest text). Rows without doc_id stay."""
     groups = near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n"))
     groups = cut(groups.where("c = doc_id").select(F.col("doc_id").alias("_id"), (F.col("n") > 1).alias("_again")), "simhash-kept")
-    kept = docs.join(groups, docs["doc_id"] == groups["_id"])
-    once = kept.where("NOT _again").select(docs["*"])
-    again = kept.where("_again").groupBy("_id").agg(F.min_by(F.struct(*[docs[c] for c in docs.columns]), F.coalesce(docs["text"], F.lit(""))).alias("r")).select("r.*")
-    out = once.unionByName(docs.where(F.col("doc_id").isNull()))
-    return out.unionByName(again) if not groups.where("_again").isEmpty() else out
+    rows = packed(docs, _doc=F.col("doc_id").cast("long"), _text=F.coalesce(F.col("text"), F.lit("")))
+    kept = rows.join(groups, F.col("_doc") == F.col("_id"))
+    out = kept.where("NOT _again").select(ROW).unionByName(rows.where("_doc IS NULL").select(ROW))
+    if not groups.where("_again").isEmpty():
+        out = out.unionByName(kept.where("_again").groupBy("_id").agg(F.min_by(ROW, "_text").alias(ROW)).select(ROW))
+    return unpacked(out, docs)
