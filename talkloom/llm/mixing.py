@@ -5,7 +5,8 @@ at a uniform number hashed from seed and doc_id: the draw doesn't depend on part
 are exploded by their count and dealt out by a hash of (seed, doc_id, copy), then sorted by it within partitions.
 
 Rates: source s with n_s documents and weight w_s (default: n_s ** ``TEMPERATURE``) gets ``EPOCHS`` * N * w_s / (sum of
-w) / n_s copies per document in the mean. Only one row per source is aggregated and joined back.
+w) / n_s copies per document in the mean. Only one row per source is aggregated and joined back, by
+sending it along where there are up to ``SENT_SOURCES``, so texts are shuffled once, to their places in the mix.
 
 Defined cases: a null source is a source of its own; rows without doc_id draw as doc_id '' ; repeated rows draw the same
 number each; an empty table gives an empty mix; rates above ``MAX_RATE`` are refused, as replication so high is a
@@ -17,10 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talkloom.llm.rows import ROW, packed, unpacked
+from talkloom.sources.scratch import cut
+
 SEED = 17
 EPOCHS = 1.0
 TEMPERATURE = 0.5
 MAX_RATE = 20.0
+#: Rates of up to so many sources are sent to all executors; more are joined by source.
+SENT_SOURCES = 100_000
 #: 13 hex digits are 52 bits, exact in a double.
 DIGITS = 13
 
@@ -61,14 +67,17 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, seed: int = SEED, epo
     rates = source_rates(docs, weights, epochs, temperature).select(F.col("source").alias("_s"), "rate")
     over = F.raise_error(F.concat(F.lit("repetition rate over 20 for source "), F.coalesce("_s", F.lit("null"))))
     rates = rates.withColumn("rate", F.when(F.col("rate") > MAX_RATE, over).otherwise(F.col("rate")))
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    joined = docs.join(rates, docs["source"].eqNullSafe(rates["_s"]))
-    copies = poisson(F.col("rate"), uniform(f"{seed}:n", name))
-    out = joined.withColumn("_n", copies).where("_n > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    out = out.withColumn("mix_order", F.md5(F.concat_ws(":", F.lit(f"{seed}:o"), name, F.col("mix_copy").cast("string"))))
-    out = out.select(*[F.col(c) for c in docs.columns], F.col("mix_copy").cast("long").alias("mix_copy"), "mix_order")
+    rates = cut(rates, "mixing-rates")
+    if rates.count() <= SENT_SOURCES:
+        rates = F.broadcast(rates)
+    rows = packed(docs, _of=F.col("source"), _name=F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    joined = rows.join(rates, F.col("_of").eqNullSafe(F.col("_s")))
+    copies = poisson(F.col("rate"), uniform(f"{seed}:n", F.col("_name")))
+    out = joined.withColumn("_n", copies).where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    out = out.withColumn("_order", F.md5(F.concat_ws(":", F.lit(f"{seed}:o"), F.col("_name"), F.col("_copy").cast("string"))))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartition(parts, "mix_order").sortWithinPartitions("mix_order")
+    dealt = out.select(ROW, "_copy", "_order").repartition(parts, "_order").sortWithinPartitions("_order")
+    return unpacked(dealt, docs, mix_copy=F.col("_copy").cast("long"), mix_order=F.col("_order"))
 
 
 def op9(docs: DataFrame) -> DataFrame:
