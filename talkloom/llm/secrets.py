@@ -52,12 +52,18 @@ def generated_samples(spark: SparkSession) -> DataFrame:
     return random.unionByName(plain)
 
 
+def pair_codes(text: Column) -> Column:
+    """Codes of the pairs of neighbours in ``text`` with its ends; characters that candidates don't have count as an end."""
+    code = F.transform(F.split(text, ""), lambda c: F.when(F.ascii(c).between(0, CODES - 1), F.ascii(c)).otherwise(0))
+    whole = F.concat(F.array(F.lit(0)), code, F.array(F.lit(0)))
+    n = F.size(whole) - 1
+    return F.zip_with(F.slice(whole, 1, n), F.slice(whole, 2, n), lambda a, b: a * CODES + b)
+
+
 def markov_ratio(samples: DataFrame) -> DataFrame:
     """One row, one column ``ratio``: log P(second | first) of random strings less that of ordinary ones, by pair code."""
-    text = F.concat(F.lit("\0"), F.col("text"), F.lit("\0"))
-    pairs = samples.where(F.col("text").isNotNull()).select("label", text.alias("t")).select("label", F.explode(F.sequence(F.lit(1), F.length("t") - 1)).alias("i"), "t")
-    code = F.ascii(F.substring("t", F.col("i"), F.lit(1))) * CODES + F.ascii(F.substring("t", F.col("i") + 1, F.lit(1)))
-    counts = pairs.select("label", code.alias("code")).where(F.col("code").between(0, CODES * CODES - 1)).groupBy("code").agg(F.count_if(F.col("label") == 1).alias("n1"), F.count_if(F.col("label") == 0).alias("n0"))
+    coded = samples.where(F.col("text").isNotNull()).select("label", F.explode(pair_codes(F.col("text"))).alias("code"))
+    counts = coded.groupBy("code").agg(F.count_if(F.col("label") == 1).alias("n1"), F.count_if(F.col("label") == 0).alias("n0"))
     every = samples.sparkSession.range(CODES * CODES).select(F.col("id").cast("int").alias("code")).join(counts, "code", "left").na.fill(0, ["n0", "n1"])
     first = every.groupBy(F.floor(F.col("code") / CODES).alias("first")).agg(F.sum("n1").alias("s1"), F.sum("n0").alias("s0"))
     joined = every.withColumn("first", F.floor(F.col("code") / CODES)).join(first, "first")
@@ -115,9 +121,7 @@ def scan(docs: DataFrame, samples: DataFrame | None = None, text: str = "text")
     table = table.withColumn("_ratio", ratio)
 
     def likely(x: Column) -> Column:
-        m = F.concat(F.lit("\0"), x["m"], F.lit("\0"))
-        code = lambda i: F.ascii(F.substring(m, i, F.lit(1))) * CODES + F.ascii(F.substring(m, i + 1, F.lit(1)))
-        total = F.aggregate(F.sequence(F.lit(1), F.length(x["m"]) + 1), F.lit(0.0), lambda acc, i: acc + F.get("_ratio", code(i)))
+        total = F.aggregate(pair_codes(x["m"]), F.lit(0.0), lambda acc, code: acc + F.get("_ratio", code))
         return F.when((F.length(x["m"]) >= MIN_LENGTH) & x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]"), total / F.length(x["m"]) >= MIN_RATIO).otherwise(F.lit(False))
 
     tag = lambda k, o: F.transform(k, lambda x: F.struct(x["s"].alias("s"), F.lit(o).alias("o"), x["e"].alias("e"), F.lit(k[1:]).alias("k")))
