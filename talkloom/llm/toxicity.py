@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from talkloom.llm.bytewords import ALNUM, Words, as_bytes, blocks
 from talkloom.llm.quality import held_out, training_rows
+from talkloom.sources.scratch import cut
 
 PREFIXES = (4, 5, 6, 7, 8)
 BUCKETS = 1 << 18
@@ -62,6 +63,12 @@ def scores(p: dict, doc: np.ndarray, bucket: np.ndarray, n: int) -> np.ndarray:
     return p["bias"] + linear + SCALE * 0.5 * pairs
 
 
+def telling(held: np.ndarray, held_1: np.ndarray, share: float) -> np.ndarray:
+    """Buckets that enter: ``held`` by how many documents, ``held_1`` of them with label 1, whose share in all is ``share``."""
+    z = np.abs(held_1 - held * share) / np.sqrt(np.maximum(1e-9, held * share * (1 - share)))
+    return np.flatnonzero((held >= MIN_DOCS) & (z >= MIN_Z))
+
+
 def train(doc: np.ndarray, bucket: np.ndarray, label: np.ndarray) -> dict:
     """Parameters from the terms of documents 0, 1, ... (ascending) and their labels."""
     n = len(label)
@@ -69,9 +76,7 @@ def train(doc: np.ndarray, bucket: np.ndarray, label: np.ndarray) -> dict:
     if not 0 < share < 1:
         return {"constant": share}
     rng = np.random.default_rng(SEED)
-    held, held_1 = np.bincount(bucket, minlength=BUCKETS), np.bincount(bucket, label[doc], BUCKETS)
-    z = np.abs(held_1 - held * share) / np.sqrt(np.maximum(1e-9, held * share * (1 - share)))
-    frequent = np.flatnonzero((held >= MIN_DOCS) & (z >= MIN_Z))
+    frequent = telling(np.bincount(bucket, minlength=BUCKETS), np.bincount(bucket, label[doc], BUCKETS), share)
     slot = np.full(BUCKETS, -1, np.int32)
     slot[frequent] = np.arange(len(frequent))
     on = slot[bucket] >= 0
@@ -117,23 +122,38 @@ def score_texts(p: dict, texts: list[bytes]) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MAX_TRAIN) -> dict:
-    """Parameters trained on a bounded sample; only buckets of its terms come to the driver."""
+    """Parameters trained on a bounded sample.
+
+    Which terms enter is counted in Spark (a row per bucket); only those terms of the sample come to the driver.
+    """
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for begin, part in blocks(as_bytes(batch["text"]), BLOCK_BYTES):
                 doc, bucket = terms(part)
                 first = np.searchsorted(doc, np.arange(len(part) + 1))
-                rows = [bucket[first[j] : first[j + 1]].astype(np.int32).tobytes() for j in range(len(part))]
+                rows = [bucket[first[j] : first[j + 1]].astype(np.int32) for j in range(len(part))]
                 some = batch.iloc[begin : begin + len(part)]
-                yield pd.DataFrame({"doc_id": some["doc_id"].to_numpy(), "label": some["_label"].to_numpy(), "b": rows})
+                yield pd.DataFrame({"doc_id": some["doc_id"].to_numpy(), "label": some["_label"].to_numpy(), "b": pd.Series(rows, dtype=object)})
 
-    got = training_rows(docs, labels, label, most).mapInPandas(features, "doc_id long, label double, b binary").collect()
-    got.sort(key=lambda r: (r.doc_id, bytes(r.b)))
-    if not got:
+    bags = cut(training_rows(docs, labels, label, most).mapInPandas(features, "doc_id long, label double, b array<int>"), "toxicity-terms")
+    n, ones = bags.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    if not n:
         return {"constant": 0.5}
-    bags = [np.frombuffer(r.b, np.int32) for r in got]
-    return train(np.repeat(np.arange(len(bags)), [len(b) for b in bags]), np.concatenate(bags), np.array([r.label for r in got]))
+    counts = bags.select("label", F.explode("b").alias("b")).groupBy("b").agg(F.count("*").alias("n"), F.sum("label").alias("n1")).where(F.col("n") >= MIN_DOCS).toArrow()
+    held, held_1 = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS)
+    at = counts.column("b").to_numpy()
+    held[at], held_1[at] = counts.column("n").to_numpy(), counts.column("n1").to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(telling(held, held_1, ones / n))
+
+    @F.pandas_udf("binary")
+    def known(b: pd.Series) -> pd.Series:
+        return pd.Series([x[np.isin(x, sent.value)].astype(np.int32).tobytes() for x in b], dtype=object)
+
+    got = bags.select("doc_id", "label", known("b").alias("b")).collect()
+    got.sort(key=lambda r: (r.doc_id, bytes(r.b)))
+    kept = [np.frombuffer(r.b, np.int32) for r in got]
+    return train(np.repeat(np.arange(len(kept)), [len(b) for b in kept]), np.concatenate(kept), np.array([r.label for r in got]))
 
 
 def op7(docs: DataFrame, labels: DataFrame) -> DataFrame:
