@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talkloom.functions.semantics import pct, week_start
 from talkloom.functions.vectors import dot, unit
-from talkloom.operators import chunker, clusters, density, series, terms
+from talkloom.operators import chunker, clusters, density, harness, series, terms
 from talkloom.plans import fixed
 from talkloom.plans.oracle import pct_sql, q, trim_sql
 from talkloom.plans.registry import query
@@ -239,6 +239,31 @@ def embed(r):
     return ok.select("conversation_id", F.size(v).alias("dim"), F.round(dot(unit(v), unit(v)), 4).alias("norm"))
 
 
+@query("v20_stability")
+def stability(r):
+    return harness.stability(vectors(r), 6, [1, 2])
+
+
+@query("v35_compare_embedders")
+def compare_embedders(r):
+    from talkloom.plugins import HashedNgramEmbedder
+
+    out = harness.compare_embedders(r.docs, [HashedNgramEmbedder(32), HashedNgramEmbedder(64)], "conversation_id", "conversation_text_translated", 4)
+    return out.drop("encode_s")
+
+
+@query("v32b_reduce_outliers", f"""WITH {CENTRES}, s AS (SELECT vec_id, cu.cluster_id, round(list_inner_product(v, u) / greatest(sqrt(list_inner_product(v, v)), 1e-10), 9) AS s FROM (SELECT vec_id, v FROM e WHERE cluster_id = -1), cu),
+b AS (SELECT vec_id, arg_max(cluster_id, (s, -cluster_id)) AS c, max(s) AS s FROM s GROUP BY 1)
+SELECT vec_id, CASE WHEN e.cluster_id <> -1 THEN e.cluster_id WHEN round(b.s, 6) >= 0.15::DOUBLE THEN c ELSE -1 END AS cluster_id FROM e LEFT JOIN b USING (vec_id)""")
+def reduce_outliers(r):
+    return harness.reduce_outliers(vectors(r), 0.15).select("vec_id", "cluster_id")
+
+
+@query("v32c_reduce_outliers_neighbour")
+def reduce_outliers_neighbour(r):
+    return harness.reduce_outliers(vectors(r), 0.3, "neighbour").select("vec_id", "cluster_id")
+
+
 @query("v05_stratified_sample", "SELECT cluster_id, chunk_uid FROM (SELECT cluster_id, chunk_uid, row_number() OVER (PARTITION BY cluster_id ORDER BY md5(chunk_uid)) AS r FROM chunks WHERE NOT is_noise) WHERE r <= 20")
 def stratified_sample(r):
     rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.md5("chunk_uid")))
