@@ -8,8 +8,11 @@ Recordings with equal fingerprints are one class, named by its smallest (conv_id
 searched. Every integer of every class is indexed. A query class looks up its integers, and those that differ from them by
 one bit, counts offsets of the hits by
 class (the offset histogram); the bit error rate over the overlap at each offset with ``MIN_VOTES`` hits or more decides, and the
-offset with fewest errors stands for the pair. An integer that more than ``HOT`` classes hold is skipped, unless a query has fewer than ``LEAST`` rarer ones: then
-it looks up its ``LEAST`` rarest, however frequent.
+offset with fewest errors stands for the pair. Every integer is looked up; the postings of one that occurs more than ``HOT`` times are dealt
+out over as many keys as it takes, and its lookups go to all of these.
+
+An overlap is ``MIN_OVERLAP`` integers at least; of two fingerprints that both have fewer, all of the shorter one. Such pairs seldom share an
+integer, so they are compared exactly, in blocks of ``PAIR_BLOCK`` classes: queries times classes, of those with under ``MIN_OVERLAP`` integers.
 
 Media: 16-bit mono WAV bytes, or a text played as a score: each word is a tone of ``NOTE`` samples whose pitch is hashed from
 the word. Samples are made or decoded a block of frames at a time, so a recording of any length needs little memory, and
@@ -22,11 +25,13 @@ never queries.
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,9 +49,10 @@ WIDTH = max(f[3] for f in FILTERS)
 #: Bounds of the four levels of the log-ratio of a filter's two sums, about its value on rows of equal shares.
 LEVELS = (-0.15, 0.0, 0.15)
 GRAY = np.array([0, 1, 3, 2], np.uint32)
-HOT, LEAST = 500, 4
+HOT = 500
 MAX_ERROR, MIN_OVERLAP, MIN_SHARE, MIN_VOTES = 0.15, 4, 0.5, 1
 QUERY_EVERY = 50
+PAIR_BLOCK = 8192
 
 
 def _pitch_matrix() -> np.ndarray:
@@ -187,29 +193,90 @@ def bit_errors(a: Column, b: Column, offset: Column) -> tuple[Column, Column]:
     return n, wrong / F.nullif(n * 32, F.lit(0))
 
 
-def align(prints: DataFrame, hot: int = HOT, least: int = LEAST) -> DataFrame:
+def _prints(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Integers of all fingerprints one after the other, and where each begins (one more at the end)."""
+    column = t.column("print").combine_chunks()
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.int32).view(np.uint32)
+    return values, np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+
+def _within(short: tuple, long: tuple, longer_by: int) -> tuple[np.ndarray, ...]:
+    """Best places of fingerprints of under MIN_OVERLAP integers in those of ``longer_by`` more at least: four arrays of
+    index of the short one, of the long one, place, wrong bits."""
+    (sv, s0), (lv, l0) = short, long
+    size, found = np.diff(l0), [np.zeros((4, 0), np.int64)]
+    owner, place = np.repeat(np.arange(len(size)), size), np.arange(len(lv)) - np.repeat(l0[:-1], size)
+    for m in range(1, MIN_OVERLAP):
+        at = np.flatnonzero((size[owner] >= m + longer_by) & (place + m <= size[owner]))
+        windows = [lv[at + j] for j in range(m)]
+        for i in np.flatnonzero(np.diff(s0) == m):
+            wrong = sum(np.bitwise_count(w ^ x).astype(np.int64) for w, x in zip(windows, sv[s0[i] : s0[i + 1]], strict=True))
+            near = np.flatnonzero(wrong <= MAX_ERROR * 32 * m)
+            if len(near):
+                r, p, e = owner[at[near]], place[at[near]], wrong[near]
+                order = np.lexsort((p, e, r))
+                first = order[np.unique(r[order], return_index=True)[1]]
+                found.append(np.stack([np.full(len(first), i), r[first], p[first], e[first]]))
+    return tuple(np.concatenate(found, 1))
+
+
+def _short_pairs(asking: pa.Table, others: pa.Table) -> pa.Table:
+    a, b = _prints(asking), _prints(others)
+    q, r, at, wrong = _within(a, b, 0)
+    r2, q2, at2, wrong2 = _within(b, a, 1)
+    n = np.concatenate([np.diff(a[1])[q], np.diff(b[1])[r2]])
+    out = {
+        "q": asking.column("rep").combine_chunks().take(pa.array(np.concatenate([q, q2]))), "r": others.column("rep").combine_chunks().take(pa.array(np.concatenate([r, r2]))),
+        "offset": pa.array(np.concatenate([at, -at2]).astype(np.int32)), "n": pa.array(n.astype(np.int32)), "error": pa.array(np.concatenate([wrong, wrong2]) / np.maximum(1, n * 32.0)),
+    }
+    return pa.table(out)
+
+
+def short_links(classes: DataFrame) -> DataFrame:
+    """(q, r, offset, n, error) of all linked pairs that both have under MIN_OVERLAP integers."""
+    classes = classes.where(F.size("print") < MIN_OVERLAP)
+    n, asking = classes.agg(F.count("*"), F.count_if("asks")).first()
+    parts, q_parts = max(1, math.ceil(n / PAIR_BLOCK)), max(1, math.ceil(asking / PAIR_BLOCK))
+
+    def block(of: int) -> Column:
+        return F.pmod(F.xxhash64("rep"), F.lit(of)).cast("int")
+
+    def every(of: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+
+    a = classes.where("asks").select("rep", "print", block(q_parts).alias("_q")).withColumn("_r", every(parts))
+    b = classes.select("rep", "print", block(parts).alias("_r")).withColumn("_q", every(q_parts))
+    rep = classes.schema["rep"].dataType.simpleString()
+    schema = f"q {rep}, r {rep}, offset int, n int, error double"
+    return a.groupBy("_q", "_r").cogroup(b.groupBy("_q", "_r")).applyInArrow(_short_pairs, schema).where("not (q <=> r)")
+
+
+def align(prints: DataFrame, hot: int = HOT) -> DataFrame:
     """One row per row of ``prints`` (conv_id, turn, print): class_conv, class_turn, n_frames, is_query, and on the row
     that names a class with a query in it the ``links``: array of (conv_id, turn, offset, n, error) of other classes."""
     prints = cut(prints, "audio-prints")
     query = F.coalesce(F.col("conv_id") % QUERY_EVERY == 0, F.lit(False))
     grouped = prints.where(F.size("print") > 0).groupBy("print").agg(F.min_by(F.struct("conv_id", "turn"), F.struct(F.col("conv_id").isNull().alias("none"), "conv_id", "turn")).alias("rep"), F.bool_or(query).alias("asks"))
     classes = cut(grouped, "audio-classes")
-    postings = classes.select("rep", "asks", F.posexplode("print").alias("pos", "value"))
-    frequency = postings.groupBy("value").agg(F.count_distinct("rep").alias("df"))
-    flips = F.array(*[F.struct(F.lit(k).alias("flip"), F.col("value").bitwiseXOR(F.lit(x).cast("int")).alias("value")) for k, x in enumerate([0, *[(1 << k) - (1 << 32 if k == 31 else 0) for k in range(32)]])])
-    probes = postings.where("asks").select("rep", "pos", F.explode(flips).alias("p")).select("rep", "pos", (F.col("p.flip") > 0).alias("flipped"), F.col("p.value").alias("value"))
-    asked = probes.join(frequency, "value")
-    rank = F.dense_rank().over(Window.partitionBy("rep").orderBy("flipped", "df", "value"))
-    asked = asked.withColumn("rank", rank).where((F.col("df") <= hot) | (F.col("rank") <= least)).select(F.col("rep").alias("q"), F.col("pos").alias("q_pos"), "value")
-    hits = asked.join(postings.select(F.col("rep").alias("r"), F.col("pos").alias("r_pos"), "value"), "value").where("q != r")
-    histogram = hits.groupBy("q", "r", (F.col("r_pos") - F.col("q_pos")).alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= MIN_VOTES)
+    postings = classes.where(F.size("print") >= MIN_OVERLAP).select("rep", "asks", F.size("print").alias("size"), F.posexplode("print").alias("pos", "value"))
+    keys = F.ceil(F.col("count") / hot).cast("int").alias("keys")
+    spread = cut(postings.groupBy("value").count().where(F.col("count") > hot).select("value", keys), "audio-hot")
+    flips = F.array(*[F.col("value").bitwiseXOR(F.lit(x).cast("int")) for x in [0, *[(1 << k) - (1 << 32 if k == 31 else 0) for k in range(32)]]])
+    asked = postings.where("asks").select(F.col("rep").alias("q"), F.col("size").alias("q_size"), F.col("pos").alias("q_pos"), F.explode(flips).alias("value"))
+    asked = asked.join(spread, "value", "left").withColumn("key", F.explode(F.sequence(F.lit(0), F.coalesce("keys", F.lit(1)) - 1))).drop("keys")
+    held = postings.join(spread, "value", "left").select(F.col("rep").alias("r"), F.col("size").alias("r_size"), F.col("pos").alias("r_pos"), "value", F.pmod(F.xxhash64("rep", "pos"), F.coalesce("keys", F.lit(1))).cast("int").alias("key"))
+    offset = F.col("r_pos") - F.col("q_pos")
+    over = F.least("q_size", F.col("r_size") - offset) - F.greatest(F.lit(0), -offset)
+    hits = asked.join(held, ["value", "key"]).where("q != r").where((over >= MIN_OVERLAP) & (over >= F.least("q_size", "r_size") * MIN_SHARE))
+    histogram = hits.groupBy("q", "r", offset.alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= MIN_VOTES)
     a = classes.select(F.col("rep").alias("q"), F.col("print").alias("a"))
     b = classes.select(F.col("rep").alias("r"), F.col("print").alias("b"))
     n, error = bit_errors(F.col("a"), F.col("b"), F.col("offset"))
-    judged = histogram.join(a, "q").join(b, "r").select("q", "r", "offset", "votes", n.alias("n"), error.alias("error"), (F.least(F.size("a"), F.size("b")) * MIN_SHARE).alias("needs"))
-    linked = judged.where((F.col("error") <= MAX_ERROR) & (F.col("n") >= MIN_OVERLAP) & (F.col("n") >= F.col("needs")))
+    judged = histogram.join(a, "q").join(b, "r").select("q", "r", "offset", "votes", n.alias("n"), error.alias("error"))
+    linked = judged.where(F.col("error") <= MAX_ERROR)
     # of the offsets that align two classes the one with fewest errors stands for them
     linked = linked.groupBy("q", "r").agg(F.min_by(F.struct("offset", "n", "error"), F.struct("error", -F.col("votes"), F.abs("offset"), "offset")).alias("o")).select("q", "r", "o.*")
+    linked = linked.unionByName(short_links(classes))
     one = F.struct(F.col("r.conv_id").alias("conv_id"), F.col("r.turn").alias("turn"), "offset", "n", F.round("error", 4).alias("error"))
     links = linked.groupBy("q").agg(F.sort_array(F.collect_list(one)).alias("links"))
     named = classes.join(links, classes["rep"] == links["q"], "left").select("print", "rep", "links")

@@ -433,6 +433,41 @@ def test_alignment_against_brute_force(spark):
     assert {r.class_conv for r in out if r.conv_id in (5000, 5050)} == {None}
 
 
+def plain_links(classes):
+    """Links of all pairs of [(id, print, asks)], with their errors."""
+    out = {}
+    for q, a, asks in classes:
+        for r, b, _ in classes if asks else ():
+            for o in range(-len(a) + 1, len(b)) if q != r else ():
+                lo, hi = max(0, -o), min(len(a), len(b) - o)
+                least = min(len(a), len(b)) if max(len(a), len(b)) < audio.MIN_OVERLAP else audio.MIN_OVERLAP
+                if hi - lo >= max(least, audio.MIN_SHARE * min(len(a), len(b))):
+                    e = np.bitwise_count((a[lo:hi] ^ b[lo + o : hi + o]).view(np.uint32)).mean() / 32
+                    if e <= audio.MAX_ERROR:
+                        out[q, r] = min(e, out.get((q, r), 1.0))
+    return out
+
+
+def test_links_of_hot_integers_and_short_turns(spark):
+    rng = np.random.default_rng(12)
+    # six integers that all hold, before a long tail of one's own; copies keep nothing of that as it is but one integer
+    rows, common = [], rng.integers(-(1 << 31), 1 << 31, 6).astype(np.int32)
+    for c in range(0, 60, 2):
+        own = rng.integers(-(1 << 31), 1 << 31, 14).astype(np.int32)
+        noisy = own ^ np.int32(0b1011 << 7)
+        noisy[5] = own[5]
+        rows += [(50 * c, 0, np.concatenate([common, own])), (50 * c + 1, 0, np.concatenate([common, noisy])), (50 * c + 2, 0, noisy[:7] ^ np.int32(1 << (c % 30)))]
+    for c in range(0, 40):
+        short = rng.integers(-(1 << 31), 1 << 31, 1 + c % 3).astype(np.int32)
+        rows += [(50 * c, 1, short), (50 * c + 3, 1, short ^ np.int32(0b11101))]
+    frame = spark.createDataFrame([(c, t, p.tolist()) for c, t, p in rows], "conv_id long, turn long, print array<int>")
+    want = plain_links([((c, t), p, c % 50 == 0) for c, t, p in rows])
+    got = {((r.conv_id, r.turn), (x.conv_id, x.turn)): x.error for r in audio.align(frame, hot=10).collect() for x in (r.links or [])}
+    assert got.keys() <= want.keys() and len(got) >= 0.95 * len(want) and len(want) > 60
+    short = {k for k in want if k[0][1] == 1 and k[1][1] == 1}
+    assert short <= got.keys() and len(short) >= 40 and all(got[k] == pytest.approx(want[k], abs=1e-4) for k in short)
+
+
 def test_wav_and_shift():
     rng = np.random.default_rng(10)
     s = audio.Score(" ".join(f"w{i}" for i in rng.integers(0, 30, 150)))
