@@ -9,12 +9,14 @@ w) / n_s copies per document in the mean. Only one row per source is aggregated
 sending it along where there are up to ``SENT_SOURCES``, so texts are shuffled once, to their places in the mix.
 
 Defined cases: a null source is a source of its own; rows without doc_id draw as doc_id '' ; repeated rows draw the same
-number each; an empty table gives an empty mix; rates above ``MAX_RATE`` are refused, as replication so high is a
-mistake in the weights.
+number each; an empty table gives an empty mix. A given weight whose rate is above ``MAX_RATE`` is refused, as replication so
+high is a mistake in the weights; rates of default weights grow with the table for rare sources and are drawn, however high.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ SEED = 17
 EPOCHS = 1.0
 TEMPERATURE = 0.5
 MAX_RATE = 20.0
+#: Rates of up to so many are drawn by adding up the terms from 0; of more, by their logarithms.
+DIRECT, NEAR = 100.0, 50
 #: Rates of up to so many sources are sent to all executors; more are joined by source.
 SENT_SOURCES = 100_000
 #: 13 hex digits are 52 bits, exact in a double.
@@ -38,6 +42,28 @@ def uniform(tag: str, *parts: Column) -> Column:
 
 def poisson(rate: Column, u: Column) -> Column:
     """The smallest k with P(X <= k) > u, for X of mean ``rate``."""
+    return F.when(rate <= DIRECT, _summed(rate, u)).otherwise(_summed_in_logs(rate, u))
+
+
+def _summed_in_logs(rate: Column, u: Column) -> Column:
+    """The same where exp(-rate) may be 0: terms by their logarithms, from 12 standard deviations below the mean."""
+    first = F.greatest(F.lit(0), F.floor(rate - 12 * F.sqrt(rate) - 30)).cast("long")
+    # log k! by Stirling's series, from where its rest is below a double's digits
+    x = first + F.lit(1.0)
+    far = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5.0)))
+    near = F.aggregate(F.sequence(F.lit(1), F.least(first, F.lit(NEAR)).cast("int") + 1), F.lit(0.0), lambda acc, i: acc + F.when(i <= first, F.log(i.cast("double"))).otherwise(F.lit(0.0)))
+    log_p = first * F.log(rate) - rate - F.when(first <= NEAR, near).otherwise(far)
+    start = F.struct(log_p.alias("p"), F.exp(log_p).alias("c"), first.alias("k"))
+
+    def step(acc: Column, i: Column) -> Column:
+        p = acc["p"] + F.log(rate / i)
+        return F.when(acc["c"] > u, acc).otherwise(F.struct(p.alias("p"), (acc["c"] + F.exp(p)).alias("c"), i.alias("k")))
+
+    terms = F.sequence(first + 1, F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("long"))
+    return F.aggregate(terms, start, step, lambda acc: acc["k"]).cast("int")
+
+
+def _summed(rate: Column, u: Column) -> Column:
     start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.lit(0).alias("k"))
 
     def step(acc: Column, i: Column) -> Column:
@@ -65,8 +91,9 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, epochs: floa
 def mix(docs: DataFrame, weights: DataFrame | None = None, seed: int = SEED, epochs: float = EPOCHS, temperature: float = TEMPERATURE) -> DataFrame:
     """``docs`` replicated and globally shuffled, with ``mix_copy`` (from 0) and ``mix_order`` (the shuffle key)."""
     rates = source_rates(docs, weights, epochs, temperature).select(F.col("source").alias("_s"), "rate")
-    over = F.raise_error(F.concat(F.lit("repetition rate over 20 for source "), F.coalesce("_s", F.lit("null"))))
-    rates = rates.withColumn("rate", F.when(F.col("rate") > MAX_RATE, over).otherwise(F.col("rate")))
+    if weights is not None:
+        over = F.raise_error(F.concat(F.lit("repetition rate over 20 for source "), F.coalesce("_s", F.lit("null"))))
+        rates = rates.withColumn("rate", F.when(F.col("rate") > MAX_RATE, over).otherwise(F.col("rate")))
     rates = cut(rates, "mixing-rates")
     if rates.count() <= SENT_SOURCES:
         rates = F.broadcast(rates)

@@ -237,6 +237,29 @@ def test_poisson_inversion(spark):
         assert k.mean() == pytest.approx(r, abs=0.02) and k.var() == pytest.approx(r, rel=0.03, abs=0.01)
 
 
+def test_poisson_inversion_of_high_rates(spark):
+    def plain(rate, u):
+        k, c = 0, math.exp(-rate)
+        while c <= u:
+            k += 1
+            c += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+        return k
+
+    rows = [(r, (i + 0.5) / 200) for r in (99.0, 130.0, 250.0, 700.0, 5000.0) for i in range(200)]
+    got = spark.createDataFrame(rows, "r double, u double").select("r", "u", mixing.poisson(F.col("r"), F.col("u")).alias("k")).collect()
+    assert [x.k for x in got] == [plain(x.r, x.u) for x in got]
+
+
+def test_mix_with_rare_sources(spark):
+    n = 40_000
+    text = F.when(F.col("id") == 0, "rare").when(F.col("id") > 1, "big")
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("en").alias("lang"), text.alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    rates = {r.source: r.rate for r in mixing.source_rates(docs).collect()}
+    assert rates["rare"] == rates[None] > 190
+    got = {r.source: r["count"] for r in mixing.op9(docs).groupBy("source").count().collect()}
+    assert all(got[s] == pytest.approx(rates[s], abs=6 * rates[s] ** 0.5) for s in ("rare", None)) and sum(got.values()) == pytest.approx(n, rel=0.03)
+
+
 def test_mix(spark, crowded):
     rows = [(i, f"t{i}", "en", "hot" if i % 3 else f"s{i % 4}", 1) for i in range(3000)]
     df = spark.createDataFrame(rows, DOCS)
