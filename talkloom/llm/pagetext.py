@@ -10,7 +10,8 @@ The html itself is not shuffled: hosts whose winner differs from the commonest o
 ``SENT_BYTES``; beyond that the pages are joined to the winners by host.
 
 Text: character references decoded; each block's white space to one space, ends trimmed; blocks joined by one space.
-<br> ends a block. Defined cases: null html is empty and has no text; a null url is the host ''; pages without any
+<br> ends a block. What only its class or id sets aside (``ASIDE_WORDS``) counts again from an <article> or <main> in it; if that leaves a
+page no text, the elements that hold half of its text or more are not set aside, and if there still is none, no element by its name. Defined cases: null html is empty and has no text; a null url is the host ''; pages without any
 container give the text of the whole page by the same rules; unclosed tags end where an enclosing one does.
 """
 
@@ -33,12 +34,14 @@ SENT_BYTES = 8 << 20
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|object|textarea|select|math|canvas)\b[^>]*+(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
+    r"|<(?P<raw>script|style|noscript|template|svg|iframe|object|textarea|select|math|canvas)(?=[\s/>])(?:/>|[^>]*+(?:(?<=[\s\"']/)>|>.*?(?:</(?P=raw)\s*>|\Z)))"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs2>[^>]*+)>",
     re.S | re.I,
 )
 ATTR = re.compile(r"\b(class|id|role|hidden|style)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?", re.I)
+#: Classes that tell what a wrapper has beside its text.
+STATE = re.compile(r"(?<![^\s])(?:with|has|no|without)[-_]\S+", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
@@ -82,38 +85,58 @@ def _is_aside(tag: str, a: dict, in_article: bool) -> bool:
         return False
     if tag in ASIDE_TAGS or tag == "header" and not in_article or "hidden" in a or a.get("role", "").lower() in ASIDE_ROLES:
         return True
-    if "style" in a and "display:none" in a["style"].replace(" ", "").lower():
-        return True
+    return "style" in a and "display:none" in a["style"].replace(" ", "").lower()
+
+
+def _is_named_aside(tag: str, a: dict, in_article: bool) -> bool:
     names = f"{a.get('class', '')} {a.get('id', '')}"
-    if names == " ":
+    if tag in NEVER_ASIDE or names == " ":
         return False
-    words = {w.lower() for w in WORD.findall(names)}
+    words = {w.lower() for w in WORD.findall(STATE.sub(" ", names))}
     return bool(words & ASIDE_WORDS) or not in_article and bool(words & {"header", "head"})
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[str, bool, bool]]]:
     """Containers in page order, and pieces of text (text, starts a block, belongs to something aside); nodes span pieces."""
+    nodes, pieces, named, size = _parse(page, frozenset())
+    if not nodes[0].good and named:
+        nodes, pieces, _, _ = _parse(page, frozenset(at for at, held in named.items() if 2 * held >= size))
+        if not nodes[0].good:
+            nodes, pieces, _, _ = _parse(page, frozenset(named))
+    return nodes, pieces
+
+
+def _parse(page: str, spared: frozenset) -> tuple[list[Node], list[tuple[str, bool, bool]], dict[int, int], int]:
+    """Nodes and pieces; elements aside by their names, by where they begin, with the size of text in them; and that size in all.
+    Those in ``spared`` are not set aside."""
+    named: dict[int, int] = {}
+    unhidden = 0
     nodes: list[Node] = []
     pieces: list[tuple[str, bool, bool]] = []
     root = Node("", "", 0, False, 0)
-    #: Open elements: tag, container or None, aside, in an article, in a link.
+    #: Open elements: tag, container or None, aside (or where the element begins that is so by its names), in an article, in a link.
     stack = [("", root, False, False, False)]
+    inside: list[tuple[int, int]] = []
     at, fresh = 0, True
 
     def text(raw: str) -> None:
-        nonlocal fresh
+        nonlocal fresh, unhidden
         if "&" in raw:
             raw = html_lib.unescape(raw)
         if not raw:
             return
         _, _, aside, _, link = stack[-1]
-        pieces.append((raw, fresh, aside))
+        pieces.append((raw, fresh, aside is not False))
         fresh = False
         size = len(raw.split()) and len(" ".join(raw.split()))
+        if size and aside is not True:
+            unhidden += size
+            for begin, depth in inside:
+                named[begin] += size if depth < len(stack) else 0
         if size:
             for _, node, _, _, _ in stack:
                 if node is not None:
-                    if aside or link:
+                    if aside is not False or link:
                         node.other += size
                     else:
                         node.good += size
@@ -123,6 +146,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[str, bool, bool]]]:
             node = stack.pop()[1]
             if node is not None:
                 node.end = len(pieces)
+        while inside and inside[-1][1] >= to:
+            inside.pop()
 
     for m in MARKUP.finditer(page):
         if m.start() > at:
@@ -153,17 +178,25 @@ def parse(page: str) -> tuple[list[Node], list[tuple[str, bool, bool]]]:
         a = _attributes(m["attrs"] or m["attrs2"] or "")
         _, _, aside, in_article, link = stack[-1]
         in_article = in_article or tag in ("article", "main")
-        aside = aside or _is_aside(tag, a, in_article)
+        if tag in ("article", "main") and aside is not True:
+            aside = False
+        if aside is not True and _is_aside(tag, a, in_article):
+            aside = True
+        elif aside is not True and _is_named_aside(tag, a, in_article):
+            named.setdefault(m.start(), 0)
+            inside.append((m.start(), len(stack)))
+            if m.start() not in spared:
+                aside = m.start() if aside is False else aside
         node = None
         if tag in CONTAINER:
             above = next(n for _, n, *_ in reversed(stack) if n is not None)
-            node = Node(tag, f"{above.path}/{_generalised(tag, a.get('class', ''))}"[-400:], above.depth + 1, aside, len(pieces))
+            node = Node(tag, f"{above.path}/{_generalised(tag, a.get('class', ''))}"[-400:], above.depth + 1, aside is not False, len(pieces))
             nodes.append(node)
         stack.append((tag, node, aside, in_article, link or tag == "a"))
     if at < len(page):
         text(page[at:])
     pop(0)
-    return [root, *nodes], pieces
+    return [root, *nodes], pieces, named, unhidden
 
 
 def scored(nodes: list[Node]) -> list[tuple[int, int, int]]:

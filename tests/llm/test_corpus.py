@@ -317,6 +317,19 @@ def test_page_text(spark):
     assert got[14].text == "no container at the winning path here"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><p>before</p><svg/><p>after</p></body>", "<body><p>before</p><iframe src='x' /><p>after</p></body>", "<body><p>before</p><svg-icon></svg-icon><p>after</p><svg>no</svg></body>",
+        "<body><div class='content with-sidebar'><p>before</p><p>after</p></div></body>", "<body><div class='sidebar'>no<main><p>before</p><p>after</p></main></div></body>",
+        "<body><nav>menu</nav><div class='discussion'><p>before</p><p>after</p><div class='ad'>buy</div></div></body>", "<body><div class='has-comments no-widget'><p>before</p>after</div><div class='comments'>no</div></body>",
+        "<body><script src=x>var a = 1;</script><p>before</p><script>no</script><p>after</p><svg><text>no</text></svg></body>",
+    ],
+)
+def test_articles_do_not_vanish(page):
+    assert pagetext.extract(page, None) == "before after"
+
+
 def test_winners_joined_when_many(spark):
     rows = [(i, f"http://h{i % 3}.example/{i}", f"<body><div class=c{'abc'[i % 3]}><p>text {i} goes here</p></div><nav>menu</nav></body>") for i in range(9)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
