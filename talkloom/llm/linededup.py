@@ -29,7 +29,9 @@ def line_key(line: Column) -> Column:
 
 def dropped_positions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(_id, _hash, _gone): 0-based positions of the lines to drop of each document that loses any."""
-    lines = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_hash"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("_pos", "_line"))
+    # the hash stands below the explosion: beside it, it would be worked out again for each line
+    whole = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_hash"), F.split(F.col(text), "\n", -1).alias("_lines"))
+    lines = whole.select("_id", "_hash", F.posexplode("_lines").alias("_pos", "_line"))
     keyed = lines.select("_id", "_hash", "_pos", line_key(F.col("_line")).alias("_key")).where(F.length("_key") >= MIN_CHARS)
     hashed = keyed.select("_id", "_hash", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit("line"), "_key").alias("_h2"))
     shared = hashed.groupBy("_h1", "_h2").agg(F.min("_id").alias("_keep"), F.max("_id").alias("_last")).where("_keep < _last")
@@ -39,15 +41,25 @@ def dropped_positions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     return gone.groupBy("_id", "_hash").agg(F.sort_array(F.collect_set("_pos")).alias("_gone"))
 
 
+def _without(lines: Column, gone: Column) -> Column:
+    """``lines`` but for the places ``gone`` (ascending): the runs between these one after the other, so long texts need linear time."""
+
+    def runs(all_lines: Column) -> Column:
+        before, after = F.concat(F.array(F.lit(-1)), gone), F.concat(gone, F.array(F.size(all_lines)))
+        return F.flatten(F.zip_with(before, after, lambda a, b: F.slice(all_lines, a + 2, b - a - 1)))
+
+    # a lambda's variable holds the lines, which are split once; as an expression they would be split again for each run
+    return F.get(F.transform(F.array(lines), runs), F.lit(0))
+
+
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each row of ``docs`` as a struct, its remaining lines in ``_kept``, and ``_n_lines``, ``_n_dropped`` (long)."""
     gone = dropped_positions(docs, doc_id, text)
     rows = packed(docs, _doc=F.col(doc_id), _text=F.col(text), _at=F.xxhash64(text))
     joined = rows.join(gone, (F.col("_doc") == F.col("_id")) & (F.col("_at") == F.col("_hash")), "left")
-    lines = F.split(F.coalesce(F.col("_text"), F.lit("")), "\n", -1)
-    joined = joined.withColumn("_n_lines", F.size(lines).cast("long")).withColumn("_n_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    stay = F.array_except(F.sequence(F.lit(0), (F.col("_n_lines") - 1).cast("int")), F.col("_gone"))
-    kept = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    n = F.length(F.regexp_replace(F.coalesce(F.col("_text"), F.lit("")), "[^\n]+", "")) + 1
+    joined = joined.withColumn("_n_lines", n.cast("long")).withColumn("_n_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
+    kept = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(_without(F.split("_text", "\n", -1), F.col("_gone")), "\n"))
     return joined.select(ROW, "_n_lines", "_n_dropped", kept.alias("_kept"))
 
 

@@ -54,10 +54,13 @@ def generated_samples(spark: SparkSession) -> DataFrame:
 
 def pair_codes(text: Column) -> Column:
     """Codes of the pairs of neighbours in ``text`` with its ends; characters that candidates don't have count as an end."""
-    code = F.transform(F.split(text, ""), lambda c: F.when(F.ascii(c).between(0, CODES - 1), F.ascii(c)).otherwise(0))
-    whole = F.concat(F.array(F.lit(0)), code, F.array(F.lit(0)))
-    n = F.size(whole) - 1
-    return F.zip_with(F.slice(whole, 1, n), F.slice(whole, 2, n), lambda a, b: a * CODES + b)
+    code = F.transform(F.split(text, ""), lambda c: _once(F.ascii(c), lambda x: F.when(x < CODES, x).otherwise(0)))
+
+    def pairs(whole: Column) -> Column:
+        n = F.size(whole) - 1
+        return F.zip_with(F.slice(whole, 1, n), F.slice(whole, 2, n), lambda a, b: a * CODES + b)
+
+    return _once(F.concat(F.array(F.lit(0)), code, F.array(F.lit(0))), pairs)
 
 
 def markov_ratio(samples: DataFrame) -> DataFrame:
@@ -72,17 +75,63 @@ def markov_ratio(samples: DataFrame) -> DataFrame:
     return joined.agg(F.transform(F.array_sort(F.collect_list(F.struct("code", (p("n1", "s1") - p("n0", "s0")).alias("r")))), lambda x: x["r"]).alias("ratio"))
 
 
-def _spans(pieces: str, matches: str) -> Column:
+def _once(value: Column, f) -> Column:
+    """f(value), where ``value`` is worked out once, however often ``f`` uses it within lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def running(items: Column, zero: Column, step, emit, emitted: str) -> Column:
+    """emit(state, item) for each item, where step(state, item) is the state that the next one meets.
+
+    Appending to an array copies it, so results are gathered in blocks of about the square root of their number: n ** 1.5
+    small values are copied, not n ** 2.
+    """
+
+    def whole(xs: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(xs))).cast("int")
+
+        def block(acc: Column, i: Column) -> Column:
+            def one(a: Column, x: Column) -> Column:
+                return F.struct(step(a["at"], x).alias("at"), F.concat(a["out"], F.array(emit(a["at"], x))).alias("out"))
+
+            start = F.struct(acc["at"].alias("at"), F.array().cast(f"array<{emitted}>").alias("out"))
+            part = F.aggregate(F.slice(xs, i * size + 1, size), start, one)
+            return _once(part, lambda p: F.struct(p["at"].alias("at"), F.concat(acc["out"], F.array(p["out"])).alias("out")))
+
+        start = F.struct(zero.alias("at"), F.array().cast(f"array<array<{emitted}>>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / size).cast("int")), start, block, lambda acc: F.flatten(acc["out"]))
+
+    return _once(items, lambda xs: F.when(F.size(xs) > 0, whole(xs)).otherwise(F.array().cast(f"array<{emitted}>")))
+
+
+def _spans(pieces: Column, matches: Column) -> Column:
     """Array of (s, e, m): where each of ``matches`` stands between the ``pieces`` that a split at them leaves."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
 
-    def step(acc: Column, i: Column) -> Column:
-        s = acc["at"] + F.length(F.get(F.col(pieces), i))
-        m = F.get(F.col(matches), i)
-        return F.struct((s + F.length(m)).alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), (s + F.length(m)).alias("e"), m.alias("m")))).alias("out"))
+    def placed(ms: Column) -> Column:
+        steps = F.zip_with(F.slice(pieces, 1, F.size(ms)), ms, lambda p, m: F.length(p) + F.length(m))
+        ends = running(steps, F.lit(0), lambda at, x: at + x, lambda at, x: at + x, "int")
+        return F.zip_with(ends, ms, lambda e, m: F.struct((e - F.length(m)).alias("s"), e.alias("e"), m.alias("m")))
+
+    return F.when(F.size(matches) > 0, _once(matches, placed)).otherwise(F.array().cast("array<struct<s:int,e:int,m:string>>"))
+
+
+def _free(spans: Column, base: Column) -> Column:
+    """Those of ``spans`` (in order, none within another) that no span of ``base`` overlaps: both in order of their starts, passed forwards
+    with the furthest end so far and backwards with the nearest start to come."""
+    tag = lambda x, own, i: F.struct(x["s"].alias("s"), F.lit(own).alias("own"), x["e"].alias("e"), i.alias("i"))
+
+    def clear(both: Column) -> Column:
+        none = F.lit((1 << 31) - 1)
+        after = running(both, F.lit(0), lambda at, x: F.when(x["own"] == 0, F.greatest(at, x["e"])).otherwise(at), lambda at, x: at <= x["s"], "boolean")
+        before = running(F.reverse(both), none, lambda at, x: F.when(x["own"] == 0, x["s"]).otherwise(at), lambda at, x: at >= x["e"], "boolean")
+        marked = F.arrays_zip(both.alias("x"), after.alias("a"), F.reverse(before).alias("b"))
+        return F.transform(F.filter(marked, lambda z: (z["x"]["own"] == 1) & z["a"] & z["b"]), lambda z: z["x"]["i"])
+
+    def kept(own: Column) -> Column:
+        both = F.array_sort(F.concat(F.transform(base, lambda x: tag(x, 0, F.lit(-1))), F.transform(own, lambda x, i: tag(x, 1, i))))
+        return F.transform(_once(both, clear), lambda i: F.get(own, i))
 
-    spans = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, step, lambda acc: acc["out"])
-    return F.when(F.size(matches) > 0, spans).otherwise(F.array().cast("array<struct<s:int,e:int,m:string>>"))
+    return _once(spans, kept)
 
 
 def found(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -94,9 +143,10 @@ def found(docs: DataFrame, text: str = "text") -> DataFrame:
     t = t.select("*", *[F.regexp_extract_all("_t", F.lit(p), F.lit(0)).alias(f"{k}_m") for k, p in patterns.items()])
     value = F.when(F.size("_assign_m") > 0, F.regexp_extract_all("_t", F.lit(ASSIGN), F.lit(2)))
     t = t.select("*", value.alias("_value"), *[F.when(F.size(f"{k}_m") > 0, F.split("_t", p, -1)).alias(f"{k}_p") for k, p in patterns.items()])
-    t = t.select(*rest, "_value", *[_spans(f"{k}_p", f"{k}_m").alias(k) for k in patterns])
-    long_enough = lambda x, i: F.length(F.get("_value", i)) >= MIN_ASSIGN
-    return t.withColumn("_assign", F.filter("_assign", long_enough)).drop("_value")
+    t = t.select(*rest, "_value", *[_spans(F.col(f"{k}_p"), F.col(f"{k}_m")).alias(k) for k in patterns])
+    # the groups are kept beside their matches, as an expression they would be extracted again for each
+    long_enough = _once(F.arrays_zip(F.col("_assign").alias("span"), F.coalesce("_value", F.array().cast("array<string>")).alias("v")), lambda z: F.filter(z, lambda x: F.length(x["v"]) >= MIN_ASSIGN))
+    return t.withColumn("_assign", F.transform(long_enough, lambda x: x["span"])).drop("_value")
 
 
 def _joined(spans: Column) -> Column:
@@ -126,9 +176,9 @@ def scan(docs: DataFrame, samples: DataFrame | None = None, text: str = "text")
 
     tag = lambda k, o: F.transform(k, lambda x: F.struct(x["s"].alias("s"), F.lit(o).alias("o"), x["e"].alias("e"), F.lit(k[1:]).alias("k")))
     table = table.withColumn("_base", F.array_sort(F.concat(tag("_assign", 0), tag("_access", 1), tag("_hex", 2))))
-    free = lambda x: ~F.exists("_base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
     # where a base span covers part of a candidate, the candidate adds nothing
-    table = table.withColumn("_candidate", F.filter(F.filter("_candidate", likely), free))
+    table = table.withColumn("_candidate", F.filter("_candidate", likely))
+    table = table.withColumn("_candidate", F.when((F.size("_candidate") > 0) & (F.size("_base") > 0), _free(F.col("_candidate"), F.col("_base"))).otherwise(F.col("_candidate")))
     more = F.transform("_candidate", lambda x: F.struct(x["s"].alias("s"), F.lit(3).alias("o"), x["e"].alias("e"), F.lit("markov").alias("k")))
     return table.withColumn("_all", F.array_sort(F.concat("_base", more))).drop("_ratio")
 
