@@ -1,26 +1,39 @@
 """Main text of web pages by consensus of the pages of a host.
 
 Pass one scores the containers of each page: the balance of how much of the page's plain text a container holds and how
-little else (menus, adverts, forms, link lists) stands in it. Its best ``TOP`` containers vote with their scores for their
-generalised paths (tags with classes, digits and generated names blanked); Spark adds up the votes by host and path,
-combined before the shuffle. Pass two takes from every page the containers at its host's winning path, or the page's own
-best one where it has none there, and drops what doesn't belong to the article.
-
-The html itself is not shuffled: hosts whose winner differs from the commonest one are sent along if they take up to
-``SENT_BYTES``; beyond that the pages are joined to the winners by host.
+little else (menus, adverts, forms, link lists) stands in it. Every container votes with its score for its generalised path
+(tags with classes, digits and generated names blanked); Spark adds up the votes by host and path, combined before the
+shuffle. The same pass notes what each smaller container says, so that the pages of a host also decide on boilerplate: a path
+whose text comes again and again beside different articles (``MIN_ARTICLES`` or more, a third as many texts at most) is
+dropped, and an element that its class, id or tag merely names as an aside counts where it holds half of the host's text or more.
+Pass two takes from every page the containers at its host's winning path, or the page's own best one where it has none
+there, and drops what doesn't belong to the article.
+
+The html itself is not shuffled: decisions of hosts that differ from the commonest are sent along if they take up to
+``SENT_BYTES``; beyond that the pages are joined to them by host. Pages are parsed in one pass whose work is linear in
+their length: each element keeps where it begins and ends, sums and hashes are differences of running ones, and a path
+is a hash made from its parent's.
+
+Names are weak evidence. All words of a class or id must be words of asides or of layout (``promo-box``, not
+``product-promotion-history``) for its element to be left out; a name with only some such words makes its element count less when
+containers are scored, nothing more. <main> stands for itself in any aside that isn't hidden, <article> in one that is so by
+its name, unless that is a name of reader comments.
 
 Text: character references decoded; each block's white space to one space, ends trimmed; blocks joined by one space.
-<br> ends a block. What only its class or id sets aside (``ASIDE_WORDS``) counts again from an <article> or <main> in it; if that leaves a
-page no text, the elements that hold half of its text or more are not set aside, and if there still is none, no element by its name. Defined cases: null html is empty and has no text; a null url is the host ''; pages without any
-container give the text of the whole page by the same rules; unclosed tags end where an enclosing one does.
+<br> ends a block. Defined cases: null html is empty and has no text; a null url is the host ''; pages without any container
+give the text of the whole page by the same rules; unclosed tags end where an enclosing one does; where a host has under
+``MIN_ARTICLES`` articles, a page without <article> or <main> that names leave without text keeps what holds half of its
+text or more, and if there still is none, all that isn't aside by its tag; repeated rows are reported each.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,24 +42,26 @@ from pyspark.sql import functions as F
 from talkloom.llm.rows import packed, unpacked
 from talkloom.sources.scratch import cut
 
-TOP = 3
 SENT_BYTES = 8 << 20
+#: Articles (different ones) that a host must have for its pages to decide on boilerplate.
+MIN_ARTICLES = 4
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|object|textarea|select|math|canvas)(?=[\s/>])(?:/>|[^>]*+(?:(?<=[\s\"']/)>|>.*?(?:</(?P=raw)\s*>|\Z)))"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|<(?P<raw>script|style|noscript|template|iframe|textarea)(?=[\s/>])(?:/>|[^>]*+(?:(?<=[\s\"']/)>|>.*?(?:</(?P=raw)\s*>|\Z)))"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs2>[^>]*+)>",
     re.S | re.I,
 )
-ATTR = re.compile(r"\b(class|id|role|hidden|style)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?", re.I)
+ATTR = re.compile(r"([^\s\"'>/=]+)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 #: Classes that tell what a wrapper has beside its text.
-STATE = re.compile(r"(?<![^\s])(?:with|has|no|without)[-_]\S+", re.I)
+STATE = re.compile(r"(?:with|has|no|without|is)[-_].*", re.I | re.S)
+GENERATED = re.compile(r"(?=.*[0-9])[0-9a-fA-F_-]{5,}|[A-Za-z]*[-_]+[A-Za-z0-9]*[0-9][A-Za-z0-9]{3,}")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
+BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 CONTAINER = frozenset("html body main article section div td center".split())
 #: What a start tag closes, if open, up to the nearest of the second set.
 CLOSES = {
@@ -54,191 +69,266 @@ CLOSES = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"body"}), "body": ({"head"}, {"html"}),
 }
 CLOSE_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
-ASIDE_TAGS = frozenset("nav footer aside form button dialog menu head".split())
+FOREIGN = frozenset("svg math".split())
+ASIDE_TAGS = frozenset("nav footer aside button dialog menu head svg math object canvas select".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notification popup modal overlay newsletter subscribe subscription "
-    "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer foot comment comments commentlist disqus discussion reply replies respond share sharing social related recommended recommendations widget login signup "
+    "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer foot share sharing social related recommended recommendations widget login signup "
     "signin search searchbox pagination pager toolbar copyright masthead topbar banner skip".split()
 )
+COMMENT_WORDS = frozenset("comment comments commentlist commentary disqus discussion reply replies respond".split())
+HEAD_WORDS = frozenset("header head".split())
+LAYOUT_WORDS = frozenset(
+    "box wrap wrapper container list block area section item items bar inner outer top bottom left right center post posts page site content article story reader readers user users link links button buttons "
+    "icon icons form unit slot text body title global primary secondary main group grid row col column panel row thread count nav list ul li div id the my app web sticky fixed mobile desktop small large".split()
+)
 NEVER_ASIDE = frozenset("html body main article".split())
+UNNOTED = frozenset("html body main article".split())
 
-
-class Node:
-    __slots__ = ("aside", "depth", "end", "good", "other", "path", "start", "tag")
-
-    def __init__(self, tag, path, depth, aside, start):
-        self.tag, self.path, self.depth, self.aside, self.start, self.end, self.good, self.other = tag, path, depth, aside, start, None, 0, 0
+#: How far an element is set aside: not at all, by some word of a name, by a name or a form, as comments, by its tag or role, hidden.
+PLAIN, HINTED, NAMED, COMMENTS, TAGGED, HIDDEN = range(6)
+PRIME, STEP = (1 << 61) - 1, 1_000_003
 
 
 def _attributes(attrs: str) -> dict:
-    return {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in ATTR.finditer(attrs)} if attrs and ("=" in attrs or "hidden" in attrs.lower()) else {}
+    if not attrs or "=" not in attrs and "hidden" not in attrs.lower():
+        return {}
+    out: dict = {}
+    for m in ATTR.finditer(attrs):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
 
 
 def _generalised(tag: str, classes: str) -> str:
-    kept = sorted({re.sub(r"[0-9]+", "#", c.lower()) for c in classes.split() if not re.fullmatch(r"(?=.*[0-9])[0-9a-fA-F_-]{5,}|[A-Za-z]*[-_]+[A-Za-z0-9]*[0-9][A-Za-z0-9]{3,}", c)})
-    return ".".join([tag, *kept[:4]])
+    return ".".join([tag, *sorted({re.sub(r"[0-9]+", "#", c.lower()) for c in classes.split() if not GENERATED.fullmatch(c)})])
 
 
-def _is_aside(tag: str, a: dict, in_article: bool) -> bool:
-    if tag in NEVER_ASIDE:
-        return False
-    if tag in ASIDE_TAGS or tag == "header" and not in_article or "hidden" in a or a.get("role", "").lower() in ASIDE_ROLES:
-        return True
-    return "style" in a and "display:none" in a["style"].replace(" ", "").lower()
-
-
-def _is_named_aside(tag: str, a: dict, in_article: bool) -> bool:
-    names = f"{a.get('class', '')} {a.get('id', '')}"
-    if tag in NEVER_ASIDE or names == " ":
-        return False
-    words = {w.lower() for w in WORD.findall(STATE.sub(" ", names))}
-    return bool(words & ASIDE_WORDS) or not in_article and bool(words & {"header", "head"})
-
-
-def parse(page: str) -> tuple[list[Node], list[tuple[str, bool, bool]]]:
-    """Containers in page order, and pieces of text (text, starts a block, belongs to something aside); nodes span pieces."""
-    nodes, pieces, named, size = _parse(page, frozenset())
-    if not nodes[0].good and named:
-        nodes, pieces, _, _ = _parse(page, frozenset(at for at, held in named.items() if 2 * held >= size))
-        if not nodes[0].good:
-            nodes, pieces, _, _ = _parse(page, frozenset(named))
-    return nodes, pieces
-
-
-def _parse(page: str, spared: frozenset) -> tuple[list[Node], list[tuple[str, bool, bool]], dict[int, int], int]:
-    """Nodes and pieces; elements aside by their names, by where they begin, with the size of text in them; and that size in all.
-    Those in ``spared`` are not set aside."""
-    named: dict[int, int] = {}
-    unhidden = 0
-    nodes: list[Node] = []
-    pieces: list[tuple[str, bool, bool]] = []
-    root = Node("", "", 0, False, 0)
-    #: Open elements: tag, container or None, aside (or where the element begins that is so by its names), in an article, in a link.
-    stack = [("", root, False, False, False)]
-    inside: list[tuple[int, int]] = []
-    at, fresh = 0, True
-
-    def text(raw: str) -> None:
-        nonlocal fresh, unhidden
-        if "&" in raw:
-            raw = html_lib.unescape(raw)
-        if not raw:
-            return
-        _, _, aside, _, link = stack[-1]
-        pieces.append((raw, fresh, aside is not False))
-        fresh = False
-        size = len(raw.split()) and len(" ".join(raw.split()))
-        if size and aside is not True:
-            unhidden += size
-            for begin, depth in inside:
-                named[begin] += size if depth < len(stack) else 0
-        if size:
-            for _, node, _, _, _ in stack:
-                if node is not None:
-                    if aside is not False or link:
-                        node.other += size
-                    else:
-                        node.good += size
-
-    def pop(to: int) -> None:
-        while len(stack) > to:
-            node = stack.pop()[1]
-            if node is not None:
-                node.end = len(pieces)
-        while inside and inside[-1][1] >= to:
-            inside.pop()
-
-    for m in MARKUP.finditer(page):
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"] or m["tag2"]
-        if tag is None:
+def _by_name(names: str, in_article: bool) -> int:
+    level = PLAIN
+    for name in names.split():
+        if STATE.fullmatch(name):
             continue
-        tag = tag.lower()
-        if tag in BLOCK:
-            fresh = True
-        if m["end"] or m["end2"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    pop(i)
-                    break
-            continue
-        if tag in VOID:
-            continue
-        ends, until = ({"p"}, CLOSES["p"][1]) if tag in CLOSE_P else CLOSES.get(tag, (None, None))
-        if ends:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in ends:
+        words = {w.lower() for w in WORD.findall(name) if not w.isdigit()}
+        told = ASIDE_WORDS if in_article else ASIDE_WORDS | HEAD_WORDS
+        if words & COMMENT_WORDS and words <= COMMENT_WORDS | told | LAYOUT_WORDS:
+            return COMMENTS
+        if words & (told | COMMENT_WORDS):
+            level = max(level, NAMED if words <= told | LAYOUT_WORDS else HINTED)
+    return level
+
+
+def _level(tag: str, a: dict, in_article: bool) -> int:
+    if tag in NEVER_ASIDE:
+        return COMMENTS if tag == "article" and a and _by_name(a.get("class", ""), True) == COMMENTS else PLAIN
+    if a:
+        if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "style" in a and "display:none" in a["style"].replace(" ", "").lower():
+            return HIDDEN
+        if a.get("role", "").lower() in ASIDE_ROLES:
+            return TAGGED
+    if tag in ASIDE_TAGS or tag == "header" and not in_article:
+        return TAGGED
+    named = _by_name(f"{a.get('class', '')} {a.get('id', '')}", in_article) if "class" in a or "id" in a else PLAIN
+    return max(named, NAMED) if tag == "form" else named
+
+
+def _path(above: str, label: str) -> str:
+    return blake2b(f"{above}/{label}".encode("utf-8", "surrogatepass"), digest_size=10).hexdigest()
+
+
+class Page:
+    """Elements of a page in order (0 is the page itself), in parallel lists, and its pieces of text.
+
+    ``start`` and ``end`` of an element are places in ``pieces``: (text, starts a block, innermost element, size).
+    """
+
+    def __init__(self, page: str):
+        self.tag, self.parent, self.level, self.path, self.depth = [""], [-1], [PLAIN], [""], [0]
+        self.container, self.link, self.start, self.end = [True], [False], [0], [0]
+        self.pieces: list[tuple[str, bool, int, int]] = []
+        self.articles = False
+        self._parse(page)
+
+    def _parse(self, page: str) -> None:
+        tags, parent, level, path, depth, container, link, start, end, pieces = self.tag, self.parent, self.level, self.path, self.depth, self.container, self.link, self.start, self.end, self.pieces
+        stack, within = [0], [False]
+        #: Path of the nearest container, whether in an article and whether in foreign markup, by element.
+        near, foreign = [""], [False]
+        open_at: dict[str, list[int]] = {}
+        at, fresh = 0, True
+
+        def text(raw: str) -> None:
+            nonlocal fresh
+            if "&" in raw:
+                raw = html_lib.unescape(raw)
+            if raw:
+                words = raw.split()
+                pieces.append((raw, fresh, stack[-1], sum(map(len, words)) + len(words) - 1 if words else 0))
+                fresh = False
+
+        def pop(to: int) -> None:
+            while len(stack) > to:
+                e = stack.pop()
+                end[e] = len(pieces)
+                open_at[tags[e]].pop()
+
+        def nearest(names) -> int:
+            return max((open_at[t][-1] for t in names if open_at.get(t)), default=0)
+
+        # nothing after the last > is a tag
+        last = page.rfind(">") + 1
+        for m in MARKUP.finditer(page, 0, last):
+            if m.start() > at:
+                text(page[at : m.start()])
+            at = m.end()
+            tag = m["tag"] or m["tag2"]
+            if tag is None:
+                continue
+            tag = tag.lower()
+            if tag in BLOCK:
+                fresh = True
+            if m["end"] or m["end2"]:
+                if open_at.get(tag):
+                    pop(open_at[tag][-1])
+                continue
+            if tag in VOID:
+                continue
+            ends, until = ({"p"}, CLOSES["p"][1]) if tag in CLOSE_P else CLOSES.get(tag, (None, None))
+            if ends:
+                i = nearest(ends)
+                if i and i > nearest(until):
                     pop(i)
-                    break
-                if stack[i][0] in until:
-                    break
-        a = _attributes(m["attrs"] or m["attrs2"] or "")
-        _, _, aside, in_article, link = stack[-1]
-        in_article = in_article or tag in ("article", "main")
-        if tag in ("article", "main") and aside is not True:
-            aside = False
-        if aside is not True and _is_aside(tag, a, in_article):
-            aside = True
-        elif aside is not True and _is_named_aside(tag, a, in_article):
-            named.setdefault(m.start(), 0)
-            inside.append((m.start(), len(stack)))
-            if m.start() not in spared:
-                aside = m.start() if aside is False else aside
-        node = None
-        if tag in CONTAINER:
-            above = next(n for _, n, *_ in reversed(stack) if n is not None)
-            node = Node(tag, f"{above.path}/{_generalised(tag, a.get('class', ''))}"[-400:], above.depth + 1, aside is not False, len(pieces))
-            nodes.append(node)
-        stack.append((tag, node, aside, in_article, link or tag == "a"))
-    if at < len(page):
-        text(page[at:])
-    pop(0)
-    return [root, *nodes], pieces, named, unhidden
-
-
-def scored(nodes: list[Node]) -> list[tuple[int, int, int]]:
-    """(score to 1000, depth, index) of containers that aren't aside, best first, deeper ones before their parents at a tie."""
-    total = nodes[0].good
-    out = []
-    for i, n in enumerate(nodes):
-        if n.good and not n.aside:
-            p, r = n.good / (n.good + n.other), n.good / total
-            out.append((int(2000 * p * r / (p + r)), n.depth, i))
-    return sorted(out, key=lambda x: (-x[0], -x[1], x[2]))
-
-
-def text_of(nodes: list[Node], pieces: list[tuple[str, bool, bool]], chosen: list[Node]) -> str:
-    """The text of ``chosen`` nodes (in page order, none within another) without what is aside."""
-    blocks: list[list[str]] = []
-    for n in chosen:
-        new = True
-        for raw, fresh, aside in pieces[n.start : n.end]:
-            new = new or fresh
-            if aside:
+            attrs = m["attrs"] or m["attrs2"] or ""
+            up = stack[-1]
+            if attrs.endswith("/") and (tag in FOREIGN or foreign[up]):
                 continue
-            if new:
-                blocks.append([])
-                new = False
-            blocks[-1].append(raw)
-    joined = (" ".join("".join(b).split()) for b in blocks)
-    return " ".join(b for b in joined if b)
-
-
-def extract(page, winner: str | None) -> str:
-    """Main text of a page, at the path ``winner`` if it has that."""
-    nodes, pieces = parse(page if isinstance(page, str) else "")
-    at_path, until = [], -1
-    for n in nodes:
-        if winner is not None and n.path == winner and not n.aside and n.start >= until and n.good:
-            at_path.append(n)
-            until = n.end
-    if not at_path:
-        best = scored(nodes)
-        at_path = [nodes[best[0][2]]] if best else [nodes[0]]
-    return text_of(nodes, pieces, at_path)
+            a = _attributes(attrs)
+            inside = within[up] or tag in ("article", "main")
+            self.articles = self.articles or tag in ("article", "main")
+            e = len(tags)
+            own = _level(tag, a, inside)
+            held = tag in CONTAINER
+            tags.append(tag)
+            parent.append(up)
+            level.append(own)
+            container.append(held)
+            link.append(link[up] or tag == "a")
+            within.append(inside)
+            foreign.append(foreign[up] or tag in FOREIGN)
+            here = _path(near[up], _generalised(tag, a.get("class", ""))) if held or PLAIN < own < TAGGED else ""
+            path.append(here)
+            near.append(here if held else near[up])
+            depth.append(depth[up] + 1)
+            start.append(len(pieces))
+            end.append(0)
+            open_at.setdefault(tag, []).append(len(stack))
+            stack.append(e)
+        if at < len(page):
+            text(page[at:])
+        pop(1)
+        end[0] = len(pieces)
+
+    def states(self, drop=frozenset(), keep=frozenset(), spared=frozenset()) -> list[int]:
+        """How far each element is set aside, by itself or by what it stands in; paths to ``drop`` and to ``keep``, and elements to spare."""
+        out = [PLAIN]
+        for e in range(1, len(self.tag)):
+            own, up, path = self.level[e], out[self.parent[e]], self.path[e]
+            if path and own < TAGGED:
+                if path in keep or e in spared:
+                    own = PLAIN
+                elif path in drop:
+                    own = NAMED
+            if self.tag[e] == "main" and up < HIDDEN or self.tag[e] == "article" and up <= NAMED:
+                up = PLAIN
+            out.append(max(own, up))
+        return out
+
+    def running(self, states: list[int], most: int) -> list[int]:
+        """Size of the pieces before each place that stand in no link and in elements set aside no further than ``most``."""
+        out = [0]
+        for _, _, e, size in self.pieces:
+            out.append(out[-1] + (size if states[e] <= most and not self.link[e] else 0))
+        return out
+
+    def sizes(self, states: list[int], most: int = HIDDEN) -> list[int]:
+        out = [0]
+        for _, _, e, size in self.pieces:
+            out.append(out[-1] + (size if states[e] <= most else 0))
+        return out
+
+    def scored(self, states: list[int]) -> list[tuple[int, int, int]]:
+        """(score to 1000, depth, element) of containers that aren't aside, best first, deeper ones before their parents at a tie."""
+        good = self.running(states, PLAIN)
+        if not good[-1]:
+            good = self.running(states, HINTED)
+        if not good[-1]:
+            good = self.sizes(states, HINTED)
+        total, every, out = good[-1], self.sizes(states), []
+        for e in range(1, len(self.tag)):
+            if self.container[e] and states[e] <= HINTED:
+                held = good[self.end[e]] - good[self.start[e]]
+                if held:
+                    p, r = held / (every[self.end[e]] - every[self.start[e]]), held / total
+                    out.append((int(2000 * p * r / (p + r)), self.depth[e], e))
+        return sorted(out, key=lambda x: (-x[0], -x[1], x[2]))
+
+    def settled(self, drop=frozenset(), keep=None) -> list[int]:
+        """``states`` by the decisions of a host, or where ``keep`` is None by the page itself."""
+        states = self.states(drop, keep or frozenset())
+        if keep is not None or self.articles or self.sizes(states, HINTED)[-1]:
+            return states
+        free = self.sizes(states, COMMENTS)
+        named = [e for e in range(1, len(self.tag)) if NAMED <= self.level[e] <= COMMENTS]
+        for spared in ([e for e in named if 2 * (free[self.end[e]] - free[self.start[e]]) >= free[-1]], named):
+            states = self.states(spared=frozenset(spared))
+            if self.sizes(states, HINTED)[-1]:
+                break
+        return states
+
+    def text_hashes(self) -> tuple[list[int], list[int]]:
+        """Running hash and number of the pieces that aren't blank."""
+        h, n = [0], [0]
+        for raw, _, _, size in self.pieces:
+            if size:
+                h.append((h[-1] * STEP + zlib.crc32(" ".join(raw.split()).encode("utf-8", "surrogatepass")) + 1) % PRIME)
+                n.append(n[-1] + 1)
+            else:
+                h.append(h[-1])
+                n.append(n[-1])
+        return h, n
+
+    def text_of(self, states: list[int], chosen: list[int]) -> str:
+        """The text of ``chosen`` elements (in page order, none within another) without what is aside."""
+        blocks: list[list[str]] = []
+        for c in chosen:
+            new = True
+            for raw, fresh, e, _ in self.pieces[self.start[c] : self.end[c]]:
+                new = new or fresh
+                if states[e] > HINTED:
+                    continue
+                if new:
+                    blocks.append([])
+                    new = False
+                blocks[-1].append(raw)
+        joined = (" ".join("".join(b).split()) for b in blocks)
+        return " ".join(b for b in joined if b)
+
+
+def extract(page, winner: str | None, drop=frozenset(), keep=None) -> str:
+    """Main text of a page, at the path ``winner`` if it has that, by the host's decisions on paths."""
+    p = Page(page if isinstance(page, str) else "")
+    states = p.settled(drop, keep)
+    chosen, until = [], -1
+    if winner is not None:
+        held = p.sizes(states, HINTED)
+        for e in range(1, len(p.tag)):
+            if p.container[e] and p.path[e] == winner and states[e] <= HINTED and p.start[e] >= until and held[p.end[e]] > held[p.start[e]]:
+                chosen.append(e)
+                until = p.end[e]
+    if not chosen:
+        best = p.scored(states)
+        chosen = [best[0][2]] if best else [0]
+    return p.text_of(states, chosen)
 
 
 def host_of(url) -> str:
@@ -246,39 +336,85 @@ def host_of(url) -> str:
     return m[1].lower() if m else ""
 
 
-def _ballots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _notes(p: Page, states: list[int], best: int):
+    """(path, hash of its text, of the article's text, its share of the page's text in thousandths, named) of what pages decide on."""
+    h, n = p.text_hashes()
+    free = p.sizes(states, COMMENTS)
+
+    def hashed(e: int) -> int:
+        a, b = p.start[e], p.end[e]
+        return (h[b] - h[a] * pow(STEP, n[b] - n[a], PRIME)) % PRIME
+
+    article = hashed(best)
+    for e in range(1, len(p.tag)):
+        held = free[p.end[e]] - free[p.start[e]]
+        if p.path[e] and held and p.tag[e] not in UNNOTED and states[e] < TAGGED:
+            yield p.path[e], hashed(e), article, 1000 * held // free[-1], NAMED <= p.level[e] <= COMMENTS
+
+
+VOTES = "host string, path string, note boolean, depth long, score long, said long, article long, named boolean"
+
+
+def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Votes for containers, and notes of what they say (score: their share), the same ones of a batch as one."""
     for batch in batches:
         votes: Counter = Counter()
+        notes: dict = {}
         for url, page in zip(batch["url"], batch["html"], strict=True):
-            nodes, _ = parse(page if isinstance(page, str) else "")
-            host = host_of(url)
-            for score, depth, i in scored(nodes)[:TOP]:
-                votes[host, nodes[i].path, depth] += score
-        yield pd.DataFrame([(h, p, d, v) for (h, p, d), v in votes.items()], columns=["host", "path", "depth", "score"])
-
-
-def winning_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): the path with most votes of each host, the deeper and then the first by name at a tie."""
-    ballots = pages.select("url", "html").mapInPandas(_ballots, "host string, path string, depth long, score long")
-    votes = ballots.groupBy("host", "path").agg(F.sum("score").alias("score"), F.max("depth").alias("depth"))
-    return votes.groupBy("host").agg(F.min_by("path", F.struct(-F.col("score"), -F.col("depth"), F.col("path"))).alias("path"))
+            p = Page(page if isinstance(page, str) else "")
+            states, host = p.settled(), host_of(url)
+            ranked = p.scored(states)
+            for score, depth, e in ranked:
+                votes[host, p.path[e], depth] += score
+            for path, said, article, share, named in _notes(p, states, ranked[0][2] if ranked else 0):
+                notes[host, path, said, article, named] = share
+        rows = [(h, p, False, d, v, 0, 0, False) for (h, p, d), v in votes.items()] + [(h, p, True, 0, s, said, art, named) for (h, p, said, art, named), s in notes.items()]
+        yield pd.DataFrame(rows, columns=[x.split()[0] for x in VOTES.split(", ")])
+
+
+def decisions(pages: DataFrame) -> DataFrame:
+    """(host, path, drop, keep): the path with most votes of each host, the deeper and then the first by name at a tie; paths that are boilerplate,
+    and those that count in spite of their names (null: too few articles to tell)."""
+    rows = cut(pages.select("url", "html").mapInPandas(_votes, VOTES), "pagetext-votes")
+    votes = rows.where("NOT note").groupBy("host", "path").agg(F.sum("score").alias("score"), F.max("depth").alias("depth"))
+    winners = votes.groupBy("host").agg(F.min_by("path", F.struct(-F.col("score"), -F.col("depth"), F.col("path"))).alias("path"))
+    # each text and article of a path once; counted in two steps, so that no path is counted in one task
+    once = rows.where("note").groupBy("host", "path", "said", "article").agg(F.max("score").alias("share"), F.bool_or("named").alias("named"))
+    said = once.groupBy("host", "path", "said").agg(F.sum("share").alias("share"), F.count("*").alias("n"), F.bool_or("named").alias("named"))
+    texts = said.groupBy("host", "path").agg(F.count("*").alias("texts"), F.sum("share").alias("share"), F.sum("n").alias("n"), F.bool_or("named").alias("named"))
+    beside = once.select("host", "path", "article").distinct().groupBy("host", "path").agg(F.count("*").alias("articles"))
+    of_host = once.select("host", "article").distinct().groupBy("host").agg(F.count("*").alias("articles")).where(F.col("articles") >= MIN_ARTICLES).select("host", F.lit(True).alias("many"))
+    minor = F.col("share") < 500 * F.col("n")
+    judged = texts.join(beside, ["host", "path"]).select(
+        "host", "path", (minor & (F.col("articles") >= MIN_ARTICLES) & (3 * F.col("texts") <= F.col("articles"))).alias("drop"), (F.col("named") & ~minor).alias("keep")
+    )
+    sets = judged.where("drop OR keep").groupBy("host").agg(F.sort_array(F.collect_list(F.when(F.col("drop"), F.col("path")))).alias("drop"), F.sort_array(F.collect_list(F.when(F.col("keep"), F.col("path")))).alias("keep"))
+    none = F.array().cast("array<string>")
+    out = winners.join(of_host, "host", "left").join(sets, "host", "left")
+    return out.select("host", "path", F.when(F.col("many"), F.coalesce("drop", none)).otherwise(none).alias("drop"), F.when(F.col("many"), F.coalesce("keep", none)).alias("keep"))
+
+
+def _sets(drop, keep) -> tuple:
+    return frozenset(drop if drop is not None else ()), None if keep is None else frozenset(keep)
 
 
 def with_text(pages: DataFrame, into: str = "_text", sent_bytes: int = SENT_BYTES) -> DataFrame:
     """``pages`` with the main text."""
     spark = pages.sparkSession
-    winners = cut(winning_paths(pages), "pagetext-winners")
-    top = winners.groupBy("path").count().orderBy(F.desc("count"), "path").first()
-    common = top["path"] if top else None
-    odd = winners.where(F.col("path") != F.lit(common))
-    size = odd.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + 100), F.lit(0))).first()[0]
+    decided = cut(decisions(pages), "pagetext-decisions")
+    same = ["path", "drop", "keep"]
+    top = decided.groupBy(*same).count().orderBy(F.desc("count"), *same).first()
+    common = tuple(top[c] for c in same) if top else (None, [], None)
+    told = F.to_json(F.struct(*same))
+    odd = decided.where(told != F.to_json(F.struct(F.lit(common[0]).alias("path"), *[(F.lit(None) if x is None else F.array(*map(F.lit, x))).cast("array<string>").alias(c) for c, x in zip(same[1:], common[1:], strict=True)])))
+    size = odd.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length(told) + 100), F.lit(0))).first()[0]
     if size <= sent_bytes:
-        sent = spark.sparkContext.broadcast((common, {r["host"]: r["path"] for r in odd.collect()}))
+        sent = spark.sparkContext.broadcast(((common[0], *_sets(*common[1:])), {r["host"]: (r["path"], *_sets(r["drop"], r["keep"])) for r in odd.collect()}))
 
         @F.pandas_udf("string")
         def take(urls: pd.Series, htmls: pd.Series) -> pd.Series:
             common, other = sent.value
-            return pd.Series([extract(h, other.get(host_of(u), common)) for u, h in zip(urls, htmls, strict=True)], dtype=object)
+            return pd.Series([extract(h, *other.get(host_of(u), common)) for u, h in zip(urls, htmls, strict=True)], dtype=object)
 
         rows = packed(pages, _url=F.col("url"), _html=F.col("html"))
         return unpacked(rows.withColumn("_text", take("_url", "_html")), pages, **{into: F.col("_text")})
@@ -288,12 +424,12 @@ def with_text(pages: DataFrame, into: str = "_text", sent_bytes: int = SENT_BYTE
         return pd.Series([host_of(u) for u in urls], dtype=object)
 
     @F.pandas_udf("string")
-    def take_at(paths: pd.Series, htmls: pd.Series) -> pd.Series:
-        return pd.Series([extract(h, p) for p, h in zip(paths, htmls, strict=True)], dtype=object)
+    def take_at(paths: pd.Series, drops: pd.Series, keeps: pd.Series, htmls: pd.Series) -> pd.Series:
+        return pd.Series([extract(h, p, *_sets(d, k)) for p, d, k, h in zip(paths, drops, keeps, htmls, strict=True)], dtype=object)
 
-    named = winners.select(F.col("host").alias("_host"), F.col("path").alias("_path"))
+    named = decided.select(F.col("host").alias("_host"), *[F.col(c).alias(f"_{c}") for c in same])
     rows = packed(pages, _html=F.col("html"), _of=host(F.col("url")))
-    joined = rows.join(named, F.col("_of") == F.col("_host"), "left").withColumn("_text", take_at("_path", "_html"))
+    joined = rows.join(named, F.col("_of") == F.col("_host"), "left").withColumn("_text", take_at("_path", "_drop", "_keep", "_html"))
     return unpacked(joined, pages, **{into: F.col("_text")})
 
 
