@@ -1,13 +1,15 @@
 """Benchmark decontamination by suffix arrays over shards of the training texts.
 
 Each task cuts its documents into shards of a few MB, sorts all word suffixes of a shard, and binary-searches every
-suffix of every benchmark item in it. No document leaves its task and nothing is shuffled. The items are the small
-side: they are sent along only up to ``item_block_bytes`` of text at a time, and larger benchmarks are searched block
-by block, each block over all documents, and the findings merged by document.
+suffix of every benchmark item in it, a word further at a time. The range of the suffix array that still matches at a depth holds all
+places of a match that long, so each document gets its own longest match, whatever else is in its shard. No document leaves its task
+and nothing is shuffled. The items are the small side: they are sent along up to ``item_block_bytes`` of text at a time. Larger
+benchmarks are searched block by block, one after the other, each over all documents; the findings of a block go to a table of the shared
+folder, by row number, and are merged at the end, so neither the driver nor a task ever holds more than one block.
 
 Defined cases: null or empty text has no words and no hit; null item ids or items without words are no items; an item
 id that occurs twice counts once, if any of its texts occurs; repeated document rows are each reported; an empty
-benchmark leaves all documents clean.
+benchmark leaves all documents clean. Of several longest matches the first place in the document is told.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 
 from talkloom.llm.bytewords import Words, as_bytes, blocks
 from talkloom.llm.rows import packed, unpacked
+from talkloom.sources.scratch import cut
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
@@ -80,18 +83,21 @@ class Items:
         self.depth = int(n.max(initial=0))
 
 
-def search(h: np.ndarray, order: np.ndarray, q: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each suffix of the items: words of its longest match, the first position of that match, and the range of
-    ``order`` that matches a whole window (empty if none)."""
+def search(h: np.ndarray, order: np.ndarray, q: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each place in ``order`` the words of the longest match of any item suffix that begins there; and for each suffix of
+    the items the range of ``order`` that matches a whole window (empty if none)."""
     m = len(q.hash)
-    long, where = np.zeros(m, np.int64), np.full(m, -1, np.int64)
+    long = np.zeros(len(order), np.int64)
     w_lo, w_hi = np.zeros(m, np.int64), np.zeros(m, np.int64)
     key = h[order]
     lo, hi = np.searchsorted(key, q.hash, "left"), np.searchsorted(key, q.hash, "right")
     live = np.flatnonzero(hi > lo)
     lo, hi, t = lo[live], hi[live], 1
     while len(live):
-        long[live], where[live] = t, order[lo]
+        # ranges of one depth are equal or apart
+        first, of = np.unique(lo, return_index=True)
+        size = hi[of] - first
+        long[np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = t
         full = q.width[live] == t
         w_lo[live[full]], w_hi[live[full]] = lo[full], hi[full]
         go = q.left[live] > t
@@ -100,7 +106,7 @@ def search(h: np.ndarray, order: np.ndarray, q: Items) -> tuple[np.ndarray, np.n
         lo, hi = _bound(h, order, lo, hi, t, want, False), _bound(h, order, lo, hi, t, want, True)
         go = hi > lo
         live, lo, hi, t = live[go], lo[go], hi[go], t + 1
-    return long, where, w_lo, w_hi
+    return long, w_lo, w_hi
 
 
 def _bound(h, order, lo, hi, t, want, after: bool):
@@ -137,12 +143,16 @@ def scan_shard(texts: list[bytes], q: Items) -> pd.DataFrame:
     doc_at = np.empty(k + n_docs, np.int64)
     doc_at[place], doc_at[ends] = w.doc, np.arange(n_docs)
     order = suffix_array(h, q.depth)
-    long, where, lo, hi = search(h, order, q)
+    by_order, lo, hi = search(h, order, q)
     first = np.cumsum(n_words) - n_words + np.arange(n_docs)
-    for j in np.flatnonzero(long):
-        d = doc_at[where[j]]
-        if long[j] > out.at[d, "longest_words"]:
-            out.at[d, "longest_words"], out.at[d, "longest_at"] = long[j], where[j] - first[d]
+    long = np.empty_like(by_order)
+    long[order] = by_order
+    best = np.maximum.reduceat(long, first)
+    at_best = np.flatnonzero((long > 0) & (long == best[doc_at]))
+    docs, earliest = np.unique(doc_at[at_best], return_index=True)
+    where = np.full(n_docs, -1, np.int64)
+    where[docs] = at_best[earliest] - first[docs]
+    out["longest_words"], out["longest_at"] = best, where
     found = np.flatnonzero(hi > lo)
     if len(found):
         count = hi[found] - lo[found]
@@ -171,7 +181,7 @@ def scan_shard(texts: list[bytes], q: Items) -> pd.DataFrame:
 
 def merge_blocks(parts: list[dict]) -> dict:
     """The findings in one document of several blocks of items as one."""
-    best = max(parts, key=lambda p: p["longest_words"])
+    best = max(parts, key=lambda p: (p["longest_words"], -p["longest_at"]))
     inside = sorted((a, b) for p in parts for a, b in zip(p["spans"][0::2], p["spans"][1::2], strict=True))
     merged: list[int] = []
     for a, b in inside:
@@ -199,28 +209,40 @@ def _scanner(sent, window: int):
 
 
 def findings(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, into: str = "_found", item_block_bytes: int = ITEM_BLOCK_BYTES) -> DataFrame:
-    """``docs`` with a struct ``into`` of RESULT: its words, the words inside an occurrence of a window, the longest
-    verbatim match of any item suffix (of those whose first place is in this document), and the items found."""
+    """``docs`` with a struct ``into`` of RESULT: its words, the words inside an occurrence of a window, its longest
+    verbatim match of any item suffix and where that begins, and the items found."""
     spark = docs.sparkSession
     items = _items_of(benchmark, item_id, item_text)
     size = items.agg(F.coalesce(F.sum(F.octet_length("t") + F.octet_length("i")), F.lit(0))).first()[0]
     n_blocks = max(1, -(-size // item_block_bytes))
-    out = docs
-    for b in range(n_blocks):
-        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == b).collect() if n_blocks > 1 else items.collect()
-        rows = sorted(tuple(r) for r in rows)
+
+    def scanner(block: int):
+        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == block) if n_blocks > 1 else items
+        rows = sorted(tuple(r) for r in rows.collect())
         sent = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1].encode("utf-8", "surrogatepass") for r in rows]))
-        out = out.withColumn(f"_b{b}", _scanner(sent, window)(F.col(text)))
+        return _scanner(sent, window), sent
+
     if n_blocks == 1:
-        return out.withColumnRenamed("_b0", into)
-    names = [f"_b{b}" for b in range(n_blocks)]
+        return docs.withColumn(into, scanner(0)[0](F.col(text)))
+    rows = cut(packed(docs, _scanned=F.col(text), _nth=F.monotonically_increasing_id()), "decontaminate-rows")
+    parts = []
+    for b in range(n_blocks):
+        scan, sent = scanner(b)
+        found = rows.select("_nth", scan("_scanned").alias("f"))
+        # what a block doesn't find needs no row but the first block's, which has the number of words
+        parts.append(cut(found if b == 0 else found.where("f.longest_words > 0"), "decontaminate-found"))
+        sent.unpersist()
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
 
     @F.pandas_udf(RESULT)
-    def merge(*columns: pd.DataFrame) -> pd.DataFrame:
-        rows = zip(*(c.to_dict("records") for c in columns), strict=True)
-        return pd.DataFrame([merge_blocks(list(r)) for r in rows], columns=[x.split()[0] for x in RESULT.split(", ")])
+    def merge(fs: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([merge_blocks(list(f)) for f in fs], columns=[x.split()[0] for x in RESULT.split(", ")])
 
-    return out.withColumn(into, merge(*names)).drop(*names)
+    merged = every.groupBy("_nth").agg(F.collect_list("f").alias("fs")).select(F.col("_nth").alias("_of_nth"), merge("fs").alias("_merged"))
+    joined = rows.join(merged, F.col("_nth") == F.col("_of_nth"))
+    return unpacked(joined, docs, **{into: F.col("_merged")})
 
 
 def op3(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -22,8 +22,8 @@ its name, unless that is a name of reader comments.
 Text: character references decoded; each block's white space to one space, ends trimmed; blocks joined by one space.
 <br> ends a block. Defined cases: null html is empty and has no text; a null url is the host ''; pages without any container
 give the text of the whole page by the same rules; unclosed tags end where an enclosing one does; where a host has under
-``MIN_ARTICLES`` articles, a page without <article> or <main> that names leave without text keeps what holds half of its
-text or more, and if there still is none, all that isn't aside by its tag; repeated rows are reported each.
+``MIN_ARTICLES`` articles, a page without <article> or <main> keeps elements named as asides that hold half of its text or more,
+comments only if there else is none, and if there still is none, all that isn't aside by its tag; repeated rows are reported each.
 """
 
 from __future__ import annotations
@@ -274,13 +274,19 @@ class Page:
 
     def settled(self, drop=frozenset(), keep=None) -> list[int]:
         """``states`` by the decisions of a host, or where ``keep`` is None by the page itself."""
-        states = self.states(drop, keep or frozenset())
-        if keep is not None or self.articles or self.sizes(states, HINTED)[-1]:
-            return states
-        free = self.sizes(states, COMMENTS)
         named = [e for e in range(1, len(self.tag)) if NAMED <= self.level[e] <= COMMENTS]
-        for spared in ([e for e in named if 2 * (free[self.end[e]] - free[self.start[e]]) >= free[-1]], named):
-            states = self.states(spared=frozenset(spared))
+        if not named or self.articles:
+            return self.states(drop, keep or frozenset())
+        free = self.sizes(self.states(drop), COMMENTS)
+        most = [e for e in named if 2 * (free[self.end[e]] - free[self.start[e]]) >= free[-1]]
+        comments = [e for e in most if self.level[e] == COMMENTS]
+        if keep is None:
+            # an advert is never most of a page, comments may well be
+            tries = [[e for e in most if self.level[e] == NAMED], most, named]
+        else:
+            tries = [[], comments]
+        for spared in tries:
+            states = self.states(drop, keep or frozenset(), frozenset(spared))
             if self.sizes(states, HINTED)[-1]:
                 break
         return states
@@ -349,7 +355,7 @@ def _notes(p: Page, states: list[int], best: int):
     for e in range(1, len(p.tag)):
         held = free[p.end[e]] - free[p.start[e]]
         if p.path[e] and held and p.tag[e] not in UNNOTED and states[e] < TAGGED:
-            yield p.path[e], hashed(e), article, 1000 * held // free[-1], NAMED <= p.level[e] <= COMMENTS
+            yield p.path[e], hashed(e), article, 1000 * held // free[-1], p.level[e] == NAMED
 
 
 VOTES = "host string, path string, note boolean, depth long, score long, said long, article long, named boolean"

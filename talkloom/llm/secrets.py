@@ -35,20 +35,25 @@ SMOOTH = 0.5
 MIN_RATIO = 0.35
 MIN_LENGTH = 18
 
-VERBS = ["get", "set", "load", "parse", "write", "update", "remove", "count", "merge", "split", "check", "build"]
-NOUNS = ["user", "account", "record", "message", "index", "buffer", "customer", "document", "session", "response", "transaction", "configuration"]
+VERBS = "get set load parse write update remove count merge split check build create fetch handle render select format".split()
+NOUNS = (
+    "user account record message index buffer customer document session response transaction configuration network version product manager service window object request value number history "
+    "template button payment category language example question journey keyboard"
+).split()
 N_RANDOM = 600
 
 
 def generated_samples(spark: SparkSession) -> DataFrame:
-    """(text, label): digests in base 64, hex and letters with digits; and names of a verb and two nouns in three styles."""
+    """(text, label): digests in base 64, hex and letters with digits; and names of a verb and nouns in five styles, some with a number."""
     n = spark.range(N_RANDOM)
     digest = F.sha2(F.concat(F.lit("sample:"), F.col("id").cast("string")), 256)
     b64 = F.base64(F.unhex(digest))
     random = n.select(F.explode(F.array(b64, F.substring(digest, 1, 40), F.substring(F.regexp_replace(b64, "[+/=]", ""), 1, 32))).alias("text"), F.lit(1).alias("label"))
     words = lambda x, name: F.explode(F.array(*[F.lit(w) for w in x])).alias(name)
     names = spark.range(1).select(words(VERBS, "v")).select("v", words(NOUNS, "a")).select("v", "a", words(NOUNS, "b")).where("a != b")
-    plain = names.select(F.explode(F.array(F.concat_ws("_", "v", "a", "b"), F.concat_ws("-", "v", "a", "b"), F.concat("v", F.initcap("a"), F.initcap("b")))).alias("text"), F.lit(0).alias("label"))
+    number = F.pmod(F.crc32(F.concat("a", "v", "b")), F.lit(100)).cast("string")
+    joined = [F.concat_ws("_", "v", "a", "b"), F.concat_ws("-", "v", "a", "b"), F.concat("v", F.initcap("a"), F.initcap("b")), F.concat_ws("_", "v", "a", "b", number), F.concat("v", F.initcap("a"), number)]
+    plain = names.select(F.explode(F.array(*joined)).alias("text"), F.lit(0).alias("label"))
     return random.unionByName(plain)
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -556,3 +557,120 @@ def test_contaminated_documents_go(spark, crowded):
     out = decontaminate.decontaminate(crowded, bench)
     assert out.columns == crowded.columns and 5 not in {r.doc_id for r in out.collect()} and out.count() == len(AWKWARD) - 1
     assert decontaminate.op3(crowded, bench.where("false")).where("contaminated").count() == 0
+
+
+# --- long texts, hosts and copies -----------------------------------------------------------------------------------
+def test_line_dedup_of_many_lines(spark):
+    lines = [f"line number {i} of this text" for i in range(100_000)]
+    docs = spark.createDataFrame([(1, lines[5] + "\n" + lines[99_999]), (2, "\n".join(lines))], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in linededup.op10(docs).collect()}
+    assert time.time() - began < 30
+    assert (got[2].n_lines, got[2].n_dropped) == (100_000, 2) and got[2].kept_sha256 == hashlib.sha256("\n".join(lines[:5] + lines[6:-1]).encode()).hexdigest()
+
+
+def test_secret_scan_of_many_matches(spark):
+    hexes = [hashlib.md5(str(i).encode()).hexdigest() for i in range(50_000)]
+    docs = spark.createDataFrame([(1, " ".join(hexes))], "doc_id long, text string")
+    began = time.time()
+    got = secrets.op2(docs).first()
+    assert time.time() - began < 60
+    runs = [(m.start(), m.end()) for m in re.finditer("[0-9a-f]{16,}", " ".join(hexes))]
+    base = ",".join(f"hex:{a}:{b}" for a, b in runs)
+    assert got.n_hex == len(runs) and got.base_sha256 == hashlib.sha256(base.encode()).hexdigest() and got.spans == base
+
+
+def test_free_spans_against_brute_force(spark):
+    rng = np.random.default_rng(14)
+    rows = []
+    for i in range(60):
+        cuts = sorted(rng.choice(120, 2 * int(rng.integers(0, 12)), replace=False).tolist())
+        spans = [(a, b, f"m{a}") for a, b in zip(cuts[0::2], cuts[1::2], strict=True)]
+        k = int(rng.integers(0, 8))
+        base = sorted((int(a), int(a + n)) for a, n in zip(rng.integers(0, 120, k), rng.integers(1, 20, k), strict=True))
+        rows.append((i, spans, base))
+    df = spark.createDataFrame(rows, "i int, x array<struct<s:int,e:int,m:string>>, b array<struct<s:int,e:int>>")
+    for r in df.select("i", "x", "b", secrets._free(F.col("x"), F.col("b")).alias("f")).collect():
+        assert [tuple(x) for x in r.f] == [tuple(x) for x in r.x if not any(b.s < x.e and x.s < b.e for b in r.b)]
+
+
+def test_markov_precision_and_recall(spark):
+    rng = np.random.default_rng(15)
+    alphabet = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    random = ["".join(rng.choice(alphabet, int(rng.integers(24, 44)))) + "x7" for _ in range(200)]
+    plain = [f"{a}_{b}_{c}_{int(rng.integers(1, 99))}" for a, b, c in zip(*(rng.choice(x, 200) for x in (["render", "fetch", "create", "handle"], ["invoice", "customer", "window", "network", "product"], ["handler", "manager", "response", "version", "iterator"])), strict=True)]
+    docs = spark.createDataFrame([(i, f"see {x} here") for i, x in enumerate(random + plain)], "doc_id long, text string")
+    found = {r.doc_id for r in secrets.op2(docs).where("n_markov > 0").collect()}
+    assert len([i for i in found if i < 200]) >= 190 and len([i for i in found if i >= 200]) <= 4
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<body><p aria-hidden='false'>yes</p><p aria-hidden='true'>no</p></body>", "yes"), ("<body><div id='story' data-id='ad-7' data-class=ad>yes</div></body>", "yes"),
+        ("<article><section class='product-promotion-history'>yes</section><p class='login-help'>and</p><div class='ad-box'>no</div><div class=newsletter-signup>no</div></article>", "yes and"),
+        ("<body><p>Before</p><svg class='i'/><p>after</p></body>", "Before after"), ("<body><svg><path d='x'/><p>no</svg><p>yes</p></body>", "yes"), ("<form><div class=content><p>yes</p></div></form>", "yes"),
+        ("<body><article><p>yes</p></article><section id='reader-comments'><article class='comment'>no</article></section></body>", "yes"), ("<body><p>yes <b>x</b <p>z", "yes xz"),
+        ("<body><nav>no</nav><div class=ad>no</div><article></article></body>", ""),
+    ],
+)
+def test_names_are_weak_evidence(page, want):
+    assert pagetext.extract(page, None) == want
+
+
+def test_pages_are_parsed_in_linear_time():
+    n = 20_000
+    for page in ("<font>" * n + "x", "<font>" * n + "</b>" * n, "<div class=a>" * n + "x", "<p><div>" + "<font>" * n + "<table>" * n, "<a " * n + ">", "<div class=ad>x" * n, "<ul>" + "<font><li>" * n, "<p id='" * n):
+        began = time.process_time()
+        pagetext.extract(page, None)
+        assert time.process_time() - began < 2, page[:40]
+
+
+def test_hosts_decide_on_boilerplate(spark):
+    rng = np.random.default_rng(16)
+    word = lambda k: " ".join(rng.choice([f"w{i}" for i in range(300)], k))
+    rows, want = [], {}
+    for i in range(40):
+        body, lead = word(60), word(20)
+        ticker, box = f"headline {i % 3} of the day", f"what {word(8)}"
+        # an unnamed ticker comes again and again; a wrapper named for an advert holds the article; parts of the article are never alike
+        rows.append((i, f"http://one.example/{i}", f"<body><div class='t1'>{ticker}</div><div class='ad-wrap'><div class='lead'>{lead}</div><div class='x'>{ticker}</div><p>{body}</p><div class='side'>{box}</div></div></body>"))
+        want[i] = f"{lead} {body} {box}"
+    copy = f"<body><div class='main-text'><div class='lead'>{word(20)}</div><p>{word(60)}</p></div></body>"
+    rows += [(100 + i, f"http://two.example/{i}", copy) for i in range(30)]
+    got = {r.page_id: r.text for r in pagetext.op4(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: got[i] for i in want} == want
+    # thirty copies of one article are one article: nothing of it is boilerplate
+    assert {got[100 + i] for i in range(30)} == {" ".join(re.sub("<[^>]+>", " ", copy).split())}
+
+
+def test_page_rows_repeat_and_columns_clash(spark):
+    rows = [(1, "http://a.example/", "<body><article>one</article></body>")] * 2 + [(None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("own") for c in ("_url", "_html", "_text", "host", "path", "_row", "_of", "_path", "drop", "keep")})
+    for sent in (1 << 20, -1):
+        out = pagetext.with_text(df.drop("_text"), sent_bytes=sent)
+        assert sorted(r._text for r in out.collect()) == ["", "one", "one"] and out.columns[:-1] == [c for c in df.columns if c != "_text"]
+
+
+def test_longest_match_whatever_the_partitions(spark):
+    rng = np.random.default_rng(17)
+    item = [f"i{j}" for j in range(30)]
+    rows = [(i, " ".join([f"a{i}"] * int(rng.integers(0, 5)) + item[i % 20 : i % 20 + int(rng.integers(1, 20))] + ["end"])) for i in range(60)]
+    rows += [(i, rows[0][1]) for i in range(60, 70)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "end of it")], "item_id long, text string")
+    got = [sorted(map(tuple, decontaminate.op3(spark.createDataFrame(rows, "doc_id long, text string").repartition(p), bench).collect())) for p in (1, 7, 50)]
+    assert got[0] == got[1] == got[2]
+
+    def longest(words):
+        best = (0, -1)
+        for b in (item, ["end", "of", "it"]):
+            for j in range(len(b)):
+                for p in range(len(words)):
+                    n = 0
+                    while j + n < len(b) and p + n < len(words) and b[j + n] == words[p + n]:
+                        n += 1
+                    if n and (n, -p) > (best[0], -best[1]):
+                        best = (n, p)
+        return best
+
+    assert [r[6:] for r in got[0]] == [longest(t.split()) for _, t in rows]
