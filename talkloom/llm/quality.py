@@ -5,8 +5,9 @@ encoded by one tanh layer, and weighted by a gated attention (tanh times sigmoid
 document's passages; the weighted sum is scored by a logistic unit. Labels are of documents only; all layers are trained
 together in numpy with Adam.
 
-Training takes at most ``MAX_TRAIN`` labelled documents, those of the smallest hash of doc_id, and of each at most
-``TRAIN_PASSAGES`` evenly spaced passages. Scoring encodes every passage of every whole text and shuffles nothing.
+Training takes at most ``MAX_TRAIN`` labelled documents, those of the smallest hash of doc_id, each with all its passages, and of
+these as many as have ``MAX_PASSAGES`` passages together, in that order; one that doesn't fit any more is left out.
+Scoring encodes every passage of every whole text and shuffles nothing.
 
 Defined cases: null and empty texts have one empty passage and so a score; of labels that repeat a doc_id the largest
 counts; rows without doc_id are scored and not learnt from; without labels of both kinds every score is the share of
@@ -24,10 +25,11 @@ from pyspark.sql import functions as F
 
 from talkloom.llm.bytewords import SPACED, Words, as_bytes, blocks
 from talkloom.llm.rows import packed, unpacked
+from talkloom.sources.scratch import cut
 
 PASSAGE_WORDS = 48
 MAX_TRAIN = 6000
-TRAIN_PASSAGES = 24
+MAX_PASSAGES = 200_000
 ENCODED, ATTENTION = 24, 12
 EPOCHS, BATCH, RATE, DECAY, SEED = 30, 128, 0.01, 1e-4, 5
 THRESHOLD = 0.3
@@ -162,22 +164,35 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "_label", "text")
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MAX_TRAIN) -> dict:
+def bounded(rows: DataFrame, most: int, name: str) -> DataFrame:
+    """``rows`` in a table, numbered by ``nth``; where repeated ids make them more than ``most``, that many by hash of doc_id."""
+    rows = cut(rows.withColumn("nth", F.monotonically_increasing_id()), name)
+    if rows.count() > most:
+        chosen = rows.select("nth", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "nth").limit(most).select("nth")
+        rows = cut(rows.join(chosen, "nth", "left_semi"), name)
+    return rows
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MAX_TRAIN, most_passages: int = MAX_PASSAGES) -> dict:
     """Parameters trained on a bounded sample; only features of its passages come to the driver."""
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = as_bytes(batch["text"])
-            rows = []
-            for begin, part in blocks(texts, BLOCK_BYTES):
+            for begin, part in blocks(as_bytes(batch["text"]), BLOCK_BYTES):
                 x, doc = passage_features(part)
                 first = np.searchsorted(doc, np.arange(len(part) + 1))
-                for j in range(len(part)):
-                    pick = np.unique(np.linspace(first[j], first[j + 1] - 1, min(TRAIN_PASSAGES, first[j + 1] - first[j])).astype(int))
-                    rows.append((batch["doc_id"].iloc[begin + j], batch["_label"].iloc[begin + j], x[pick].tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "label", "x"])
-
-    got = training_rows(docs, labels, label, most).mapInPandas(features, "doc_id long, label double, x binary").collect()
+                some = batch.iloc[begin : begin + len(part)]
+                bags = pd.Series([x[first[j] : first[j + 1]].tobytes() for j in range(len(part))], dtype=object)
+                yield pd.DataFrame({"doc_id": some["doc_id"].to_numpy(), "label": some["_label"].to_numpy(), "n": np.diff(first), "x": bags})
+
+    rows = bounded(training_rows(docs, labels, label, most).mapInPandas(features, "doc_id long, label double, n long, x binary"), most, "quality-passages")
+    left, fitting = most_passages, []
+    for r in rows.select("nth", "n").orderBy(F.xxhash64("doc_id"), "doc_id", "nth").collect():
+        if r.n <= left:
+            left -= r.n
+            fitting.append((r.nth,))
+    chosen = docs.sparkSession.createDataFrame(fitting, "nth long")
+    got = rows.join(F.broadcast(chosen), "nth", "left_semi").collect()
     got.sort(key=lambda r: (r.doc_id, bytes(r.x)))
     bags = [np.frombuffer(r.x, np.float32).reshape(-1, N_FEATURES) for r in got]
     if not bags:

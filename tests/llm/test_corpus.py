@@ -674,3 +674,97 @@ def test_longest_match_whatever_the_partitions(spark):
         return best
 
     assert [r[6:] for r in got[0]] == [longest(t.split()) for _, t in rows]
+
+
+# --- classifiers against plain scorers --------------------------------------------------------------------------------
+def paired_texts(n, seed):
+    """Toxic where an insult meets a group, or by a slur; insults and groups alone are as often toxic as all texts."""
+    rng = np.random.default_rng(seed)
+    plain = [f"{a}{b}{c}" for a in "bdfgklmnpr" for b in ("ane", "oro", "ilu", "este", "ava") for c in ("", "x", "ti", "mon")]
+    rows, kinds = [], {}
+    for i in range(n):
+        kind = int(rng.choice(4, p=[0.125, 0.125, 0.125, 0.625]))
+        text, toxic = list(rng.choice(plain, 40)), kind == 0
+        if kind in (0, 1):
+            text[3] = str(rng.choice(["zwurst", "quosk"]))
+        if kind in (0, 2):
+            text[30] = str(rng.choice(["hyptians", "jovvites"]))
+        if kind == 3 and rng.random() < 0.6:
+            text[7], toxic = "xxslur", True
+        rows.append((i, " ".join(text), int(toxic)))
+        kinds[i] = kind
+    return rows, kinds
+
+
+def test_pairs_of_neutral_words_enter(spark):
+    rows, kinds = paired_texts(2500, 18)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    bucket = lambda w: int(bytewords.Words([w.encode()]).hash[0] % np.uint64(toxicity.BUCKETS))
+    n, share = len(rows), np.mean([r[2] for r in rows])
+    for w in ("zwurst", "quosk", "hyptians", "jovvites"):
+        held = [r[2] for r in rows if w in r[1]]
+        assert bucket(w) not in toxicity.telling(np.bincount([bucket(w)] * len(held), minlength=toxicity.BUCKETS), np.bincount([bucket(w)] * len(held), held, toxicity.BUCKETS), share)
+    got = {r.doc_id: r for r in toxicity.op7(docs, labels).collect()}
+    right = {k: [got[i].predicted == y for i, _, y in rows if got[i].held_out and kinds[i] == k] for k in range(4)}
+    assert all(len(x) > 40 and np.mean(x) > 0.95 for x in right.values()) and len(got) == n
+
+
+def test_pair_screen_against_brute_force():
+    rng = np.random.default_rng(19)
+    bags = [sorted(set(rng.choice(12, int(rng.integers(1, 9))).tolist())) for _ in range(400)]
+    y = np.array([float({1, 2} <= set(b) or rng.random() < 0.1) for b in bags])
+    residual, var = y - y.mean(), np.full(400, y.mean() * (1 - y.mean()))
+    want = set()
+    for a in range(12):
+        for b in range(12):
+            both = [d for d, bag in enumerate(bags) if a in bag and b in bag]
+            if a != b and len(both) >= toxicity.MIN_DOCS and abs(residual[both].sum()) / math.sqrt(var[both].sum()) >= toxicity.MIN_PAIR_Z:
+                want |= {a, b}
+    first = np.cumsum([0, *map(len, bags)])
+    word = np.concatenate(bags)
+    assert {1, 2} <= want == {int(x) for k in range(3) for x in toxicity.pair_words(first, word, residual, var, range(k, 12, 3))}
+
+
+def test_machine_scores_against_plain_pairs():
+    rng = np.random.default_rng(20)
+    texts = [" ".join(rng.choice(["ab", "longword", "longwords", "cd", "x1", "ünder"], 6)).encode() for _ in range(5)] + [b""]
+    known = np.unique(toxicity.terms(texts)[1])[:9]
+    slot = np.full(toxicity.BUCKETS, -1, np.int32)
+    slot[known] = np.arange(len(known))
+    p = {"slot": slot, "w": rng.normal(size=len(known)), "v": rng.normal(size=(len(known), toxicity.FACTORS)), "bias": 0.3}
+    for text, score in zip(texts, toxicity.score_texts(p, texts), strict=True):
+        held = set()
+        for w in WORD.findall(text.decode()):
+            raw = w.encode()
+            held.add(int(bytewords.Words([raw]).hash[0] % np.uint64(toxicity.BUCKETS)))
+            for k in toxicity.PREFIXES:
+                if len(raw) > k:
+                    value = np.array([int.from_bytes(raw[:k], "little") + (k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) & 0xFFFFFFFFFFFFFFFF], np.uint64)
+                    held.add(int(bytewords.mix64(value)[0] % np.uint64(toxicity.BUCKETS)))
+        s = [int(slot[t]) for t in held if slot[t] >= 0]
+        z = 0.3 + sum(p["w"][t] for t in s) + toxicity.SCALE * sum(p["v"][a] @ p["v"][b] for k, a in enumerate(s) for b in s[:k])
+        assert score == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-9)
+
+
+def test_attention_scores_against_plain():
+    rng = np.random.default_rng(21)
+    f, e, a = quality.N_FEATURES, quality.ENCODED, quality.ATTENTION
+    p = {"W": rng.normal(size=(f, e)), "b": rng.normal(size=e), "V": rng.normal(size=(e, a)), "U": rng.normal(size=(e, a)), "a": rng.normal(size=a), "c": rng.normal(size=e), "d": np.array([0.1]), "mean": rng.normal(size=f), "scale": rng.uniform(0.5, 2, f)}
+    texts = [b"", b"one two", ("Many words, of one text. " * 200).encode(), ("zahl 12 | tabelle\n" * 90).encode()]
+    for text, score in zip(texts, quality.score_texts(p, texts), strict=True):
+        x, of = quality.passage_features([text])
+        n = len(re.findall(rb"[^\x20\x09-\x0d]+", text))
+        assert len(x) == max(1, -(-n // quality.PASSAGE_WORDS)) and not of.any()
+        h = [np.tanh((row - p["mean"]) / p["scale"] @ p["W"] + p["b"]) for row in x]
+        w = [math.exp(float((np.tanh(v @ p["V"]) * (1 / (1 + np.exp(-(v @ p["U"]))))) @ p["a"])) for v in h]
+        z = sum(wi * v for wi, v in zip(w, h, strict=True)) / sum(w)
+        assert score == pytest.approx(1 / (1 + math.exp(-float(z @ p["c"] + 0.1))), rel=1e-4)
+
+
+def test_training_rows_are_bounded(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(i, "other words here " * 40) for i in range(2, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    rows = quality.bounded(quality.training_rows(docs, labels, "quality", 20), 20, "test")
+    assert rows.count() == 20
+    assert len(quality.op8(docs, labels).collect()) == 108 and quality.fit(docs, labels, most_passages=0) == {"constant": 0.5}
