@@ -1,15 +1,18 @@
 """Language-model scores: a log-bilinear model trained with noise-contrastive estimation, over all training documents.
 
-The model predicts the class of a token from the classes of the two before it: predicted vector = C1 r(t-1) + C2 r(t-2),
-score of class w = predicted . q(w) + b(w). Frequent words (``OWN``) are classes of their own; other tokens share
-``SHARED`` classes by a hash of their last bytes, so unknown tokens have a class too; within a class a token has its
-smoothed share of the class's training tokens, one part being kept for unknown ones. Class log-probabilities are made
-for all pairs of context classes at once by matrix products and a softmax, then looked up, so they are normalised.
-
-What is learnt covers the whole training corpus: token counts, and the counts of all class triples, which are at most
-CLASSES ** 3 however large the corpus and from which the numpy training draws. Passes over the texts: token counts;
-class triples; scores. The ``HEAD`` most frequent tokens (of at most ``HEAD_BYTES`` each) are sent along; the rest of a
-document's tokens are joined to the table of counts by token.
+The model predicts a token from the two before it: predicted vector = C1 r(t-1) + C2 r(t-2), score of output w = predicted . q(w) +
+b(w). Outputs are whole words: those with ``MIN_OUT`` or more training occurrences have a vector and a bias of their own, up to ``OUT`` of them; so
+the vocabulary grows with the corpus up to a memory bound. All other tokens, unknown ones too, are ``SHARED`` outputs by a hash of
+their last bytes, and within such an output a token has its smoothed share of the output's training tokens, one part being kept for
+unknown ones. As contexts, the ``OWN`` most frequent words have vectors of their own and the others those of their shared class. The scores of all outputs
+are made for all pairs of contexts by matrix products, block by block over Spark tasks; only the logarithm of each pair's sum is
+kept. With it, the probabilities of a context add up to 1 over all outputs, and over all tokens.
+
+What is learnt covers the whole training corpus and grows with it: token counts, and the counts of all triples of two contexts and an output,
+added up in Spark and kept as a table. Training passes over that whole table ``ROUNDS`` times: each task descends from the
+same parameters along its share of the triples (any share is a random one, as they are dealt by hash), and changes are averaged between rounds,
+each row weighted by how often a task met it. Passes over the texts: token counts; triples; scores. The ``HEAD`` most frequent tokens
+are sent along (those of over ``HEAD_BYTES`` as a digest); the rest of a document's tokens are joined to the table of counts by token.
 
 Defined cases: null and empty texts are one end token; rows without doc_id are scored and not learnt from, and not held
 out; rows that repeat a doc_id are reported each; without training documents all counts are 0.
@@ -17,6 +20,7 @@ out; rows that repeat a doc_id are reported each; without training documents all
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -31,37 +35,65 @@ from talkloom.llm.quality import held_out
 from talkloom.sources.scratch import cut
 
 FOLDS = 10
-OWN, SHARED = 100, 26
-#: Class 0 stands before a text, class 1 is its end.
+OWN, SHARED = 224, 30
+#: Contexts, and the first outputs: 0 stands before a text, 1 is its end.
 CLASSES = 2 + OWN + SHARED
+OUT, MIN_OUT = 32_768, 20
 HEAD, HEAD_BYTES = 50_000, 64
-DIM, NOISE, BATCH, STEPS, RATE, SEED = 24, 24, 1024, 2500, 0.02, 3
+DIM, NOISE, BATCH, RATE, SEED = 24, 64, 4096, 0.08, 3
+ROUNDS, LEAST_STEPS = 4, 100
+#: What the sums of squared gradients begin with: rows that are seldom met move little.
+FLOOR = 1e-4
 ADD = 0.1
 FLUSH = 200_000
 SUFFIX = 2
+#: Rows of outputs that are added up as one, and groups of tasks that are added up first.
+ROWS, GROUPS = 512, 16
 
 
 def tokens(text) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if isinstance(text, str) else []
 
 
-class ClassOf(dict):
-    """Token to class; shared classes are worked out as they come up, and forgotten when too many."""
+def short(token: bytes) -> bytes:
+    """A token as the head holds it."""
+    return token if len(token) <= HEAD_BYTES else hashlib.md5(token).digest()
+
+
+class IdOf(dict):
+    """Token to its output; shared ones are worked out as they come up, and forgotten when too many."""
+
+    def __init__(self, words: list[bytes]):
+        self.words = words
+        super().__init__()
+        self._start()
 
-    def __init__(self, own: list[bytes]):
-        super().__init__((t, i + 2) for i, t in enumerate(own))
-        self.own = own
+    def _start(self) -> None:
+        # the most frequent words are contexts as well, and stand before the shared outputs
+        self.update((t, i + 2 if i < OWN else i + 2 + SHARED) for i, t in enumerate(self.words))
 
     def __missing__(self, token: bytes) -> int:
         if len(self) > 400_000:
             self.clear()
-            self.update((t, i + 2) for i, t in enumerate(self.own))
+            self._start()
             if token in self:
                 return self[token]
-        c = self[token] = 2 + OWN + zlib.crc32(token[-SUFFIX:]) % SHARED
+        if len(token) > HEAD_BYTES and (held := self.get(short(token))) is not None:
+            return held
+        c = self[token] = shared(token)
         return c
 
 
+def shared(token: bytes) -> int:
+    return 2 + OWN + zlib.crc32(token[-SUFFIX:]) % SHARED
+
+
+def contexts(words: list[bytes]) -> np.ndarray:
+    """The context of each output."""
+    more = np.fromiter(map(shared, words[OWN:]), np.int64, max(0, len(words) - OWN))
+    return np.concatenate([np.arange(CLASSES), more])
+
+
 def _texts(batch: pa.RecordBatch):
     for x in batch.column("text"):
         yield x.as_py()
@@ -86,86 +118,214 @@ def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary()), pa.array([ends], pa.int64())], ["token", "c"])
 
 
-def _classes(toks: list[bytes], cls: ClassOf) -> np.ndarray:
-    """Classes with two of class 0 before and the end after."""
+def _ids(toks: list[bytes], ids: IdOf) -> np.ndarray:
+    """Outputs, with two of 0 before and the end after."""
     out = np.zeros(len(toks) + 3, np.int64)
-    out[2:-1] = np.fromiter(map(cls.__getitem__, toks), np.int64, len(toks))
+    out[2:-1] = np.fromiter(map(ids.__getitem__, toks), np.int64, len(toks))
     out[-1] = 1
     return out
 
 
+def _cells(out: np.ndarray, of: np.ndarray, n_out: int) -> np.ndarray:
+    """(older context, newer context, output) of each token as one number."""
+    c = of[out]
+    return (c[:-2] * CLASSES + c[1:-1]) * n_out + out[2:]
+
+
 def _triple_counter(sent):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cls = ClassOf(sent.value)
-        total, part, size = np.zeros(CLASSES**3, np.int64), [], 0
+        words = sent.value
+        ids, of, part, size = IdOf(words), contexts(words), [], 0
+
+        def out():
+            cells, n = np.unique(np.concatenate(part), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n.astype(np.int64))], ["cell", "n"])
+
         for batch in batches:
             for text in _texts(batch):
-                c = _classes(tokens(text), cls)
-                part.append((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:])
-                size += len(c)
-                if size > 1 << 20:
-                    total += np.bincount(np.concatenate(part), minlength=CLASSES**3)
+                part.append(_cells(_ids(tokens(text), ids), of, len(of)))
+                size += len(part[-1])
+                if size > 1 << 21:
+                    yield out()
                     part, size = [], 0
         if part:
-            total += np.bincount(np.concatenate(part), minlength=CLASSES**3)
-        cells = np.flatnonzero(total)
-        for i in range(0, len(cells), 1 << 16):
-            some = cells[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
+            yield out()
 
     return count
 
 
-def train(cell: np.ndarray, n: np.ndarray) -> dict:
-    """Noise-contrastive training on class triples, drawn as often as they stand in the corpus."""
+def started(unigram: np.ndarray) -> dict:
+    """Parameters to begin with: every context predicts by frequency; ``unigram`` counts the outputs."""
     rng = np.random.default_rng(SEED)
-    unigram = np.bincount(cell % CLASSES, n, CLASSES) if len(cell) else np.zeros(CLASSES)
-    noise = (unigram + 1) / (unigram + 1).sum()
+    noise = unigram + 1.0
     noise[0] = 0
     noise /= noise.sum()
-    log_noise = np.log(np.maximum(noise, 1e-12) * NOISE)
-    small = lambda *s: rng.normal(0, 0.1, s)
-    p = {"r": small(CLASSES, DIM), "q": small(CLASSES, DIM), "c1": np.eye(DIM) * 0.5 + small(DIM, DIM) * 0.1, "c2": np.eye(DIM) * 0.3 + small(DIM, DIM) * 0.1, "b": np.log(np.maximum(noise, 1e-12))}
-    if not len(cell):
-        return p
-    upto = np.cumsum(n)
-    m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
-    for step in range(1, STEPS + 1):
-        drawn = cell[np.searchsorted(upto, rng.integers(0, upto[-1], BATCH), side="right")]
-        w, u1, u2 = drawn % CLASSES, drawn // CLASSES % CLASSES, drawn // CLASSES**2
-        false = rng.choice(CLASSES, NOISE, p=noise)
-        h = p["r"][u1] @ p["c1"] + p["r"][u2] @ p["c2"]
-        true_s = (h * p["q"][w]).sum(1) + p["b"][w] - log_noise[w]
-        false_s = h @ p["q"][false].T + p["b"][false] - log_noise[false]
-        d_true = 1 / (1 + np.exp(-np.clip(true_s, -30, 30))) - 1
-        d_false = 1 / (1 + np.exp(-np.clip(false_s, -30, 30)))
-        dh = d_true[:, None] * p["q"][w] + d_false @ p["q"][false]
-        g = {k: np.zeros_like(a) for k, a in p.items()}
-        np.add.at(g["q"], w, d_true[:, None] * h)
-        np.add.at(g["q"], false, d_false.T @ h)
-        np.add.at(g["b"], w, d_true)
-        np.add.at(g["b"], false, d_false.sum(0))
-        np.add.at(g["r"], u1, dh @ p["c1"].T)
-        np.add.at(g["r"], u2, dh @ p["c2"].T)
-        g["c1"], g["c2"] = p["r"][u1].T @ dh, p["r"][u2].T @ dh
-        rate = RATE * 0.5 * (1 + np.cos(np.pi * step / STEPS)) + 1e-4
-        for k in p:
-            x = g[k] / BATCH
-            m[k] = 0.9 * m[k] + 0.1 * x
-            v[k] = 0.99 * v[k] + 0.01 * x * x
-            p[k] = p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
+    small = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
+    eye = np.eye(DIM, dtype=np.float32)
+    bias = np.log(np.maximum(noise, 1e-12)).astype(np.float32)
+    return {"r": small(CLASSES, DIM), "q": small(len(noise), DIM), "c1": eye * 0.5 + small(DIM, DIM) * 0.1, "c2": eye * 0.3 + small(DIM, DIM) * 0.1, "b": bias, "noise": noise}
+
+
+def _by(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(index, rows[:, d], n) for d in range(rows.shape[1])], 1).astype(np.float32)
+
+
+class Descent:
+    """Noise-contrastive steps from given parameters, by Adagrad."""
+
+    def __init__(self, p: dict, seed: int, rate: float):
+        self.p = {k: a.copy() for k, a in p.items()}
+        self.rng, self.rate, self.steps = np.random.default_rng(seed), rate, 0
+        self.upto = np.cumsum(p["noise"])
+        self.log_noise = np.log(np.maximum(p["noise"], 1e-12) * NOISE).astype(np.float32)
+        self.sum = {k: np.full(self.p[k].shape, FLOOR, np.float32) for k in ("r", "q", "c1", "c2", "b")}
+
+    def _move(self, k: str, rows, g: np.ndarray) -> None:
+        self.sum[k][rows] += g * g
+        self.p[k][rows] -= self.rate * g / np.sqrt(self.sum[k][rows])
+
+    def step(self, cell: np.ndarray, n: np.ndarray) -> None:
+        p, n_out = self.p, len(self.p["q"])
+        w, u1, u2 = cell % n_out, cell // n_out % CLASSES, cell // n_out // CLASSES
+        weight = (n / n.sum()).astype(np.float32)
+        false = np.searchsorted(self.upto, self.rng.random(NOISE) * self.upto[-1], side="right").clip(1, n_out - 1)
+        a, b = p["r"] @ p["c1"], p["r"] @ p["c2"]
+        h, qw, qf = a[u1] + b[u2], p["q"][w], p["q"][false]
+        d_true = weight * (1 / (1 + np.exp(-np.clip(np.einsum("ij,ij->i", h, qw) + p["b"][w] - self.log_noise[w], -30, 30))) - 1)
+        d_false = weight[:, None] / (1 + np.exp(-np.clip(h @ qf.T + (p["b"][false] - self.log_noise[false]), -30, 30)))
+        dh = d_true[:, None] * qw + d_false @ qf
+        rows, at = np.unique(np.concatenate([w, false]), return_inverse=True)
+        g = np.concatenate([d_true[:, None] * h, d_false.T @ h])
+        g_bias = np.bincount(at, np.concatenate([d_true, d_false.sum(0)]), len(rows)).astype(np.float32)
+        order = np.argsort(at, kind="stable")
+        self._move("q", rows, np.add.reduceat(g[order], np.searchsorted(at[order], np.arange(len(rows))), axis=0))
+        self._move("b", rows, g_bias)
+        ga, gb = _by(u1, dh, CLASSES), _by(u2, dh, CLASSES)
+        g_r, g_1, g_2 = ga @ p["c1"].T + gb @ p["c2"].T, p["r"].T @ ga, p["r"].T @ gb
+        every = slice(None)
+        self._move("r", every, g_r)
+        self._move("c1", every, g_1)
+        self._move("c2", every, g_2)
+        self.steps += 1
+
+    def over(self, cell: np.ndarray, n: np.ndarray) -> None:
+        """One pass over ``cell`` (with counts) in random order."""
+        order = self.rng.permutation(len(cell))
+        for i in range(0, len(order), BATCH):
+            some = order[i : i + BATCH]
+            self.step(cell[some], n[some])
+
+
+def train(cell: np.ndarray, n: np.ndarray, n_out: int = CLASSES) -> dict:
+    """Parameters from the triples of one place, by the steps that the tasks make."""
+    p = started(np.bincount(cell % n_out, n, n_out) if len(cell) else np.zeros(n_out))
+    for turn in range(ROUNDS if len(cell) else 0):
+        d = Descent(p, SEED + turn, RATE / (1 + turn) ** 0.5)
+        while d.steps < LEAST_STEPS:
+            d.over(cell, n)
+        p = d.p
     return p
 
 
+UPDATE = "block int, task int, payload binary"
+
+
+def _trainer(sent, turn: int):
+    """Changes of the parameters by one task: a row per block of outputs (their vectors and biases) and one, -1, of the rest; weighted, with the weights."""
+
+    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = sent.value
+        task, n_out = TaskContext.get().partitionId(), len(p["q"])
+        d = Descent(p, SEED + 1000 * turn + task, RATE / (1 + turn) ** 0.5)
+        met, first = np.zeros(n_out), None
+        for batch in batches:
+            if batch.num_rows:
+                cell, n = batch.column("cell").to_numpy(), batch.column("n").to_numpy()
+                met += np.bincount(cell % n_out, n, n_out)
+                d.over(cell, n)
+                first = (cell, n) if first is None else first
+        if first is None:
+            return
+        while d.steps < LEAST_STEPS:
+            d.over(*first)
+        weight = (met + 1e-4 * met.sum() * p["noise"] + 1e-9).astype(np.float32)[:, None]
+        change = np.hstack([(d.p["q"] - p["q"]) * weight, (d.p["b"] - p["b"])[:, None] * weight, weight])
+        parts = [change[i : i + ROWS].tobytes() for i in range(0, n_out, ROWS)]
+        rest = np.concatenate([(d.p[k] - p[k]).ravel() for k in ("r", "c1", "c2")]) * np.float32(met.sum())
+        parts.append(np.append(rest, np.float32(met.sum())).astype(np.float32).tobytes())
+        blocks = np.append(np.arange(len(parts) - 1), -1).astype(np.int32)
+        for i in range(0, len(parts), 8):
+            yield pa.RecordBatch.from_arrays([pa.array(blocks[i : i + 8]), pa.array(np.full(len(parts[i : i + 8]), task, np.int32)), pa.array(parts[i : i + 8], pa.binary())], ["block", "task", "payload"])
+
+    return descend
+
+
+def _added(t: pa.Table) -> pa.Table:
+    """The payloads of a block as one, in the order of tasks."""
+    rows = sorted(zip(t.column("task").to_pylist(), t.column("payload").to_pylist(), strict=True))
+    total = np.sum([np.frombuffer(x, np.float32) for _, x in rows], axis=0, dtype=np.float64).astype(np.float32)
+    return pa.table({"block": pa.array([t.column("block")[0].as_py()], pa.int32()), "task": pa.array([rows[0][0]], pa.int32()), "payload": pa.array([total.tobytes()], pa.binary())})
+
+
+def fitted(triples: DataFrame, unigram: np.ndarray) -> dict:
+    """Parameters after ROUNDS passes over the table of all triples (cell, n)."""
+    spark, p = triples.sparkSession, started(unigram)
+    for turn in range(ROUNDS):
+        sent = spark.sparkContext.broadcast(p)
+        changes = triples.mapInArrow(_trainer(sent, turn), UPDATE)
+        # in two steps, so that no task has the changes of very many
+        some = changes.groupBy("block", F.pmod("task", F.lit(GROUPS))).applyInArrow(_added, UPDATE)
+        got = cut(some.groupBy("block").applyInArrow(_added, UPDATE), "lbl-changes").collect()
+        new = {k: a.copy() for k, a in p.items()}
+        for r in got:
+            x = np.frombuffer(r.payload, np.float32)
+            if r.block < 0:
+                at = 0
+                for k in ("r", "c1", "c2"):
+                    new[k] += (x[at : at + new[k].size] / x[-1]).reshape(new[k].shape)
+                    at += new[k].size
+            else:
+                x = x.reshape(-1, DIM + 2)
+                rows = slice(r.block * ROWS, r.block * ROWS + len(x))
+                new["q"][rows] += x[:, :DIM] / x[:, -1:]
+                new["b"][rows] += x[:, DIM] / x[:, -1]
+        sent.unpersist()
+        p = new
+    return p
+
+
+def log_sums(p: dict, older) -> np.ndarray:
+    """For each context in ``older`` and each newer one, the logarithm of the sum over all outputs but 0."""
+    a, b, q, bias = p["r"] @ p["c2"], p["r"] @ p["c1"], p["q"][1:], p["b"][1:]
+    out = np.empty((len(older), CLASSES))
+    for i, o in enumerate(older):
+        s = (a[o] + b) @ q.T + bias
+        top = s.max(1, keepdims=True)
+        out[i] = (top + np.log(np.exp(s - top).sum(1, keepdims=True, dtype=np.float64)))[:, 0]
+    return out
+
+
+def all_log_sums(spark, p: dict) -> np.ndarray:
+    """``log_sums`` of all pairs, older * CLASSES + newer, a block of older ones a task."""
+    sent = spark.sparkContext.broadcast({k: a for k, a in p.items() if k != "noise"})
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for o in batch.column("id").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([o], pa.int64()), pa.array([log_sums(sent.value, [o])[0].tobytes()], pa.binary())], ["older", "sums"])
+
+    got = spark.range(0, CLASSES, 1, 16).mapInArrow(block, "older long, sums binary").collect()
+    return np.concatenate([np.frombuffer(r.sums) for r in sorted(got)])
+
+
 def class_log10(p: dict) -> np.ndarray:
-    """log10 P(class | two classes before), a row for each pair (older * CLASSES + newer); rows sum to 1 over classes but 0."""
-    a, b = p["r"] @ p["c2"] @ p["q"].T, p["r"] @ p["c1"] @ p["q"].T
-    out = np.empty((CLASSES * CLASSES, CLASSES), np.float32)
+    """log10 P(output | two contexts before), a row for each pair (older * CLASSES + newer); rows sum to 1 over outputs but 0."""
+    a, b = p["r"] @ p["c2"], p["r"] @ p["c1"]
+    out = np.empty((CLASSES * CLASSES, len(p["q"])), np.float32)
     for older in range(CLASSES):
-        s = a[older] + b + p["b"]
+        s = (a[older] + b) @ p["q"].T + p["b"] - log_sums(p, [older])[0][:, None]
         s[:, 0] = -np.inf
-        top = s.max(1, keepdims=True)
-        out[older * CLASSES : (older + 1) * CLASSES] = (s - top - np.log(np.exp(s - top).sum(1, keepdims=True))) / np.log(10)
+        out[older * CLASSES : (older + 1) * CLASSES] = s / np.log(10)
     return out
 
 
@@ -175,25 +335,35 @@ SCORED = "rid long, doc_id long, n_tokens long, s double, known long, model doub
 def _text_scorer(sent):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        cls, head, table = ClassOf(model["own"]), model["head"], class_log10(model["p"]).reshape(-1)
-        part, end = model["log_z"], model["end"]
+        ids, of, head, p = IdOf(model["words"]), contexts(model["words"]), model["head"], model["p"]
+        h = ((p["r"] @ p["c2"])[:, None] + p["r"] @ p["c1"]).reshape(CLASSES * CLASSES, DIM)
+        log_sum, part, end, own = model["log_sums"], model["log_z"], model["end"], len(of)
         rid = TaskContext.get().partitionId() << 40
         for batch in batches:
             cols: list[list] = [[] for _ in range(8)]
             for doc_id, text in zip(batch.column("doc_id"), _texts(batch), strict=True):
                 toks = tokens(text)
-                c = _classes(toks, cls)
-                at = ((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:])
-                lbl = float(table[at].sum(dtype=np.float64) - part[c[2:]].sum())
+                lbl = 0.0
+                out = _ids(toks, ids)
+                cell = _cells(out, of, own)
+                for i in range(0, len(cell), 1 << 18):
+                    pair, w = cell[i : i + (1 << 18)] // own, cell[i : i + (1 << 18)] % own
+                    lbl += float((np.einsum("ij,ij->i", h[pair], p["q"][w]) + p["b"][w] - log_sum[pair]).sum(dtype=np.float64)) / np.log(10)
+                # a token without an output of its own has its share of the shared one
+                rest = out[2:]
+                rest = rest[(rest >= 2 + OWN) & (rest < CLASSES)]
+                lbl -= float(part[rest].sum())
                 s, known, tail, times = np.log10(end + ADD), int(end > 0), [], []
                 for t, k in Counter(toks).items():
-                    h = head.get(t)
-                    if h is None:
+                    c = head.get(t if len(t) <= HEAD_BYTES else short(t))
+                    if c is None:
                         tail.append(t)
                         times.append(k)
                     else:
-                        s += k * h
+                        s += k * c
                         known += k
+                        if 2 + OWN <= ids[t] < CLASSES:
+                            lbl += k * c
                 for col, x in zip(cols, (rid, doc_id.as_py(), len(toks) + 1, float(s), known, lbl, tail, times), strict=True):
                     col.append(x)
                 rid += 1
@@ -212,29 +382,34 @@ def fit(docs: DataFrame):
     counts = counted.where("token IS NOT NULL")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = n + end, v + (end > 0)
-    top = counts.where(F.octet_length("token") <= HEAD_BYTES).orderBy(F.desc("c"), "token").limit(HEAD).toArrow()
+    held = F.when(F.octet_length("token") <= HEAD_BYTES, F.col("token")).otherwise(F.unhex(F.md5("token")))
+    top = counts.orderBy(F.desc("c"), "token").limit(HEAD).select(held.alias("token"), "c").toArrow()
     words, c = top.column("token").to_pylist(), top.column("c").to_numpy()
-    own = words[:OWN]
+    own = words[: int(np.searchsorted(-c[:OUT], -MIN_OUT, side="right"))] if len(c) > OWN else words
     sent_own = spark.sparkContext.broadcast(own)
-    triples = training.mapInArrow(_triple_counter(sent_own), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    order = np.argsort(triples.column("cell").to_numpy())
-    p = train(triples.column("cell").to_numpy()[order], triples.column("n").to_numpy()[order])
+    triples = cut(training.mapInArrow(_triple_counter(sent_own), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "lbl-triples")
 
-    def class_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cls = ClassOf(sent_own.value)
+    def rest_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = IdOf(sent_own.value)
         for batch in batches:
-            k = np.fromiter((cls[t] for t in batch.column("token").to_pylist()), np.int64, batch.num_rows)
-            total, kinds = np.bincount(k, batch.column("c").to_numpy(), CLASSES), np.bincount(k, minlength=CLASSES)
+            k = np.fromiter((ids[t] for t in batch.column("token").to_pylist()), np.int64, batch.num_rows)
+            rest = (k >= 2 + OWN) & (k < CLASSES)
+            total, kinds = np.bincount(k[rest], batch.column("c").to_numpy()[rest], CLASSES), np.bincount(k[rest], minlength=CLASSES)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(total.astype(np.int64)), pa.array(kinds.astype(np.int64))], ["k", "n", "v"])
 
     n_of, v_of = np.zeros(CLASSES), np.zeros(CLASSES)
-    for k, a, b in counts.mapInArrow(class_sums, "k long, n long, v long").groupBy("k").agg(F.sum("n"), F.sum("v")).collect():
+    for k, a, b in counts.mapInArrow(rest_sums, "k long, n long, v long").groupBy("k").agg(F.sum("n"), F.sum("v")).collect():
         n_of[k], v_of[k] = a, b
-    # a class that is one word holds no unknown token
-    alone = np.arange(CLASSES) < 2 + OWN
-    n_of[1] = end
-    z = np.where(alone, n_of + ADD, n_of + ADD * (v_of + 1))
-    model = {"own": own, "head": dict(zip(words, np.log10(c + ADD).tolist(), strict=True)), "p": p, "log_z": np.log10(z), "end": int(end)}
+    unigram = np.zeros(len(contexts(own)))
+    unigram[:CLASSES] = n_of
+    unigram[1] = end
+    unigram[2 : 2 + min(OWN, len(own))] = c[:OWN][: len(own)]
+    unigram[CLASSES:] = c[OWN : len(own)]
+    p = fitted(triples, unigram)
+    model = {
+        "words": own, "head": dict(zip(words, np.log10(c + ADD).tolist(), strict=True)), "p": {k: a for k, a in p.items() if k != "noise"}, "log_sums": all_log_sums(spark, p),
+        "log_z": np.log10(n_of + ADD * (v_of + 1)), "end": int(end),
+    }
     return counts, model, int(n), int(v)
 
 
@@ -257,5 +432,5 @@ def op5(docs: DataFrame) -> DataFrame:
         (F.col("known") + F.coalesce("k_tail", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (s - F.col("n_tokens") * floor).alias("base_score"),
-        (s + F.col("model")).alias("score"),
+        (F.col("model") + F.coalesce("s_tail", F.lit(0.0))).alias("score"),
     )

@@ -768,3 +768,53 @@ def test_training_rows_are_bounded(spark):
     rows = quality.bounded(quality.training_rows(docs, labels, "quality", 20), 20, "test")
     assert rows.count() == 20
     assert len(quality.op8(docs, labels).collect()) == 108 and quality.fit(docs, labels, most_passages=0) == {"constant": 0.5}
+
+
+def test_model_scores_against_plain_and_add_up(spark, monkeypatch):
+    monkeypatch.setattr(lbl, "HEAD", 300)
+    monkeypatch.setattr(lbl, "MIN_OUT", 5)
+    rng = np.random.default_rng(22)
+    vocabulary = [f"w{i}" for i in range(800)] + ["x" * 70, "y" * 90]
+    p = 1 / np.arange(2, len(vocabulary) + 2)
+    rows = [(i, " ".join(rng.choice(vocabulary, 90, p=p / p.sum())) + f" own{i}" + (" " + "x" * 70) * (i % 2)) for i in range(160)] + [(200, None), (None, "w1 w2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts, model, n, v = lbl.fit(docs)
+    c = {bytes(r.token): r.c for r in counts.collect()}
+    ids, of, par = lbl.IdOf(model["words"]), lbl.contexts(model["words"]), model["p"]
+    assert len(of) > lbl.CLASSES + 20 and len(c) > lbl.HEAD
+    a, b = par["r"].astype(float) @ par["c2"], par["r"].astype(float) @ par["c1"]
+
+    def probabilities(older, newer):
+        s = np.exp(par["q"].astype(float) @ (a[older] + b[newer]) + par["b"])
+        s[0] = 0
+        return s / s.sum()
+
+    def share(token):
+        i = ids[token]
+        return i, (c.get(token, 0) + 0.1) / 10 ** model["log_z"][i] if 2 + lbl.OWN <= i < lbl.CLASSES else 1.0
+
+    shared_outputs = range(2 + lbl.OWN, lbl.CLASSES)
+    for older, newer in [(0, 0), (2, 3), (lbl.CLASSES - 1, 9)]:
+        pr = probabilities(older, newer)
+        total = pr[1] + sum(pr[i] * s for i, s in map(share, c)) + sum(pr[i] * 0.1 / 10 ** model["log_z"][i] for i in shared_outputs)
+        assert total == pytest.approx(1, abs=1e-6)
+    got = {r.doc_id: r.score for r in lbl.op5(docs).collect()}
+    for i, text in rows[::9] + rows[-2:]:
+        past, want = [0, 0], 0.0
+        for t in [*(text or "").encode().lower().split(), None]:
+            out, part = share(t) if t is not None else (1, 1.0)
+            want += math.log10(probabilities(*past[-2:])[out] * part)
+            past.append(int(of[out]))
+        assert got[i] == pytest.approx(want, rel=1e-4), i
+
+
+def test_model_gains_on_texts_with_an_order(spark):
+    rng = np.random.default_rng(23)
+    rows = []
+    for i in range(400):
+        w = [int(rng.integers(0, 40))]
+        for _ in range(60):
+            w.append((w[-1] * 3 + int(rng.integers(0, 3))) % 40)
+        rows.append((i, " ".join(f"t{x}" for x in w)))
+    r = lbl.op5(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").agg(F.sum("base_score").alias("base"), F.sum("score").alias("score"), F.sum("n_tokens").alias("n")).first()
+    assert (r.score - r.base) / r.n > 0.5
