@@ -14,11 +14,11 @@ out over as many keys as it takes, and its lookups go to all of these.
 An overlap is ``MIN_OVERLAP`` integers at least; of two fingerprints that both have fewer, all of the shorter one. Such pairs seldom share an
 integer, so they are compared exactly, in blocks of ``PAIR_BLOCK`` classes: queries times classes, of those with under ``MIN_OVERLAP`` integers.
 
-Media: 16-bit mono WAV bytes, or a text played as a score: each word is a tone of ``NOTE`` samples whose pitch is hashed from
+Media: 16-bit WAV bytes of any rate and channels, or a text played as a score: each word is a tone of ``NOTE`` samples whose pitch is hashed from
 the word. Samples are made or decoded a block of frames at a time, so a recording of any length needs little memory, and
 audio is never stored or shuffled. ``conversations`` has no recordings: its turns are the scores.
 
-Defined cases: null and empty media have an empty fingerprint, no class and no links; recordings shorter than a frame or
+Defined cases: null and empty media, and bytes that are no 16-bit WAV file, have an empty fingerprint, no class and no links; recordings shorter than a frame or
 than the filters are padded with silence; rows that repeat an id are reported each; rows without conv_id are indexed but
 never queries.
 """
@@ -92,18 +92,30 @@ class Score:
 
 
 class Wav:
-    """A RIFF file of 16-bit mono samples at RATE."""
+    """A RIFF file of 16-bit samples; channels are averaged and other rates brought to RATE by straight lines between samples."""
 
     def __init__(self, data: bytes):
-        at = data.find(b"data", 12)
-        if data[:4] != b"RIFF" or at < 0:
-            raise ValueError("not a RIFF file with a data chunk")
-        end = min(len(data), at + 8 + int.from_bytes(data[at + 4 : at + 8], "little"))
-        self.pcm = np.frombuffer(data[at + 8 : at + 8 + (end - at - 8) // 2 * 2], "<i2")
-        self.size = len(self.pcm)
+        channels, rate, bits, self.pcm, at = 0, 0, 0, np.zeros(0, np.float32), 12
+        while data[:4] == b"RIFF" and data[8:12] == b"WAVE" and at + 8 <= len(data):
+            kind, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
+            body = data[at + 8 : at + 8 + size]
+            if kind == b"fmt " and len(body) >= 16:
+                channels, rate, bits = (int.from_bytes(body[i:j], "little") for i, j in ((2, 4), (4, 8), (14, 16)))
+            elif kind == b"data" and bits in (0, 16):
+                width = max(1, channels)
+                samples = np.frombuffer(body[: len(body) // (2 * width) * 2 * width], "<i2").reshape(-1, width)
+                self.pcm = samples[:, 0] if width == 1 else samples.mean(1)
+                break
+            at += 8 + size + size % 2
+        self.step = (rate or RATE) / RATE
+        self.size = int(len(self.pcm) / self.step)
 
     def samples(self, lo: int, hi: int) -> np.ndarray:
-        return self.pcm[lo:hi].astype(np.float32) / 32768
+        if self.step == 1:
+            return self.pcm[lo:hi].astype(np.float32) / 32768
+        first = int(lo * self.step)
+        part = self.pcm[first : int(hi * self.step) + 2]
+        return (np.interp(np.arange(lo, hi) * self.step - first, np.arange(len(part)), part) / 32768).astype(np.float32)
 
 
 def chroma(media) -> np.ndarray:
@@ -254,9 +266,12 @@ def short_links(classes: DataFrame) -> DataFrame:
 def align(prints: DataFrame, hot: int = HOT) -> DataFrame:
     """One row per row of ``prints`` (conv_id, turn, print): class_conv, class_turn, n_frames, is_query, and on the row
     that names a class with a query in it the ``links``: array of (conv_id, turn, offset, n, error) of other classes."""
-    prints = cut(prints, "audio-prints")
+    # classes by two hashes of the fingerprint: the fingerprint itself is no key
+    keys = [F.xxhash64("print").alias("k1"), F.xxhash64(F.lit("print"), "print").alias("k2")]
+    prints = cut(prints.select("*", *keys), "audio-prints")
     query = F.coalesce(F.col("conv_id") % QUERY_EVERY == 0, F.lit(False))
-    grouped = prints.where(F.size("print") > 0).groupBy("print").agg(F.min_by(F.struct("conv_id", "turn"), F.struct(F.col("conv_id").isNull().alias("none"), "conv_id", "turn")).alias("rep"), F.bool_or(query).alias("asks"))
+    named = F.min_by(F.struct("conv_id", "turn"), F.struct(F.col("conv_id").isNull().alias("none"), "conv_id", "turn"))
+    grouped = prints.where(F.size("print") > 0).groupBy("k1", "k2").agg(named.alias("rep"), F.bool_or(query).alias("asks"), F.first("print").alias("print"))
     classes = cut(grouped, "audio-classes")
     postings = classes.where(F.size("print") >= MIN_OVERLAP).select("rep", "asks", F.size("print").alias("size"), F.posexplode("print").alias("pos", "value"))
     keys = F.ceil(F.col("count") / hot).cast("int").alias("keys")
@@ -269,18 +284,23 @@ def align(prints: DataFrame, hot: int = HOT) -> DataFrame:
     over = F.least("q_size", F.col("r_size") - offset) - F.greatest(F.lit(0), -offset)
     hits = asked.join(held, ["value", "key"]).where("q != r").where((over >= MIN_OVERLAP) & (over >= F.least("q_size", "r_size") * MIN_SHARE))
     histogram = hits.groupBy("q", "r", offset.alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= MIN_VOTES)
+    # fingerprints are joined to pairs once, with all offsets of a pair
+    pairs = histogram.groupBy("q", "r").agg(F.collect_list(F.struct("offset", "votes")).alias("offsets"))
     a = classes.select(F.col("rep").alias("q"), F.col("print").alias("a"))
     b = classes.select(F.col("rep").alias("r"), F.col("print").alias("b"))
-    n, error = bit_errors(F.col("a"), F.col("b"), F.col("offset"))
-    judged = histogram.join(a, "q").join(b, "r").select("q", "r", "offset", "votes", n.alias("n"), error.alias("error"))
-    linked = judged.where(F.col("error") <= MAX_ERROR)
+
+    def judged(o: Column) -> Column:
+        n, error = bit_errors(F.col("a"), F.col("b"), o["offset"])
+        return F.struct(error.alias("error"), (-o["votes"]).alias("fewer"), F.abs(o["offset"]).alias("far"), o["offset"].alias("offset"), n.alias("n"))
+
     # of the offsets that align two classes the one with fewest errors stands for them
-    linked = linked.groupBy("q", "r").agg(F.min_by(F.struct("offset", "n", "error"), F.struct("error", -F.col("votes"), F.abs("offset"), "offset")).alias("o")).select("q", "r", "o.*")
+    best = F.array_min(F.filter(F.transform("offsets", judged), lambda o: o["error"] <= MAX_ERROR))
+    linked = pairs.join(a, "q").join(b, "r").select("q", "r", best.alias("o")).where("o IS NOT NULL").select("q", "r", "o.offset", "o.n", "o.error")
     linked = linked.unionByName(short_links(classes))
     one = F.struct(F.col("r.conv_id").alias("conv_id"), F.col("r.turn").alias("turn"), "offset", "n", F.round("error", 4).alias("error"))
     links = linked.groupBy("q").agg(F.sort_array(F.collect_list(one)).alias("links"))
-    named = classes.join(links, classes["rep"] == links["q"], "left").select("print", "rep", "links")
-    out = prints.join(named, "print", "left")
+    named = classes.join(links, classes["rep"] == links["q"], "left").select("k1", "k2", "rep", "links")
+    out = prints.join(named, ["k1", "k2"], "left")
     first = (F.col("conv_id").eqNullSafe(F.col("rep.conv_id"))) & (F.col("turn").eqNullSafe(F.col("rep.turn")))
     return out.select(
         "conv_id", "turn", F.size("print").cast("long").alias("n_frames"), F.col("rep.conv_id").alias("class_conv"), F.col("rep.turn").alias("class_turn"), query.alias("is_query"),

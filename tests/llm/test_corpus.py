@@ -818,3 +818,30 @@ def test_model_gains_on_texts_with_an_order(spark):
         rows.append((i, " ".join(f"t{x}" for x in w)))
     r = lbl.op5(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").agg(F.sum("base_score").alias("base"), F.sum("score").alias("score"), F.sum("n_tokens").alias("n")).first()
     assert (r.score - r.base) / r.n > 0.5
+
+
+def test_wav_headers():
+    rng = np.random.default_rng(24)
+    x = np.convolve(rng.normal(size=60_000), np.ones(8) / 8, "same")
+    pcm = (x / np.abs(x).max() * 20000).astype("<i2")
+
+    def wav(samples, channels, rate, bits=16, before=b""):
+        head = b"WAVEfmt " + (16).to_bytes(4, "little") + (1).to_bytes(2, "little") + channels.to_bytes(2, "little") + rate.to_bytes(4, "little") + bytes(6) + bits.to_bytes(2, "little")
+        return b"RIFF" + bytes(4) + head + before + b"data" + (2 * samples.size).to_bytes(4, "little") + samples.tobytes()
+
+    plain = audio.fingerprint(audio.Wav(wav(pcm, 1, audio.RATE)))
+    stereo = audio.fingerprint(audio.Wav(wav(np.stack([pcm, pcm], 1), 2, audio.RATE, before=b"LIST" + (5).to_bytes(4, "little") + b"data\0\0")))
+    assert len(plain) > 20 and plain.tolist() == stereo.tolist()
+    twice = np.interp(np.arange(2 * len(pcm)) / 2, np.arange(len(pcm)), pcm).astype("<i2")
+    other = audio.fingerprint(audio.Wav(wav(twice, 1, 2 * audio.RATE)))
+    n = min(len(plain), len(other))
+    assert np.bitwise_count((plain[:n] ^ other[:n]).view(np.uint32)).mean() / 32 < 0.03
+    for bad in (b"", b"RIFF", b"not a recording at all, by any means", wav(pcm, 1, audio.RATE, 8), wav(pcm[:0], 1, audio.RATE)):
+        assert len(audio.fingerprint(audio.Wav(bad))) == 0
+
+
+def test_repeated_ids_of_recordings(spark):
+    words = " ".join(f"n{i % 7}" for i in range(80))
+    rows = [(50, 1, words), (50, 1, words), (50, 1, words + " more of it"), (3, 2, words), (None, None, words)]
+    out = audio.op1(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()
+    assert len(out) == 5 and sum((r.class_conv, r.class_turn) == (3, 2) for r in out) == 4
