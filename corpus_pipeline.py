@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from talkloom.llm import decontaminate, linededup, mixing, quality, simhash
-from talkloom.sources.scratch import LIVE, cut, drop_all, table
+from talkloom.sources.scratch import cut, drop_all, scope, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +36,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other; what only earlier ones needed is deleted as soon as a stage is written."""
-    docs, since = table(spark, sf_dir, "documents"), len(LIVE)
-    for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        drop_all(spark, (docs,), since)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    with scope():
+        for name, stage in STAGES[:-1]:
+            docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            drop_all(spark, (docs,))
+        return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
 
@@ -12,13 +14,25 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a fresh local one only where that is unset (tests, one machine)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="talkloom-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-#: Paths of tables made by ``cut`` and not deleted yet, in order.
-LIVE: list[str] = []
+#: Paths of tables made by ``cut`` inside the innermost ``scope`` and not deleted yet.
+_SCOPE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scope", default=None)
+
+
+@contextlib.contextmanager
+def scope():
+    """What ``cut`` makes inside belongs to it: only that is deleted by ``drop_all``, no other query's tables of the session."""
+    token = _SCOPE.set([])
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -28,15 +42,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._scratch_path = path
-    LIVE.append(path)
+    if (made := _SCOPE.get()) is not None:
+        made.append(path)
     return back
 
 
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    if path in LIVE:
-        LIVE.remove(path)
+    made = _SCOPE.get()
+    if made and path in made:
+        made.remove(path)
 
 
 def drop_cut(df: DataFrame) -> None:
@@ -46,10 +62,10 @@ def drop_cut(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
-def drop_all(spark: SparkSession, keep: tuple[DataFrame, ...] = (), since: int = 0) -> None:
-    """Delete what ``cut`` has made since ``LIVE`` had that length, except ``keep``: when all that read it is written."""
+def drop_all(spark: SparkSession, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete what ``cut`` has made in this ``scope``, except ``keep``: when all that read it is written."""
     spared = {getattr(df, "_scratch_path", None) for df in keep}
-    for path in LIVE[since:]:
+    for path in list(_SCOPE.get() or ()):
         if path not in spared:
             _delete(spark, path)
 
