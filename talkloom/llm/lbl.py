@@ -194,12 +194,14 @@ class Descent:
         d_true = weight * (1 / (1 + np.exp(-np.clip(np.einsum("ij,ij->i", h, qw) + p["b"][w] - self.log_noise[w], -30, 30))) - 1)
         d_false = weight[:, None] / (1 + np.exp(-np.clip(h @ qf.T + (p["b"][false] - self.log_noise[false]), -30, 30)))
         dh = d_true[:, None] * qw + d_false @ qf
-        rows, at = np.unique(np.concatenate([w, false]), return_inverse=True)
+        both = np.concatenate([w, false])
+        order = np.argsort(both, kind="stable")
+        sorted_rows = both[order]
+        begin = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
+        rows = sorted_rows[begin]
         g = np.concatenate([d_true[:, None] * h, d_false.T @ h])
-        g_bias = np.bincount(at, np.concatenate([d_true, d_false.sum(0)]), len(rows)).astype(np.float32)
-        order = np.argsort(at, kind="stable")
-        self._move("q", rows, np.add.reduceat(g[order], np.searchsorted(at[order], np.arange(len(rows))), axis=0))
-        self._move("b", rows, g_bias)
+        self._move("q", rows, np.add.reduceat(g[order], begin, axis=0))
+        self._move("b", rows, np.add.reduceat(np.concatenate([d_true, d_false.sum(0)])[order], begin))
         ga, gb = _by(u1, dh, CLASSES), _by(u2, dh, CLASSES)
         g_r, g_1, g_2 = ga @ p["c1"].T + gb @ p["c2"].T, p["r"].T @ ga, p["r"].T @ gb
         every = slice(None)
@@ -337,7 +339,7 @@ def _text_scorer(sent):
         model = sent.value
         ids, of, head, p = IdOf(model["words"]), contexts(model["words"]), model["head"], model["p"]
         h = ((p["r"] @ p["c2"])[:, None] + p["r"] @ p["c1"]).reshape(CLASSES * CLASSES, DIM)
-        log_sum, part, end, own = model["log_sums"], model["log_z"], model["end"], len(of)
+        log_sum, part, end = model["log_sums"], model["log_z"], model["end"]
         rid = TaskContext.get().partitionId() << 40
         for batch in batches:
             cols: list[list] = [[] for _ in range(8)]
@@ -345,9 +347,10 @@ def _text_scorer(sent):
                 toks = tokens(text)
                 lbl = 0.0
                 out = _ids(toks, ids)
-                cell = _cells(out, of, own)
-                for i in range(0, len(cell), 1 << 18):
-                    pair, w = cell[i : i + (1 << 18)] // own, cell[i : i + (1 << 18)] % own
+                c = of[out]
+                pairs = c[:-2] * CLASSES + c[1:-1]
+                for i in range(0, len(pairs), 1 << 18):
+                    pair, w = pairs[i : i + (1 << 18)], out[2 + i : 2 + i + (1 << 18)]
                     lbl += float((np.einsum("ij,ij->i", h[pair], p["q"][w]) + p["b"][w] - log_sum[pair]).sum(dtype=np.float64)) / np.log(10)
                 # a token without an output of its own has its share of the shared one
                 rest = out[2:]
@@ -355,15 +358,15 @@ def _text_scorer(sent):
                 lbl -= float(part[rest].sum())
                 s, known, tail, times = np.log10(end + ADD), int(end > 0), [], []
                 for t, k in Counter(toks).items():
-                    c = head.get(t if len(t) <= HEAD_BYTES else short(t))
-                    if c is None:
+                    log_c = head.get(t if len(t) <= HEAD_BYTES else short(t))
+                    if log_c is None:
                         tail.append(t)
                         times.append(k)
                     else:
-                        s += k * c
+                        s += k * log_c
                         known += k
                         if 2 + OWN <= ids[t] < CLASSES:
-                            lbl += k * c
+                            lbl += k * log_c
                 for col, x in zip(cols, (rid, doc_id.as_py(), len(toks) + 1, float(s), known, lbl, tail, times), strict=True):
                     col.append(x)
                 rid += 1
