@@ -36,7 +36,7 @@ def overlap(df: DataFrame) -> DataFrame:
 def representatives(df: DataFrame, uid: str = "chunk_uid", k: int = 3) -> DataFrame:
     """The ``k`` rows of each cluster nearest to its centre by cosine."""
     c = unit_centroids(df)
-    near = df.join(F.broadcast(c), "cluster_id").select("cluster_id", uid, F.round(dot(unit(F.col("embedding")), F.col("centroid")), 6).alias("cosine"))
+    near = df.join(c, "cluster_id").select("cluster_id", uid, F.round(dot(unit(F.col("embedding")), F.col("centroid")), 6).alias("cosine"))
     rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("cosine"), uid)).cast("long")
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -118,7 +118,7 @@ def _square(a: Column, b: Column) -> Column:
 def davies_bouldin(df: DataFrame) -> DataFrame:
     """One row: the mean over clusters of the worst ratio of their spreads to the distance of their centres."""
     c = centroids(df)
-    spread = df.join(F.broadcast(c), "cluster_id").groupBy("cluster_id").agg(F.avg(F.sqrt(_square(F.col("embedding"), F.col("centroid")))).alias("s")).join(c, "cluster_id")
+    spread = df.join(c, "cluster_id").groupBy("cluster_id").agg(F.avg(F.sqrt(_square(F.col("embedding"), F.col("centroid")))).alias("s")).join(c, "cluster_id")
     a, b = (spread.select(*[F.col(x).alias(f"{x}_{k}") for x in ("cluster_id", "s", "centroid")]) for k in "ab")
     pairs = a.join(F.broadcast(b), F.col("cluster_id_a") != F.col("cluster_id_b"))
     ratio = (F.col("s_a") + F.col("s_b")) / F.nullif(F.sqrt(_square(F.col("centroid_a"), F.col("centroid_b"))), F.lit(0.0))
@@ -129,7 +129,7 @@ def calinski_harabasz(df: DataFrame) -> DataFrame:
     """One row: dispersion between clusters over that within, each by its degrees of freedom."""
     real = df.where("cluster_id != -1")
     c = centroids(df)
-    within = real.join(F.broadcast(c), "cluster_id").agg(F.sum(_square(F.col("embedding"), F.col("centroid"))).alias("w"), F.count("*").alias("n"))
+    within = real.join(c, "cluster_id").agg(F.sum(_square(F.col("embedding"), F.col("centroid"))).alias("w"), F.count("*").alias("n"))
     middle = mean_vectors(real.withColumn("_all", F.lit(0)), ["_all"], "embedding", "middle", DIGITS).drop("_all")
     sizes = real.groupBy("cluster_id").agg(F.count("*").alias("k"))
     between = c.join(sizes, "cluster_id").crossJoin(F.broadcast(middle)).agg(F.sum(F.col("k") * _square(F.col("centroid"), F.col("middle"))).alias("b"), F.count("*").alias("g"))
@@ -226,7 +226,7 @@ def training_pairs(chunks: DataFrame, positives: int = 2, seed: str = "pairs", l
     pool = pair_pool(chunks, least_size=least_size).select("cluster_id", "chunk_uid", (F.row_number().over(w.orderBy(h)) - 1).alias("r"), F.count("*").over(w).alias("n"))
     order = pool.select("cluster_id").distinct().withColumn("c", F.row_number().over(Window.orderBy("cluster_id")) - 1)  # one row per cluster
     k = order.count()
-    pool = pool.join(F.broadcast(order), "cluster_id")
+    pool = pool.join(order, "cluster_id")
     anchors = pool.where(F.col("r") < 2 * positives).select("cluster_id", F.col("chunk_uid").alias("anchor"), F.col("r").alias("ar"), "n", "c")
     other = pool.select(F.col("c").alias("oc"), F.col("chunk_uid").alias("other"), F.col("r").alias("pr"), F.col("n").alias("on"))
     wanted = anchors.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(positives)))).withColumn("want", (F.col("ar") + F.col("step")) % F.col("n"))
@@ -273,3 +273,26 @@ def entropy(df: DataFrame, by: str, value: str) -> DataFrame:
     n = df.groupBy(by, value).agg(F.count("*").alias("n"))
     p = F.col("n") / F.sum("n").over(Window.partitionBy(by))
     return n.withColumn("p", p).groupBy(by).agg(F.round(-F.sum(F.col("p") * F.log2("p")), 6).alias("entropy_bits"))
+
+
+def cards(chunks: DataFrame, words: int = 5, samples: int = 3, languages: int = 3) -> DataFrame:
+    """(cluster_id, n_chunks, keywords, samples, languages) of each cluster: its commonest words, surest chunks and commonest languages.
+
+    Words and languages are counted before they are ranked, so a window holds one row a word; the surest chunks are kept by
+    an aggregate of bounded size.
+    """
+    c = chunks.where("cluster_id != -1")
+
+    def first(counted: DataFrame, name: str, most: int, shown: Column) -> DataFrame:
+        ranked = counted.withColumn("r", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("n"), name))).where(F.col("r") <= most)
+        return ranked.groupBy("cluster_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", shown.alias("x")))), lambda z: z["x"]), ", ").alias(f"{name}s"))
+
+    said = c.select("cluster_id", F.explode(F.regexp_extract_all(F.lower("translated_chunk_text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("keyword"))
+    keywords = first(said.groupBy("cluster_id", "keyword").agg(F.count("*").alias("n")), "keyword", words, F.col("keyword"))
+    spoken = c.groupBy("cluster_id", F.col("detected_language").alias("language")).agg(F.count("*").alias("n"))
+    spoken = first(spoken, "language", languages, F.concat_ws(":", "language", F.col("n").cast("string")))
+    rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("hdbscan_prob"), "chunk_uid"))
+    sure = c.select("cluster_id", "chunk_uid", "hdbscan_prob").withColumn("r", rank).where(F.col("r") <= samples)
+    sure = sure.groupBy("cluster_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "chunk_uid"))), lambda z: z["chunk_uid"]), ", ").alias("samples"))
+    sizes = c.groupBy("cluster_id").agg(F.count("*").alias("n_chunks"))
+    return sizes.join(keywords, "cluster_id", "left").join(sure, "cluster_id", "left").join(spoken, "cluster_id", "left").select("cluster_id", "n_chunks", "keywords", "samples", "languages")

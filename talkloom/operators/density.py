@@ -159,11 +159,22 @@ def _sample(df: DataFrame, uid: str, vector: str, most: int):
 
 
 def density_clusters(df: DataFrame, uid: str = "vec_id", vector: str = "embedding", min_cluster_size: int = 5, min_samples: int = 5, method: str = "eom", most: int = MOST) -> DataFrame:
-    """(uid, cluster_id, hdbscan_prob, is_noise, is_high_conf) of all rows, or of a hash sample of ``most``."""
+    """(uid, cluster_id, hdbscan_prob, is_noise, is_high_conf) of all rows: a hash sample of ``most`` is clustered, and the others join the cluster
+    of the nearest centre of these, with the cosine (0 at least) as their probability; without a cluster they are noise."""
     ids, x = _sample(df, uid, vector, most)
     labels, prob = hdbscan(x, min_cluster_size, min_samples, method) if len(ids) else ([], [])
     rows = [(i, int(c), float(p), bool(c < 0), bool(c >= 0 and p >= 0.70)) for i, c, p in zip(ids, labels, prob, strict=True)]
-    return df.sparkSession.createDataFrame(rows, f"{uid} {df.schema[uid].dataType.simpleString()}, cluster_id long, hdbscan_prob double, is_noise boolean, is_high_conf boolean")
+    fitted = df.sparkSession.createDataFrame(rows, f"{uid} {df.schema[uid].dataType.simpleString()}, cluster_id long, hdbscan_prob double, is_noise boolean, is_high_conf boolean")
+    if len(ids) < most:
+        return fitted
+    rest = df.select(uid, F.col(vector).alias("embedding")).join(fitted.select(uid), uid, "left_anti")
+    centres = [(int(c), x[np.asarray(labels) == c].mean(0).tolist()) for c in sorted(set(labels)) if c >= 0]
+    if centres:
+        near = nearest_centre(rest, df.sparkSession.createDataFrame(centres, "cluster_id long, centroid array<double>"), uid)
+    else:
+        near = rest.select(uid, F.lit(-1).cast("long").alias("cluster_id"), F.lit(0.0).alias("cosine"))
+    prob = F.greatest(F.lit(0.0), F.col("cosine"))
+    return fitted.unionByName(near.select(uid, "cluster_id", prob.alias("hdbscan_prob"), (F.col("cluster_id") < 0).alias("is_noise"), ((F.col("cluster_id") >= 0) & (prob >= 0.70)).alias("is_high_conf")))
 
 
 def sweep(df: DataFrame, sizes: list[int], samples: list[int], methods: list[str], uid: str = "vec_id", most: int = 2000) -> DataFrame:

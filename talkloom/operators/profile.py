@@ -35,7 +35,7 @@ def samples(chunks: DataFrame, flags: DataFrame) -> DataFrame:
     centre = real.groupBy("cluster_id").agg(F.round(F.avg("umap_x"), 9).alias("x"), F.round(F.avg("umap_y"), 9).alias("y"))
     text = F.col("translated_chunk_text")
     fit = real.where((F.length(trim_all(text)) >= MIN_SAMPLE) & ~F.lower(text).rlike(SAMPLE_BOILERPLATE))
-    placed = fit.join(flags.select("conversation_id", "failure_type"), "conversation_id", "left").join(F.broadcast(centre), "cluster_id")
+    placed = fit.join(flags.select("conversation_id", "failure_type"), "conversation_id", "left").join(centre, "cluster_id")
     dist = F.sqrt(F.pow(F.col("umap_x") - F.col("x"), 2) + F.pow(F.col("umap_y") - F.col("y"), 2))
     placed = placed.select("cluster_id", "chunk_uid", "hdbscan_prob", F.substring(text, 1, SNIPPET).alias("snippet"), dist.alias("dist"), stratum(F.col("failure_type")).alias("stratum"))
     by = Window.partitionBy("cluster_id")

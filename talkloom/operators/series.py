@@ -72,6 +72,19 @@ def autocorrelation(series: DataFrame, lags: int = 4) -> DataFrame:
     return long.select("key", F.col("lag").cast("long").alias("lag"), F.round("acf", 6).alias("acf"), F.round(q, 4).alias("q"))
 
 
+def partial_autocorrelation(series: DataFrame, lags: int = 4) -> DataFrame:
+    """(key, lag, pacf) by the recursion of Durbin and Levinson over the autocorrelations: one row a key, few lags."""
+    by_lag = autocorrelation(series, lags).groupBy("key").agg(*[F.max(F.when(F.col("lag") == k, F.col("acf"))).alias(f"r{k}") for k in range(1, lags + 1)])
+    r = lambda k: F.col(f"r{k}")
+    out = by_lag.withColumn("p1_1", r(1))
+    for k in range(2, lags + 1):
+        over = r(k) - sum(F.col(f"p{k - 1}_{j}") * r(k - j) for j in range(1, k))
+        under = F.lit(1.0) - sum(F.col(f"p{k - 1}_{j}") * r(j) for j in range(1, k))
+        out = out.withColumn(f"p{k}_{k}", over / F.nullif(under, F.lit(0.0)))
+        out = out.withColumns({f"p{k}_{j}": F.col(f"p{k - 1}_{j}") - F.col(f"p{k}_{k}") * F.col(f"p{k - 1}_{k - j}") for j in range(1, k)})
+    return out.select("key", F.posexplode(F.array(*[F.round(f"p{k}_{k}", 4) for k in range(1, lags + 1)])).alias("lag", "pacf")).withColumn("lag", (F.col("lag") + 1).cast("long"))
+
+
 def jarque_bera(series: DataFrame) -> DataFrame:
     """(key, jb): n / 6 * (skewness^2 + (kurtosis - 3)^2 / 4)."""
     c = series.withColumn("d", F.col("y") - F.avg("y").over(Window.partitionBy("key")))

@@ -37,7 +37,7 @@ def tf_idf(docs: DataFrame, doc: str, text: str, least_docs: int = 3, most_terms
 def top_terms(weights: DataFrame, groups: DataFrame, doc: str, group: str, k: int = 5) -> DataFrame:
     """The ``k`` terms of highest mean weight over the documents of each group (absent terms count as 0)."""
     n = groups.groupBy(group).agg(F.count("*").alias("n"))
-    sums = weights.join(groups, doc).groupBy(group, "term").agg(F.sum("weight").alias("s")).join(F.broadcast(n), group)
+    sums = weights.join(groups, doc).groupBy(group, "term").agg(F.sum("weight").alias("s")).join(n, group)
     means = sums.select(group, "term", F.round(F.col("s") / F.col("n"), 8).alias("mean"))
     rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("mean"), "term")).cast("long")
     return means.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -396,7 +396,7 @@ def non_english_clusters(r):
 @query("d37_declining_clusters", f"SELECT cluster_id, n_chunks, n_conversations, chunk_headline_failure_rate_pct, headline_failure_rate_pct, {trim_sql('cluster_description')} AS cluster_description FROM (SELECT unnest([{', '.join(map(str, fixed.DECLINING))}]) AS cluster_id) JOIN descriptions USING (cluster_id)")
 def declining_clusters(r):
     ids = r.spark.range(1).select(F.explode(F.array(*[F.lit(i).cast("long") for i in fixed.DECLINING])).alias("cluster_id"))
-    return r.descriptions.join(F.broadcast(ids), "cluster_id").select("cluster_id", "n_chunks", "n_conversations", "chunk_headline_failure_rate_pct", "headline_failure_rate_pct", "cluster_description")
+    return r.descriptions.join(ids, "cluster_id").select("cluster_id", "n_chunks", "n_conversations", "chunk_headline_failure_rate_pct", "headline_failure_rate_pct", "cluster_description")
 
 
 @query("d38_dashboard_kpis", f"""

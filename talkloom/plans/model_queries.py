@@ -208,7 +208,7 @@ def density_clusters(r):
 
 @query("v22_density_sweep")
 def density_sweep(r):
-    return density.sweep(vectors(r), [10, 20], [5], ["eom", "leaf"], most=500)
+    return density.sweep(vectors(r), [10, 20], [5], ["eom", "leaf"])
 
 
 @query("v25_k_means")
@@ -334,13 +334,13 @@ def registry(r):
 
 
 # --- series ---------------------------------------------------------------------------------------------------------
-DAILY = """dl AS (SELECT event_type AS key, CAST(ts AS DATE) AS ds, count(*) AS y FROM events WHERE user_id % 5 = 0 GROUP BY 1, 2),
+DAILY = """dl AS (SELECT event_type AS key, CAST(ts AS DATE) AS ds, count(*) AS y FROM events GROUP BY 1, 2),
 sp AS (SELECT k.key, d.ds::DATE AS ds, coalesce(dl.y, 0)::DOUBLE AS y FROM (SELECT DISTINCT key FROM dl) k CROSS JOIN (SELECT unnest(generate_series((SELECT min(ds) FROM dl)::TIMESTAMP, (SELECT max(ds) FROM dl)::TIMESTAMP, INTERVAL 1 DAY)) AS ds) d LEFT JOIN dl ON dl.key = k.key AND dl.ds = d.ds::DATE)"""
 WEEKLY = "wk AS (SELECT o_orderpriority AS key, CAST(date_trunc('week', o_orderdate) AS DATE) AS ds, count(*)::DOUBLE AS y FROM orders GROUP BY 1, 2), ix AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ds) - 1 AS idx, count(*) OVER (PARTITION BY key) AS n FROM wk)"
 
 
 def daily(r) -> DataFrame:
-    g = r.table("events").where("user_id % 5 = 0").groupBy(F.col("event_type").alias("key"), F.to_date("ts").alias("ds")).agg(F.count("*").alias("y"))
+    g = r.table("events").groupBy(F.col("event_type").alias("key"), F.to_date("ts").alias("ds")).agg(F.count("*").alias("y"))
     return series.spine(g, "key", "ds", "y")
 
 
@@ -378,6 +378,16 @@ def autocorrelation(r):
     return series.autocorrelation(daily(r))
 
 
+@query("z05e_partial_autocorrelation", f"""WITH {DAILY}, d AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY ds) AS i, y - avg(y) OVER (PARTITION BY key) AS d FROM sp),
+a AS (SELECT x.key, k AS lag, round(sum(x.d * z.d) / (SELECT sum(d * d) FROM d w WHERE w.key = x.key), 6) AS acf FROM d x, range(1, 5) g(k), d z WHERE z.key = x.key AND z.i = x.i - k GROUP BY x.key, k),
+r AS (SELECT key, max(acf) FILTER (WHERE lag = 1) AS r1, max(acf) FILTER (WHERE lag = 2) AS r2, max(acf) FILTER (WHERE lag = 3) AS r3, max(acf) FILTER (WHERE lag = 4) AS r4 FROM a GROUP BY 1),
+s2 AS (SELECT *, (r2 - r1 * r1) / (1 - r1 * r1) AS p2 FROM r), s3 AS (SELECT *, r1 - p2 * r1 AS q1 FROM s2), s4 AS (SELECT *, (r3 - q1 * r2 - p2 * r1) / (1 - q1 * r1 - p2 * r2) AS p3 FROM s3),
+s5 AS (SELECT *, q1 - p3 * p2 AS t1, p2 - p3 * q1 AS t2 FROM s4), s6 AS (SELECT *, (r4 - t1 * r3 - t2 * r2 - p3 * r1) / (1 - t1 * r1 - t2 * r2 - p3 * r3) AS p4 FROM s5)
+SELECT key, 1::BIGINT AS lag, round(r1, 4) AS pacf FROM s6 UNION ALL SELECT key, 2, round(p2, 4) FROM s6 UNION ALL SELECT key, 3, round(p3, 4) FROM s6 UNION ALL SELECT key, 4, round(p4, 4) FROM s6""")
+def partial_autocorrelation(r):
+    return series.partial_autocorrelation(daily(r))
+
+
 @query("z05b_jarque_bera", f"WITH {DAILY}, d AS (SELECT key, y - avg(y) OVER (PARTITION BY key) AS d FROM sp), m AS (SELECT key, count(*) AS n, avg(pow(d, 2)) AS m2, avg(pow(d, 3)) AS m3, avg(pow(d, 4)) AS m4 FROM d GROUP BY 1) SELECT key, round(n / 6 * (m3 * m3 / pow(m2, 3) + pow(m4 / pow(m2, 2) - 3, 2) / 4), 4) AS jb FROM m")
 def jarque_bera(r):
     return series.jarque_bera(daily(r))
@@ -511,3 +521,46 @@ SELECT * FROM (SELECT grp, term, weight, row_number() OVER (PARTITION BY grp ORD
 def class_tf_idf(r):
     docs = r.docs.select(F.coalesce("category", F.lit("none")).alias("grp"), "conversation_text_translated")
     return terms.class_tf_idf(docs, "grp", "conversation_text_translated")
+
+
+# --- further predicates and reports ---------------------------------------------------------------------------------
+@query("f28_json_path", """SELECT event_type, json_extract_string('[' || props || ']', '$[0].k') AS k, count(*) AS n, count(json_extract_string('[' || props || ']', '$[1].k')) AS second FROM events GROUP BY 1, 2""")
+def json_path(r):
+    e = r.table("events").withColumn("j", F.concat(F.lit("["), "props", F.lit("]")))
+    e = e.withColumns({"k": F.get_json_object("j", "$[0].k"), "k2": F.get_json_object("j", "$[1].k")})
+    return e.groupBy("event_type", "k").agg(F.count("*").alias("n"), F.count("k2").alias("second"))
+
+
+@query("p04_between_dates", """SELECT count(*) AS n, count(DISTINCT conversation_id) AS conversations, count(*) FILTER (WHERE CAST(conversation_start_date AS DATE) = DATE '2025-08-31') AS on_last_day
+FROM messages_raw WHERE content IS NOT NULL AND conversation_start_date BETWEEN TIMESTAMP '2025-05-11' AND TIMESTAMP '2025-08-31'""")
+def between_dates(r):
+    """The upper bound is midnight: all but the first instant of its day is cut."""
+    m = r.messages.where(F.col("content").isNotNull() & F.col("conversation_start_date").between("2025-05-11", "2025-08-31"))
+    return m.agg(F.count("*").alias("n"), F.count_distinct("conversation_id").alias("conversations"), F.count_if(F.to_date("conversation_start_date") == F.lit("2025-08-31").cast("date")).alias("on_last_day"))
+
+
+@query("p14_length_range", f"SELECT lang, count(*) AS n_before, count(*) FILTER (WHERE length(text) BETWEEN 200 AND 5000) AS n_kept, {pct_sql('count(*) FILTER (WHERE length(text) BETWEEN 200 AND 5000)', 'count(*)', 1)} AS kept_pct FROM documents GROUP BY 1")
+def length_range(r):
+    kept = F.count_if(F.length("text").between(200, 5000))
+    return r.table("documents").groupBy("lang").agg(F.count("*").alias("n_before"), kept.alias("n_kept")).withColumn("kept_pct", pct(F.col("n_kept"), F.col("n_before"), 1))
+
+
+@query("p16_valid_configs", SWEEP + " SELECT pipeline_track, selection_method, min_cluster_size, n_clusters FROM s WHERE n_clusters BETWEEN 30 AND 250 AND noise_pct <= 55 AND silhouette_embed_cosine IS NOT NULL")
+def valid_configs(r):
+    s = r.spark.createDataFrame(SWEEP_ROWS, SWEEP_SCHEMA)
+    return clusters.valid_configs(s).select("pipeline_track", "selection_method", "min_cluster_size", "n_clusters")
+
+
+@query("t02_nulls_last", "SELECT conversation_id, category FROM docs ORDER BY category DESC NULLS LAST, conversation_id LIMIT 40")
+def nulls_last(r):
+    return r.docs.select("conversation_id", "category").orderBy(F.desc_nulls_last("category"), "conversation_id").limit(40)
+
+
+@query("v28_cluster_cards", """
+WITH c AS (SELECT * FROM chunks WHERE cluster_id <> -1), w AS (SELECT cluster_id, unnest(regexp_extract_all(lower(translated_chunk_text), '[a-z]{4,}')) AS word FROM c),
+k AS (SELECT cluster_id, string_agg(word, ', ' ORDER BY n DESC, word) AS keywords FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, word) AS r FROM (SELECT cluster_id, word, count(*) AS n FROM w GROUP BY 1, 2)) WHERE r <= 5 GROUP BY 1),
+s AS (SELECT cluster_id, string_agg(chunk_uid, ', ' ORDER BY hdbscan_prob DESC, chunk_uid) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY hdbscan_prob DESC, chunk_uid) AS r FROM c) WHERE r <= 3 GROUP BY 1),
+l AS (SELECT cluster_id, string_agg(detected_language || ':' || n, ', ' ORDER BY n DESC, detected_language) AS languages FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, detected_language) AS r FROM (SELECT cluster_id, detected_language, count(*) AS n FROM c GROUP BY 1, 2)) WHERE r <= 3 GROUP BY 1)
+SELECT t.cluster_id, t.n_chunks, keywords, samples, languages FROM (SELECT cluster_id, count(*) AS n_chunks FROM c GROUP BY 1) t LEFT JOIN k USING (cluster_id) LEFT JOIN s USING (cluster_id) LEFT JOIN l USING (cluster_id)""")
+def cluster_cards(r):
+    return clusters.cards(r.chunks)

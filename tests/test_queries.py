@@ -29,7 +29,7 @@ def normal(x):
     return x
 
 
-CHOSEN = ["o12_failure_flags", "o14_failure_by_chunk_cluster", "o17_cluster_profile", "o02_conversation_docs", "o08_chunker", "d14_cited_against_actual", "d28_language_coherence", "d40a_conversation_label_table", "v08_merge_clusters", "v29_training_pairs", "z04_decomposition", "z13_measures", "o24_failed_keywords", "o01_pseudonymise_and_scrub"]
+CHOSEN = ["o12_failure_flags", "o14_failure_by_chunk_cluster", "o17_cluster_profile", "o02_conversation_docs", "o08_chunker", "d14_cited_against_actual", "d28_language_coherence", "d40a_conversation_label_table", "v08_merge_clusters", "v29_training_pairs", "z04_decomposition", "z13_measures", "o24_failed_keywords", "o01_pseudonymise_and_scrub", "f28_json_path", "p04_between_dates", "p14_length_range", "p16_valid_configs", "t02_nulls_last", "v28_cluster_cards", "z05e_partial_autocorrelation", "z06_date_spine", "z01_trend", "z05a_autocorrelation", "z05b_jarque_bera", "v12_representatives", "v15a_davies_bouldin", "v15b_calinski_harabasz", "v27_top_terms"]
 
 
 @pytest.mark.parametrize("name", CHOSEN)
