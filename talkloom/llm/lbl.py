@@ -167,7 +167,37 @@ def started(unigram: np.ndarray) -> dict:
 
 
 def _by(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    return np.stack([np.bincount(index, rows[:, d], n) for d in range(rows.shape[1])], 1).astype(np.float32)
+    wide = rows.shape[1]
+    flat = (index[:, None] * wide + np.arange(wide)).ravel()
+    return np.bincount(flat, rows.ravel(), n * wide).reshape(n, wide).astype(np.float32)
+
+
+def _chance(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-x)), in the place of ``x``."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _added_up(index: np.ndarray, values: tuple) -> tuple[np.ndarray, tuple]:
+    """The distinct numbers of ``index`` (under 2**16) and, for each of ``values``, the sums of its rows by them."""
+    order = np.argsort(index.astype(np.uint16), kind="stable")  # by digits, as numbers have 16 bits
+    held = index[order]
+    begin = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+    size = np.diff(begin, append=len(held))
+    # most stand alone, and only the others need adding
+    more = np.flatnonzero(size > 1)
+    some = order[np.repeat(size > 1, size)]
+    at = np.cumsum(size[more]) - size[more]
+    out = []
+    for x in values:
+        total = x[order[begin]]
+        if len(more):
+            total[more] = np.add.reduceat(x[some], at, axis=0)
+        out.append(total)
+    return held[begin], tuple(out)
 
 
 class Descent:
@@ -179,29 +209,42 @@ class Descent:
         self.upto = np.cumsum(p["noise"])
         self.log_noise = np.log(np.maximum(p["noise"], 1e-12) * NOISE).astype(np.float32)
         self.sum = {k: np.full(self.p[k].shape, FLOOR, np.float32) for k in ("r", "q", "c1", "c2", "b")}
+        # places of a step's rows, taken once
+        self.h, self.qw, self.g, self.z = (np.empty((BATCH + extra, wide), np.float32) for extra, wide in ((0, DIM), (0, DIM), (NOISE, DIM), (0, NOISE)))
 
     def _move(self, k: str, rows, g: np.ndarray) -> None:
-        self.sum[k][rows] += g * g
-        self.p[k][rows] -= self.rate * g / np.sqrt(self.sum[k][rows])
+        s = self.sum[k][rows] + g * g
+        self.sum[k][rows] = s
+        self.p[k][rows] -= self.rate * g / np.sqrt(s)
 
     def step(self, cell: np.ndarray, n: np.ndarray) -> None:
-        p, n_out = self.p, len(self.p["q"])
-        w, u1, u2 = cell % n_out, cell // n_out % CLASSES, cell // n_out // CLASSES
+        p, n_out, size = self.p, len(self.p["q"]), len(cell)
+        pair = cell // n_out
+        w, u2 = cell - pair * n_out, pair // CLASSES
+        u1 = pair - u2 * CLASSES
         weight = (n / n.sum()).astype(np.float32)
         false = np.searchsorted(self.upto, self.rng.random(NOISE) * self.upto[-1], side="right").clip(1, n_out - 1)
-        a, b = p["r"] @ p["c1"], p["r"] @ p["c2"]
-        h, qw, qf = a[u1] + b[u2], p["q"][w], p["q"][false]
-        d_true = weight * (1 / (1 + np.exp(-np.clip(np.einsum("ij,ij->i", h, qw) + p["b"][w] - self.log_noise[w], -30, 30))) - 1)
-        d_false = weight[:, None] / (1 + np.exp(-np.clip(h @ qf.T + (p["b"][false] - self.log_noise[false]), -30, 30)))
-        dh = d_true[:, None] * qw + d_false @ qf
-        both = np.concatenate([w, false])
-        order = np.argsort(both, kind="stable")
-        sorted_rows = both[order]
-        begin = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-        rows = sorted_rows[begin]
-        g = np.concatenate([d_true[:, None] * h, d_false.T @ h])
-        self._move("q", rows, np.add.reduceat(g[order], begin, axis=0))
-        self._move("b", rows, np.add.reduceat(np.concatenate([d_true, d_false.sum(0)])[order], begin))
+        h, qw, qf = self.h[:size], self.qw[:size], p["q"][false]
+        np.take(p["r"] @ p["c2"], u2, 0, out=h, mode="clip")
+        np.take(p["r"] @ p["c1"], u1, 0, out=qw, mode="clip")
+        h += qw
+        np.take(p["q"], w, 0, out=qw, mode="clip")
+        true, d_false = np.einsum("ij,ij->i", h, qw), np.matmul(h, qf.T, out=self.z[:size])
+        true += p["b"][w] - self.log_noise[w]
+        d_false += p["b"][false] - self.log_noise[false]
+        d_true = (weight * (_chance(true) - 1))[:, None]
+        _chance(d_false)
+        d_false *= weight[:, None]
+        # gradients of the outputs, then those of the contexts
+        g = self.g[: size + NOISE]
+        np.multiply(d_true, h, out=g[:size])
+        np.matmul(d_false.T, h, out=g[size:])
+        dh = np.matmul(d_false, qf, out=h)
+        qw *= d_true
+        dh += qw
+        rows, (g_q, g_b) = _added_up(np.concatenate([w, false]), (g, np.concatenate([d_true[:, 0], d_false.sum(0)])))
+        self._move("q", rows, g_q)
+        self._move("b", rows, g_b)
         ga, gb = _by(u1, dh, CLASSES), _by(u2, dh, CLASSES)
         g_r, g_1, g_2 = ga @ p["c1"].T + gb @ p["c2"].T, p["r"].T @ ga, p["r"].T @ gb
         every = slice(None)
