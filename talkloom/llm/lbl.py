@@ -24,6 +24,7 @@ import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -69,8 +70,7 @@ class IdOf(dict):
         self._start()
 
     def _start(self) -> None:
-        # the most frequent words are contexts as well, and stand before the shared outputs
-        self.update((t, i + 2 if i < OWN else i + 2 + SHARED) for i, t in enumerate(self.words))
+        self.update((t, output(i)) for i, t in enumerate(self.words))
 
     def __missing__(self, token: bytes) -> int:
         if len(self) > 400_000:
@@ -84,6 +84,11 @@ class IdOf(dict):
         return c
 
 
+def output(rank: int) -> int:
+    """The output of the word of this rank; the most frequent words are contexts as well, and stand before the shared outputs."""
+    return rank + 2 if rank < OWN else rank + 2 + SHARED
+
+
 def shared(token: bytes) -> int:
     return 2 + OWN + zlib.crc32(token[-SUFFIX:]) % SHARED
 
@@ -380,37 +385,54 @@ SCORED = "rid long, doc_id long, n_tokens long, s double, known long, model doub
 def _text_scorer(sent):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        ids, of, head, p = IdOf(model["words"]), contexts(model["words"]), model["head"], model["p"]
+        n_own, of, p = len(model["words"]), contexts(model["words"]), model["p"]
+        size = len(model["head"])
+        place = dict(zip(model["head"], range(size), strict=True))
+        # by place in the head, and one more for tokens that aren't there
+        out_of = np.array([output(i) if i < n_own else shared(t) for i, t in enumerate(model["head"])] + [0], np.int64)
+        log_c = np.append(model["log_c"], 0.0)
+        in_shared = (out_of >= 2 + OWN) & (out_of < CLASSES)
+        log_shared = np.where(in_shared, log_c, 0.0)
         h = ((p["r"] @ p["c2"])[:, None] + p["r"] @ p["c1"]).reshape(CLASSES * CLASSES, DIM)
         log_sum, part, end = model["log_sums"], model["log_z"], model["end"]
         rid = TaskContext.get().partitionId() << 40
         for batch in batches:
             cols: list[list] = [[] for _ in range(8)]
-            for doc_id, text in zip(batch.column("doc_id"), _texts(batch), strict=True):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), _texts(batch), strict=True):
                 toks = tokens(text)
-                lbl = 0.0
-                out = _ids(toks, ids)
+                at = np.fromiter(map(place.get, toks, repeat(size)), np.int64, len(toks))
+                rare = np.flatnonzero(at == size)
+                out = np.zeros(len(at) + 3, np.int64)
+                out[2:-1] = out_of[at]
+                out[-1] = 1
+                s, known = np.log10(end + ADD) + log_c[at].sum(), int(end > 0) + len(at) - len(rare)
+                # a token without an output of its own has its share of the shared one
+                lbl = log_shared[at].sum()
+                others = list(map(toks.__getitem__, rare.tolist()))
+                tail = Counter(others)
+                outs, long_own = list(map(shared, others)), {}
+                for t in [t for t in tail if len(t) > HEAD_BYTES]:
+                    held = place.get(short(t), size)
+                    if held < size:
+                        k = tail.pop(t)
+                        s += k * log_c[held]
+                        known += k
+                        if held >= n_own:
+                            lbl += k * log_c[held]
+                        else:
+                            long_own[t] = output(held)
+                if long_own:
+                    outs = [long_own.get(t, w) for t, w in zip(others, outs, strict=True)]
+                out[2 + rare] = outs
                 c = of[out]
                 pairs = c[:-2] * CLASSES + c[1:-1]
                 for i in range(0, len(pairs), 1 << 18):
                     pair, w = pairs[i : i + (1 << 18)], out[2 + i : 2 + i + (1 << 18)]
                     lbl += float((np.einsum("ij,ij->i", h[pair], p["q"][w]) + p["b"][w] - log_sum[pair]).sum(dtype=np.float64)) / np.log(10)
-                # a token without an output of its own has its share of the shared one
                 rest = out[2:]
                 rest = rest[(rest >= 2 + OWN) & (rest < CLASSES)]
-                lbl -= float(part[rest].sum())
-                s, known, tail, times = np.log10(end + ADD), int(end > 0), [], []
-                for t, k in Counter(toks).items():
-                    log_c = head.get(t if len(t) <= HEAD_BYTES else short(t))
-                    if log_c is None:
-                        tail.append(t)
-                        times.append(k)
-                    else:
-                        s += k * log_c
-                        known += k
-                        if 2 + OWN <= ids[t] < CLASSES:
-                            lbl += k * log_c
-                for col, x in zip(cols, (rid, doc_id.as_py(), len(toks) + 1, float(s), known, lbl, tail, times), strict=True):
+                lbl -= part[rest].sum()
+                for col, x in zip(cols, (rid, doc_id, len(toks) + 1, float(s), known, float(lbl), list(tail), list(tail.values())), strict=True):
                     col.append(x)
                 rid += 1
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
@@ -453,7 +475,7 @@ def fit(docs: DataFrame):
     unigram[CLASSES:] = c[OWN : len(own)]
     p = fitted(triples, unigram)
     model = {
-        "words": own, "head": dict(zip(words, np.log10(c + ADD).tolist(), strict=True)), "p": {k: a for k, a in p.items() if k != "noise"}, "log_sums": all_log_sums(spark, p),
+        "words": own, "head": words, "log_c": np.log10(c + ADD), "p": {k: a for k, a in p.items() if k != "noise"}, "log_sums": all_log_sums(spark, p),
         "log_z": np.log10(n_of + ADD * (v_of + 1)), "end": int(end),
     }
     return counts, model, int(n), int(v)
