@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from talkloom.llm import audio, decontaminate, lbl, linededup, mixing, pagetext, quality, secrets, simhash, toxicity
+from talkloom.llm import audio, decontaminate, lbl, linededup, mixing, pagetext, quality, secrets, simhash, suffixdedup, toxicity
 from talkloom.sources.scratch import table
 
 
@@ -24,6 +24,7 @@ def queries() -> dict:
         "op8_quality_mil": lambda spark, d: quality.op8(table(spark, d, "documents"), table(spark, d, "labels")),
         "op9_mixing_poisson": _on("documents", mixing.op9),
         "op10_line_dedup": _on("documents", linededup.op10),
+        "op13_suffix_dedup": _on("documents", suffixdedup.op13),
         "pipeline": corpus_pipeline.run,
     }
 
