@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from talkloom.llm import audio, decontaminate, lbl, linededup, mixing, pagetext, quality, secrets, simhash, suffixdedup, toxicity
+from talkloom.llm import audio, decontaminate, lbl, linededup, mixing, pagetext, quality, secrets, simhash, suffixdedup, toxicity, vectorcodes, whitening
 from talkloom.sources.scratch import table
 
 
@@ -24,10 +24,12 @@ def queries() -> dict:
         "op8_quality_mil": lambda spark, d: quality.op8(table(spark, d, "documents"), table(spark, d, "labels")),
         "op9_mixing_poisson": _on("documents", mixing.op9),
         "op10_line_dedup": _on("documents", linededup.op10),
+        "op11_vector_codes": _on("embeddings", vectorcodes.op11),
+        "op12_whitening": _on("embeddings", whitening.op12),
         "op13_suffix_dedup": _on("documents", suffixdedup.op13),
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing_poisson": mixing.OP9_SQL, "op10_line_dedup": linededup.OP10_SQL}
+    return {"op9_mixing_poisson": mixing.OP9_SQL, "op10_line_dedup": linededup.OP10_SQL, "op11_vector_codes": vectorcodes.OP11_SQL}
