@@ -11,10 +11,10 @@ of the others go. The digits are:
 2. The run: its bytes, from its first window's beginning to its last one's end. Runs that are equal throughout hold equal
    windows in equal order, so all of them but the first are settled, window by window. Under a pivot with one kind of run
    there is nothing more to do.
-3. The first and the second half of the window, for the windows of the first run of each kind where a pivot has several
-   kinds: these are the edges of repeats. All but the first of an equal group go.
+3. The whole window, for the windows of the first run of each kind where a pivot has several kinds: these are the edges of
+   repeats. All but the first of an equal group go.
 
-Digits are 64-bit hashes, compared within a group of equal digits before. Equal records of one batch are put together before
+Digits are hashes: 64 bits of the pivot and 64 of the run under it, 95 of a window. Equal records of one batch are put together before
 a shuffle, so a frequent run or window meets itself once a batch; pivots with a thousandth of all runs or more, which are
 a thousand at most, are dealt by pivot and run. Groups are told apart by streaming over sorted partitions: no group is held.
 Texts cross a shuffle twice, compressed, to where the records of their document are.
@@ -166,18 +166,22 @@ def _first_of_equals(a: np.ndarray, b: np.ndarray, *order: np.ndarray) -> np.nda
     return out
 
 
-#: A record: two digits, the document's key, its place. ``told``: the batch has an earlier equal one.
-_RECORD = "deal long, one long, two long, doc long, tie long, at long, told boolean"
+#: A record: two digits, the document's key, and its place << 10 | hot << 9 | told << 8 | number of windows. ``told``: the batch
+#: has an earlier equal one; ``hot``: it is dealt by both digits.
+_RECORD = "one long, two long, doc long, tie long, at long"
+TOLD, OPEN = 1 << 8, 1 << 9
 
 
-def _records(one, two, doc, tie, at, deal) -> pa.RecordBatch:
+def _records(one, two, doc, tie, at, hot=None) -> pa.RecordBatch:
     first = _first_of_equals(one, two, doc, tie, at)
     told = (doc != doc[first]) | (tie != tie[first]) | (at != at[first])
-    same = ~told & (first != np.arange(len(first)))  # a row stated again
-    keep = ~same
-    deal = np.where(told, doc ^ at, deal)
-    cols = [x[keep] for x in (deal, one, two, doc, tie, at, told)]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["deal", "one", "two", "doc", "tie", "at", "told"])
+    keep = told | (first == np.arange(len(first)))  # without rows stated again
+    if hot is not None:
+        one, at = np.where(hot, one ^ two, one), np.where(hot, at | OPEN, at)
+    with np.errstate(over="ignore"):  # told records need no group and are dealt evenly
+        spread = (doc * 31 + at) * np.int64(0x2545F4914F6CDD1D)
+    one, two, at = np.where(told, spread, one), np.where(told, 0, two), np.where(told, at | TOLD, at)
+    return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (one, two, doc, tie, at)], names=["one", "two", "doc", "tie", "at"])
 
 
 def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -206,27 +210,27 @@ def _run_records(hot: np.ndarray, depth: int, pivot: int):
             doc, tie = _keys(batch)
             i, at, n, h, ctx = batch_runs(batch.column("body"), depth, pivot)
             h, ctx = h.view(np.int64), ctx.view(np.int64)
-            yield _records(h, ctx, doc[i], tie[i], at << 8 | n, np.where(np.isin(h, hot), h ^ ctx, h))
+            yield _records(h, ctx, doc[i], tie[i], at << 10 | n, np.isin(h, hot))
 
     return of
 
 
-def _settle(hot: np.ndarray | None):
-    """Records sorted by digits, document and place: the ones that aren't the first of their group are ``gone``; with ``hot``
-    the firsts of groups that share digit one with another group are ``open`` (gone false)."""
+def _settle(opens: bool):
+    """Records sorted by digits, document and place: those that aren't the first of their group are ``gone``. With ``opens``
+    the firsts of groups that share digit one with another group, and of hot ones, come out too, not gone."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = kind = first = held = None  # digit one, digit two, the first of that kind, a first whose pivot has no other kind yet
+        # digit one, digit two and the first record of the group so far; a first whose digit one has no other group yet
+        group = kind = first = held = None
         for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("one", "two", "doc", "tie", "at")]
-            told = batch.column("told").to_numpy(zero_copy_only=False)
-            out = [np.stack([c[told] for c in cols[2:]])]
-            gone = [np.ones(int(told.sum()), bool)]
-            one, two, doc, tie, at = (c[~told] for c in cols)
+            one, two, doc, tie, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("one", "two", "doc", "tie", "at"))
+            told = (at & TOLD) > 0
+            out = [np.stack([doc, tie, at])[:, told]]
+            one, two, doc, tie, at = (c[~told] for c in (one, two, doc, tie, at))
             n = len(one)
+            still = []
             if n:
-                g = np.empty(n, bool)
-                k = np.empty(n, bool)
+                g, k = np.empty(n, bool), np.empty(n, bool)
                 g[0], k[0] = one[0] != group, one[0] != group or two[0] != kind
                 g[1:] = one[1:] != one[:-1]
                 k[1:] = g[1:] | (two[1:] != two[:-1])
@@ -235,22 +239,20 @@ def _settle(hot: np.ndarray | None):
                 of_first = [np.where(begin >= 0, x[begin], c) for x, c in zip((doc, tie, at), carried, strict=True)]
                 later = ~k & ((doc != of_first[0]) | (tie != of_first[1]) | (at != of_first[2]))
                 out.append(np.stack([doc, tie, at])[:, later])
-                gone.append(np.ones(int(later.sum()), bool))
-                if hot is not None:
-                    firsts = np.flatnonzero(k)
-                    always, other = np.isin(one[firsts], hot), ~g[firsts]
-                    follows = np.append(other[1:], False)  # the next kind has the same pivot
-                    is_open = always | other | follows
-                    if len(firsts):
-                        if held is not None and other[0]:  # so has the first kind after the batch before
-                            out.append(np.array([held]).T)
-                            gone.append(np.zeros(1, bool))
-                        held = None if is_open[-1] else tuple(x[firsts[-1]] for x in (doc, tie, at))
-                    out.append(np.stack([doc, tie, at])[:, firsts[is_open]])
-                    gone.append(np.zeros(int(is_open.sum()), bool))
+                firsts = np.flatnonzero(k) if opens else []
+                if len(firsts):
+                    other = ~g[firsts]
+                    follows = np.append(other[1:], False)  # the next group has the same digit one
+                    is_open = ((at[firsts] & OPEN) > 0) | other | follows
+                    if held is not None and other[0]:  # so has the first group after the batch before
+                        still.append(np.array([held]).T)
+                    held = None if is_open[-1] else tuple(x[firsts[-1]] for x in (doc, tie, at))
+                    still.append(np.stack([doc, tie, at])[:, firsts[is_open]])
                 group, kind, first = one[-1], two[-1], tuple(x[-1] for x in of_first)
-            rows = np.concatenate(out, axis=1)
-            yield pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.array(np.concatenate(gone))], names=["doc", "tie", "at", "gone"])
+            gone, still = np.concatenate(out, axis=1), np.concatenate(still, axis=1) if still else np.zeros((3, 0), np.int64)
+            rows = np.concatenate([gone, still], axis=1)
+            rows[2] = rows[2] >> 10 << 8 | rows[2] & 255
+            yield pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.array(np.arange(rows.shape[1]) < gone.shape[1])], names=["doc", "tie", "at", "gone"])
 
     return of
 
@@ -267,28 +269,28 @@ def _unpack(blob: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(blob)
 
 
-def _window_records(depth: int):
-    """The windows of each document's open runs."""
-    half = depth // 2
-    digest = xxhash.xxh3_64_intdigest
+def _window_records(depth: int, most: int = 200_000):
+    """The windows of each document's open runs, ``most`` or a document's at a time."""
+    digest = xxhash.xxh3_128_digest
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, tie = _keys(batch)
-            part: list[list] = [[], [], [], []]
+            digits: list[bytes] = []
+            which: list[np.ndarray] = []
+            where: list[np.ndarray] = []
             for i, (blob, ats) in enumerate(zip(batch.column("body"), batch.column("ats"), strict=True)):
-                body, ats = _unpack(blob.as_py()), ats.values.to_numpy()
-                places = [p for x in sorted(set(ats.tolist())) for p in range(x >> 8, (x >> 8) + (x & 255))]
-                part[0] += [digest(body[p : p + half]) for p in places]
-                part[1] += [digest(body[p + half : p + depth]) for p in places]
-                part[2] += [i] * len(places)
-                part[3] += places
-                if len(part[0]) > 500_000 or i == batch.num_rows - 1:
-                    if part[0]:
-                        one, two = (np.array(x, np.uint64).view(np.int64) for x in part[:2])
-                        i_of, at = np.array(part[2]), np.array(part[3])
-                        yield _records(one, two, doc[i_of], tie[i_of], at << 8 | 1, one ^ (two >> 7))
-                    part = [[], [], [], []]
+                body, ats = _unpack(blob.as_py()), np.unique(ats.values.to_numpy())
+                n = ats & 255
+                places = np.repeat((ats >> 8) - np.cumsum(n) + n, n) + np.arange(n.sum())
+                digits += [digest(body[p : p + depth]) for p in places.tolist()]
+                which.append(np.full(len(places), i))
+                where.append(places)
+                if len(digits) >= most or i == batch.num_rows - 1:
+                    both = np.frombuffer(b"".join(digits), np.int64).reshape(-1, 2)
+                    of_doc, at = np.concatenate(which), np.concatenate(where)
+                    yield _records(both[:, 0], both[:, 1] & 0x7FFFFFFF, doc[of_doc], tie[of_doc], at << 10 | 1)
+                    digits, which, where = [], [], []
 
     return of
 
@@ -333,7 +335,7 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 def _sorted(records: DataFrame) -> DataFrame:
     n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return records.repartition(n, "deal").sortWithinPartitions("one", "two", "doc", "tie", "at").drop("deal")
+    return records.repartition(n, "one").sortWithinPartitions("one", "two", "doc", "tie", "at")
 
 
 def repeats(rows: DataFrame, depth: int = DEPTH, pivot: int = PIVOT, share: int = HOT) -> DataFrame:
@@ -347,11 +349,11 @@ def repeats(rows: DataFrame, depth: int = DEPTH, pivot: int = PIVOT, share: int
     hot = np.array(sorted(r.one for r in heavy.where(F.col("one").isNotNull() & (F.col("n") * share >= total)).select("one").collect()), np.int64)
     drop_cut(heavy)
     dealt = _sorted(long.select("doc", "tie", "body").mapInArrow(_run_records(hot, depth, pivot), _RECORD))
-    found = cut(dealt.mapInArrow(_settle(hot), "doc long, tie long, at long, gone boolean"), "suffix-runs")
+    found = cut(dealt.mapInArrow(_settle(True), "doc long, tie long, at long, gone boolean"), "suffix-runs")
     of_doc = found.where("NOT gone").groupBy("doc", "tie").agg(F.collect_list("at").alias("ats"))
     packed = long.mapInArrow(_packed, "doc_id long, doc long, tie long, body binary")
     windows = packed.join(of_doc, ["doc", "tie"]).select("doc", "tie", "body", "ats").mapInArrow(_window_records(depth), _RECORD)
-    edges = cut(_sorted(windows).mapInArrow(_settle(None), "doc long, tie long, at long, gone boolean"), "suffix-windows")
+    edges = cut(_sorted(windows).mapInArrow(_settle(False), "doc long, tie long, at long, gone boolean"), "suffix-windows")
     gone = found.where("gone").unionByName(edges)
     return gone.groupBy("doc", "tie").agg(F.collect_list("at").alias("ats"))
 
