@@ -1,6 +1,6 @@
 """Clusters of vectors: centres, merging, representatives, validity, agreement, sweeps and training pairs.
 
-Pairwise steps work on centres (few) or on a hash sample of bounded size; what runs over all vectors is linear in them.
+Pairwise steps work on centres (few) or go through an index; what runs over all vectors is linear in them.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkloom.functions.vectors import dot, mean_vectors, scale, unit
+from talkloom.operators import neighbours
+from talkloom.sources.scratch import cut
 
 DIGITS = 9
 
@@ -30,7 +32,7 @@ def overlap(df: DataFrame) -> DataFrame:
     """(a, b, cosine) of all pairs a < b of cluster centres."""
     c = unit_centroids(df)
     a, b = c.select(F.col("cluster_id").alias("a"), F.col("centroid").alias("va")), c.select(F.col("cluster_id").alias("b"), F.col("centroid").alias("vb"))
-    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", F.round(dot(F.col("va"), F.col("vb")), 6).alias("cosine"))
+    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(dot(F.col("va"), F.col("vb")), 6).alias("cosine"))
 
 
 def representatives(df: DataFrame, uid: str = "chunk_uid", k: int = 3) -> DataFrame:
@@ -120,7 +122,7 @@ def davies_bouldin(df: DataFrame) -> DataFrame:
     c = centroids(df)
     spread = df.join(c, "cluster_id").groupBy("cluster_id").agg(F.avg(F.sqrt(_square(F.col("embedding"), F.col("centroid")))).alias("s")).join(c, "cluster_id")
     a, b = (spread.select(*[F.col(x).alias(f"{x}_{k}") for x in ("cluster_id", "s", "centroid")]) for k in "ab")
-    pairs = a.join(F.broadcast(b), F.col("cluster_id_a") != F.col("cluster_id_b"))
+    pairs = a.join(b, F.col("cluster_id_a") != F.col("cluster_id_b"))
     ratio = (F.col("s_a") + F.col("s_b")) / F.nullif(F.sqrt(_square(F.col("centroid_a"), F.col("centroid_b"))), F.lit(0.0))
     return pairs.groupBy("cluster_id_a").agg(F.max(ratio).alias("worst")).agg(F.round(F.avg("worst"), 6).alias("davies_bouldin"))
 
@@ -137,15 +139,59 @@ def calinski_harabasz(df: DataFrame) -> DataFrame:
     return within.crossJoin(between).select(F.round(value, 4).alias("calinski_harabasz"))
 
 
-def silhouette(df: DataFrame, uid: str = "vec_id", most: int = 2000, metric: str = "cosine") -> DataFrame:
-    """One row: mean silhouette over a sample of at most ``most`` clustered rows, those of the smallest hash.
+def silhouette(df: DataFrame, uid: str = "vec_id", many: int = 512) -> DataFrame:
+    """One row: mean silhouette by cosine distance over all clustered rows.
 
-    A sample row's distances to each cluster are summed within the sample, so work is bounded by its square.
+    The mean distance of a row to a cluster follows from the sum of the cluster's unit vectors, so one aggregation and one pass
+    over the rows do, without pairs. Sums come to the tasks ``many`` clusters a pass; a row keeps its distance to its own
+    cluster and to the best of the others. A row alone in its cluster has width 0; without a second cluster the mean is null.
     """
-    s = df.where("cluster_id != -1").orderBy(F.xxhash64(uid), uid).limit(most).select(F.col(uid).alias("id"), "cluster_id", (unit(F.col("embedding")) if metric == "cosine" else F.col("embedding")).alias("v"))
+    rows = df.where("cluster_id != -1").select(F.col(uid).alias("id"), F.col("cluster_id").cast("long").alias("c"), unit(F.col("embedding")).alias("v"))
+    sizes = rows.groupBy("c").agg(F.count("*").alias("n"))
+    sums = cut(mean_vectors(rows, ["c"], "v", "m").join(sizes, "c").withColumn("b", F.pmod(F.xxhash64("c"), F.lit(max(1, math.ceil(sizes.count() / many))))), "silhouette-sums")
+    found = None
+    for b in [r.b for r in sums.select("b").distinct().collect()]:
+        block = sorted(sums.where(F.col("b") == b).collect(), key=lambda r: r.c)
+        found = _distances(rows, block) if found is None else found.unionByName(_distances(rows, block))
+    if found is None:
+        return df.sparkSession.createDataFrame([(None, 0)], "silhouette double, n_rows long")
+    each = found.groupBy("id").agg(F.max("a").alias("a"), F.min("b").alias("b"), F.max("alone").alias("alone"))
+    width = F.when(F.col("alone"), F.when(F.col("b").isNotNull(), 0.0)).otherwise((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)))
+    width = F.when(F.col("b").isNotNull(), F.coalesce(width, F.lit(0.0)))
+    return each.agg(F.round(F.avg(width), 6).alias("silhouette"), F.count("*").alias("n_rows"))
+
+
+def _distances(rows: DataFrame, block: list) -> DataFrame:
+    """(id, a, b, alone): mean distance to the own cluster, if it is in ``block``, and the least one to another of it."""
+    ids, sizes, sums = np.array([r.c for r in block]), np.array([float(r.n) for r in block]), np.array([np.array(r.m) * r.n for r in block])
+
+    def of(frames):
+        for f in frames:
+            if not len(f):
+                continue
+            v, c = np.stack([np.asarray(x, float) for x in f.v]), f.c.to_numpy()
+            s, own = v @ sums.T, c[:, None] == ids[None]
+            far = np.where(own, np.inf, 1 - s / sizes)
+            mine = own.any(1)
+            k = own.argmax(1)
+            n = sizes[k]
+            self_dot = (v * v).sum(1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                a = ((n - 1) - (s[np.arange(len(v)), k] - self_dot)) / (n - 1)
+            b = far.min(1)
+            yield pd.DataFrame({"id": f.id, "a": pd.Series(a).where(mine & (n > 1), None), "b": pd.Series(b).where(np.isfinite(b), None), "alone": pd.Series(mine & (n == 1))})
+
+    return rows.mapInPandas(of, f"id {rows.schema['id'].dataType.simpleString()}, a double, b double, alone boolean")
+
+
+def silhouette_sampled(df: DataFrame, uid: str = "vec_id", most: int = 2000) -> DataFrame:
+    """One row: mean silhouette by euclidean distance over a sample of ``most`` clustered rows, those of the smallest hash:
+    there is no closed form of it. A sample row's distances are summed within the sample, so work is bounded by its square.
+    """
+    s = df.where("cluster_id != -1").orderBy(F.xxhash64(uid), uid).limit(most).select(F.col(uid).alias("id"), "cluster_id", F.col("embedding").alias("v"))
     a, b = s, s.select(F.col("id").alias("id2"), F.col("cluster_id").alias("c2"), F.col("v").alias("v2"))
-    d = 1 - dot(F.col("v"), F.col("v2")) if metric == "cosine" else F.sqrt(_square(F.col("v"), F.col("v2")))
-    sums = a.join(F.broadcast(b), F.col("id") != F.col("id2")).groupBy("id", "cluster_id", "c2").agg(F.sum(d).alias("sum"), F.count("*").alias("n"))
+    d = F.sqrt(_square(F.col("v"), F.col("v2")))
+    sums = a.join(b, F.col("id") != F.col("id2")).groupBy("id", "cluster_id", "c2").agg(F.sum(d).alias("sum"), F.count("*").alias("n"))
     own, mean = F.col("cluster_id") == F.col("c2"), F.col("sum") / F.col("n")
     each = sums.groupBy("id").agg(F.max(F.when(own, mean)).alias("a"), F.min(F.when(~own, mean)).alias("b"))
     width = F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)))
@@ -235,37 +281,15 @@ def training_pairs(chunks: DataFrame, positives: int = 2, seed: str = "pairs", l
     return same.unionByName(easy)
 
 
-def hard_negatives(df: DataFrame, uid: str = "vec_id", k: int = 3, block: int = 1000) -> DataFrame:
-    """(anchor, other, cosine, rank): the ``k`` rows of other clusters most like each row, exactly.
-
-    Rows are dealt to blocks by hash; each pair of blocks is one task of a bounded product, which keeps ``k`` a row, and the
-    best of those are taken. All blocks meet, as the search is exact; for more rows than that allows, search a hash index.
-    """
-    n = df.count()
-    m = max(1, math.ceil(n / block))
-    rows = df.where("cluster_id != -1").select(F.col(uid).alias("id"), "cluster_id", F.col("embedding").cast("array<double>").alias("v")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(m)))
-    every = F.sequence(F.lit(0), F.lit(m - 1))
-    left = rows.withColumn("o", F.explode(every)).select("b", "o", "id", "cluster_id", "v", F.lit(0).alias("side"))
-    right = rows.withColumnRenamed("b", "o").withColumn("b", F.explode(every)).select("b", "o", "id", "cluster_id", "v", F.lit(1).alias("side"))
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        if a.empty or b.empty:
-            return pd.DataFrame({"anchor": [], "other": [], "cosine": []}).astype({"anchor": "int64", "other": "int64", "cosine": "float64"})
-        va, vb = (np.array(x.v.tolist()) for x in (a, b))
-        va, vb = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-10) for x in (va, vb))
-        s = np.round(va @ vb.T, 6)
-        s[a.cluster_id.to_numpy()[:, None] == b.cluster_id.to_numpy()[None, :]] = -np.inf
-        ids = b.id.to_numpy()
-        out = []
-        for i, anchor in enumerate(a.id):
-            order = np.lexsort((ids, -s[i]))[:k]
-            out += [(anchor, ids[j], s[i, j]) for j in order if np.isfinite(s[i, j])]
-        return pd.DataFrame(out, columns=["anchor", "other", "cosine"])
-
-    found = left.unionByName(right).groupBy("b", "o").applyInPandas(best, "anchor long, other long, cosine double")
-    rank = F.row_number().over(Window.partitionBy("anchor").orderBy(F.desc("cosine"), "other")).cast("long")
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+def hard_negatives(df: DataFrame, uid: str = "vec_id", k: int = 3, probes: int | None = None) -> DataFrame:
+    """(anchor, other, cosine, rank): the ``k`` rows of other clusters most like each row, by the index of ``neighbours``: exactly,
+    or from ``probes`` cells alone."""
+    rows = cut(neighbours.prepared(df.where("cluster_id != -1"), uid, "embedding", "cluster_id"), "negatives")
+    ix = neighbours.build(rows)
+    if ix is None:
+        kind = df.schema[uid].dataType.simpleString()
+        return df.sparkSession.createDataFrame([], f"anchor {kind}, other {kind}, cosine double, rank long")
+    return neighbours.nearest(ix, rows, k, probes).select("anchor", "other", (-F.col("value")).alias("cosine"), "rank")
 
 
 def entropy(df: DataFrame, by: str, value: str) -> DataFrame:

@@ -1,205 +1,174 @@
-"""Density clusters (HDBSCAN) of a bounded number of vectors, their validity (DBCV), and baselines.
+"""Density clusters of all rows, their validity, memberships of noise, sweeps of settings, and baselines.
 
-Exact and in numpy on the driver for up to ``MOST`` rows, which is checked; more rows are first reduced by a sample, whose
-clusters the rest join by ``nearest_centre``.
+Clusters come from the minimum spanning forest of mutual reachability and its cluster tree (``forest``): one rule for any
+number of rows. The forest hangs on ``min_samples`` alone, so a sweep builds it once for each.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkloom.functions.vectors import dot, unit
+from talkloom.operators import forest as forests
+from talkloom.operators import neighbours
+from talkloom.sources.scratch import cut, drop_cut
+
+
+def _named(labels: DataFrame, uid: str) -> DataFrame:
+    sure = (F.col("cluster_id") >= 0) & (F.col("prob") >= 0.70)
+    return labels.select(F.col("id").alias(uid), "cluster_id", F.col("prob").alias("hdbscan_prob"), (F.col("cluster_id") < 0).alias("is_noise"), sure.alias("is_high_conf"))
 
-MOST = 10_000
-
-
-def _distances(x: np.ndarray, i: int) -> np.ndarray:
-    return np.sqrt(np.maximum(0, ((x - x[i]) ** 2).sum(1)))
-
-
-def spanning_tree(x: np.ndarray, core: np.ndarray) -> np.ndarray:
-    """Edges (a, b, distance) of the minimum spanning tree of mutual reachability, by ascending distance (Prim)."""
-    n = len(x)
-    best, near, done = np.full(n, np.inf), np.zeros(n, np.int64), np.zeros(n, bool)
-    out, i = [], 0
-    for _ in range(n - 1):
-        done[i] = True
-        d = np.maximum(np.maximum(_distances(x, i), core), core[i])
-        closer = ~done & (d < best)
-        best[closer], near[closer] = d[closer], i
-        j = int(np.argmin(np.where(done, np.inf, best)))
-        out.append((near[j], j, best[j]))
-        i = j
-    edges = np.array(out).reshape(-1, 3)
-    return edges[np.argsort(edges[:, 2], kind="stable")]
-
-
-def hdbscan(x: np.ndarray, min_cluster_size: int = 5, min_samples: int = 5, method: str = "eom") -> tuple[np.ndarray, np.ndarray]:
-    """(labels, probabilities); label -1 is noise. ``method``: eom (most stable) or leaf clusters."""
-    n = len(x)
-    if n < max(2, min_cluster_size):
-        return np.full(n, -1), np.zeros(n)
-    k = min(min_samples, n - 1)
-    core = np.array([np.partition(_distances(x, i), k)[k] for i in range(n)])
-    edges = spanning_tree(x, core)
-    # the single-linkage tree: node n + i joins two nodes at edges[i]
-    parent, node, size = np.arange(n), np.arange(n), [1] * n
-    left, right, height = [], [], []
-
-    def find(a):
-        while parent[a] != a:
-            parent[a] = parent[parent[a]]
-            a = parent[a]
-        return a
-
-    for a, b, d in edges:
-        a, b = find(int(a)), find(int(b))
-        left.append(node[a])
-        right.append(node[b])
-        height.append(d)
-        size.append(size[node[a]] + size[node[b]])
-        parent[b] = a
-        node[a] = n + len(left) - 1
-
-    def points(t):
-        out, stack = [], [t]
-        while stack:
-            t = stack.pop()
-            if t < n:
-                out.append(t)
-            else:
-                stack += [left[t - n], right[t - n]]
-        return out
-
-    # the condensed tree: clusters with their birth, children, and the level at which each point leaves
-    clusters = [{"birth": 0.0, "children": [], "stability": 0.0}]
-    leaves: list[tuple[int, int, float]] = []
-    stack = [(2 * n - 2, 0)]
-    while stack:
-        t, c = stack.pop()
-        if t < n:
-            leaves.append((t, c, np.inf))
-            continue
-        level = 1 / height[t - n] if height[t - n] > 0 else np.inf
-        kids = [left[t - n], right[t - n]]
-        big = [s for s in kids if size[s] >= min_cluster_size]
-        if len(big) == 2:
-            for s in kids:
-                clusters.append({"birth": level, "children": [], "stability": 0.0, "up": c})
-                clusters[c]["children"].append(len(clusters) - 1)
-                clusters[c]["stability"] += size[s] * (min(level, 1e12) - clusters[c]["birth"])
-                stack.append((s, len(clusters) - 1))
-        else:
-            for s in kids:
-                if s in big:
-                    stack.append((s, c))
-                else:
-                    for p in points(s):
-                        leaves.append((p, c, level))
-                        clusters[c]["stability"] += min(level, 1e12) - clusters[c]["birth"]
-    chosen = set()
-    if method == "leaf":
-        chosen = {i for i, c in enumerate(clusters) if not c["children"] and i}
-    else:
-        value = [0.0] * len(clusters)
-        for i in range(len(clusters) - 1, 0, -1):
-            below = sum(value[j] for j in clusters[i]["children"])
-            value[i] = max(clusters[i]["stability"], below)
-            if clusters[i]["stability"] >= below:
-                drop = list(clusters[i]["children"])
-                while drop:
-                    j = drop.pop()
-                    chosen.discard(j)
-                    drop += clusters[j]["children"]
-                chosen.add(i)
-    number = {c: i for i, c in enumerate(sorted(chosen))}
-    labels, level = np.full(n, -1), np.zeros(n)
-    for p, c, lam in leaves:
-        while c and c not in chosen:
-            c = clusters[c].get("up", 0)
-        if c in chosen:
-            labels[p], level[p] = number[c], min(lam, 1e12)
-    prob = np.zeros(n)
-    for c in range(len(number)):
-        own = labels == c
-        top = level[own].max() if own.any() else 0
-        prob[own] = level[own] / top if top > 0 else 1
-    return labels, prob
-
-
-def dbcv(x: np.ndarray, labels: np.ndarray) -> float:
-    """Density-based validity in [-1, 1]: sparseness within clusters against separation between them, by mutual reachability."""
-    ids = [c for c in np.unique(labels) if c >= 0 and (labels == c).sum() > 1]
-    if len(ids) < 2:
-        return float("nan")
-    dim, cores, sparse = x.shape[1], {}, {}
-    for c in ids:
-        own = x[labels == c]
-        logs = []
-        for i in range(len(own)):
-            d = np.delete(_distances(own, i), i)
-            d = d[d > 0]
-            logs.append(np.exp((np.log(np.mean(np.exp(-dim * (np.log(d) - np.log(d.min()))))) / -dim) + np.log(d.min())) if len(d) else 0.0)
-        cores[c] = np.array(logs)
-        sparse[c] = spanning_tree(own, cores[c])[:, 2].max()
-    value = 0.0
-    for c in ids:
-        own = x[labels == c]
-        apart = min(min(np.maximum(np.maximum(_distances(np.vstack([own[i], x[labels == o]]), 0)[1:], cores[o]), cores[c][i]).min() for i in range(len(own))) for o in ids if o != c)
-        value += (labels == c).sum() / len(x) * (apart - sparse[c]) / max(apart, sparse[c], 1e-12)
-    return float(value)
-
-
-def _sample(df: DataFrame, uid: str, vector: str, most: int):
-    rows = df.orderBy(F.xxhash64(uid), uid).limit(most).select(uid, vector).collect()
-    rows.sort(key=lambda r: r[0])
-    return [r[0] for r in rows], np.array([r[1] for r in rows], float)
-
-
-def density_clusters(df: DataFrame, uid: str = "vec_id", vector: str = "embedding", min_cluster_size: int = 5, min_samples: int = 5, method: str = "eom", most: int = MOST) -> DataFrame:
-    """(uid, cluster_id, hdbscan_prob, is_noise, is_high_conf) of all rows: a hash sample of ``most`` is clustered, and the others join the cluster
-    of the nearest centre of these, with the cosine (0 at least) as their probability; without a cluster they are noise."""
-    ids, x = _sample(df, uid, vector, most)
-    labels, prob = hdbscan(x, min_cluster_size, min_samples, method) if len(ids) else ([], [])
-    rows = [(i, int(c), float(p), bool(c < 0), bool(c >= 0 and p >= 0.70)) for i, c, p in zip(ids, labels, prob, strict=True)]
-    fitted = df.sparkSession.createDataFrame(rows, f"{uid} {df.schema[uid].dataType.simpleString()}, cluster_id long, hdbscan_prob double, is_noise boolean, is_high_conf boolean")
-    if len(ids) < most:
-        return fitted
-    rest = df.select(uid, F.col(vector).alias("embedding")).join(fitted.select(uid), uid, "left_anti")
-    centres = [(int(c), x[np.asarray(labels) == c].mean(0).tolist()) for c in sorted(set(labels)) if c >= 0]
-    if centres:
-        near = nearest_centre(rest, df.sparkSession.createDataFrame(centres, "cluster_id long, centroid array<double>"), uid)
-    else:
-        near = rest.select(uid, F.lit(-1).cast("long").alias("cluster_id"), F.lit(0.0).alias("cosine"))
-    prob = F.greatest(F.lit(0.0), F.col("cosine"))
-    return fitted.unionByName(near.select(uid, "cluster_id", prob.alias("hdbscan_prob"), (F.col("cluster_id") < 0).alias("is_noise"), ((F.col("cluster_id") >= 0) & (prob >= 0.70)).alias("is_high_conf")))
-
-
-def sweep(df: DataFrame, sizes: list[int], samples: list[int], methods: list[str], uid: str = "vec_id", most: int = 2000) -> DataFrame:
-    """(min_cluster_size, min_samples, selection_method, n_clusters, noise_pct, dbcv) of each setting."""
-    ids, x = _sample(df, uid, "embedding", most)
-    rows = []
-    for s in sizes:
-        for k in samples:
-            for m in methods:
-                labels, _ = hdbscan(x, s, k, m)
-                v = dbcv(x, labels)
-                rows.append((s, k, m, int(labels.max() + 1), round(100 * float((labels < 0).mean()), 2), None if v != v else round(v, 6)))
-    return df.sparkSession.createDataFrame(rows, "min_cluster_size int, min_samples int, selection_method string, n_clusters int, noise_pct double, dbcv double")
 
+def density_clusters(df: DataFrame, uid: str = "vec_id", vector: str = "embedding", min_cluster_size: int = 5, min_samples: int = 5, method: str = "eom") -> DataFrame:
+    """(uid, cluster_id, hdbscan_prob, is_noise, is_high_conf) of all rows. ``method``: eom (most stable) or leaf clusters."""
+    found = forests.spanning_forest(df, uid, vector, min_samples)
+    return _named(forests.labelled(found, forests.cluster_tree(found, min_cluster_size), method), uid)
 
-def retry_until_few(x: np.ndarray, size: int, most_clusters: int = 40, tries: int = 3) -> tuple[np.ndarray, int]:
-    """Labels at ``size``, doubled up to ``tries`` times until there are fewer than ``most_clusters``."""
-    for _ in range(tries):
-        labels, _ = hdbscan(x, size)
-        if labels.max() + 1 < most_clusters:
+
+def few_clusters(df: DataFrame, size: int, most_clusters: int = 40, tries: int = 3, uid: str = "vec_id", vector: str = "embedding", min_samples: int = 5) -> tuple[DataFrame, int]:
+    """``density_clusters`` at ``size``, doubled up to ``tries`` times until there are fewer than ``most_clusters``, over one forest;
+    and the size taken."""
+    found = forests.spanning_forest(df, uid, vector, min_samples)
+    for n in range(tries):
+        tree = forests.cluster_tree(found, size)
+        if n == tries - 1 or tree is None or len(tree.chosen()) < most_clusters:
             break
         size *= 2
-    return labels, size
+    return _named(forests.labelled(found, tree), uid), size
+
+
+def sweep(df: DataFrame, sizes: list[int], samples: list[int], methods: list[str], uid: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(min_cluster_size, min_samples, selection_method, n_clusters, noise_pct, dbcv) of each setting, over all rows."""
+    rows = []
+    for k in samples:
+        found = forests.spanning_forest(df, uid, vector, k)
+        for s in sizes:
+            tree = forests.cluster_tree(found, s)
+            for m in methods:
+                labels = cut(forests.labelled(found, tree, m), "sweep-labels")
+                count = labels.agg(F.max("cluster_id"), F.avg((F.col("cluster_id") < 0).cast("double"))).first()
+                joined = df.select(F.col(uid).alias("id"), F.col(vector).alias("embedding")).join(labels, "id")
+                v = dbcv(joined, "id")
+                rows.append((s, k, m, int(count[0]) + 1 if count[0] is not None else 0, round(100 * (count[1] or 0.0), 2), None if v is None else round(v, 6)))
+    return df.sparkSession.createDataFrame(rows, "min_cluster_size int, min_samples int, selection_method string, n_clusters int, noise_pct double, dbcv double")
 
 
+# --- memberships ------------------------------------------------------------------------------------------------------
+def memberships(df: DataFrame, found: forests.Forest, tree: forests.Tree | None, method: str = "eom", uid: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(id, cluster_id, membership) of each noise row for each cluster; memberships of a row sum to 1.
+
+    A membership is the product of two shares, made to sum to 1: by distance, the reciprocal of that to the cluster's nearest
+    exemplar (the densest rows of the leaves in it; at distance 0 only such clusters count), and by height, the density at
+    which the row and the cluster come together over the cluster's largest.
+    """
+    kind = df.schema[uid].dataType.simpleString()
+    schema = f"id {kind}, cluster_id long, membership double"
+    chosen = tree.chosen(method) if tree is not None else []
+    if not chosen:
+        return df.sparkSession.createDataFrame([], schema)
+    heirs = tree.heirs(chosen)
+    labels = cut(forests.labelled(found, tree, method), "member-labels")
+    parent, birth = tree.parent, tree.birth
+    leaf = np.array([not c for c in tree.children])
+    own = cut(tree.rows.join(labels.select("id", "cluster_id"), "id"), "member-rows")
+    tops = own.where("cluster_id >= 0").groupBy("node").agg(F.max("density").alias("_top"), F.min("cluster_id").alias("_cluster"))
+    tops = cut(tops, "member-tops")
+    number, largest = {}, {}
+    for r in tops.collect():  # a row a cluster of the tree, as many as the tree holds
+        number[int(heirs[r.node])] = r["_cluster"]
+        largest[r["_cluster"]] = max(largest.get(r["_cluster"], 0.0), r["_top"])
+    is_leaf = F.pandas_udf(lambda n: pd.Series(leaf[n.to_numpy()]), "boolean")
+    vectors = df.select(F.col(uid).alias("id"), F.col(vector).alias("v"))
+    exemplars = own.join(tops, "node").where(F.col("density") == F.col("_top")).where(is_leaf("node")).join(vectors, "id")
+    ix = neighbours.build(cut(neighbours.prepared(exemplars, "id", "v", "cluster_id", metric="euclidean"), "member-exemplars"), "euclidean")
+    noise = cut(own.where("cluster_id < 0").join(vectors, "id"), "member-noise")
+    asks = neighbours.prepared(noise.withColumn("_none", F.lit(-1).cast("long")), "id", "v", "_none", metric="euclidean").withColumn("tau", F.lit(None).cast("double"))
+    near = neighbours.ask(ix, cut(asks, "member-asks"), 1, by_group=True).groupBy("anchor", "other").agg(F.min("value").alias("d"))
+    pairs = near.join(noise.select(F.col("id").alias("anchor"), "node", "density"), "anchor")
+    cluster_node = {c: n for n, c in number.items()}
+
+    def height(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The density at which a row that left ``node`` meets the cluster: that at which their branches part."""
+        known: dict[tuple, float] = {}
+        for f in frames:
+            out = []
+            for r in f.itertuples():
+                key = (r.node, r.other)
+                if key not in known:
+                    up = {}
+                    at = cluster_node[r.other]
+                    last = np.inf
+                    while at >= 0:
+                        up[at] = last
+                        last, at = birth[at], parent[at]
+                    at, mine = r.node, np.inf
+                    while at not in up:
+                        mine, at = birth[at], parent[at]
+                    known[key] = min(mine, up[at])
+                out.append(min(known[key], r.density) / largest[r.other] if largest[r.other] > 0 else 1.0)
+            yield pd.DataFrame({"anchor": f.anchor, "other": f.other, "d": f.d, "h": np.array(out, float)})
+
+    scored = pairs.mapInPandas(height, f"anchor {kind}, other long, d double, h double")
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("anchor")
+    touch = F.max(F.when(F.col("d") == 0, 1).otherwise(0)).over(w) == 1
+    by_distance = F.when(touch, F.when(F.col("d") == 0, 1.0).otherwise(0.0)).otherwise(1 / F.nullif("d", F.lit(0.0)))
+    scored = scored.withColumn("_m", by_distance * F.col("h"))
+    return scored.select(F.col("anchor").alias("id"), F.col("other").alias("cluster_id"), (F.col("_m") / F.nullif(F.sum("_m").over(w), F.lit(0.0))).alias("membership"))
+
+
+def assign_noise(df: DataFrame, least: float = 0.1, min_cluster_size: int = 5, min_samples: int = 5, method: str = "eom", uid: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(uid, cluster_id, hdbscan_prob, soft_assigned): ``density_clusters`` whose noise rows join the cluster of their largest
+    membership, if that is ``least`` or more; of equal ones that of the smaller number."""
+    found = forests.spanning_forest(df, uid, vector, min_samples)
+    tree = forests.cluster_tree(found, min_cluster_size)
+    labels = forests.labelled(found, tree, method)
+    best = memberships(df, found, tree, method, uid, vector).groupBy("id").agg(F.max(F.struct("membership", (-F.col("cluster_id")).alias("less"))).alias("b"))
+    given = F.coalesce((F.col("cluster_id") < 0) & (F.col("b.membership") >= least), F.lit(False))
+    out = labels.join(best, "id", "left").withColumn("_given", given)
+    return out.select(F.col("id").alias(uid), F.when(F.col("_given"), -F.col("b.less")).otherwise(F.col("cluster_id")).alias("cluster_id"), F.when(F.col("_given"), F.col("b.membership")).otherwise(F.col("prob")).alias("hdbscan_prob"), F.col("_given").alias("soft_assigned"))
+
+
+# --- validity ---------------------------------------------------------------------------------------------------------
+def dbcv(df: DataFrame, uid: str = "vec_id", vector: str = "embedding", cluster: str = "cluster_id") -> float | None:
+    """Density-based validity in [-1, 1] over all rows (noise weighs, with validity 0); None with fewer than two clusters of two rows.
+
+    A row's core distance is the power mean of the distances to all other rows of its cluster, with exponent -dimension (rows
+    at distance 0 add nothing). Sparseness of a cluster is the longest edge of its spanning forest between rows with two
+    edges or more (of all edges if there is none), separation the least mutual reachability from such rows (all rows if
+    there are none) to those of another cluster.
+    """
+    n = df.count()
+    real = df.where(F.col(cluster) >= 0).select(F.col(uid).alias("id"), F.col(cluster).cast("long").alias("g"), F.col(vector).cast("array<double>").alias("v"))
+    counts = real.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+    real = cut(real.join(counts, "g"), "dbcv-rows")
+    if real.select("g").distinct().limit(2).count() < 2:
+        return None
+    dim = F.size("v")
+    sums = neighbours.power_sums(real.select("id", "g", "v"))
+    core = F.round(F.when(F.col("s").isNull(), 0.0).otherwise(F.exp(-(F.col("s") - F.ln(F.col("n") - 1)) / dim)), neighbours.DIGITS["euclidean"])
+    cored = cut(real.join(sums, "id", "left").select("id", "g", "v", core.alias("core")), "dbcv-cores")
+    edges = cut(forests.inner_forest(cored).join(cored.select(F.col("id").alias("lo"), "g"), "lo"), "dbcv-edges")
+    inner = edges.select("g", F.explode(F.array("lo", "hi")).alias("id")).groupBy("g", "id").count().where("count > 1").select("id", F.lit(True).alias("inner"))
+    marked = edges.join(inner.select(F.col("id").alias("lo"), F.lit(1).alias("_a")), "lo", "left").join(inner.select(F.col("id").alias("hi"), F.lit(1).alias("_b")), "hi", "left")
+    sparse = marked.groupBy("g").agg(F.coalesce(F.max(F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.col("w"))), F.max("w")).alias("sparse"))
+    has = cored.join(inner, "id", "left").withColumn("inner", F.coalesce("inner", F.lit(False)))
+    none = has.groupBy("g").agg(F.max("inner").alias("_any")).where("NOT _any").select("g", F.lit(True).alias("_all"))
+    ends = cut(has.join(none, "g", "left").where("inner OR _all").select("id", "v", "g", "core"), "dbcv-ends")
+    ix = neighbours.build(ends, "euclidean")
+    apart = neighbours.nearest(ix, ends, 1).join(ends.select(F.col("id").alias("anchor"), "g"), "anchor").groupBy("g").agg(F.min("value").alias("apart"))
+    each = sparse.join(apart, "g").join(counts, "g")
+    value = (F.col("apart") - F.col("sparse")) / F.greatest("apart", "sparse", F.lit(1e-12))
+    return each.agg(F.sum(value * F.col("n")) / n).first()[0]
+
+
+# --- baselines --------------------------------------------------------------------------------------------------------
 def ward(x: np.ndarray, k: int) -> np.ndarray:
     """Labels of ``k`` clusters by Ward's linkage."""
     groups = [[i] for i in range(len(x))]

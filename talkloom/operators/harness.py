@@ -7,7 +7,8 @@ import time
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkloom.operators import clusters, density
+from talkloom.operators import clusters, density, neighbours
+from talkloom.sources.scratch import cut
 
 
 def stability(df: DataFrame, k: int, seeds: list[int], uid: str = "vec_id") -> DataFrame:
@@ -46,9 +47,11 @@ def reduce_outliers(df: DataFrame, least: float, strategy: str = "centroid", uid
     if strategy == "centroid":
         best = density.nearest_centre(noise, clusters.centroids(df), uid).withColumnRenamed("cluster_id", "_new")
     elif strategy == "neighbour":
-        a = noise.select(uid, F.lit(-2).cast("long").alias("cluster_id"), "embedding")
-        near = clusters.hard_negatives(a.unionByName(real.select(uid, "cluster_id", "embedding")), uid, 1)
-        best = near.join(real.select(F.col(uid).alias("other"), F.col("cluster_id").alias("_new")), "other").select(F.col("anchor").alias(uid), "_new", "cosine")
+        ix = neighbours.build(cut(neighbours.prepared(real, uid, "embedding", "cluster_id"), "outlier-rows"))
+        if ix is None:
+            return df
+        near = neighbours.nearest(ix, neighbours.prepared(noise, uid, "embedding", "cluster_id"), 1)
+        best = near.join(real.select(F.col(uid).alias("other"), F.col("cluster_id").alias("_new")), "other").select(F.col("anchor").alias(uid), "_new", (-F.col("value")).alias("cosine"))
     else:
         raise ValueError(f"no strategy {strategy}")
     given = noise.join(best, uid, "left").withColumn("cluster_id", F.when(F.col("cosine") >= least, F.col("_new")).otherwise(F.lit(-1)).cast("long"))

@@ -125,7 +125,7 @@ def calinski_harabasz(r):
 @query("v14_silhouette", f"""WITH {VEC}, s AS (SELECT vec_id, cluster_id, list_transform(v, lambda x: x / greatest(sqrt(list_inner_product(v, v)), 1e-10)) AS v FROM e WHERE cluster_id <> -1),
 d AS (SELECT a.vec_id, a.cluster_id, b.cluster_id AS c2, avg(1 - list_inner_product(a.v, b.v)) AS m FROM s a JOIN s b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
 w AS (SELECT vec_id, max(m) FILTER (WHERE cluster_id = c2) AS a, min(m) FILTER (WHERE cluster_id <> c2) AS b FROM d GROUP BY 1)
-SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette, count(*) AS n_sampled FROM w""")
+SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette, count(*) AS n_rows FROM w""")
 def silhouette(r):
     return clusters.silhouette(vectors(r))
 
@@ -160,7 +160,9 @@ def noise_summary(r):
     return clusters.noise_summary(r.chunks)
 
 
-@query("v10_soft_assign")
+@query("v10_soft_assign", f"""WITH {CENTRES}, s AS (SELECT vec_id, cu.cluster_id, exp(list_inner_product(list_transform(v, lambda x: x / greatest(sqrt(list_inner_product(v, v)), 1e-10)), u) / 0.1::DOUBLE) AS w FROM (SELECT vec_id, v FROM e WHERE cluster_id = -1), cu),
+b AS (SELECT vec_id, arg_max(cluster_id, (w, -cluster_id)) AS c, max(w) / sum(w) AS p FROM s GROUP BY 1)
+SELECT vec_id, CASE WHEN b.p >= 0.12::DOUBLE THEN c ELSE e.cluster_id END AS cluster_id, coalesce(b.p >= 0.12::DOUBLE, false) AS soft_assigned FROM e LEFT JOIN b USING (vec_id)""")
 def soft_assign(r):
     return clusters.soft_assign(vectors(r), 0.12).select("vec_id", "cluster_id", "soft_assigned")
 
@@ -206,11 +208,28 @@ def density_clusters(r):
     return density.density_clusters(vectors(r), min_cluster_size=15, min_samples=5)
 
 
+@query("v10b_noise_memberships")
+def noise_memberships(r):
+    return density.assign_noise(vectors(r), 0.1, 5, 5, "leaf")
+
+
+@query("v16_dbcv")
+def dbcv(r):
+    v = vectors(r)
+    return r.spark.createDataFrame([(density.dbcv(v),)], "dbcv double")
+
+
 @query("v22_density_sweep")
 def density_sweep(r):
     return density.sweep(vectors(r), [10, 20], [5], ["eom", "leaf"])
 
 
+@query("v34_few_clusters")
+def few_clusters(r):
+    found, size = density.few_clusters(vectors(r), 2, 10)
+    return found.withColumn("min_cluster_size", F.lit(size))
+
+
 @query("v25_k_means")
 def k_means(r):
     return density.k_means(vectors(r), 10, [1, 2]).groupBy("cluster").agg(F.count("*").alias("n"))
@@ -259,7 +278,10 @@ def reduce_outliers(r):
     return harness.reduce_outliers(vectors(r), 0.15).select("vec_id", "cluster_id")
 
 
-@query("v32c_reduce_outliers_neighbour")
+@query("v32c_reduce_outliers_neighbour", f"""WITH {VEC}, u AS (SELECT vec_id, cluster_id, list_transform(v, lambda x: x / greatest(sqrt(list_inner_product(v, v)), 1e-10)) AS v FROM e),
+s AS (SELECT a.vec_id, b.cluster_id AS c, b.vec_id AS other, round(list_inner_product(a.v, b.v), 6) AS s FROM u a JOIN u b ON a.cluster_id = -1 AND b.cluster_id <> -1),
+n AS (SELECT vec_id, arg_max(c, (s, -other)) AS c, max(s) AS s FROM s GROUP BY 1)
+SELECT vec_id, CASE WHEN e.cluster_id <> -1 THEN e.cluster_id WHEN n.s >= 0.3::DOUBLE THEN n.c ELSE -1 END AS cluster_id FROM e LEFT JOIN n USING (vec_id)""")
 def reduce_outliers_neighbour(r):
     return harness.reduce_outliers(vectors(r), 0.3, "neighbour").select("vec_id", "cluster_id")
 

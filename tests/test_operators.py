@@ -95,16 +95,6 @@ def test_agreement(spark):
     assert clusters.agreement(same, "a", "b").first()[:2] == (1.0, 1.0)
 
 
-def test_density_finds_blobs(spark):
-    df, x, y = blobs(spark, 60)
-    labels, prob = density.hdbscan(x, 8, 4)
-    assert len(set(labels[labels >= 0])) == 3
-    for c in range(3):
-        assert len(set(labels[(y == c) & (labels >= 0)])) == 1
-    assert prob.max() == 1 and density.dbcv(x, y) > 0.3
-    assert (density.ward(x, 3)[y == 1] == density.ward(x, 3)[1]).all()
-
-
 def test_merges(spark):
     df, _, _ = blobs(spark)
     assert clusters.merge_by_links(df, 0.99) == {0: 0, 1: 1, 2: 2}
