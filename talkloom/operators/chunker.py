@@ -3,7 +3,7 @@
 Messages that say nothing, or have fewer than two tokens, are left out. Going through the rest, a window is closed before a
 message that would take it over ``most`` tokens, if it has ``least`` already; the last message of a closed window is the first
 of the next. With an encoder, a window of ``least`` tokens is closed also before a message unlike it. Tokens are words
-between white space. As a window is a run of messages, its state is where it starts and how many tokens it has.
+between white space, or what the given counter counts (``tokens.token_count``: byte pairs). As a window is a run of messages, its state is where it starts and how many tokens it has.
 """
 
 from __future__ import annotations
@@ -53,7 +53,7 @@ def _spans(ms: Column, least: int, most: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), last), start, step, lambda s: F.concat(s["out"], F.array(F.struct(s["lo"].alias("lo"), last.alias("hi")))))
 
 
-def _kept(messages: DataFrame) -> DataFrame:
+def _kept(messages: DataFrame, counter: Callable[[Column], Column] = n_tokens) -> DataFrame:
     """Conversations with their messages that count, in order, as an array ``ms``.
 
     ``messages``: conversation_id, message_id, message_date, role, original_text, translated_text, translation_granularity, language.
@@ -61,7 +61,7 @@ def _kept(messages: DataFrame) -> DataFrame:
     original = F.coalesce("original_text", F.lit(""))
     whole = F.coalesce(F.col("translation_granularity") == "conversation_level", F.lit(False))
     text = F.when(whole, original).otherwise(F.coalesce(F.when(F.col("translated_text") != "", F.col("translated_text")), original))
-    m = messages.withColumns({"_orig": original, "_trans": text, "_whole": whole}).where(~says_nothing(F.col("_trans"))).withColumn("tc", n_tokens(F.col("_trans"))).where("tc >= 2")
+    m = messages.withColumns({"_orig": original, "_trans": text, "_whole": whole}).where(~says_nothing(F.col("_trans"))).withColumn("tc", counter(F.col("_trans"))).where("tc >= 2")
     who = F.when(F.lower(F.coalesce("role", F.lit(""))).isin("client", "user"), "[USER]").otherwise("[AI]")
     entry = F.struct("message_id", "tc", F.concat(who, F.lit(": "), F.col("_orig")).alias("orig"), F.concat(who, F.lit(": "), F.col("_trans")).alias("trans"), F.col("_whole").alias("whole"), F.coalesce("language", F.lit("en")).alias("language"), "message_date")
     return m.groupBy("conversation_id").agg(F.array_sort(F.collect_list(entry)).alias("ms"))
@@ -89,9 +89,9 @@ def _records(spans: DataFrame) -> DataFrame:
     )
 
 
-def chunk(messages: DataFrame, least: int = LEAST, most: int = MOST) -> DataFrame:
+def chunk(messages: DataFrame, least: int = LEAST, most: int = MOST, counter: Callable[[Column], Column] = n_tokens) -> DataFrame:
     """Chunks by size only, in column functions."""
-    kept = _kept(messages)
+    kept = _kept(messages, counter)
     return _records(kept.withColumn("spans", _spans(F.col("ms"), least, most)))
 
 
@@ -118,7 +118,7 @@ def semantic_spans(texts: list[str], tokens: list[int], encode: Callable[[str],
     return out
 
 
-def chunk_with_encoder(messages: DataFrame, encode: Callable[[str], np.ndarray], least: int = LEAST, most: int = MOST, likeness: float = LIKENESS) -> DataFrame:
+def chunk_with_encoder(messages: DataFrame, encode: Callable[[str], np.ndarray], least: int = LEAST, most: int = MOST, likeness: float = LIKENESS, counter: Callable[[Column], Column] = n_tokens) -> DataFrame:
     """Chunks by size and by likeness of each message to the window before it."""
     from pyspark.sql import types as T
 
@@ -129,6 +129,6 @@ def chunk_with_encoder(messages: DataFrame, encode: Callable[[str], np.ndarray],
         bare = lambda t: t.split(": ", 1)[1]
         return pd.Series([[{"lo": a, "hi": b} for a, b in semantic_spans([bare(x) for x in t], [int(n) for n in k], encode, least, most, likeness)] for t, k in zip(texts, tokens, strict=True)], dtype=object)
 
-    kept = _kept(messages)
+    kept = _kept(messages, counter)
     texts, tokens = F.transform("ms", lambda m: m["trans"]), F.transform("ms", lambda m: m["tc"])
     return _records(kept.withColumn("spans", spans(texts, tokens)))

@@ -7,7 +7,7 @@ import time
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkloom.operators import clusters, density, neighbours
+from talkloom.operators import clusters, density, neighbours, terms
 from talkloom.sources.scratch import cut
 
 
@@ -58,6 +58,15 @@ def reduce_outliers(df: DataFrame, least: float, strategy: str = "centroid", uid
     return real.unionByName(given.select(*df.columns))
 
 
+def reduce_by_distribution(df: DataFrame, least: float, uid: str, text: str, cluster: str = "cluster_id") -> DataFrame:
+    """(uid, cluster) with noise rows given to the topic that their windows of words share most, if that is ``least`` or more; of equal
+    ones to the smaller number."""
+    shares = terms.window_topics(df, uid, text, cluster)
+    best = shares.groupBy(uid).agg(F.max(F.struct("share", (-F.col("topic")).alias("less"))).alias("b"))
+    given = (F.col(cluster) == -1) & (F.col("b.share") >= least)
+    return df.select(uid, cluster).join(best, uid, "left").select(uid, F.when(given, -F.col("b.less")).otherwise(F.col(cluster)).alias(cluster))
+
+
 def perplexities(df: DataFrame, uid: str = "vec_id", k: int = 5) -> DataFrame:
     """(anchor, other, p): each row's nearest rows of any cluster weighted by a softmax of cosine, the graph of its neighbourhood."""
     own = df.select(uid, F.col(uid).alias("cluster_id"), "embedding")  # every row a cluster of its own, so all others count

@@ -63,3 +63,29 @@ def class_tf_idf(docs: DataFrame, group: str, text: str, k: int = 5) -> DataFram
     w = tf.withColumn("words", words).join(total, "term").crossJoin(F.broadcast(avg)).select(group, "term", F.round(F.col("tf") / F.col("words") * F.ln(1 + F.col("a") / F.col("f")), 8).alias("weight"))
     rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("weight"), "term")).cast("long")
     return w.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def window_topics(docs: DataFrame, doc: str, text: str, group: str, width: int = 4, least: float = 0.1, noise: int = -1) -> DataFrame:
+    """(doc, topic, share): how much of each document its windows of ``width`` words give to each topic.
+
+    Topics are those of documents other than ``noise``, each with the class weights of its words (see ``class_tf_idf``, without
+    rounding). A window's words weigh by the same inverse frequency; its cosine with a topic counts if it is ``least`` or more
+    (rounded to 9 digits), and a document's sums are made shares. Documents without such a window have no row.
+    """
+    words = docs.select(doc, F.col(group).alias("topic"), F.posexplode(ngrams(F.col(text), 1)).alias("pos", "term"))
+    tf = words.where(F.col("topic") != noise).groupBy("topic", "term").agg(F.count("*").alias("tf"))
+    mean = tf.agg((F.sum("tf") / F.count_distinct("topic")).alias("a"))
+    idf = tf.groupBy("term").agg(F.sum("tf").alias("f")).crossJoin(mean).select("term", F.ln(1 + F.col("a") / F.col("f")).alias("idf"))  # one row of a mean
+    weights = tf.join(tf.groupBy("topic").agg(F.sum("tf").alias("words")), "topic").join(idf, "term").withColumn("wt", F.col("tf") / F.col("words") * F.col("idf"))
+    size = weights.groupBy("topic").agg(F.sqrt(F.sum(F.col("wt") * F.col("wt"))).alias("nt"))
+    topics = weights.join(size, "topic").select("topic", "term", (F.col("wt") / F.col("nt")).alias("wt"))
+    last = words.groupBy(doc).agg(F.greatest(F.max("pos") + 1 - width, F.lit(0)).alias("last"))
+    placed = words.select(doc, "pos", "term").join(last, doc)
+    at = F.explode(F.sequence(F.least(F.greatest(F.col("pos") - width + 1, F.lit(0)), "last"), F.least("pos", "last")))
+    counts = placed.select(doc, at.alias("win"), "term").groupBy(doc, "win", "term").agg(F.count("*").alias("c"))
+    weighed = counts.join(idf, "term").select(doc, "win", "term", (F.col("c") * F.col("idf")).alias("ww"))
+    length = weighed.groupBy(doc, "win").agg(F.sqrt(F.sum(F.col("ww") * F.col("ww"))).alias("nw"))
+    dots = weighed.join(topics, "term").groupBy(doc, "win", "topic").agg(F.sum(F.col("ww") * F.col("wt")).alias("d"))
+    near = dots.join(length, [doc, "win"]).select(doc, "topic", F.round(F.col("d") / F.col("nw"), 9).alias("s")).where(F.col("s") >= least)
+    sums = near.groupBy(doc, "topic").agg(F.sum("s").alias("s"))
+    return sums.select(doc, "topic", F.round(F.col("s") / F.sum("s").over(Window.partitionBy(doc)), 8).alias("share"))

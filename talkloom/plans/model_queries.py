@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from talkloom.functions.semantics import pct, week_start
 from talkloom.functions.vectors import dot, unit
-from talkloom.operators import chunker, clusters, density, harness, series, terms
+from talkloom.operators import chunker, clusters, density, fitted, harness, layout, series, terms
 from talkloom.plans import fixed
-from talkloom.plans.oracle import pct_sql, q, trim_sql
+from talkloom.plans.oracle import pct_sql, q, t_p_sql, trim_sql
 from talkloom.plans.registry import query
 
 # --- chunker --------------------------------------------------------------------------------------------------------
@@ -53,6 +53,21 @@ def chunk(r):
     return chunker.chunk(chunker_messages(r), LEAST, MOST)
 
 
+@query("o08c_chunker_byte_pairs")
+def chunk_byte_pairs(r):
+    from talkloom.functions.tokens import token_count
+
+    return chunker.chunk(chunker_messages(r), LEAST, MOST, token_count)
+
+
+@query("f32_token_counts")
+def token_counts(r):
+    from talkloom.functions.tokens import token_count
+
+    d = r.table("documents").select("lang", token_count(F.col("text")).cast("long").alias("n"), chunker.n_tokens(F.coalesce("text", F.lit(""))).alias("words"))
+    return d.groupBy("lang").agg(F.sum("n").alias("byte_pairs"), F.sum("words").alias("words"), F.max("n").alias("longest"))
+
+
 @query("o08b_semantic_chunker")
 def semantic_chunk(r):
     from talkloom.functions.hashed import hash_tokens
@@ -248,6 +263,29 @@ def reduce_dims(r):
     return reduced.select("vec_id", F.round(F.abs(F.get("embedding", F.lit(0))), 4).alias("x"), F.round(F.abs(F.get("embedding", F.lit(1))), 4).alias("y"))
 
 
+@query("v04b_layout")
+def layout_of_all(r):
+    at = lambda i: F.get("position", F.lit(i))
+    return layout.layout(vectors(r)).select("vec_id", at(0).alias("x"), at(1).alias("y"))
+
+
+@query("v05b_layout_of_sample")
+def layout_of_sample(r):
+    """A layout of 40 rows a cluster, noise too, in which all other rows are placed."""
+    v = vectors(r)
+    rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.xxhash64("vec_id"), "vec_id"))
+    some = v.withColumn("_r", rank).where("_r <= 40").drop("_r")
+    at = lambda i: F.get("position", F.lit(i))
+    return layout.placed(v, some, layout.layout(some)).select("vec_id", at(0).alias("x"), at(1).alias("y"))
+
+
+@query("v06b_layout_clusters")
+def layout_clusters(r):
+    """Density clusters in a layout of ten dimensions."""
+    flat = layout.layout(vectors(r), dims=10)
+    return density.density_clusters(flat, vector="position", min_cluster_size=15, min_samples=5)
+
+
 @query("v01_embed")
 def embed(r):
     from talkloom.plugins import HashedNgramEmbedder
@@ -286,6 +324,26 @@ def reduce_outliers_neighbour(r):
     return harness.reduce_outliers(vectors(r), 0.3, "neighbour").select("vec_id", "cluster_id")
 
 
+WINDOW_TOPICS = """w AS (SELECT chunk_uid, cluster_id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos, len(t) AS n FROM (SELECT chunk_uid, cluster_id, regexp_extract_all(lower(coalesce(translated_chunk_text, '')), '[\\p{L}\\p{N}_]{2,}') AS t FROM chunks)),
+tf AS (SELECT cluster_id AS topic, term, count(*)::DOUBLE AS tf FROM w WHERE cluster_id <> -1 GROUP BY 1, 2), idf AS (SELECT term, ln(1 + (SELECT sum(tf) / count(DISTINCT topic) FROM tf) / sum(tf)) AS idf FROM tf GROUP BY 1),
+cw AS (SELECT topic, term, tf / sum(tf) OVER (PARTITION BY topic) * idf AS wt FROM tf JOIN idf USING (term)), tp AS (SELECT topic, term, wt / sqrt(sum(wt * wt) OVER (PARTITION BY topic)) AS wt FROM cw),
+wc AS (SELECT chunk_uid, win, term, count(*) AS c FROM w, LATERAL (SELECT unnest(generate_series(least(greatest(pos - 3, 0), greatest(n - 4, 0)), least(pos, greatest(n - 4, 0)))) AS win) GROUP BY 1, 2, 3),
+ww AS (SELECT chunk_uid, win, term, c * idf AS ww FROM wc JOIN idf USING (term)), nw AS (SELECT chunk_uid, win, sqrt(sum(ww * ww)) AS nw FROM ww GROUP BY 1, 2),
+sm AS (SELECT chunk_uid, topic, round(d / nw, 9) AS s FROM (SELECT chunk_uid, win, topic, sum(ww * wt) AS d FROM ww JOIN tp USING (term) GROUP BY 1, 2, 3) JOIN nw USING (chunk_uid, win)),
+sh AS (SELECT chunk_uid, topic, round(sum(s) / sum(sum(s)) OVER (PARTITION BY chunk_uid), 8) AS share FROM sm WHERE s >= 0.1::DOUBLE GROUP BY 1, 2)"""
+
+
+@query("v32d_window_topics", f"WITH {WINDOW_TOPICS} SELECT chunk_uid, topic, round(share, 6) AS share FROM sh")
+def window_topics(r):
+    return terms.window_topics(r.chunks, "chunk_uid", "translated_chunk_text", "cluster_id").select("chunk_uid", "topic", F.round("share", 6).alias("share"))
+
+
+@query("v32e_reduce_outliers_distribution", f"""WITH {WINDOW_TOPICS}, b AS (SELECT chunk_uid, arg_max(topic, (share, -topic)) AS t, max(share) AS s FROM sh GROUP BY 1)
+SELECT chunk_uid, CASE WHEN cluster_id = -1 AND s >= 0.12::DOUBLE THEN t ELSE cluster_id END AS cluster_id FROM chunks LEFT JOIN b USING (chunk_uid)""")
+def reduce_outliers_distribution(r):
+    return harness.reduce_by_distribution(r.chunks, 0.12, "chunk_uid", "translated_chunk_text")
+
+
 @query("v05_stratified_sample", "SELECT cluster_id, chunk_uid FROM (SELECT cluster_id, chunk_uid, row_number() OVER (PARTITION BY cluster_id ORDER BY md5(chunk_uid)) AS r FROM chunks WHERE NOT is_noise) WHERE r <= 20")
 def stratified_sample(r):
     rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.md5("chunk_uid")))
@@ -380,7 +438,11 @@ def trend(r):
     return series.trend(daily(r)).select("key", "total", F.round("slope", 6).alias("slope"), F.round("r2", 6).alias("r2"), "n")
 
 
-@query("z01b_trend_labels")
+TREND = """x AS (SELECT *, date_diff('day', (SELECT min(ds) FROM sp), ds)::DOUBLE AS x FROM sp), f AS (SELECT key, sum(y) AS total, regr_slope(y, x) AS slope, regr_r2(y, x) AS r2, count(*) AS n FROM x GROUP BY 1)"""
+
+
+@query("z01b_trend_labels", f"""WITH {DAILY}, {TREND}, p AS (SELECT *, {t_p_sql('t', 'nu')} AS p FROM (SELECT *, sqrt(r2 * (n - 2) / (1 - r2)) * sign(slope) AS t, n - 2 AS nu FROM f))
+SELECT key, total, round(slope, 3) AS slope_per_week, round(r2, 3) AS r_squared, round(p, 4) AS p_value, CASE WHEN slope > 0.05 AND p < 0.05 THEN 'growing ↑' WHEN slope < -0.05 AND p < 0.05 THEN 'declining ↓' ELSE 'stable →' END AS trend FROM p""")
 def trend_labels(r):
     return series.trend_labels(daily(r))
 
@@ -415,12 +477,24 @@ def jarque_bera(r):
     return series.jarque_bera(daily(r))
 
 
-@query("z05c_adf")
+@query("z05c_adf", f"""WITH {DAILY}, l AS (SELECT key, y - lag(y) OVER w AS d, lag(y) OVER w AS y1, lag(y) OVER w - lag(y, 2) OVER w AS d1 FROM sp WINDOW w AS (PARTITION BY key ORDER BY ds)),
+s AS (SELECT key, count(*) AS n, var_pop(y1) * count(*) AS aa, var_pop(d1) * count(*) AS bb, covar_pop(y1, d1) * count(*) AS ab, covar_pop(y1, d) * count(*) AS ay, covar_pop(d1, d) * count(*) AS dy, var_pop(d) * count(*) AS yy FROM l WHERE d1 IS NOT NULL GROUP BY 1),
+b AS (SELECT *, (ay * bb - dy * ab) / (aa * bb - ab * ab) AS b1, (dy * aa - ay * ab) / (aa * bb - ab * ab) AS b2 FROM s)
+SELECT key, round(b1 / sqrt((yy - b1 * ay - b2 * dy) / (n - 3) * bb / (aa * bb - ab * ab)), 4) AS adf FROM b""")
 def adf(r):
     return series.adf(daily(r))
 
 
-@query("z05d_arch_lm")
+ARCH_STEPS = ["u0 AS (SELECT key, " + ", ".join(f"{c} - avg({c}) OVER (PARTITION BY key) AS {c}" for c in ("e", "x1", "x2", "x3", "x4")) + " FROM l)"]
+for k in range(1, 5):  # each lag is made orthogonal to those before it
+    rest = [f"x{j} - x{k} * sum(x{j} * x{k}) OVER (PARTITION BY key) / sum(x{k} * x{k}) OVER (PARTITION BY key) AS x{j}" for j in range(k + 1, 5)]
+    ARCH_STEPS.append(f"u{k} AS (SELECT key, e, " + ", ".join([*[f"x{j}" for j in range(1, k + 1)], *rest]) + f" FROM u{k - 1})")
+ARCH = f"""WITH {DAILY}, ev AS (SELECT key, ds, pow(y - avg(y) OVER (PARTITION BY key), 2) AS e FROM sp),
+l AS (SELECT * FROM (SELECT key, e, {", ".join(f"lag(e, {k}) OVER w AS x{k}" for k in range(1, 5))} FROM ev WINDOW w AS (PARTITION BY key ORDER BY ds)) WHERE x4 IS NOT NULL), {", ".join(ARCH_STEPS)}
+SELECT key, round(count(*) * ({" + ".join(f"pow(sum(e * x{k}), 2) / sum(x{k} * x{k})" for k in range(1, 5))}) / sum(e * e), 4) AS lm FROM u4 GROUP BY 1"""
+
+
+@query("z05d_arch_lm", ARCH)
 def arch_lm(r):
     return series.arch_lm(daily(r))
 
@@ -460,7 +534,8 @@ def diebold_mariano(r):
     return series.diebold_mariano(naive(r), ["key"], "naive", "ma4")
 
 
-@query("z14b_diebold_mariano_p")
+@query("z14b_diebold_mariano_p", f"""WITH {NAIVE}, dd AS (SELECT key, pow(y - naive, 2) - pow(y - ma4, 2) AS d FROM nf), dm AS (SELECT key, count(*) AS n, CASE WHEN count(*) >= 3 AND var_samp(d) >= 1e-10 THEN round(avg(d) / sqrt(var_samp(d) / count(*)), 3) END AS dm FROM dd GROUP BY 1)
+SELECT key, n, dm, round({t_p_sql('dm', '(n - 1)')}, 4) AS p_value FROM dm""")
 def diebold_mariano_p(r):
     return series.with_dm_p(series.diebold_mariano(naive(r), ["key"], "naive", "ma4"))
 
@@ -508,6 +583,31 @@ def fitted_forecasts(r):
     return f.groupBy("key").agg(*[F.round(F.avg(F.abs(F.col("y") - F.col(m))), 2).alias(f"{m}_mae") for m in ("ets", "damped", "line", "ensemble")])
 
 
+@query("z10_arima")
+def arima(r):
+    """One-step forecasts of each fold, orders by AICc; ``spike``: the first five weeks have a level of their own."""
+    w = weekly(r)
+    plain = fitted.arima_forecasts(w, 56, 1, 14, 2, 2)
+    spike = fitted.arima_forecasts(w, 56, 1, 14, 2, 2, 5).select("key", "split", F.col("arima").alias("spike"))
+    return plain.join(spike, ["key", "split"]).select("key", "split", "idx", "y", *[F.round(c, 2).alias(c) for c in ("arima", "spike")], "p", "d", "q")
+
+
+@query("z11_changepoint_trend")
+def changepoint_trend(r):
+    f = fitted.change_forecasts(daily(r), 14, 7, 7)
+    hit = F.col("y").between(F.col("lo"), F.col("hi")).cast("double")
+    return f.groupBy("key").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("y") - F.col("trend"))), 4).alias("mae"), F.round(F.avg(hit), 6).alias("coverage"))
+
+
+@query("z18_garch")
+def garch(r):
+    g = fitted.garch(weekly(r))
+    each = g.select("key", F.explode(F.arrays_zip("changes", "variances")).alias("e"), "mu")
+    s = F.sqrt("e.variances")
+    scored = series.interval_scores(each.select("key", (F.col("e.changes") - F.col("mu")).alias("y"), (-1.96 * s).alias("lo"), (1.96 * s).alias("hi"), F.col("e.variances").alias("var")), ["key"])
+    return g.select("key", "n", *[F.round(c, 3).alias(c) for c in ("omega", "alpha", "beta", "persistence", "aic", "nu", "next_variance")]).join(scored, "key")
+
+
 # --- terms ----------------------------------------------------------------------------------------------------------
 WORDS = "list_filter(regexp_extract_all(lower(coalesce(conversation_text_translated, '')), '[\\p{L}\\p{N}_]{2,}'), lambda x: true)"
 TFIDF = f"""wd AS (SELECT conversation_id AS d, {WORDS} AS w FROM docs),

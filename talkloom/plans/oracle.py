@@ -240,3 +240,12 @@ def assemble(body: str) -> str:
     if not head:
         return f"WITH {ctes} {body}"
     return f"WITH {head[1] or ''}{ctes}, {body[head.end():]}"
+
+
+def t_p_sql(t: str, nu: str) -> str:
+    """Two-sided p of Student's t for whole degrees of freedom, by its finite series of cosines."""
+    theta = f"atan(abs({t}) / sqrt({nu}))"
+    series = lambda last, up, down, power: f"coalesce(list_sum(list_transform(range(0, ({last})::BIGINT), lambda j: coalesce(list_product(list_transform(range(1, j + 1), lambda i: ({up})::DOUBLE / ({down}))), 1) * pow(cos({theta}), {power}))), 0)"
+    odd = f"2 / pi() * ({theta} + sin({theta}) * {series(f'({nu} - 1) // 2', '2 * i', '2 * i + 1', '2 * j + 1')})"
+    even = f"sin({theta}) * {series(f'{nu} // 2', '2 * i - 1', '2 * i', '2 * j')}"
+    return f"(1 - CASE WHEN {nu} % 2 = 1 THEN {odd} ELSE {even} END)"
