@@ -155,18 +155,28 @@ def scan_shard(texts: list[bytes], q: Items) -> pd.DataFrame:
     out["longest_words"], out["longest_at"] = best, where
     found = np.flatnonzero(hi > lo)
     if len(found):
-        count = hi[found] - lo[found]
+        # ranges of one width are equal or apart: each is written out once, whatever the number of suffixes that have it
+        ranges, of = np.unique(q.width[found] * (len(order) + 1) + lo[found], return_inverse=True)
+        one = np.empty(len(ranges), np.int64)
+        one[of] = found
+        count = hi[one] - lo[one]
         offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        at = order[np.repeat(lo[found], count) + offset]
-        width, item = np.repeat(q.width[found], count), np.repeat(q.item[found], count)
+        at, width = order[np.repeat(lo[one], count) + offset], np.repeat(q.width[one], count)
         step = np.zeros(len(h) + 1, np.int64)
         np.add.at(step, at, 1)
         np.add.at(step, at + width, -1)
         hit = np.cumsum(step[:-1]) > 0
         out["n_hit"] = np.bincount(doc_at[hit], minlength=n_docs).astype(np.int64)
+        # the documents of each range, and then the items of each document's ranges
+        holds = np.unique(np.repeat(np.arange(len(ranges)), count) * n_docs + doc_at[at])
+        has = np.unique(of * len(q.ids) + q.item[found])
+        first_item = np.searchsorted(has // len(q.ids), np.arange(len(ranges) + 1))
+        in_range = holds // n_docs
+        many = np.diff(first_item)[in_range]
+        which = np.repeat(first_item[in_range], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         items: dict[int, set[str]] = {}
-        for d, i in np.unique(np.stack([doc_at[at], item], 1), axis=0):
-            items.setdefault(int(d), set()).add(q.ids[i])
+        for pair in np.unique(np.repeat(holds % n_docs, many) * len(q.ids) + has[which] % len(q.ids)).tolist():
+            items.setdefault(pair // len(q.ids), set()).add(q.ids[pair % len(q.ids)])
         for d, ids in items.items():
             out.at[d, "items"] = sorted(ids)
         turn = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).view(np.int8)))
