@@ -1,14 +1,15 @@
 """Secret scans: fixed patterns, and character Markov models of random strings against ordinary identifiers.
 
 All in DataFrame functions. One pass over the whole texts takes the spans of the fixed patterns and of candidate strings
-(runs of ``CANDIDATE``) into a table of the shared folder, without the texts. Two first-order character models, of random
-strings and of ordinary identifiers, are counted from labelled samples; a candidate with letters and digits is a secret if
-its log-likelihood ratio is over ``MIN_RATIO`` nats a character. Spans found so add to those of the patterns and never overlap
-them.
+(runs of ``CANDIDATE``; a path is cut at its slashes) into a table of the shared folder, without the texts. Two first-order
+character models, of random strings and of ordinary identifiers, are counted from labelled samples; a candidate is a secret if
+its log-likelihood ratio over the whole string is ``MIN_NATS`` or more, whatever its characters are. Spans found so add to
+those of the patterns and never overlap them.
 
-Labelled samples (text, label): by default random strings and identifiers generated by rule, with what the corpus itself
-labels: matches of the fixed patterns are random (1), candidates of letters only are ordinary (0). All of the corpus's are
-counted; the counts are one row per pair of characters.
+Labelled samples (text, label, weight): by default random strings of seven alphabets and identifiers generated by rule (1 and
+0), and the corpus's own words as ordinary (0): all runs of 2 to ``LONGEST_WORD`` letters that occur three times or more, by
+their number, plain and in the styles of names, together as heavy as ``N_WORDS`` samples, so that the ratio doesn't
+hang on the corpus's size. The counts are one row per pair of characters.
 
 The span of a match of ``assign`` is the whole match. Positions are code points, ends exclusive.
 
@@ -27,13 +28,14 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 #: Whole runs of the needed length: the same matches as all runs with the short ones dropped.
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+CANDIDATE = r"[A-Za-z0-9+_=-]{16,}"
 MIN_ASSIGN = 12
 #: Characters of candidates; a pair is coded as first * 128 + second, and 0 stands for either end.
 CODES = 128
 SMOOTH = 0.5
-MIN_RATIO = 0.35
-MIN_LENGTH = 18
+MIN_NATS = 11.0
+LONGEST_WORD = 15
+N_WORDS = 30_000
 
 VERBS = "get set load parse write update remove count merge split check build create fetch handle render select format".split()
 NOUNS = (
@@ -44,17 +46,32 @@ N_RANDOM = 600
 
 
 def generated_samples(spark: SparkSession) -> DataFrame:
-    """(text, label): digests in base 64, hex and letters with digits; and names of a verb and nouns in five styles, some with a number."""
-    n = spark.range(N_RANDOM)
-    digest = F.sha2(F.concat(F.lit("sample:"), F.col("id").cast("string")), 256)
-    b64 = F.base64(F.unhex(digest))
-    random = n.select(F.explode(F.array(b64, F.substring(digest, 1, 40), F.substring(F.regexp_replace(b64, "[+/=]", ""), 1, 32))).alias("text"), F.lit(1).alias("label"))
+    """(text, label, weight): digests in base 64, hex, and letters of either case or one, with digits and without; and names of a
+    verb and nouns in seven styles, some with a number."""
+    digest = lambda salt: F.sha2(F.concat(F.lit(f"{salt}:"), F.col("id").cast("string")), 256)
+    b64 = F.concat(*[F.regexp_replace(F.base64(F.unhex(digest(x))), "[/=]", "") for x in ("sample", "more")])
+    mixed, letters = F.regexp_replace(b64, "[+]", ""), F.regexp_replace(b64, "[^A-Za-z]", "")
+    cut32 = lambda x: F.substring(x, 1, 32)
+    kinds = [cut32(b64), F.substring(digest("hex"), 1, 40), cut32(mixed), cut32(letters), cut32(F.lower(mixed)), cut32(F.lower(letters)), cut32(F.upper(mixed))]
+    random = spark.range(N_RANDOM).select(F.explode(F.array(*kinds)).alias("text"), F.lit(1).alias("label"))
     words = lambda x, name: F.explode(F.array(*[F.lit(w) for w in x])).alias(name)
     names = spark.range(1).select(words(VERBS, "v")).select("v", words(NOUNS, "a")).select("v", "a", words(NOUNS, "b")).where("a != b")
     number = F.pmod(F.crc32(F.concat("a", "v", "b")), F.lit(100)).cast("string")
-    joined = [F.concat_ws("_", "v", "a", "b"), F.concat_ws("-", "v", "a", "b"), F.concat("v", F.initcap("a"), F.initcap("b")), F.concat_ws("_", "v", "a", "b", number), F.concat("v", F.initcap("a"), number)]
+    joined = [F.concat_ws("_", "v", "a", "b"), F.concat_ws("-", "v", "a", "b"), F.concat("v", F.initcap("a"), F.initcap("b")), F.concat_ws("_", "v", "a", "b", number), F.concat_ws("-", "a", "b", number), F.upper(F.concat_ws("_", "v", "a", "b")), F.concat("v", "a", "b")]
     plain = names.select(F.explode(F.array(*joined)).alias("text"), F.lit(0).alias("label"))
-    return random.unionByName(plain)
+    return random.unionByName(plain).withColumn("weight", F.lit(1.0))
+
+
+def word_samples(texts: DataFrame) -> DataFrame:
+    """(text, label, weight) of the words of a column ``text``: ordinary, by how often each occurs."""
+    runs = F.filter(F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), F.lit(0)), lambda w: F.length(w) <= LONGEST_WORD)
+    counts = texts.select(F.explode(runs).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("n >= 3")
+    counts = cut(counts, "secrets-words")
+    total = F.coalesce(counts.agg(F.sum("n").alias("t")).scalar(), F.lit(1))
+    low, high, between = F.lower("w"), F.upper("w"), lambda mark, w: F.concat(F.lit(mark), w, F.lit(mark))
+    # words follow each other directly, with a capital, or with a mark between; a word after itself stands for any two
+    styles = F.array("w", between("-", F.col("w")), between("_", F.col("w")), between("_", high), F.concat(low, F.initcap(low), F.initcap(low)), F.concat(low, low, low))
+    return counts.select(F.explode(styles).alias("text"), F.lit(0).alias("label"), (F.col("n") * F.lit(N_WORDS / 6) / total).alias("weight"))
 
 
 def pair_codes(text: Column) -> Column:
@@ -70,9 +87,10 @@ def pair_codes(text: Column) -> Column:
 
 def markov_ratio(samples: DataFrame) -> DataFrame:
     """One row, one column ``ratio``: log P(second | first) of random strings less that of ordinary ones, by pair code."""
-    coded = samples.where(F.col("text").isNotNull()).select("label", F.explode(pair_codes(F.col("text"))).alias("code"))
-    counts = coded.groupBy("code").agg(F.count_if(F.col("label") == 1).alias("n1"), F.count_if(F.col("label") == 0).alias("n0"))
-    every = samples.sparkSession.range(CODES * CODES).select(F.col("id").cast("int").alias("code")).join(counts, "code", "left").na.fill(0, ["n0", "n1"])
+    coded = samples.where(F.col("text").isNotNull()).select("label", "weight", F.explode(pair_codes(F.col("text"))).alias("code"))
+    of = lambda label: F.coalesce(F.sum(F.when(F.col("label") == label, F.col("weight"))), F.lit(0.0)).alias(f"n{label}")
+    counts = coded.groupBy("code").agg(of(1), of(0))
+    every = samples.sparkSession.range(CODES * CODES).select(F.col("id").cast("int").alias("code")).join(counts, "code", "left").na.fill(0.0, ["n0", "n1"])
     first = every.groupBy(F.floor(F.col("code") / CODES).alias("first")).agg(F.sum("n1").alias("s1"), F.sum("n0").alias("s0"))
     joined = every.withColumn("first", F.floor(F.col("code") / CODES)).join(first, "first")
     # 67 characters and the end can follow; others are never looked up
@@ -165,19 +183,15 @@ def scan(docs: DataFrame, samples: DataFrame | None = None, text: str = "text")
     spark = docs.sparkSession
     table = cut(found(docs, text), "secrets-spans")
     if samples is None:
-        own = table.select(F.explode(F.concat(
-            *[F.transform(k, lambda x: F.struct(x["m"].alias("text"), F.lit(1).alias("label"))) for k in ("_access", "_hex")],
-            F.transform("_assign", lambda x: F.struct(F.regexp_extract(x["m"], ASSIGN, 2).alias("text"), F.lit(1).alias("label"))),
-            F.transform(F.filter("_candidate", lambda x: ~x["m"].rlike("[^A-Za-z_-]")), lambda x: F.struct(x["m"].alias("text"), F.lit(0).alias("label"))),
-        )).alias("x")).select("x.text", "x.label")
-        samples = generated_samples(spark).unionByName(own)
+        samples = generated_samples(spark).unionByName(word_samples(docs.select(F.col(text).alias("text"))))
+    elif "weight" not in samples.columns:
+        samples = samples.withColumn("weight", F.lit(1.0))
     model = cut(markov_ratio(samples), "secrets-markov")
     ratio = model.select("ratio").scalar()
     table = table.withColumn("_ratio", ratio)
 
     def likely(x: Column) -> Column:
-        total = F.aggregate(pair_codes(x["m"]), F.lit(0.0), lambda acc, code: acc + F.get("_ratio", code))
-        return F.when((F.length(x["m"]) >= MIN_LENGTH) & x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]"), total / F.length(x["m"]) >= MIN_RATIO).otherwise(F.lit(False))
+        return F.aggregate(pair_codes(x["m"]), F.lit(0.0), lambda acc, code: acc + F.get("_ratio", code)) >= MIN_NATS
 
     tag = lambda k, o: F.transform(k, lambda x: F.struct(x["s"].alias("s"), F.lit(o).alias("o"), x["e"].alias("e"), F.lit(k[1:]).alias("k")))
     table = table.withColumn("_base", F.array_sort(F.concat(tag("_assign", 0), tag("_access", 1), tag("_hex", 2))))
