@@ -3,9 +3,9 @@
 Pass one scores the containers of each page: the balance of how much of the page's plain text a container holds and how
 little else (menus, adverts, forms, link lists) stands in it. Every container votes with its score for its generalised path
 (tags with classes, digits and generated names blanked); Spark adds up the votes by host and path, combined before the
-shuffle. The same pass notes what each smaller container says, so that the pages of a host also decide on boilerplate: a path
-whose text comes again and again beside different articles (``MIN_ARTICLES`` or more, a third as many texts at most) is
-dropped, and an element that its class, id or tag merely names as an aside counts where it holds half of the host's text or more.
+shuffle. The same pass notes what elements beside the page's best container say, so that the pages of a host also decide on
+boilerplate: a path that says the same again and again beside different articles (a third as many texts as articles, or
+fewer) is dropped, whatever its size.
 Pass two takes from every page the containers at its host's winning path, or the page's own best one where it has none
 there, and drops what doesn't belong to the article.
 
@@ -21,9 +21,9 @@ its name, unless that is a name of reader comments.
 
 Text: character references decoded; each block's white space to one space, ends trimmed; blocks joined by one space.
 <br> ends a block. Defined cases: null html is empty and has no text; a null url is the host ''; pages without any container
-give the text of the whole page by the same rules; unclosed tags end where an enclosing one does; where a host has under
-``MIN_ARTICLES`` articles, a page without <article> or <main> keeps elements named as asides that hold half of its text or more,
-comments only if there else is none, and if there still is none, all that isn't aside by its tag; repeated rows are reported each.
+give the text of the whole page by the same rules; unclosed tags end where an enclosing one does; a page without <article> or <main>
+keeps elements named as asides where the rest is under a tenth of its text (``Page.settled``), on hosts of any size; repeated
+rows are reported each.
 """
 
 from __future__ import annotations
@@ -43,8 +43,6 @@ from talkloom.llm.rows import packed, unpacked
 from talkloom.sources.scratch import cut
 
 SENT_BYTES = 8 << 20
-#: Articles (different ones) that a host must have for its pages to decide on boilerplate.
-MIN_ARTICLES = 4
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?"
@@ -228,16 +226,16 @@ class Page:
         pop(1)
         end[0] = len(pieces)
 
-    def states(self, drop=frozenset(), keep=frozenset(), spared=frozenset()) -> list[int]:
-        """How far each element is set aside, by itself or by what it stands in; paths to ``drop`` and to ``keep``, and elements to spare."""
+    def states(self, drop=frozenset(), spared=frozenset(), dropped: int = NAMED) -> list[int]:
+        """How far each element is set aside, by itself or by what it stands in; paths to ``drop``, and elements to spare."""
         out = [PLAIN]
         for e in range(1, len(self.tag)):
             own, up, path = self.level[e], out[self.parent[e]], self.path[e]
             if path and own < TAGGED:
-                if path in keep or e in spared:
+                if e in spared:
                     own = PLAIN
                 elif path in drop:
-                    own = NAMED
+                    own = dropped
             if self.tag[e] == "main" and up < HIDDEN or self.tag[e] == "article" and up <= NAMED:
                 up = PLAIN
             out.append(max(own, up))
@@ -272,23 +270,22 @@ class Page:
                     out.append((int(2000 * p * r / (p + r)), self.depth[e], e))
         return sorted(out, key=lambda x: (-x[0], -x[1], x[2]))
 
-    def settled(self, drop=frozenset(), keep=None) -> list[int]:
-        """``states`` by the decisions of a host, or where ``keep`` is None by the page itself."""
-        named = [e for e in range(1, len(self.tag)) if NAMED <= self.level[e] <= COMMENTS]
+    def settled(self, drop=frozenset()) -> list[int]:
+        """``states`` by the paths that the host drops. Elements named as asides count after all where next to nothing else does: if
+        the rest is under a tenth of the text that isn't aside by tag, role or host, those that hold half of it are spared, adverts
+        and the like before comments, and at last every named one."""
+        states = self.states(drop)
+        named = [e for e in range(1, len(self.tag)) if NAMED <= self.level[e] <= COMMENTS and self.path[e] not in drop]
         if not named or self.articles:
-            return self.states(drop, keep or frozenset())
-        free = self.sizes(self.states(drop), COMMENTS)
+            return states
+        free, rest = self.sizes(self.states(drop, dropped=TAGGED), COMMENTS), self.sizes(states, HINTED)[-1]
+        if 10 * rest >= free[-1]:
+            return states
         most = [e for e in named if 2 * (free[self.end[e]] - free[self.start[e]]) >= free[-1]]
-        comments = [e for e in most if self.level[e] == COMMENTS]
-        if keep is None:
-            # an advert is never most of a page, comments may well be
-            tries = [[e for e in most if self.level[e] == NAMED], most, named]
-        else:
-            tries = [[], comments]
-        for spared in tries:
-            states = self.states(drop, keep or frozenset(), frozenset(spared))
-            if self.sizes(states, HINTED)[-1]:
-                break
+        for spared in ([e for e in most if self.level[e] == NAMED], most, named):
+            found = self.states(drop, frozenset(spared))
+            if self.sizes(found, HINTED)[-1] > rest:
+                return found
         return states
 
     def text_hashes(self) -> tuple[list[int], list[int]]:
@@ -320,10 +317,10 @@ class Page:
         return " ".join(b for b in joined if b)
 
 
-def extract(page, winner: str | None, drop=frozenset(), keep=None) -> str:
-    """Main text of a page, at the path ``winner`` if it has that, by the host's decisions on paths."""
+def extract(page, winner: str | None, drop=frozenset()) -> str:
+    """Main text of a page, at the path ``winner`` if it has that, without the paths that its host drops."""
     p = Page(page if isinstance(page, str) else "")
-    states = p.settled(drop, keep)
+    states = p.settled(drop)
     chosen, until = [], -1
     if winner is not None:
         held = p.sizes(states, HINTED)
@@ -343,7 +340,7 @@ def host_of(url) -> str:
 
 
 def _notes(p: Page, states: list[int], best: int):
-    """(path, hash of its text, of the article's text, its share of the page's text in thousandths, named) of what pages decide on."""
+    """(path, hash of its text, of the article's text) of what pages decide on: all that has text but the article and what holds it."""
     h, n = p.text_hashes()
     free = p.sizes(states, COMMENTS)
 
@@ -351,71 +348,61 @@ def _notes(p: Page, states: list[int], best: int):
         a, b = p.start[e], p.end[e]
         return (h[b] - h[a] * pow(STEP, n[b] - n[a], PRIME)) % PRIME
 
-    article = hashed(best)
+    article, above, up = hashed(best), set(), best
+    while up > 0:
+        above.add(up)
+        up = p.parent[up]
     for e in range(1, len(p.tag)):
-        held = free[p.end[e]] - free[p.start[e]]
-        if p.path[e] and held and p.tag[e] not in UNNOTED and states[e] < TAGGED:
-            yield p.path[e], hashed(e), article, 1000 * held // free[-1], p.level[e] == NAMED
+        if p.path[e] and free[p.end[e]] > free[p.start[e]] and p.tag[e] not in UNNOTED and states[e] < TAGGED and e not in above:
+            yield p.path[e], hashed(e), article
 
 
-VOTES = "host string, path string, note boolean, depth long, score long, said long, article long, named boolean"
+VOTES = "host string, path string, note boolean, depth long, score long, said long, article long"
 
 
 def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Votes for containers, and notes of what they say (score: their share), the same ones of a batch as one."""
+    """Votes for containers, and notes of what elements say, the same ones of a batch as one."""
     for batch in batches:
         votes: Counter = Counter()
-        notes: dict = {}
+        notes: set = set()
         for url, page in zip(batch["url"], batch["html"], strict=True):
             p = Page(page if isinstance(page, str) else "")
             states, host = p.settled(), host_of(url)
             ranked = p.scored(states)
             for score, depth, e in ranked:
                 votes[host, p.path[e], depth] += score
-            for path, said, article, share, named in _notes(p, states, ranked[0][2] if ranked else 0):
-                notes[host, path, said, article, named] = share
-        rows = [(h, p, False, d, v, 0, 0, False) for (h, p, d), v in votes.items()] + [(h, p, True, 0, s, said, art, named) for (h, p, said, art, named), s in notes.items()]
+            notes |= {(host, *note) for note in _notes(p, states, ranked[0][2] if ranked else 0)}
+        rows = [(h, p, False, d, v, 0, 0) for (h, p, d), v in votes.items()] + [(h, p, True, 0, 0, said, art) for h, p, said, art in notes]
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in VOTES.split(", ")])
 
 
 def decisions(pages: DataFrame) -> DataFrame:
-    """(host, path, drop, keep): the path with most votes of each host, the deeper and then the first by name at a tie; paths that are boilerplate,
-    and those that count in spite of their names (null: too few articles to tell)."""
+    """(host, path, drop): the path with most votes of each host, the deeper and then the first by name at a tie; and the paths that are
+    boilerplate: beside three or more different articles they say a third as many texts or fewer."""
     rows = cut(pages.select("url", "html").mapInPandas(_votes, VOTES), "pagetext-votes")
     votes = rows.where("NOT note").groupBy("host", "path").agg(F.sum("score").alias("score"), F.max("depth").alias("depth"))
     winners = votes.groupBy("host").agg(F.min_by("path", F.struct(-F.col("score"), -F.col("depth"), F.col("path"))).alias("path"))
     # each text and article of a path once; counted in two steps, so that no path is counted in one task
-    once = rows.where("note").groupBy("host", "path", "said", "article").agg(F.max("score").alias("share"), F.bool_or("named").alias("named"))
-    said = once.groupBy("host", "path", "said").agg(F.sum("share").alias("share"), F.count("*").alias("n"), F.bool_or("named").alias("named"))
-    texts = said.groupBy("host", "path").agg(F.count("*").alias("texts"), F.sum("share").alias("share"), F.sum("n").alias("n"), F.bool_or("named").alias("named"))
+    once = rows.where("note").select("host", "path", "said", "article").distinct()
+    texts = once.select("host", "path", "said").distinct().groupBy("host", "path").agg(F.count("*").alias("texts"))
     beside = once.select("host", "path", "article").distinct().groupBy("host", "path").agg(F.count("*").alias("articles"))
-    of_host = once.select("host", "article").distinct().groupBy("host").agg(F.count("*").alias("articles")).where(F.col("articles") >= MIN_ARTICLES).select("host", F.lit(True).alias("many"))
-    minor = F.col("share") < 500 * F.col("n")
-    judged = texts.join(beside, ["host", "path"]).select(
-        "host", "path", (minor & (F.col("articles") >= MIN_ARTICLES) & (3 * F.col("texts") <= F.col("articles"))).alias("drop"), (F.col("named") & ~minor).alias("keep")
-    )
-    sets = judged.where("drop OR keep").groupBy("host").agg(F.sort_array(F.collect_list(F.when(F.col("drop"), F.col("path")))).alias("drop"), F.sort_array(F.collect_list(F.when(F.col("keep"), F.col("path")))).alias("keep"))
-    none = F.array().cast("array<string>")
-    out = winners.join(of_host, "host", "left").join(sets, "host", "left")
-    return out.select("host", "path", F.when(F.col("many"), F.coalesce("drop", none)).otherwise(none).alias("drop"), F.when(F.col("many"), F.coalesce("keep", none)).alias("keep"))
-
-
-def _sets(drop, keep) -> tuple:
-    return frozenset(drop if drop is not None else ()), None if keep is None else frozenset(keep)
+    dropped = texts.join(beside, ["host", "path"]).where(3 * F.col("texts") <= F.col("articles"))
+    sets = dropped.groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("drop"))
+    return winners.join(sets, "host", "left").select("host", "path", F.coalesce("drop", F.array().cast("array<string>")).alias("drop"))
 
 
 def with_text(pages: DataFrame, into: str = "_text", sent_bytes: int = SENT_BYTES) -> DataFrame:
     """``pages`` with the main text."""
     spark = pages.sparkSession
     decided = cut(decisions(pages), "pagetext-decisions")
-    same = ["path", "drop", "keep"]
+    same = ["path", "drop"]
     top = decided.groupBy(*same).count().orderBy(F.desc("count"), *same).first()
-    common = tuple(top[c] for c in same) if top else (None, [], None)
+    common = tuple(top[c] for c in same) if top else (None, [])
     told = F.to_json(F.struct(*same))
-    odd = decided.where(told != F.to_json(F.struct(F.lit(common[0]).alias("path"), *[(F.lit(None) if x is None else F.array(*map(F.lit, x))).cast("array<string>").alias(c) for c, x in zip(same[1:], common[1:], strict=True)])))
+    odd = decided.where(told != F.to_json(F.struct(F.lit(common[0]).alias("path"), F.array(*map(F.lit, common[1])).cast("array<string>").alias("drop"))))
     size = odd.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length(told) + 100), F.lit(0))).first()[0]
     if size <= sent_bytes:
-        sent = spark.sparkContext.broadcast(((common[0], *_sets(*common[1:])), {r["host"]: (r["path"], *_sets(r["drop"], r["keep"])) for r in odd.collect()}))
+        sent = spark.sparkContext.broadcast(((common[0], frozenset(common[1])), {r["host"]: (r["path"], frozenset(r["drop"])) for r in odd.collect()}))
 
         @F.pandas_udf("string")
         def take(urls: pd.Series, htmls: pd.Series) -> pd.Series:
@@ -430,12 +417,12 @@ def with_text(pages: DataFrame, into: str = "_text", sent_bytes: int = SENT_BYTE
         return pd.Series([host_of(u) for u in urls], dtype=object)
 
     @F.pandas_udf("string")
-    def take_at(paths: pd.Series, drops: pd.Series, keeps: pd.Series, htmls: pd.Series) -> pd.Series:
-        return pd.Series([extract(h, p, *_sets(d, k)) for p, d, k, h in zip(paths, drops, keeps, htmls, strict=True)], dtype=object)
+    def take_at(paths: pd.Series, drops: pd.Series, htmls: pd.Series) -> pd.Series:
+        return pd.Series([extract(h, p, frozenset(d if d is not None else ())) for p, d, h in zip(paths, drops, htmls, strict=True)], dtype=object)
 
     named = decided.select(F.col("host").alias("_host"), *[F.col(c).alias(f"_{c}") for c in same])
     rows = packed(pages, _html=F.col("html"), _of=host(F.col("url")))
-    joined = rows.join(named, F.col("_of") == F.col("_host"), "left").withColumn("_text", take_at("_path", "_drop", "_keep", "_html"))
+    joined = rows.join(named, F.col("_of") == F.col("_host"), "left").withColumn("_text", take_at("_path", "_drop", "_html"))
     return unpacked(joined, pages, **{into: F.col("_text")})
 
 
