@@ -9,9 +9,10 @@ are made for all pairs of contexts by matrix products, block by block over Spark
 kept. With it, the probabilities of a context add up to 1 over all outputs, and over all tokens.
 
 What is learnt covers the whole training corpus and grows with it: token counts, and the counts of all triples of two contexts and an output,
-added up in Spark and kept as a table. Training passes over that whole table ``ROUNDS`` times: each task descends from the
-same parameters along its share of the triples (any share is a random one, as they are dealt by hash), and changes are averaged between rounds,
-each row weighted by how often a task met it. Passes over the texts: token counts; triples; scores. The ``HEAD`` most frequent tokens
+added up in Spark, dealt by a hash into shares of some ``SHARE`` triples, and kept as a table of a row a share. Training passes over that
+whole table ``ROUNDS`` times: from the same parameters there is a descent along each share (again over all of it while that is under
+``LEAST_STEPS`` steps), and changes are averaged between rounds, each row weighted by how often a share met it. Shares, their order and
+their random numbers hang on the triples alone, so scores are the same for any partitions and after a task is run again. Passes over the texts: token counts; triples; scores. The ``HEAD`` most frequent tokens
 are sent along (those of over ``HEAD_BYTES`` as a digest); the rest of a document's tokens are joined to the table of counts by token.
 
 Defined cases: null and empty texts are one end token; rows without doc_id are scored and not learnt from, and not held
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkloom.llm.quality import held_out
-from talkloom.sources.scratch import cut
+from talkloom.sources.scratch import cut, drop_cut
 
 FOLDS = 10
 OWN, SHARED = 224, 30
@@ -43,12 +44,13 @@ OUT, MIN_OUT = 32_768, 20
 HEAD, HEAD_BYTES = 50_000, 64
 DIM, NOISE, BATCH, RATE, SEED = 24, 64, 4096, 0.08, 3
 ROUNDS, LEAST_STEPS = 4, 100
+SHARE = 1_000_000
 #: What the sums of squared gradients begin with: rows that are seldom met move little.
 FLOOR = 1e-4
 ADD = 0.1
 FLUSH = 200_000
 SUFFIX = 2
-#: Rows of outputs that are added up as one, and groups of tasks that are added up first.
+#: Rows of outputs that are added up as one, and groups of shares that are added up first.
 ROWS, GROUPS = 512, 16
 
 
@@ -277,53 +279,66 @@ def train(cell: np.ndarray, n: np.ndarray, n_out: int = CLASSES) -> dict:
     return p
 
 
+SHARES = "share int, cell binary, n binary"
+
+
+def _share(t: pa.Table) -> pa.Table:
+    """The triples of a share as one row, by cell."""
+    cell, n = t.column("cell").to_numpy(), t.column("n").to_numpy()
+    order = np.argsort(cell)
+    return pa.table({"share": pa.array([t.column("share")[0].as_py()], pa.int32()), "cell": pa.array([cell[order].tobytes()], pa.binary()), "n": pa.array([n[order].tobytes()], pa.binary())})
+
+
+def shares(triples: DataFrame, size: int = SHARE) -> DataFrame:
+    """The table of ``SHARES`` of (cell, n)."""
+    many = max(1, -(-triples.count() // size))
+    dealt = triples.withColumn("share", F.pmod(F.xxhash64("cell"), F.lit(many)).cast("int"))
+    return cut(dealt.groupBy("share").applyInArrow(_share, SHARES), "lbl-shares")
+
+
 UPDATE = "block int, task int, payload binary"
 
 
 def _trainer(sent, turn: int):
-    """Changes of the parameters by one task: a row per block of outputs (their vectors and biases) and one, -1, of the rest; weighted, with the weights."""
+    """Changes of the parameters along each share: a row per block of outputs (their vectors and biases) and one, -1, of the rest; weighted, with the weights."""
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = sent.value
-        task, n_out = TaskContext.get().partitionId(), len(p["q"])
-        d = Descent(p, SEED + 1000 * turn + task, RATE / (1 + turn) ** 0.5)
-        met, first = np.zeros(n_out), None
+        n_out = len(p["q"])
         for batch in batches:
-            if batch.num_rows:
-                cell, n = batch.column("cell").to_numpy(), batch.column("n").to_numpy()
-                met += np.bincount(cell % n_out, n, n_out)
-                d.over(cell, n)
-                first = (cell, n) if first is None else first
-        if first is None:
-            return
-        while d.steps < LEAST_STEPS:
-            d.over(*first)
-        weight = (met + 1e-4 * met.sum() * p["noise"] + 1e-9).astype(np.float32)[:, None]
-        change = np.hstack([(d.p["q"] - p["q"]) * weight, (d.p["b"] - p["b"])[:, None] * weight, weight])
-        parts = [change[i : i + ROWS].tobytes() for i in range(0, n_out, ROWS)]
-        rest = np.concatenate([(d.p[k] - p[k]).ravel() for k in ("r", "c1", "c2")]) * np.float32(met.sum())
-        parts.append(np.append(rest, np.float32(met.sum())).astype(np.float32).tobytes())
-        blocks = np.append(np.arange(len(parts) - 1), -1).astype(np.int32)
-        for i in range(0, len(parts), 8):
-            yield pa.RecordBatch.from_arrays([pa.array(blocks[i : i + 8]), pa.array(np.full(len(parts[i : i + 8]), task, np.int32)), pa.array(parts[i : i + 8], pa.binary())], ["block", "task", "payload"])
+            for row in range(batch.num_rows):
+                share = batch.column("share")[row].as_py()
+                cell, n = (np.frombuffer(batch.column(c)[row].as_py(), np.int64) for c in ("cell", "n"))
+                d = Descent(p, SEED + 1_000_003 * turn + share, RATE / (1 + turn) ** 0.5)
+                while d.steps < LEAST_STEPS or not d.steps:
+                    d.over(cell, n)
+                met = np.bincount(cell % n_out, n, n_out)
+                weight = (met + 1e-4 * met.sum() * p["noise"] + 1e-9).astype(np.float32)[:, None]
+                change = np.hstack([(d.p["q"] - p["q"]) * weight, (d.p["b"] - p["b"])[:, None] * weight, weight])
+                parts = [change[i : i + ROWS].tobytes() for i in range(0, n_out, ROWS)]
+                rest = np.concatenate([(d.p[k] - p[k]).ravel() for k in ("r", "c1", "c2")]) * np.float32(met.sum())
+                parts.append(np.append(rest, np.float32(met.sum())).astype(np.float32).tobytes())
+                blocks = np.append(np.arange(len(parts) - 1), -1).astype(np.int32)
+                for i in range(0, len(parts), 8):
+                    yield pa.RecordBatch.from_arrays([pa.array(blocks[i : i + 8]), pa.array(np.full(len(parts[i : i + 8]), share, np.int32)), pa.array(parts[i : i + 8], pa.binary())], ["block", "task", "payload"])
 
     return descend
 
 
 def _added(t: pa.Table) -> pa.Table:
-    """The payloads of a block as one, in the order of tasks."""
+    """The payloads of a block as one, in the order of shares."""
     rows = sorted(zip(t.column("task").to_pylist(), t.column("payload").to_pylist(), strict=True))
     total = np.sum([np.frombuffer(x, np.float32) for _, x in rows], axis=0, dtype=np.float64).astype(np.float32)
     return pa.table({"block": pa.array([t.column("block")[0].as_py()], pa.int32()), "task": pa.array([rows[0][0]], pa.int32()), "payload": pa.array([total.tobytes()], pa.binary())})
 
 
-def fitted(triples: DataFrame, unigram: np.ndarray) -> dict:
-    """Parameters after ROUNDS passes over the table of all triples (cell, n)."""
-    spark, p = triples.sparkSession, started(unigram)
+def fitted(dealt: DataFrame, unigram: np.ndarray) -> dict:
+    """Parameters after ROUNDS passes over the table of ``shares``."""
+    spark, p = dealt.sparkSession, started(unigram)
     for turn in range(ROUNDS):
         sent = spark.sparkContext.broadcast(p)
-        changes = triples.mapInArrow(_trainer(sent, turn), UPDATE)
-        # in two steps, so that no task has the changes of very many
+        changes = dealt.mapInArrow(_trainer(sent, turn), UPDATE)
+        # in two steps, so that no task has the changes of very many shares
         some = changes.groupBy("block", F.pmod("task", F.lit(GROUPS))).applyInArrow(_added, UPDATE)
         got = cut(some.groupBy("block").applyInArrow(_added, UPDATE), "lbl-changes").collect()
         new = {k: a.copy() for k, a in p.items()}
@@ -473,7 +488,9 @@ def fit(docs: DataFrame):
     unigram[1] = end
     unigram[2 : 2 + min(OWN, len(own))] = c[:OWN][: len(own)]
     unigram[CLASSES:] = c[OWN : len(own)]
-    p = fitted(triples, unigram)
+    dealt = shares(triples)
+    drop_cut(triples)
+    p = fitted(dealt, unigram)
     model = {
         "words": own, "head": words, "log_c": np.log10(c + ADD), "p": {k: a for k, a in p.items() if k != "noise"}, "log_sums": all_log_sums(spark, p),
         "log_z": np.log10(n_of + ADD * (v_of + 1)), "end": int(end),
