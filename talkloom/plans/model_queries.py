@@ -201,19 +201,27 @@ def training_pairs(r):
 
 
 SWEEP = """
-WITH s AS (SELECT * FROM (VALUES ('multilingual', 10, 'leaf', 50, 5, 24, 30.0, 0.61, 0.7, 0.52, 0.13), ('multilingual', 10, 'eom', 50, 5, 40, 12.0, 0.5, 0.3, 0.31, 0.11), ('translated', 15, 'leaf', 100, 10, 90, 45.0, 0.2, 0.26, NULL, 0.09), ('translated', 15, 'eom', 100, 10, 260, 60.0, NULL, NULL, -0.2, NULL))
-  AS t(pipeline_track, n_components, selection_method, min_cluster_size, min_samples, n_clusters, noise_pct, silhouette_embed_cosine, silhouette_umap, dbcv_umap, cluster_persistence_mean))"""
-SWEEP_ROWS = [("multilingual", 10, "leaf", 50, 5, 24, 30.0, 0.61, 0.7, 0.52, 0.13), ("multilingual", 10, "eom", 50, 5, 40, 12.0, 0.5, 0.3, 0.31, 0.11), ("translated", 15, "leaf", 100, 10, 90, 45.0, 0.2, 0.26, None, 0.09), ("translated", 15, "eom", 100, 10, 260, 60.0, None, None, -0.2, None)]
-SWEEP_SCHEMA = "pipeline_track string, n_components int, selection_method string, min_cluster_size int, min_samples int, n_clusters int, noise_pct double, silhouette_embed_cosine double, silhouette_umap double, dbcv_umap double, cluster_persistence_mean double"
+WITH s AS (SELECT detected_language AS pipeline_track, m AS selection_method, count(DISTINCT conversation_id) AS n_clusters, round(100.0::DOUBLE * count(*) FILTER (WHERE is_noise) / count(*), 4) AS noise_pct,
+  round(avg(hdbscan_prob) FILTER (WHERE NOT is_noise), 6) AS silhouette_embed_cosine, round(max(umap_x) / 10, 6) AS silhouette_umap, round(avg(umap_y), 6) AS dbcv_umap, round(stddev_pop(hdbscan_prob), 6) AS cluster_persistence_mean
+  FROM chunks, (VALUES ('eom'), ('leaf')) t(m) WHERE m = 'eom' OR hdbscan_prob >= 0.5::DOUBLE GROUP BY 1, 2)"""
+
+
+def sweep_rows(r) -> DataFrame:
+    """A setting for each language of the chunks, with all of them (eom) or the surer ones (leaf); its scores are means of theirs."""
+    c = r.chunks.withColumn("selection_method", F.explode(F.array(F.lit("eom"), F.lit("leaf")))).where((F.col("selection_method") == "eom") | (F.col("hdbscan_prob") >= 0.5))
+    return c.groupBy(F.col("detected_language").alias("pipeline_track"), "selection_method").agg(
+        F.count_distinct("conversation_id").alias("n_clusters"), F.round(100.0 * F.count_if("is_noise") / F.count("*"), 4).alias("noise_pct"), F.round(F.avg(F.when(~F.col("is_noise"), F.col("hdbscan_prob"))), 6).alias("silhouette_embed_cosine"),
+        F.round(F.max("umap_x") / 10, 6).alias("silhouette_umap"), F.round(F.avg("umap_y"), 6).alias("dbcv_umap"), F.round(F.stddev_pop("hdbscan_prob"), 6).alias("cluster_persistence_mean"),
+    )
 
 
 @query("v23_composite_score", SWEEP + """
-SELECT pipeline_track, selection_method, c AS composite, row_number() OVER (PARTITION BY pipeline_track ORDER BY c DESC) AS rank_in_track, n_clusters BETWEEN 30 AND 250 AND noise_pct <= 55 AND silhouette_embed_cosine IS NOT NULL AS valid,
+SELECT pipeline_track, selection_method, c AS composite, row_number() OVER (PARTITION BY pipeline_track ORDER BY c DESC, selection_method) AS rank_in_track, n_clusters BETWEEN 30 AND 250 AND noise_pct <= 55 AND silhouette_embed_cosine IS NOT NULL AS valid,
   concat_ws('  ', CASE WHEN dbcv_umap > 0.5 THEN 'DBCV✓✓' WHEN dbcv_umap > 0.3 THEN 'DBCV✓' WHEN dbcv_umap IS NOT NULL THEN 'DBCV✗' END, CASE WHEN silhouette_umap > 0.5 THEN 'sil✓✓' WHEN silhouette_umap > 0.25 THEN 'sil✓' WHEN silhouette_umap IS NOT NULL THEN 'sil✗' END,
     CASE WHEN noise_pct < 40 THEN 'noise✓' WHEN noise_pct < 50 THEN 'noise~' ELSE 'noise✗' END, CASE WHEN cluster_persistence_mean > 0.12 THEN 'pers✓✓' WHEN cluster_persistence_mean > 0.10 THEN 'pers✓' WHEN cluster_persistence_mean IS NOT NULL THEN 'pers✗' END) AS quality
 FROM (SELECT *, round(0.20::DOUBLE * coalesce(silhouette_embed_cosine, 0) + 0.25::DOUBLE * coalesce(silhouette_umap, 0) + 0.30::DOUBLE * coalesce((dbcv_umap + 1) / 2, 0) + 0.20::DOUBLE * coalesce(cluster_persistence_mean, 0) + 0.05::DOUBLE * greatest(0, (50 - coalesce(noise_pct, 50)) / 50), 6)::DOUBLE AS c FROM s)""")
 def composite_score(r):
-    s = clusters.composite(r.spark.createDataFrame(SWEEP_ROWS, SWEEP_SCHEMA))
+    s = clusters.composite(sweep_rows(r))
     ok = F.col("n_clusters").between(30, 250) & (F.col("noise_pct") <= 55) & F.col("silhouette_embed_cosine").isNotNull()
     return s.select("pipeline_track", "selection_method", "composite", F.col("rank_in_track").cast("long").alias("rank_in_track"), ok.alias("valid"), "quality")
 
@@ -406,11 +414,14 @@ def upsert(r):
     return upsert(old, old.where("c_custkey % 3 = 0").withColumn("c_mktsegment", F.lit("NEW")), ["c_custkey"])
 
 
-@query("s03_registry", "SELECT * FROM (VALUES ('hashed-ngrams-384', 'HashedNgramEmbedder', 384), ('hashed-ngrams-64', 'HashedNgramEmbedder', 64)) t(model, kind, dim)")
+@query("s03_registry", """SELECT model, kind, dim, n FROM (VALUES ('hashed-ngrams-384', 'HashedNgramEmbedder', 384), ('hashed-ngrams-64', 'HashedNgramEmbedder', 64)) t(model, kind, dim)
+JOIN (SELECT len(embedding) AS d, count(*) AS n FROM embeddings GROUP BY 1) ON d <= dim""")
 def registry(r):
+    """The registered models, with how many of the table's vectors each could hold."""
     from talkloom.plugins import registered
 
-    return registered(r.spark)
+    sizes = r.table("embeddings").groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n"))
+    return registered(r.spark).join(sizes, F.col("d") <= F.col("dim")).drop("d")
 
 
 # --- series ---------------------------------------------------------------------------------------------------------
@@ -667,10 +678,9 @@ def length_range(r):
     return r.table("documents").groupBy("lang").agg(F.count("*").alias("n_before"), kept.alias("n_kept")).withColumn("kept_pct", pct(F.col("n_kept"), F.col("n_before"), 1))
 
 
-@query("p16_valid_configs", SWEEP + " SELECT pipeline_track, selection_method, min_cluster_size, n_clusters FROM s WHERE n_clusters BETWEEN 30 AND 250 AND noise_pct <= 55 AND silhouette_embed_cosine IS NOT NULL")
+@query("p16_valid_configs", SWEEP + " SELECT pipeline_track, selection_method, n_clusters FROM s WHERE n_clusters BETWEEN 30 AND 250 AND noise_pct <= 55 AND silhouette_embed_cosine IS NOT NULL")
 def valid_configs(r):
-    s = r.spark.createDataFrame(SWEEP_ROWS, SWEEP_SCHEMA)
-    return clusters.valid_configs(s).select("pipeline_track", "selection_method", "min_cluster_size", "n_clusters")
+    return clusters.valid_configs(sweep_rows(r)).select("pipeline_track", "selection_method", "n_clusters")
 
 
 @query("t02_nulls_last", "SELECT conversation_id, category FROM docs ORDER BY category DESC NULLS LAST, conversation_id LIMIT 40")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,36 @@ def replace_table(df: DataFrame, path: str) -> None:
     fs.delete(make(old), True)
 
 
+def swap_table(df: DataFrame, path: str) -> None:
+    """Make ``df``, which may itself read it, the table at ``path`` for ``current_table``: written as a version of its own, which a small
+    file then names. The file is replaced in one step, so readers find the old table or the new one at any moment; the version
+    before stays for readers that have begun, older ones go."""
+    spark = df.sparkSession
+    was = _named(spark, path)
+    name = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{name}")
+    fs, fresh = _fs(spark, f"{path}/current.{name}")
+    out = fs.create(fresh, True)
+    out.writeBytes("\n".join([name, *was[:1]]))
+    out.close()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    overwrite = spark._sc._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    overwrite[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    hadoop.FileContext.getFileContext(fresh.toUri(), spark._jsc.hadoopConfiguration()).rename(fresh, hadoop.Path(f"{path}/current"), overwrite)
+    for old in was[1:]:
+        fs.delete(hadoop.Path(f"{path}/{old}"), True)
+
+
+def _named(spark: SparkSession, path: str) -> list[str]:
+    """The current version of a table and the one before."""
+    fs, p = _fs(spark, f"{path}/current")
+    return [r.value for r in spark.read.text(p.toString()).collect()] if fs.exists(p) else []
+
+
+def current_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/{_named(spark, path)[0]}")
+
+
 def append_table(df: DataFrame, path: str) -> None:
     """Append; columns that the table lacks are added (read with ``read_table``)."""
     df.write.mode("append").parquet(path)

@@ -175,6 +175,16 @@ def test_tables(spark, tmp_path):
     df.write.parquet(path)
     tables.replace_table(spark.read.parquet(path).withColumn("v", F.upper("v")), path)
     assert sorted(spark.read.parquet(path).collect()) == [(1, "A"), (2, "B")]
+    swapped = f"file://{tmp_path}/swapped"
+    tables.swap_table(df, swapped)
+    begun = tables.current_table(spark, swapped)
+    for _ in range(3):
+        before = tables.current_table(spark, swapped)
+        tables.swap_table(before.withColumn("k", F.col("k") + 1), swapped)
+    assert sorted(tables.current_table(spark, swapped).collect()) == [(4, "a"), (5, "b")]
+    assert sorted(before.collect()) == [(3, "a"), (4, "b")]  # the version before is still there, older ones aren't
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND|does not exist"):
+        begun.collect()
     merged = tables.merge_update(df, spark.createDataFrame([(2, None)], "k int, v string"), ["k"], ["v"])
     assert sorted(merged.collect()) == [(1, "a"), (2, None)]
     up = tables.upsert(df, spark.createDataFrame([(2, "z", 1.0), (3, "c", 2.0)], "k int, v string, w double"), ["k"])
