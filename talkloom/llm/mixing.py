@@ -9,8 +9,8 @@ w) / n_s copies per document in the mean. Only one row per source is aggregated
 sending it along where there are up to ``SENT_SOURCES``, so texts are shuffled once, to their places in the mix.
 
 Defined cases: a null source is a source of its own; rows without doc_id draw as doc_id '' ; repeated rows draw the same
-number each; an empty table gives an empty mix. A given weight whose rate is above ``MAX_RATE`` is refused, as replication so
-high is a mistake in the weights; rates of default weights grow with the table for rare sources and are drawn, however high.
+number each; an empty table gives an empty mix. Rates are drawn however high, of given weights as of default ones, unless
+``max_rate`` is given: a source above it is then an error.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from talkloom.sources.scratch import cut
 SEED = 17
 EPOCHS = 1.0
 TEMPERATURE = 0.5
-MAX_RATE = 20.0
 #: Rates of up to so many are drawn by adding up the terms from 0; of more, by their logarithms.
 DIRECT, NEAR = 100.0, 50
 #: Rates of up to so many sources are sent to all executors; more are joined by source.
@@ -88,12 +87,12 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, epochs: floa
     return w.crossJoin(F.broadcast(total)).select("source", F.round(rate, 9).alias("rate"))
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, seed: int = SEED, epochs: float = EPOCHS, temperature: float = TEMPERATURE) -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame | None = None, seed: int = SEED, epochs: float = EPOCHS, temperature: float = TEMPERATURE, max_rate: float | None = None) -> DataFrame:
     """``docs`` replicated and globally shuffled, with ``mix_copy`` (from 0) and ``mix_order`` (the shuffle key)."""
     rates = source_rates(docs, weights, epochs, temperature).select(F.col("source").alias("_s"), "rate")
-    if weights is not None:
-        over = F.raise_error(F.concat(F.lit("repetition rate over 20 for source "), F.coalesce("_s", F.lit("null"))))
-        rates = rates.withColumn("rate", F.when(F.col("rate") > MAX_RATE, over).otherwise(F.col("rate")))
+    if max_rate is not None:
+        over = F.raise_error(F.concat(F.lit(f"repetition rate over {max_rate} for source "), F.coalesce("_s", F.lit("null"))))
+        rates = rates.withColumn("rate", F.when(F.col("rate") > max_rate, over).otherwise(F.col("rate")))
     rates = cut(rates, "mixing-rates")
     if rates.count() <= SENT_SOURCES:
         rates = F.broadcast(rates)
@@ -120,7 +119,8 @@ n AS (SELECT source, count(*) AS n FROM {docs} GROUP BY source),
 w AS (SELECT source, n, pow(n::DOUBLE, {TEMPERATURE}) AS w FROM n),
 t AS (SELECT sum(n) AS n_all, round(sum(w), 6) AS w_all FROM w),
 rates AS (SELECT source, round({EPOCHS} * n_all * w / w_all / n, 9) AS rate FROM w, t),
-terms AS (SELECT source, rate, k, exp(-rate) * pow(rate, k) / gamma(k + 1) AS p FROM rates, range(0, 100) AS r(k)),
+most AS (SELECT ceil(max(rate) + 12 * sqrt(max(rate)) + 30)::BIGINT AS m FROM rates),
+terms AS (SELECT source, rate, k, CASE WHEN rate = 0 THEN (k = 0)::INT ELSE exp(k * ln(CASE WHEN rate > 0 THEN rate ELSE 1 END) - rate - lgamma(k + 1)) END AS p FROM rates, (SELECT unnest(range(0, m)) AS k FROM most)),
 cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
 drawn AS (SELECT {columns}, {u} AS u FROM {docs} d),
 counted AS (SELECT d.*, (SELECT count(*) FROM cdf WHERE cdf.source IS NOT DISTINCT FROM d.source AND cdf.c <= d.u) AS copies FROM drawn d),

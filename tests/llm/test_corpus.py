@@ -274,8 +274,10 @@ def test_mix(spark, crowded):
     assert len(a) == pytest.approx(6000, rel=0.05)
     crowd = mixing.mix(crowded)
     assert crowd.columns == [*crowded.columns, "mix_order"] and crowd.count() > 0
+    hot = spark.createDataFrame([("hot", 1.0)], "source string, weight double")
     with pytest.raises(Exception, match="rate over 20"):
-        mixing.mix(df, spark.createDataFrame([("hot", 1.0)], "source string, weight double"), epochs=30.0).count()
+        mixing.mix(df, hot, epochs=30.0, max_rate=20.0).count()
+    assert mixing.mix(df, hot, epochs=30.0).count() == pytest.approx(30 * df.count(), rel=0.05)
 
 
 # --- 2 --------------------------------------------------------------------------------------------------------------
