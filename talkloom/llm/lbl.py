@@ -44,7 +44,7 @@ OUT, MIN_OUT = 32_768, 20
 HEAD, HEAD_BYTES = 50_000, 64
 DIM, NOISE, BATCH, RATE, SEED = 24, 64, 4096, 0.08, 3
 ROUNDS, LEAST_STEPS = 4, 100
-SHARE = 1_000_000
+SHARE = 500_000
 #: What the sums of squared gradients begin with: rows that are seldom met move little.
 FLOOR = 1e-4
 ADD = 0.1
@@ -286,7 +286,8 @@ def _share(t: pa.Table) -> pa.Table:
     """The triples of a share as one row, by cell."""
     cell, n = t.column("cell").to_numpy(), t.column("n").to_numpy()
     order = np.argsort(cell)
-    return pa.table({"share": pa.array([t.column("share")[0].as_py()], pa.int32()), "cell": pa.array([cell[order].tobytes()], pa.binary()), "n": pa.array([n[order].tobytes()], pa.binary())})
+    # CLASSES ** 2 contexts times OUT + CLASSES outputs are under 2 ** 32
+    return pa.table({"share": pa.array([t.column("share")[0].as_py()], pa.int32()), "cell": pa.array([cell[order].astype(np.uint32).tobytes()], pa.binary()), "n": pa.array([n[order].tobytes()], pa.binary())})
 
 
 def shares(triples: DataFrame, size: int = SHARE) -> DataFrame:
@@ -308,7 +309,8 @@ def _trainer(sent, turn: int):
         for batch in batches:
             for row in range(batch.num_rows):
                 share = batch.column("share")[row].as_py()
-                cell, n = (np.frombuffer(batch.column(c)[row].as_py(), np.int64) for c in ("cell", "n"))
+                cell = np.frombuffer(batch.column("cell")[row].as_py(), np.uint32).astype(np.int64)
+                n = np.frombuffer(batch.column("n")[row].as_py(), np.int64)
                 d = Descent(p, SEED + 1_000_003 * turn + share, RATE / (1 + turn) ** 0.5)
                 while d.steps < LEAST_STEPS or not d.steps:
                     d.over(cell, n)

@@ -46,5 +46,5 @@ def test_shares_hold_all_triples_once(spark):
     rows = [(int(c), int(c) % 7 + 1) for c in range(0, 5000, 3)]
     table = lbl.shares(spark.createDataFrame(rows, "cell long, n long").repartition(9), 300).collect()
     assert len(table) == 6
-    back = [(int(c), int(n)) for t in table for c, n in zip(np.frombuffer(t.cell, np.int64), np.frombuffer(t.n, np.int64), strict=True)]
+    back = [(int(c), int(n)) for t in table for c, n in zip(np.frombuffer(t.cell, np.uint32), np.frombuffer(t.n, np.int64), strict=True)]
     assert sorted(back) == rows
