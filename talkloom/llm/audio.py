@@ -4,15 +4,17 @@ A recording is cut into overlapping frames (``FRAME`` samples, a third of that a
 frame's spectrum is summed into twelve pitch classes, smoothed over time and normalised. Sixteen rectangle filters,
 evaluated on an integral image of those rows, are each quantised to two bits (Gray code): one packed 32-bit integer a frame.
 
-Recordings with equal fingerprints are one class, named by its smallest (conv_id, turn); only classes are indexed and
-searched. Every integer of every class is indexed. A query class looks up its integers, and those that differ from them by
-one bit, counts offsets of the hits by
-class (the offset histogram); the bit error rate over the overlap at each offset with ``MIN_VOTES`` hits or more decides, and the
-offset with fewest errors stands for the pair. Every integer is looked up; the postings of one that occurs more than ``HOT`` times are dealt
-out over as many keys as it takes, and its lookups go to all of these.
-
-An overlap is ``MIN_OVERLAP`` integers at least; of two fingerprints that both have fewer, all of the shorter one. Such pairs seldom share an
-integer, so they are compared exactly, in blocks of ``PAIR_BLOCK`` classes: queries times classes, of those with under ``MIN_OVERLAP`` integers.
+Recordings with equal fingerprints are one class; only classes are indexed and searched. Every integer of every class is
+indexed. Two classes are linked if at some offset the share of wrong bits over their overlap is ``MAX_ERROR`` or less; the
+overlap is ``MIN_OVERLAP`` integers at least, or the whole of a fingerprint that has fewer, and ``MIN_SHARE`` of the shorter one.
+The offset with fewest errors stands for the pair.
+
+No link is lost. At a share of 0.15 some integer of the overlap has ``MAX_WRONG`` (4) wrong bits or fewer, so in one of the three ``PARTS``
+of its bits one is wrong at most: distinct integers of queries look up each part, and the part with each of its bits flipped,
+among the parts of all distinct integers. Integers that meet are compared in blocks of ``BLOCK_VALUES`` a side, and stay together if
+``MAX_WRONG`` bits or fewer differ; their postings give the offset histogram. An offset of n integers that can be within the share has
+n * ``LEAST_VOTES`` hits at least (all others have 5 wrong bits or more); the bit errors at each such offset decide. The postings of an
+integer that occurs more than ``HOT`` times are dealt out over as many keys as it takes, and its lookups go to all of these.
 
 Media: 16-bit WAV bytes of any rate and channels, or a text played as a score: each word is a tone of ``NOTE`` samples whose pitch is hashed from
 the word. Samples are made or decoded a block of frames at a time, so a recording of any length needs little memory, and
@@ -25,7 +27,6 @@ never queries.
 
 from __future__ import annotations
 
-import math
 import zlib
 
 import numpy as np
@@ -50,9 +51,14 @@ WIDTH = max(f[3] for f in FILTERS)
 LEVELS = (-0.15, 0.0, 0.15)
 GRAY = np.array([0, 1, 3, 2], np.uint32)
 HOT = 500
-MAX_ERROR, MIN_OVERLAP, MIN_SHARE, MIN_VOTES = 0.15, 4, 0.5, 1
+MAX_ERROR, MIN_OVERLAP, MIN_SHARE = 0.15, 4, 0.5
+#: Most wrong bits of the best integer of an overlap, and the least share of integers with so few.
+MAX_WRONG = int(32 * MAX_ERROR)
+LEAST_VOTES = 1 - 32 * MAX_ERROR / (MAX_WRONG + 1)
+#: Bits of an integer, so many that one wrong bit at most is in one of them.
+PARTS = (0x7FF, 0x3FF800, 0xFFC00000)
 QUERY_EVERY = 50
-PAIR_BLOCK = 8192
+BLOCK_VALUES, COMPARED = 8192, 1 << 21
 
 
 def _pitch_matrix() -> np.ndarray:
@@ -205,89 +211,73 @@ def bit_errors(a: Column, b: Column, offset: Column) -> tuple[Column, Column]:
     return n, wrong / F.nullif(n * 32, F.lit(0))
 
 
-def _prints(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Integers of all fingerprints one after the other, and where each begins (one more at the end)."""
-    column = t.column("print").combine_chunks()
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.int32).view(np.uint32)
-    return values, np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-
-
-def _within(short: tuple, long: tuple, longer_by: int) -> tuple[np.ndarray, ...]:
-    """Best places of fingerprints of under MIN_OVERLAP integers in those of ``longer_by`` more at least: four arrays of
-    index of the short one, of the long one, place, wrong bits."""
-    (sv, s0), (lv, l0) = short, long
-    size, found = np.diff(l0), [np.zeros((4, 0), np.int64)]
-    owner, place = np.repeat(np.arange(len(size)), size), np.arange(len(lv)) - np.repeat(l0[:-1], size)
-    for m in range(1, MIN_OVERLAP):
-        at = np.flatnonzero((size[owner] >= m + longer_by) & (place + m <= size[owner]))
-        windows = [lv[at + j] for j in range(m)]
-        for i in np.flatnonzero(np.diff(s0) == m):
-            wrong = sum(np.bitwise_count(w ^ x).astype(np.int64) for w, x in zip(windows, sv[s0[i] : s0[i + 1]], strict=True))
-            near = np.flatnonzero(wrong <= MAX_ERROR * 32 * m)
-            if len(near):
-                r, p, e = owner[at[near]], place[at[near]], wrong[near]
-                order = np.lexsort((p, e, r))
-                first = order[np.unique(r[order], return_index=True)[1]]
-                found.append(np.stack([np.full(len(first), i), r[first], p[first], e[first]]))
-    return tuple(np.concatenate(found, 1))
-
-
-def _short_pairs(asking: pa.Table, others: pa.Table) -> pa.Table:
-    a, b = _prints(asking), _prints(others)
-    q, r, at, wrong = _within(a, b, 0)
-    r2, q2, at2, wrong2 = _within(b, a, 1)
-    n = np.concatenate([np.diff(a[1])[q], np.diff(b[1])[r2]])
-    out = {
-        "q": asking.column("rep").combine_chunks().take(pa.array(np.concatenate([q, q2]))), "r": others.column("rep").combine_chunks().take(pa.array(np.concatenate([r, r2]))),
-        "offset": pa.array(np.concatenate([at, -at2]).astype(np.int32)), "n": pa.array(n.astype(np.int32)), "error": pa.array(np.concatenate([wrong, wrong2]) / np.maximum(1, n * 32.0)),
-    }
-    return pa.table(out)
-
-
-def short_links(classes: DataFrame) -> DataFrame:
-    """(q, r, offset, n, error) of all linked pairs that both have under MIN_OVERLAP integers."""
-    classes = classes.where(F.size("print") < MIN_OVERLAP)
-    n, asking = classes.agg(F.count("*"), F.count_if("asks")).first()
-    parts, q_parts = max(1, math.ceil(n / PAIR_BLOCK)), max(1, math.ceil(asking / PAIR_BLOCK))
-
-    def block(of: int) -> Column:
-        return F.pmod(F.xxhash64("rep"), F.lit(of)).cast("int")
-
-    def every(of: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
-
-    a = classes.where("asks").select("rep", "print", block(q_parts).alias("_q")).withColumn("_r", every(parts))
-    b = classes.select("rep", "print", block(parts).alias("_r")).withColumn("_q", every(q_parts))
-    rep = classes.schema["rep"].dataType.simpleString()
-    schema = f"q {rep}, r {rep}, offset int, n int, error double"
-    return a.groupBy("_q", "_r").cogroup(b.groupBy("_q", "_r")).applyInArrow(_short_pairs, schema).where("not (q <=> r)")
-
-
-def align(prints: DataFrame, hot: int = HOT) -> DataFrame:
-    """One row per row of ``prints`` (conv_id, turn, print): class_conv, class_turn, n_frames, is_query, and on the row
-    that names a class with a query in it the ``links``: array of (conv_id, turn, offset, n, error) of other classes."""
-    # classes by two hashes of the fingerprint: the fingerprint itself is no key
-    keys = [F.xxhash64("print").alias("k1"), F.xxhash64(F.lit("print"), "print").alias("k2")]
-    prints = cut(prints.select("*", *keys), "audio-prints")
+def _near(asked: pa.Table, held: pa.Table) -> pa.Table:
+    """Pairs of integers with MAX_WRONG differing bits or fewer, of those that share a part; each pair in the first part that it shares."""
+    a, b = (t.column("value").to_numpy().astype(np.int32).view(np.uint32) for t in (asked, held))
+    found = [np.zeros((2, 0), np.uint32)]
+    part = asked.column("part")[0].as_py() if len(a) else 0
+    step = max(1, COMPARED // max(1, len(b)))
+    for i in range(0, len(a) if len(b) else 0, step):
+        differ = a[i : i + step, None] ^ b
+        u, v = np.nonzero(np.bitwise_count(differ) <= MAX_WRONG)
+        bits = differ[u, v]
+        new = np.ones(len(u), bool)
+        for mask in PARTS[:part]:
+            new &= np.bitwise_count(bits & np.uint32(mask)) > 1
+        found.append(np.stack([a[i + u[new]], b[v[new]]]))
+    x, y = np.concatenate(found, 1).view(np.int32)
+    return pa.table({"value": x, "r_value": y})
+
+
+def near_values(asked: DataFrame, held: DataFrame, block: int = BLOCK_VALUES) -> DataFrame:
+    """(value, r_value) of all integers of ``asked`` and ``held`` (both: value, each once) with MAX_WRONG differing bits or fewer."""
+
+    def parts(flipped: bool) -> Column:
+        flips = {mask: [0, *[1 << k for k in range(32) if flipped and mask >> k & 1]] for mask in PARTS}
+        signed = lambda x: F.lit(int(np.uint32(x).view(np.int32)))
+        return F.array(*[F.struct(F.lit(i).alias("part"), F.col("value").bitwiseXOR(signed(x)).bitwiseAND(signed(mask)).alias("bits")) for i, mask in enumerate(PARTS) for x in flips[mask]])
+
+    a, b = (df.select(F.col("value").alias("value"), F.inline(parts(flipped))) for df, flipped in ((asked, True), (held, False)))
+    counts = a.select("part", "bits", F.lit(1).alias("q"), F.lit(0).alias("r")).unionAll(b.select("part", "bits", F.lit(0), F.lit(1))).groupBy("part", "bits").agg(F.sum("q").alias("q"), F.sum("r").alias("r"))
+    # as many rows as there are values of parts, 5120 at most
+    sizes = F.broadcast(counts.where("q > 0 and r > 0").select("part", "bits", *[F.ceil(F.col(x) / block).cast("int").alias(x) for x in "qr"]))
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64("value"), F.col(own)).cast("int").alias("_" + own)
+        return df.join(sizes, ["part", "bits"]).select("part", "bits", "value", mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("_" + other))
+
+    keys = ["part", "bits", "_q", "_r"]
+    return dealt(a, "q", "r").groupBy(keys).cogroup(dealt(b, "r", "q").groupBy(keys)).applyInArrow(_near, "value int, r_value int")
+
+
+def classes_of(prints: DataFrame) -> DataFrame:
+    """One row per fingerprint of ``prints`` (conv_id, turn, print, k1, k2) that isn't empty: k1, k2, rep (its smallest conv_id and turn), asks, print."""
     query = F.coalesce(F.col("conv_id") % QUERY_EVERY == 0, F.lit(False))
     named = F.min_by(F.struct("conv_id", "turn"), F.struct(F.col("conv_id").isNull().alias("none"), "conv_id", "turn"))
-    grouped = prints.where(F.size("print") > 0).groupBy("k1", "k2").agg(named.alias("rep"), F.bool_or(query).alias("asks"), F.first("print").alias("print"))
-    classes = cut(grouped, "audio-classes")
-    postings = classes.where(F.size("print") >= MIN_OVERLAP).select("rep", "asks", F.size("print").alias("size"), F.posexplode("print").alias("pos", "value"))
-    keys = F.ceil(F.col("count") / hot).cast("int").alias("keys")
-    spread = cut(postings.groupBy("value").count().where(F.col("count") > hot).select("value", keys), "audio-hot")
-    flips = F.array(*[F.col("value").bitwiseXOR(F.lit(x).cast("int")) for x in [0, *[(1 << k) - (1 << 32 if k == 31 else 0) for k in range(32)]]])
-    asked = postings.where("asks").select(F.col("rep").alias("q"), F.col("size").alias("q_size"), F.col("pos").alias("q_pos"), F.explode(flips).alias("value"))
-    asked = asked.join(spread, "value", "left").withColumn("key", F.explode(F.sequence(F.lit(0), F.coalesce("keys", F.lit(1)) - 1))).drop("keys")
-    held = postings.join(spread, "value", "left").select(F.col("rep").alias("r"), F.col("size").alias("r_size"), F.col("pos").alias("r_pos"), "value", F.pmod(F.xxhash64("rep", "pos"), F.coalesce("keys", F.lit(1))).cast("int").alias("key"))
+    return prints.where(F.size("print") > 0).groupBy("k1", "k2").agg(named.alias("rep"), F.bool_or(query).alias("asks"), F.first("print").alias("print"))
+
+
+def linked(classes: DataFrame, hot: int = HOT, block: int = BLOCK_VALUES) -> DataFrame:
+    """(q, r, offset, n, error) of all pairs of a class that asks and another one that align; q and r are structs of k1 and k2."""
+    postings = cut(classes.select(F.struct("k1", "k2").alias("id"), "asks", F.size("print").alias("size"), F.posexplode("print").alias("pos", "value")), "audio-postings")
+    counts = cut(postings.groupBy("value").agg(F.count("*").alias("count"), F.bool_or("asks").alias("asks")), "audio-values")
+    near = near_values(counts.where("asks").select("value"), counts.select("value"), block)
+    spread = counts.where(F.col("count") > hot).select("value", F.ceil(F.col("count") / hot).cast("int").alias("keys"))
+    # postings of a frequent integer are dealt over keys, and what looks it up goes to each of them
+    near = cut(near.join(spread.withColumnRenamed("value", "r_value"), "r_value", "left").select("value", "r_value", F.coalesce("keys", F.lit(1)).alias("keys")), "audio-near")
+    salt = F.pmod(F.xxhash64("id", "pos"), F.coalesce("keys", F.lit(1))).cast("int").alias("key")
+    held = postings.join(spread, "value", "left").select(F.col("id").alias("r"), F.col("size").alias("r_size"), F.col("pos").alias("r_pos"), F.col("value").alias("r_value"), salt)
+    asked = postings.where("asks").select(F.col("id").alias("q"), F.col("size").alias("q_size"), F.col("pos").alias("q_pos"), "value")
+    asked = asked.join(near, "value").select("q", "q_size", "q_pos", "r_value", F.explode(F.sequence(F.lit(0), F.col("keys") - 1)).alias("key"))
     offset = F.col("r_pos") - F.col("q_pos")
-    over = F.least("q_size", F.col("r_size") - offset) - F.greatest(F.lit(0), -offset)
-    hits = asked.join(held, ["value", "key"]).where("q != r").where((over >= MIN_OVERLAP) & (over >= F.least("q_size", "r_size") * MIN_SHARE))
-    histogram = hits.groupBy("q", "r", offset.alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= MIN_VOTES)
+    over, shorter = F.least("q_size", F.col("r_size") - offset) - F.greatest(F.lit(0), -offset), F.least("q_size", "r_size")
+    hits = asked.join(held, ["r_value", "key"]).where("q != r").select("q", "r", offset.alias("offset"), over.alias("over"), shorter.alias("shorter"))
+    hits = hits.where((F.col("over") >= F.least("shorter", F.lit(MIN_OVERLAP))) & (F.col("over") >= F.col("shorter") * MIN_SHARE))
+    histogram = hits.groupBy("q", "r", "offset", "over").agg(F.count("*").alias("votes")).where(F.col("votes") >= F.col("over") * LEAST_VOTES - 1e-9)
     # fingerprints are joined to pairs once, with all offsets of a pair
     pairs = histogram.groupBy("q", "r").agg(F.collect_list(F.struct("offset", "votes")).alias("offsets"))
-    a = classes.select(F.col("rep").alias("q"), F.col("print").alias("a"))
-    b = classes.select(F.col("rep").alias("r"), F.col("print").alias("b"))
+    a = classes.select(F.struct("k1", "k2").alias("q"), F.col("print").alias("a"))
+    b = classes.select(F.struct("k1", "k2").alias("r"), F.col("print").alias("b"))
 
     def judged(o: Column) -> Column:
         n, error = bit_errors(F.col("a"), F.col("b"), o["offset"])
@@ -295,19 +285,32 @@ def align(prints: DataFrame, hot: int = HOT) -> DataFrame:
 
     # of the offsets that align two classes the one with fewest errors stands for them
     best = F.array_min(F.filter(F.transform("offsets", judged), lambda o: o["error"] <= MAX_ERROR))
-    linked = pairs.join(a, "q").join(b, "r").select("q", "r", best.alias("o")).where("o IS NOT NULL").select("q", "r", "o.offset", "o.n", "o.error")
-    linked = linked.unionByName(short_links(classes))
-    one = F.struct(F.col("r.conv_id").alias("conv_id"), F.col("r.turn").alias("turn"), "offset", "n", F.round("error", 4).alias("error"))
-    links = linked.groupBy("q").agg(F.sort_array(F.collect_list(one)).alias("links"))
-    named = classes.join(links, classes["rep"] == links["q"], "left").select("k1", "k2", "rep", "links")
-    out = prints.join(named, ["k1", "k2"], "left")
+    return pairs.join(a, "q").join(b, "r").select("q", "r", best.alias("o")).where("o IS NOT NULL").select("q", "r", "o.offset", "o.n", "o.error")
+
+
+def align(prints: DataFrame, hot: int = HOT, block: int = BLOCK_VALUES) -> DataFrame:
+    """Each row of ``prints`` (conv_id, turn, print) once: class_conv, class_turn, n_frames, is_query; and the row that names a class
+    with a query in it once per class that aligns with it, its links: link_conv, link_turn, offset, n, error, and their number n_links.
+    Other rows have nulls there."""
+    # classes by two hashes of the fingerprint: the fingerprint itself is no key
+    keys = [F.xxhash64("print").alias("k1"), F.xxhash64(F.lit("print"), "print").alias("k2")]
+    prints = cut(prints.select("*", *keys), "audio-prints")
+    classes = cut(classes_of(prints), "audio-classes")
+    pairs = cut(linked(classes, hot, block), "audio-pairs")
+    ids = classes.select(F.struct("k1", "k2").alias("r"), F.col("rep.conv_id").alias("link_conv"), F.col("rep.turn").alias("link_turn"))
+    rounded = F.round("error", 4).alias("error")
+    links = pairs.join(ids, "r").select("q.k1", "q.k2", F.lit(True).alias("first"), "link_conv", "link_turn", "offset", "n", rounded)
+    n_links = pairs.groupBy("q.k1", "q.k2").agg(F.count("*").alias("n_links"))
+    named = classes.select("k1", "k2", "rep").join(n_links, ["k1", "k2"], "left")
+    query = F.coalesce(F.col("conv_id") % QUERY_EVERY == 0, F.lit(False))
     first = (F.col("conv_id").eqNullSafe(F.col("rep.conv_id"))) & (F.col("turn").eqNullSafe(F.col("rep.turn")))
-    return out.select(
-        "conv_id", "turn", F.size("print").cast("long").alias("n_frames"), F.col("rep.conv_id").alias("class_conv"), F.col("rep.turn").alias("class_turn"), query.alias("is_query"),
-        F.when(first, F.size("links")).cast("long").alias("n_links"), F.when(first, F.col("links")).alias("links"),
+    out = prints.join(named, ["k1", "k2"], "left").select(
+        "k1", "k2", first.alias("first"), "conv_id", "turn", F.size("print").cast("long").alias("n_frames"), F.col("rep.conv_id").alias("class_conv"), F.col("rep.turn").alias("class_turn"), query.alias("is_query"),
+        F.when(first, F.col("n_links")).alias("n_links"),
     )
+    return out.join(links, ["k1", "k2", "first"], "left").drop("k1", "k2", "first")
 
 
 def op1(turns: DataFrame) -> DataFrame:
-    """One row per turn: its fingerprint's class, and the classes that align with it; queries are all conv_id divisible by 50."""
+    """The class of every turn's fingerprint, and the classes that align with it (see ``align``); queries are all conv_id divisible by 50."""
     return align(turns.select("conv_id", "turn", score_print("text").alias("print")))
