@@ -9,12 +9,11 @@ indexed. Two classes are linked if at some offset the share of wrong bits over t
 overlap is ``MIN_OVERLAP`` integers at least, or the whole of a fingerprint that has fewer, and ``MIN_SHARE`` of the shorter one.
 The offset with fewest errors stands for the pair.
 
-No link is lost. At a share of 0.15 some integer of the overlap has ``MAX_WRONG`` (4) wrong bits or fewer, so in one of the three ``PARTS``
-of its bits one is wrong at most: distinct integers of queries look up each part, and the part with each of its bits flipped,
-among the parts of all distinct integers. Integers that meet are compared in blocks of ``BLOCK_VALUES`` a side, and stay together if
-``MAX_WRONG`` bits or fewer differ; their postings give the offset histogram. An offset of n integers that can be within the share has
-n * ``LEAST_VOTES`` hits at least (all others have 5 wrong bits or more); the bit errors at each such offset decide. The postings of an
-integer that occurs more than ``HOT`` times are dealt out over as many keys as it takes, and its lookups go to all of these.
+No link is lost. Classes that ask meet all classes in blocks of some ``BLOCK_INTEGERS`` integers a side (a stated query set against all rows:
+work is the product of both, shuffled rows are those of all classes once per block that asks). In a block every integer of a query is
+looked up among all that are held; those with ``MAX_WRONG`` (4) wrong bits or fewer are hits, which are counted by class and
+offset (the offset histogram). At a share of 0.15 an overlap of n integers has n * ``LEAST_VOTES`` hits at least, as all others have 5 wrong
+bits or more; the bit errors at each such offset decide. Only links leave a block.
 
 Media: 16-bit WAV bytes of any rate and channels, or a text played as a score: each word is a tone of ``NOTE`` samples whose pitch is hashed from
 the word. Samples are made or decoded a block of frames at a time, so a recording of any length needs little memory, and
@@ -50,15 +49,12 @@ WIDTH = max(f[3] for f in FILTERS)
 #: Bounds of the four levels of the log-ratio of a filter's two sums, about its value on rows of equal shares.
 LEVELS = (-0.15, 0.0, 0.15)
 GRAY = np.array([0, 1, 3, 2], np.uint32)
-HOT = 500
 MAX_ERROR, MIN_OVERLAP, MIN_SHARE = 0.15, 4, 0.5
 #: Most wrong bits of the best integer of an overlap, and the least share of integers with so few.
 MAX_WRONG = int(32 * MAX_ERROR)
 LEAST_VOTES = 1 - 32 * MAX_ERROR / (MAX_WRONG + 1)
-#: Bits of an integer, so many that one wrong bit at most is in one of them.
-PARTS = (0x7FF, 0x3FF800, 0xFFC00000)
 QUERY_EVERY = 50
-BLOCK_VALUES, COMPARED = 8192, 1 << 21
+BLOCK_INTEGERS, MOST_HITS = 1 << 15, 1 << 20
 
 
 def _pitch_matrix() -> np.ndarray:
@@ -202,52 +198,69 @@ def wav_print(media: pd.Series) -> pd.Series:
     return pd.Series([fingerprint(Wav(bytes(b))) if b is not None and len(b) else np.zeros(0, np.int32) for b in media], dtype=object)
 
 
-def bit_errors(a: Column, b: Column, offset: Column) -> tuple[Column, Column]:
-    """(overlapping frames, share of differing bits) with b's frame i + offset over a's frame i."""
-    lo, hi = F.greatest(F.lit(0), -offset), F.least(F.size(a), F.size(b) - offset)
-    n = F.greatest(F.lit(0), hi - lo)
-    over = F.arrays_zip(F.slice(a, lo + 1, n).alias("x"), F.slice(b, lo + offset + 1, n).alias("y"))
-    wrong = F.aggregate(over, F.lit(0), lambda acc, z: acc + F.bit_count(z["x"].bitwiseXOR(z["y"]).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
-    return n, wrong / F.nullif(n * 32, F.lit(0))
-
-
-def _near(asked: pa.Table, held: pa.Table) -> pa.Table:
-    """Pairs of integers with MAX_WRONG differing bits or fewer, of those that share a part; each pair in the first part that it shares."""
-    a, b = (t.column("value").to_numpy().astype(np.int32).view(np.uint32) for t in (asked, held))
-    found = [np.zeros((2, 0), np.uint32)]
-    part = asked.column("part")[0].as_py() if len(a) else 0
-    step = max(1, COMPARED // max(1, len(b)))
-    for i in range(0, len(a) if len(b) else 0, step):
-        differ = a[i : i + step, None] ^ b
-        u, v = np.nonzero(np.bitwise_count(differ) <= MAX_WRONG)
-        bits = differ[u, v]
-        new = np.ones(len(u), bool)
-        for mask in PARTS[:part]:
-            new &= np.bitwise_count(bits & np.uint32(mask)) > 1
-        found.append(np.stack([a[i + u[new]], b[v[new]]]))
-    x, y = np.concatenate(found, 1).view(np.int32)
-    return pa.table({"value": x, "r_value": y})
-
-
-def near_values(asked: DataFrame, held: DataFrame, block: int = BLOCK_VALUES) -> DataFrame:
-    """(value, r_value) of all integers of ``asked`` and ``held`` (both: value, each once) with MAX_WRONG differing bits or fewer."""
-
-    def parts(flipped: bool) -> Column:
-        flips = {mask: [0, *[1 << k for k in range(32) if flipped and mask >> k & 1]] for mask in PARTS}
-        signed = lambda x: F.lit(int(np.uint32(x).view(np.int32)))
-        return F.array(*[F.struct(F.lit(i).alias("part"), F.col("value").bitwiseXOR(signed(x)).bitwiseAND(signed(mask)).alias("bits")) for i, mask in enumerate(PARTS) for x in flips[mask]])
-
-    a, b = (df.select(F.col("value").alias("value"), F.inline(parts(flipped))) for df, flipped in ((asked, True), (held, False)))
-    counts = a.select("part", "bits", F.lit(1).alias("q"), F.lit(0).alias("r")).unionAll(b.select("part", "bits", F.lit(0), F.lit(1))).groupBy("part", "bits").agg(F.sum("q").alias("q"), F.sum("r").alias("r"))
-    # as many rows as there are values of parts, 5120 at most
-    sizes = F.broadcast(counts.where("q > 0 and r > 0").select("part", "bits", *[F.ceil(F.col(x) / block).cast("int").alias(x) for x in "qr"]))
+def _prints(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Integers of all fingerprints one after the other, and where each begins (one more at the end)."""
+    column = t.column("print").combine_chunks()
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.int32).view(np.uint32)
+    return values, np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+
+def _histogram(a: np.ndarray, b: np.ndarray, owner: np.ndarray, place: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hits of a's integers in b's by (class, offset), both in one number, class * span + offset + len(a); and how many each has."""
+    keys, votes, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+
+    def folded():
+        key, at = np.unique(np.concatenate(keys), return_inverse=True)
+        return key, np.bincount(at, np.concatenate(votes), len(key)).astype(np.int64)
+
+    for i, x in enumerate(a):
+        v = np.flatnonzero(np.bitwise_count(b ^ x) <= MAX_WRONG)
+        if len(v):
+            keys.append(owner[v] * span + place[v] + (len(a) - i))
+            votes.append(np.ones(len(v), np.int64))
+            held += len(v)
+        if held > MOST_HITS:
+            key, vote = folded()
+            keys, votes, held = [key], [vote], 0
+    return folded()
+
+
+def _wrong_bits(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Wrong bits of overlaps of n integers from these places on."""
+    out, ends, i = np.zeros(len(n), np.int64), np.cumsum(n), 0
+    while i < len(n):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + MOST_HITS)))
+        first = np.cumsum(n[i:j]) - n[i:j]
+        step = np.arange(n[i:j].sum()) - np.repeat(first, n[i:j])
+        differ = a[np.repeat(at_a[i:j], n[i:j]) + step] ^ b[np.repeat(at_b[i:j], n[i:j]) + step]
+        out[i:j] = np.add.reduceat(np.bitwise_count(differ).astype(np.int64), first)
+        i = j
+    return out
 
-    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
-        mine = F.pmod(F.xxhash64("value"), F.col(own)).cast("int").alias("_" + own)
-        return df.join(sizes, ["part", "bits"]).select("part", "bits", "value", mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("_" + other))
 
-    keys = ["part", "bits", "_q", "_r"]
-    return dealt(a, "q", "r").groupBy(keys).cogroup(dealt(b, "r", "q").groupBy(keys)).applyInArrow(_near, "value int, r_value int")
+def _block(asked: pa.Table, held: pa.Table) -> pa.Table:
+    """Links of the classes ``asked`` with those ``held``."""
+    (a, a0), (b, b0) = _prints(asked), _prints(held)
+    size, found = np.diff(b0), [np.zeros((5, 0), np.int64)]
+    owner, place = np.repeat(np.arange(len(size)), size), np.arange(len(b)) - np.repeat(b0[:-1], size)
+    for q in range(len(a0) - 1 if len(b) else 0):
+        m = int(a0[q + 1] - a0[q])
+        span = m + int(size.max()) + 1
+        key, votes = _histogram(a[a0[q] : a0[q + 1]], b, owner, place, span)
+        r, offset = key // span, key % span - m
+        begin = np.maximum(0, -offset)
+        n, shorter = np.minimum(m, size[r] - offset) - begin, np.minimum(m, size[r])
+        on = np.flatnonzero((n >= np.minimum(shorter, MIN_OVERLAP)) & (n >= MIN_SHARE * shorter) & (votes >= n * LEAST_VOTES - 1e-9))
+        r, offset, begin, n, votes = (x[on] for x in (r, offset, begin, n, votes))
+        wrong = _wrong_bits(a, b, a0[q] + begin, b0[r] + begin + offset, n)
+        on = np.flatnonzero(wrong <= MAX_ERROR * 32 * n)
+        # of the offsets that align two classes the one with fewest errors stands for them
+        on = on[np.lexsort((offset[on], np.abs(offset[on]), -votes[on], wrong[on] / n[on], r[on]))]
+        on = on[np.unique(r[on], return_index=True)[1]]
+        found.append(np.stack([np.full(len(on), q), r[on], offset[on], n[on], wrong[on]]))
+    q, r, offset, n, wrong = np.concatenate(found, 1)
+    ids = {x + k: t.column(k).combine_chunks().take(pa.array(at)) for x, t, at in (("q", asked, q), ("r", held, r)) for k in ("k1", "k2")}
+    return pa.table(ids | {"offset": offset.astype(np.int32), "n": n.astype(np.int32), "error": wrong / np.maximum(1, n * 32.0)})
 
 
 def classes_of(prints: DataFrame) -> DataFrame:
@@ -257,38 +270,23 @@ def classes_of(prints: DataFrame) -> DataFrame:
     return prints.where(F.size("print") > 0).groupBy("k1", "k2").agg(named.alias("rep"), F.bool_or(query).alias("asks"), F.first("print").alias("print"))
 
 
-def linked(classes: DataFrame, hot: int = HOT, block: int = BLOCK_VALUES) -> DataFrame:
-    """(q, r, offset, n, error) of all pairs of a class that asks and another one that align; q and r are structs of k1 and k2."""
-    postings = cut(classes.select(F.struct("k1", "k2").alias("id"), "asks", F.size("print").alias("size"), F.posexplode("print").alias("pos", "value")), "audio-postings")
-    counts = cut(postings.groupBy("value").agg(F.count("*").alias("count"), F.bool_or("asks").alias("asks")), "audio-values")
-    near = near_values(counts.where("asks").select("value"), counts.select("value"), block)
-    spread = counts.where(F.col("count") > hot).select("value", F.ceil(F.col("count") / hot).cast("int").alias("keys"))
-    # postings of a frequent integer are dealt over keys, and what looks it up goes to each of them
-    near = cut(near.join(spread.withColumnRenamed("value", "r_value"), "r_value", "left").select("value", "r_value", F.coalesce("keys", F.lit(1)).alias("keys")), "audio-near")
-    salt = F.pmod(F.xxhash64("id", "pos"), F.coalesce("keys", F.lit(1))).cast("int").alias("key")
-    held = postings.join(spread, "value", "left").select(F.col("id").alias("r"), F.col("size").alias("r_size"), F.col("pos").alias("r_pos"), F.col("value").alias("r_value"), salt)
-    asked = postings.where("asks").select(F.col("id").alias("q"), F.col("size").alias("q_size"), F.col("pos").alias("q_pos"), "value")
-    asked = asked.join(near, "value").select("q", "q_size", "q_pos", "r_value", F.explode(F.sequence(F.lit(0), F.col("keys") - 1)).alias("key"))
-    offset = F.col("r_pos") - F.col("q_pos")
-    over, shorter = F.least("q_size", F.col("r_size") - offset) - F.greatest(F.lit(0), -offset), F.least("q_size", "r_size")
-    hits = asked.join(held, ["r_value", "key"]).where("q != r").select("q", "r", offset.alias("offset"), over.alias("over"), shorter.alias("shorter"))
-    hits = hits.where((F.col("over") >= F.least("shorter", F.lit(MIN_OVERLAP))) & (F.col("over") >= F.col("shorter") * MIN_SHARE))
-    histogram = hits.groupBy("q", "r", "offset", "over").agg(F.count("*").alias("votes")).where(F.col("votes") >= F.col("over") * LEAST_VOTES - 1e-9)
-    # fingerprints are joined to pairs once, with all offsets of a pair
-    pairs = histogram.groupBy("q", "r").agg(F.collect_list(F.struct("offset", "votes")).alias("offsets"))
-    a = classes.select(F.struct("k1", "k2").alias("q"), F.col("print").alias("a"))
-    b = classes.select(F.struct("k1", "k2").alias("r"), F.col("print").alias("b"))
-
-    def judged(o: Column) -> Column:
-        n, error = bit_errors(F.col("a"), F.col("b"), o["offset"])
-        return F.struct(error.alias("error"), (-o["votes"]).alias("fewer"), F.abs(o["offset"]).alias("far"), o["offset"].alias("offset"), n.alias("n"))
-
-    # of the offsets that align two classes the one with fewest errors stands for them
-    best = F.array_min(F.filter(F.transform("offsets", judged), lambda o: o["error"] <= MAX_ERROR))
-    return pairs.join(a, "q").join(b, "r").select("q", "r", best.alias("o")).where("o IS NOT NULL").select("q", "r", "o.offset", "o.n", "o.error")
-
-
-def align(prints: DataFrame, hot: int = HOT, block: int = BLOCK_VALUES) -> DataFrame:
+def linked(classes: DataFrame, block: int = BLOCK_INTEGERS) -> DataFrame:
+    """(qk1, qk2, rk1, rk2, offset, n, error) of all pairs of a class that asks and another one that align."""
+    size = F.size("print").cast("long")
+    n, asking = classes.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(F.when(F.col("asks"), size)), F.lit(0))).first()
+    parts = {"_r": max(1, -(-n // block)), "_q": max(1, -(-asking // block))}
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        mine = F.pmod("k1", F.lit(parts[own])).cast("int").alias(own)
+        return df.select(F.col("k1").alias("k1"), F.col("k2").alias("k2"), F.col("print").alias("print"), mine, F.explode(F.sequence(F.lit(0), F.lit(parts[other] - 1))).alias(other))
+
+    a, b = dealt(classes.where("asks"), "_q", "_r"), dealt(classes, "_r", "_q")
+    schema = "qk1 long, qk2 long, rk1 long, rk2 long, offset int, n int, error double"
+    met = a.groupBy("_q", "_r").cogroup(b.groupBy("_q", "_r")).applyInArrow(_block, schema)
+    return met.where("qk1 != rk1 or qk2 != rk2")
+
+
+def align(prints: DataFrame, block: int = BLOCK_INTEGERS) -> DataFrame:
     """Each row of ``prints`` (conv_id, turn, print) once: class_conv, class_turn, n_frames, is_query; and the row that names a class
     with a query in it once per class that aligns with it, its links: link_conv, link_turn, offset, n, error, and their number n_links.
     Other rows have nulls there."""
@@ -296,11 +294,11 @@ def align(prints: DataFrame, hot: int = HOT, block: int = BLOCK_VALUES) -> DataF
     keys = [F.xxhash64("print").alias("k1"), F.xxhash64(F.lit("print"), "print").alias("k2")]
     prints = cut(prints.select("*", *keys), "audio-prints")
     classes = cut(classes_of(prints), "audio-classes")
-    pairs = cut(linked(classes, hot, block), "audio-pairs")
-    ids = classes.select(F.struct("k1", "k2").alias("r"), F.col("rep.conv_id").alias("link_conv"), F.col("rep.turn").alias("link_turn"))
+    pairs = cut(linked(classes, block), "audio-pairs")
+    ids = classes.select(F.col("k1").alias("rk1"), F.col("k2").alias("rk2"), F.col("rep.conv_id").alias("link_conv"), F.col("rep.turn").alias("link_turn"))
     rounded = F.round("error", 4).alias("error")
-    links = pairs.join(ids, "r").select("q.k1", "q.k2", F.lit(True).alias("first"), "link_conv", "link_turn", "offset", "n", rounded)
-    n_links = pairs.groupBy("q.k1", "q.k2").agg(F.count("*").alias("n_links"))
+    links = pairs.join(ids, ["rk1", "rk2"]).select(F.col("qk1").alias("k1"), F.col("qk2").alias("k2"), F.lit(True).alias("first"), "link_conv", "link_turn", "offset", "n", rounded)
+    n_links = pairs.groupBy(F.col("qk1").alias("k1"), F.col("qk2").alias("k2")).agg(F.count("*").alias("n_links"))
     named = classes.select("k1", "k2", "rep").join(n_links, ["k1", "k2"], "left")
     query = F.coalesce(F.col("conv_id") % QUERY_EVERY == 0, F.lit(False))
     first = (F.col("conv_id").eqNullSafe(F.col("rep.conv_id"))) & (F.col("turn").eqNullSafe(F.col("rep.turn")))
