@@ -159,10 +159,10 @@ def _pick(ix: neighbours.Index, asks: DataFrame, of_row: DataFrame, edges: DataF
     found = known.select("c", "to", *EDGE)
     lost = left.where("tau IS NULL")
     if not lost.isEmpty():  # a first bound from the nearest cells
-        found = cut(found.unionByName(candidates(neighbours.ask(now, lost, 1, 0, 4, owner))), "forest-found")
+        found = cut(found.unionByName(candidates(neighbours.ask(now, lost, 1, 0, 4, owner, shared=True))), "forest-found")
         bounds = _lightest(found).select(F.col("c").alias("g"), F.col("w").alias("tau"))
         left = left.drop("tau").join(bounds, "g", "left").select(*cols)
-    found = found.unionByName(candidates(neighbours.ask(now, left, 1, 0, None, owner)))
+    found = found.unionByName(candidates(neighbours.ask(now, left, 1, 0, None, owner, shared=True)))
     out = cut(_lightest(found), "forest-picks")
     for x in (known, filed):
         drop_cut(x)

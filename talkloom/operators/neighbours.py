@@ -2,10 +2,13 @@
 
 Cells are fitted on a hash sample of at most ``SAMPLE`` rows; every row is filed in the cell of its nearest centre, with its
 distance to it. A question visits cells in the order of the least distance that any of a cell's rows can have to it (distance
-to the centre less the cell's radius, by the triangle inequality). The exact mode goes on, four times as many cells a round,
-for the questions whose last answer a cell could still better; the approximate mode ends after the first round. Questions meet
-rows by an equality join on the cell, whose rows and questions are dealt into blocks of bounded size, so a hot cell is many
-tasks. All rows are filed and every question is answered; nothing is collected but centres and one summary a cell.
+to the centre less the cell's radius, by the triangle inequality; of equal ones the nearer centre first). The approximate mode
+ends after the first cells; the exact mode then asks all cells that could still better a question's last answer. Cells near each
+other make groups of some ``GROUPS``-th of the rows, and questions meet rows by an equality join on the group: a question is sent
+once a group, not once a cell, so what is shuffled is at most some ``GROUPS`` times the rows. Inside, cells are compared one
+at a time, each with the questions that it can still better. Groups and their questions are dealt into blocks of bounded size, so
+a hot cell is many tasks. All rows are filed and every question is answered; nothing is collected but centres and one summary
+a cell.
 
 Answers are rounded values (cosine to 6 digits, distance to 9), ties to the smaller id, and so don't depend on partitions.
 """
@@ -25,7 +28,10 @@ from talkloom.sources.scratch import cut, drop_cut
 
 SAMPLE = 16_384
 MOST_CELLS = 1024
-ROWS, ASKS = 2000, 2000
+#: Rows of a group, and questions that it is asked at once: a part of all, between these bounds.
+GROUPS, LEAST_BLOCK, MOST_BLOCK = 24, 2000, 32_768
+#: Rows and questions compared at once; rows and questions looked at together for cells; questions sent on at once.
+PIECE, STEP, LOOK, SENT = 1024, 1000, 2_000_000, 10_000
 PROBES = 8
 SLACK = 1e-8
 #: Answers are compared as these values, smaller is better.
@@ -34,8 +40,9 @@ DIGITS = {"cosine": 6, "euclidean": 9}
 
 @dataclass
 class Index:
-    """``rows``: (cell, block, id, v, g, core); by cell: centre, radius, number of blocks, least core distance. ``part``: whose
-    rows a cell holds, where each part has cells of its own and questions (with a column ``p``) stay in theirs."""
+    """``rows``: (cell, block, id, v, g, core); by cell: centre, radius, least core distance, group; by group: number of blocks.
+    ``part``: whose rows a cell holds, where each part has cells of its own and questions (with a column ``p``) stay in theirs.
+    ``block``: rows of a block, about."""
 
     rows: DataFrame
     centres: np.ndarray
@@ -43,6 +50,8 @@ class Index:
     blocks: np.ndarray
     core: np.ndarray
     metric: str
+    group: np.ndarray
+    block: int
     part: np.ndarray | None = None
 
     def drop(self) -> None:
@@ -82,22 +91,44 @@ def prepared(df: DataFrame, uid: str, vector: str, group: str | None = None, cor
     return df.select(F.col(uid).alias("id"), v.alias("v"), F.col(group or uid).alias("g"), F.col(core).cast("double").alias("core") if core else F.lit(0.0).alias("core"))
 
 
-def build(rows: DataFrame, metric: str = "cosine", cells: int | None = None, block: int = ROWS, part: str | None = None) -> Index | None:
+def _grouped(centres: np.ndarray, n: np.ndarray, block: int, part: np.ndarray | None) -> np.ndarray:
+    """The group of each cell: cells are halved along the axis on which they differ most until at most ``block`` rows are left;
+    those of parts follow each other instead."""
+    if part is not None:
+        order = np.argsort(part, kind="stable")
+        out = np.empty(len(n), int)
+        out[order] = (n[order].cumsum() - 1) // block
+        return np.unique(out, return_inverse=True)[1]
+    out, left, found = np.zeros(len(n), int), [np.arange(len(n))], 0
+    while left:
+        c = left.pop()
+        if len(c) == 1 or n[c].sum() <= block:
+            out[c], found = found, found + 1
+            continue
+        c = c[np.argsort(centres[c][:, centres[c].var(0).argmax()], kind="stable")]
+        half = n[c].cumsum()
+        at = min(max(int(np.searchsorted(half, half[-1] / 2)), 1), len(c) - 1)
+        left += [c[:at], c[at:]]
+    return out
+
+
+def build(rows: DataFrame, metric: str = "cosine", cells: int | None = None, block: int | None = None, part: str | None = None) -> Index | None:
     """The index over ``prepared`` rows: the square root of their number of cells, ``MOST_CELLS`` at most, or so many for each
     value of ``part``, a column of integers. None without rows."""
     n = rows.count()
     if not n:
         return None
+    block = block or min(max(n // GROUPS, LEAST_BLOCK), MOST_BLOCK)
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()
     base = _centres(_stack(r.v for r in sample), min(cells or MOST_CELLS, max(1, math.isqrt(n)), len(sample)))
 
     def file(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            if len(f):
-                x = _stack(f.v)
-                f["at"] = _apart(x, base).argmin(1).astype(np.int32)
-                f["r"] = np.sqrt(((x - base[f["at"]]) ** 2).sum(1))
-                yield f
+            for i in range(0, len(f), STEP):
+                x = _stack((one := f.iloc[i : i + STEP].copy()).v)
+                one["at"] = _apart(x, base).argmin(1).astype(np.int32)
+                one["r"] = np.sqrt(((x - base[one["at"]]) ** 2).sum(1))
+                yield one
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     names = ["id", "v", "g", "core"]
@@ -106,104 +137,210 @@ def build(rows: DataFrame, metric: str = "cosine", cells: int | None = None, blo
     filed = cut(filed.mapInPandas(file, ", ".join(f"{c} {kinds[c]}" for c in names) + ", p long, at int, r double"), "index")
     found = sorted(filed.groupBy("p", "at").agg(F.max("r").alias("r"), F.count("*").alias("n"), F.min("core").alias("c")).collect(), key=lambda r: (r.p, r["at"]))
     number = {(r.p, r["at"]): i for i, r in enumerate(found)}
-    blocks = np.array([math.ceil(r.n / block) for r in found])
+    arrays = [np.array([f(r) for r in found]) for f in (lambda r: r.r, lambda r: r.c, lambda r: r.p, lambda r: r.n)]
+    centres = base[[r["at"] for r in found]]
+    group = _grouped(centres, arrays[3], block, arrays[2] if part else None)
+    blocks = np.ceil(np.bincount(group, arrays[3]) / block).astype(int)
 
     @F.pandas_udf("struct<cell: int, many: int>")
     def cell(p: pd.Series, at: pd.Series) -> pd.DataFrame:
         c = np.array([number[x] for x in zip(p, at, strict=True)], np.int32)
-        return pd.DataFrame({"cell": c, "many": blocks[c].astype(np.int32)})
+        return pd.DataFrame({"cell": c, "many": blocks[group[c]].astype(np.int32)})
 
     dealt = filed.withColumn("_c", cell("p", "at")).select(*names, "_c.cell", F.pmod(F.xxhash64("id"), F.col("_c.many")).cast("int").alias("block"))
     dealt._scratch_path = filed._scratch_path
-    arrays = [np.array([f(r) for r in found]) for f in (lambda r: r.r, lambda r: r.c, lambda r: r.p)]
-    return Index(dealt, base[[r["at"] for r in found]], arrays[0], blocks, arrays[1], metric, arrays[2] if part else None)
+    return Index(dealt, centres, arrays[0], blocks, arrays[1], metric, group, block, arrays[2] if part else None)
+
+
+def _can(ix: Index, owner: list | None):
+    """Least distances of questions to ``cells`` (numbers), inf where there can be no answer, and to their centres; not to other
+    parts' cells, and not to one whose rows all belong to the ``owner`` that asks."""
+    centres, radius, least, part = ix.centres, ix.radius, ix.core, ix.part
+    if owner is not None:
+        owned = np.array([x is not None for x in owner])
+        owners = np.array([x if x is not None else 0 for x in owner])
+
+    def of(f: pd.DataFrame, v: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        far = _apart(v, centres[cells])
+        low = np.maximum(far - radius[cells] - SLACK, 0)
+        low = np.maximum(low, np.maximum(f.core.to_numpy(float)[:, None], least[cells][None]) - SLACK)
+        if part is not None:
+            low[f.p.to_numpy()[:, None] != part[cells][None]] = np.inf
+        if owner is not None:
+            low[(f.g.to_numpy()[:, None] == owners[cells][None]) & owned[cells][None]] = np.inf
+        return low, far
+
+    return of
 
 
-def _visits(ix: Index, first: int, last: int | None, owner: list | None):
-    """Rows of questions for each cell of those ranked ``first`` to ``last`` that can hold an answer as good as ``tau``;
-    a cell whose rows all belong to one ``owner`` isn't visited by that group."""
-    centres, radius, least, metric, part = ix.centres, ix.radius, ix.core, ix.metric, ix.part
+def _within(tau: np.ndarray, metric: str) -> np.ndarray:
+    """How far rows can be that are as good as ``tau``: a cosine of -tau is so far on the sphere."""
+    return np.sqrt(np.maximum(np.where(np.isfinite(tau), 2 + 2 * tau + 2e-6, np.inf), 0)) if metric == "cosine" else tau
+
+
+def _visits(ix: Index, first: int, last: int | None, owner: list | None, counted: bool = False):
+    """Rows of questions for each group with cells, of those ranked ``first`` to ``last``, that can hold an answer as good as
+    ``tau``; ``cells`` names them unless all ranks count. ``counted``: the number of such rows by group instead."""
+    can, metric, group = _can(ix, owner), ix.metric, ix.group
+    parts = None if ix.part is None else {p: np.flatnonzero(ix.part == p) for p in np.unique(ix.part)}
+    every, ranked, groups = np.arange(len(ix.centres)), bool(first) or last is not None, len(ix.blocks)
+
+    def seen(f: pd.DataFrame):
+        """Questions of one part a time, with (question, cell) of their visits."""
+        for p, of_part in [(None, f)] if parts is None else f.groupby("p"):
+            cells = every if parts is None else parts.get(p, every[:0])
+            step = max(1, LOOK // max(1, len(cells)))
+            for i in range(0, len(of_part) if len(cells) else 0, step):
+                one = of_part.iloc[i : i + step]
+                low, far = can(one, _stack(one.v), cells)
+                ok = (low <= _within(one.tau.fillna(np.inf).to_numpy(float), metric)[:, None] + SLACK) & np.isfinite(low)
+                if ranked:
+                    rank = np.empty(low.shape, np.int32)
+                    np.put_along_axis(rank, np.lexsort((far, low), axis=1).astype(np.int32), np.arange(len(cells), dtype=np.int32)[None], 1)
+                    ok &= (rank >= first) & (rank < (last or len(every)))
+                r, c = np.nonzero(ok)
+                yield one, r, cells[c]
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(groups, int)
         for f in frames:
-            if not len(f):
-                continue
-            low = np.maximum(_apart(_stack(f.v), centres) - radius - SLACK, 0)
-            low = np.maximum(low, np.maximum(f.core.to_numpy(float)[:, None], least[None]) - SLACK)
-            if part is not None:
-                low[f.p.to_numpy()[:, None] != part[None]] = np.inf
-            if owner is not None:
-                own = np.array([x is not None for x in owner])
-                low[(f.g.to_numpy()[:, None] == np.array([x if x is not None else 0 for x in owner])[None]) & own[None]] = np.inf
-            rank = low.argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
-            tau = f.tau.fillna(np.inf).to_numpy(float)
-            if metric == "cosine":  # a cosine of -tau is this far on the sphere
-                tau = np.sqrt(np.maximum(np.where(np.isfinite(tau), 2 + 2 * tau + 2e-6, np.inf), 0))
-            r, c = np.nonzero((rank >= first) & (rank < (last or len(centres))) & (low <= tau[:, None] + SLACK) & np.isfinite(low))
-            out = f.iloc[r].reset_index(drop=True)
-            out["cell"] = c.astype(np.int32)
-            yield out
+            for one, r, c in seen(f):
+                by = np.lexsort((c, group[c], r))
+                r, c = r[by], c[by]
+                new = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (group[c[1:]] != group[c[:-1]])]) if len(r) else np.zeros(0, int)
+                if counted:
+                    counts += np.bincount(group[c[new]], minlength=groups)
+                    continue
+                end = np.r_[new[1:], len(r)]
+                for i in range(0, len(new), SENT):
+                    out = one.iloc[r[new[i : i + SENT]]].reset_index(drop=True)
+                    out["group"] = group[c[new[i : i + SENT]]].astype(np.int32)
+                    out["cells"] = [c[x:y].astype(np.int32) for x, y in zip(new[i : i + SENT], end[i : i + SENT], strict=True)] if ranked else None
+                    yield out
+        if counted:
+            yield pd.DataFrame({"group": np.flatnonzero(counts).astype(np.int32), "n": counts[counts > 0]})
 
     return of
 
 
-def _answers(metric: str, k: int, by_group: bool = False):
-    """The ``k`` best of a block for each question; ``by_group``: the best of each group instead, ``other`` being the group."""
-    digits = DIGITS[metric]
+def _pieces(ix: Index, owner: list | None, take):
+    """Calls ``take(rows, asks, pieces)`` with a block's rows in the order of cell and id; ``pieces()`` are (some of the questions, their
+    vectors, their least distances to each cell of the block, the beginning and end of its rows, ``PIECE`` a time, distances to
+    centres). A cell that isn't a question's is at inf."""
+    can = _can(ix, owner)
 
     def of(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"anchor": asks.id.iloc[:0], "other": rows.id.iloc[:0], "value": pd.Series([], dtype=float)})
+        rows = rows.sort_values(["cell", "id"], ignore_index=True)
+        if "p" in asks:
+            asks = asks.sort_values("p", ignore_index=True)
+        cell = rows.cell.to_numpy()
+        cells, begin = np.unique(cell, return_index=True)
+        spans = [[(a, min(a + PIECE, z)) for a in range(i, z, PIECE)] for i, z in zip(begin, [*begin[1:], len(rows)], strict=True)]
+
+        def pieces():
+            step = max(1, min(STEP, LOOK // max(1, len(cells))))
+            for i in range(0, len(asks) if len(cells) else 0, step):
+                part = asks.iloc[i : i + step]
+                q = _stack(part.v)
+                low, far = can(part, q, cells)
+                if len(part) and part["cells"].iloc[0] is not None:
+                    named = np.zeros(low.shape, bool)
+                    for k, some in enumerate(part["cells"]):
+                        named[k, np.searchsorted(cells, np.intersect1d(some, cells))] = True
+                    low[~named] = np.inf
+                yield part, q, low, spans, far
+
+        return take(rows, asks, pieces)
+
+    return of
+
+
+def _answers(metric: str, k: int, by_group: bool = False, shared: bool = False):
+    """The ``k`` best of a block for each question; ``by_group``: the best of each group instead, ``other`` being the group.
+    ``shared`` (one answer each): what is best for one question of a ``g`` bounds all of them, worse ones are left out."""
+    digits = DIGITS[metric]
+
+    def of(rows: pd.DataFrame, asks: pd.DataFrame, pieces) -> pd.DataFrame:
+        none = pd.DataFrame({"anchor": asks.id.iloc[:0], "other": (rows.g if by_group else rows.id).iloc[:0], "value": pd.Series([], dtype=float)})
         if rows.empty or asks.empty:
             return none
-        rows = rows.sort_values("id", ignore_index=True)  # places are in the order of ids
-        x, core, g = _stack(rows.v), rows.core.to_numpy(float), rows.g.to_numpy()
+        x, core, g, ids = _stack(rows.v), rows.core.to_numpy(float), rows.g.to_numpy(), rows.id.to_numpy()
+        if by_group:
+            by = np.argsort(g, kind="stable")
+            names, starts = np.unique(g[by], return_index=True)
+            ends, code = [*starts[1:], len(g)], np.unique(g, return_inverse=True)[1]
         found = []
-        for i in range(0, len(asks), 500):
-            part = asks.iloc[i : i + 500]
-            q, qcore = _stack(part.v), part.core.to_numpy(float)
-            rough = -(q @ x.T) if metric == "cosine" else np.maximum(_apart(q, x), np.maximum(qcore[:, None], core[None]))
+        for part, q, low, spans, far in pieces():
+            qcore, anchors = part.core.to_numpy(float), part.id.to_numpy()
             if by_group:
-                for one in np.unique(g):
-                    c = np.flatnonzero(g == one)
-                    near = rough[:, c] <= rough[:, c].min(1)[:, None] + 1e-5
-                    r, j = np.nonzero(near)
-                    value = np.round(np.maximum(np.sqrt(((q[r] - x[c[j]]) ** 2).sum(1)), np.maximum(qcore[r], core[c[j]])), digits)
-                    found.append(pd.DataFrame({"anchor": part.id.to_numpy()[r], "other": np.full(len(r), one), "value": value}).groupby("anchor", as_index=False).min())
+                for i in range(0, len(part), step := max(1, LOOK // len(x))):
+                    rough = np.maximum(_apart(q[i : i + step], x), np.maximum(qcore[i : i + step, None], core[None]))
+                    least = np.stack([rough[:, by[a:z]].min(1) for a, z in zip(starts, ends, strict=True)], 1)
+                    r, j = np.nonzero(rough <= least[:, code] + 1e-5)
+                    value = np.round(np.maximum(np.sqrt(((q[i + r] - x[j]) ** 2).sum(1)), np.maximum(qcore[i + r], core[j])), digits)
+                    found.append(pd.DataFrame({"anchor": anchors[i + r], "other": names[code[j]], "value": value}).groupby(["anchor", "other"], as_index=False).min())
                 continue
-            same = part.g.to_numpy()[:, None] == g[None]
-            rough[same] = np.inf
-            kth = np.partition(rough, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
-            r, c = np.nonzero((rough <= kth[:, None] + 1e-5) & ~same)
+            mine = part.g.to_numpy()
+            tau = part.tau.fillna(np.inf).to_numpy(float)
+            few = np.unique(mine, return_inverse=True)[1] if shared else None
+            best, hits = np.full((len(part), k), np.inf), []
+            for c in np.argsort(np.where(np.isfinite(low), low + 1e-3 * far, np.inf).min(0), kind="stable"):
+                for a, z in spans[c]:
+                    bound = np.minimum(tau, best[:, -1])
+                    w = np.flatnonzero((low[:, c] <= _within(bound, metric) + SLACK) & np.isfinite(low[:, c]))
+                    if not len(w):
+                        break
+                    rough = -(q[w] @ x[a:z].T) if metric == "cosine" else np.maximum(_apart(q[w], x[a:z]), np.maximum(qcore[w, None], core[None, a:z]))
+                    ok = rough <= bound[w, None] + 1e-5
+                    some = np.flatnonzero(ok.any(1))
+                    if not len(some):
+                        continue
+                    ok, rough = ok[some] & (mine[w[some], None] != g[None, a:z]), rough[some]
+                    r, j = np.nonzero(ok)
+                    if not len(r):
+                        continue
+                    hits.append((w[some[r]], a + j, rough[r, j]))
+                    rough[~ok] = np.inf
+                    best[w[some]] = np.sort(np.partition(np.concatenate([best[w[some]], rough], 1), k - 1, axis=1)[:, :k], axis=1)
+                    if shared:
+                        of_all = np.full(few.max() + 1, np.inf)
+                        np.minimum.at(of_all, few, best[:, -1])
+                        best[:, -1] = of_all[few]
+            if not hits:
+                continue
+            r, j, rough = (np.concatenate(h) for h in zip(*hits, strict=True))
+            near = rough <= np.minimum(tau, best[:, -1])[r] + 1e-5
+            r, j = r[near], j[near]
             if metric == "cosine":
-                value = -np.round((q[r] * x[c]).sum(1), digits)
+                value = -np.round((q[r] * x[j]).sum(1), digits)
             else:
-                value = np.round(np.maximum(np.sqrt(((q[r] - x[c]) ** 2).sum(1)), np.maximum(qcore[r], core[c])), digits)
-            by = np.lexsort((c, value, r))
-            r, c, value = r[by], c[by], value[by]
-            place = np.arange(len(r)) - np.searchsorted(r, r, "left")
-            best = place < k
-            found.append(pd.DataFrame({"anchor": part.id.to_numpy()[r[best]], "other": rows.id.to_numpy()[c[best]], "value": value[best]}))
+                value = np.round(np.maximum(np.sqrt(((q[r] - x[j]) ** 2).sum(1)), np.maximum(qcore[r], core[j])), digits)
+            order = np.lexsort((ids[j], value, r))
+            r, j, value = r[order], j[order], value[order]
+            first = np.arange(len(r)) - np.searchsorted(r, r, "left") < k
+            found.append(pd.DataFrame({"anchor": anchors[r[first]], "other": ids[j[first]], "value": value[first]}))
         return pd.concat(found, ignore_index=True) if found else none
 
     return of
 
 
-def ask(ix: Index, asks: DataFrame, k: int, first: int = 0, last: int | None = None, owner: list | None = None, slice_rows: int = ASKS, by_group: bool = False, kernel=None, schema: str | None = None) -> DataFrame:
-    """(anchor, other, value): for each of ``asks`` (id, v, g, core, tau) the ``k`` best of each block it visits; ``by_group``: the
-    best of each group in it (euclidean). ``kernel`` puts another function of a block's rows and questions in place of that."""
+def ask(ix: Index, asks: DataFrame, k: int, first: int = 0, last: int | None = None, owner: list | None = None, slice_rows: int | None = None, by_group: bool = False, shared: bool = False, kernel=None, schema: str | None = None) -> DataFrame:
+    """(anchor, other, value): for each of ``asks`` (id, v, g, core, tau) the ``k`` best of each block it visits, as good as ``tau``;
+    ``by_group``: the best of each group in it (euclidean); ``shared``: see ``_answers``. ``kernel`` puts another function of a
+    block's rows and questions in place of that."""
     kinds = {f.name: f.dataType.simpleString() for f in asks.schema}
     other = ix.rows.schema["g" if by_group else "id"].dataType.simpleString()
-    visits = asks.mapInPandas(_visits(ix, first, last, owner), ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", cell int")
-    counts = {r.cell: r["count"] for r in visits.groupBy("cell").count().collect()}
-    slices = np.array([math.ceil(counts.get(c, 0) / slice_rows) for c in range(len(ix.centres))], np.int32)
-    blocks = ix.blocks.astype(np.int32)
-    slices_of, blocks_of = F.pandas_udf(lambda c: pd.Series(slices[c.to_numpy()]), "int"), F.pandas_udf(lambda c: pd.Series(blocks[c.to_numpy()]), "int")
+    visits = asks.mapInPandas(_visits(ix, first, last, owner), ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", group int, cells array<int>")
+    counts = {r.group: r.n for r in asks.mapInPandas(_visits(ix, first, last, owner, True), "group int, n long").groupBy("group").agg(F.sum("n").alias("n")).collect()}
+    slices = np.array([math.ceil(counts.get(c, 0) / (slice_rows or ix.block)) for c in range(len(ix.blocks))], np.int32)
+    blocks, group = ix.blocks.astype(np.int32), ix.group.astype(np.int32)
+    slices_of, blocks_of, group_of = (F.pandas_udf(lambda c, of=of: pd.Series(of[c.to_numpy()]), "int") for of in (slices, blocks, group))
     upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    cols = ["cell", "block", "slice", "id", "v", "g", "core"]
-    left = ix.rows.withColumn("_n", slices_of("cell")).where("_n > 0").withColumn("slice", upto(F.col("_n"))).select(*cols)
-    right = visits.withColumns({"_n": slices_of("cell"), "_m": blocks_of("cell")}).withColumn("slice", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int")).withColumn("block", upto(F.col("_m"))).select(*cols)
-    keys = cols[:3]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(kernel or _answers(ix.metric, k, by_group), schema or f"anchor {kinds['id']}, other {other}, value double")
+    keys = ["group", "block", "slice"]
+    left = ix.rows.withColumn("group", group_of("cell")).withColumn("_n", slices_of("group")).where("_n > 0").withColumn("slice", upto(F.col("_n"))).select(*keys, "cell", "id", "v", "g", "core")
+    right = visits.withColumns({"_n": slices_of("group"), "_m": blocks_of("group")}).withColumn("slice", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int")).withColumn("block", upto(F.col("_m"))).select(*keys, *kinds, "cells")
+    take = _pieces(ix, owner, kernel or _answers(ix.metric, k, by_group, shared))
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(take, schema or f"anchor {kinds['id']}, other {other}, value double")
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
@@ -216,34 +353,39 @@ def nearest(ix: Index, asks: DataFrame, k: int, probes: int | None = None) -> Da
     """(anchor, other, value, rank) of each of ``asks`` (id, v, g, core), exactly; with ``probes``, from so many cells alone."""
     asks = cut(asks.withColumn("tau", F.lit(None).cast("double")), "asks")
     now = cut(best(ask(ix, asks, k, 0, probes or PROBES), k), "answers")
-    first, last = PROBES, 4 * PROBES
-    while not probes and first < len(ix.centres):
-        kth = now.where(F.col("rank") == k).select(F.col("anchor").alias("id"), F.col("value").alias("tau"))
-        left = asks.drop("tau").join(kth, "id", "left").select(*asks.columns)
-        more = ask(ix, left, k, first, last if last < len(ix.centres) else None)
-        after = cut(best(now.drop("rank").unionByName(more), k), "answers")
-        drop_cut(now)
-        now, first, last = after, last, 4 * last
-    return now
-
-
-def _powers(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+    if probes or len(ix.centres) <= PROBES:
+        return now
+    kth = now.where(F.col("rank") == k).select(F.col("anchor").alias("id"), F.col("value").alias("tau"))
+    bounded = cut(asks.drop("tau").join(kth, "id", "left").select(*asks.columns), "asks")
+    after = cut(best(ask(ix, bounded, k), k), "answers")  # finds again what the first cells hold of it
+    for x in (asks, now, bounded):
+        drop_cut(x)
+    return after
+
+
+def _powers(rows: pd.DataFrame, asks: pd.DataFrame, pieces) -> pd.DataFrame:
     """Of each question the largest exponent and the sum of powers, relative to it, over the rows of a block."""
     none = pd.DataFrame({"anchor": asks.id.iloc[:0], "m": pd.Series([], dtype=float), "t": pd.Series([], dtype=float)})
     if rows.empty or asks.empty:
         return none
-    x, out = _stack(rows.v), []
-    for i in range(0, len(asks), 500):
-        part = asks.iloc[i : i + 500]
-        q = _stack(part.v)
-        d = _apart(q, x)
-        r, c = np.nonzero(d < 1e-3)  # where the product of matrices isn't exact enough
-        d[r, c] = np.sqrt(((q[r] - x[c]) ** 2).sum(1))
-        with np.errstate(divide="ignore"):
-            e = np.where(d > 0, -q.shape[1] * np.log(d), -np.inf)
-        m = e.max(1)
+    x, out = _stack(rows.v), [none]
+    for part, q, low, spans, _ in pieces():
+        reach = part.tau.fillna(np.inf).to_numpy(float)
+        m, t = np.full(len(part), -np.inf), np.zeros(len(part))
+        for c, span in enumerate(spans):
+            w = np.flatnonzero((low[:, c] <= reach + SLACK) & np.isfinite(low[:, c]))
+            for a, z in span if len(w) else ():
+                d = _apart(q[w], x[a:z])
+                r, j = np.nonzero(d < 1e-3)  # where the product of matrices isn't exact enough
+                d[r, j] = np.sqrt(((q[w[r]] - x[a + j]) ** 2).sum(1))
+                with np.errstate(divide="ignore"):
+                    e = np.where(d > 0, -q.shape[1] * np.log(d), -np.inf)
+                top = np.maximum(m[w], e.max(1))
+                safe = np.where(np.isfinite(top), top, 0)
+                t[w] = t[w] * np.exp(m[w] - safe) + np.exp(e - safe[:, None]).sum(1)
+                m[w] = top
         some = np.isfinite(m)
-        out.append(pd.DataFrame({"anchor": part.id.to_numpy()[some], "m": m[some], "t": np.exp(e[some] - m[some][:, None]).sum(1)}))
+        out.append(pd.DataFrame({"anchor": part.id.to_numpy()[some], "m": m[some], "t": t[some]}))
     return pd.concat(out, ignore_index=True)
 
 
@@ -264,6 +406,4 @@ def power_sums(rows: DataFrame, rest: float = 1e-12) -> DataFrame:
     n = p.groupBy("p").count()
     reach = F.exp((F.ln("count") - F.ln(F.lit(rest)) - F.col("s")) / F.size("v"))
     wide = p.join(n, "p").join(first.withColumnRenamed("anchor", "id"), "id", "left").select(*p.columns, reach.alias("tau"))
-    more = ask(ix, wide, 0, PROBES, None, kernel=_powers, schema=schema)
-    both = first.select("anchor", F.col("s").alias("m"), F.lit(1.0).alias("t")).unionByName(more)
-    return _added(both).withColumnRenamed("anchor", "id")
+    return _added(ask(ix, cut(wide, "powers-asks"), 0, kernel=_powers, schema=schema)).withColumnRenamed("anchor", "id")

@@ -226,3 +226,19 @@ def test_silhouette_in_blocks_of_clusters(spark):
     assert clusters.silhouette(df, many=2).first() == clusters.silhouette(df).first()
     assert tuple(clusters.silhouette(df.where("cluster_id = -1")).first()) == (None, 0)
     assert clusters.silhouette(df.where("cluster_id = 3")).first().silhouette is None
+
+
+def test_questions_are_sent_once_a_group_of_cells(spark):
+    """Scattered rows, which no cell can be ruled out for: what is shuffled and held at once is bounded by groups, not by cells."""
+    import pandas as pd
+
+    x = np.random.default_rng(3).normal(size=(900, 12))
+    rows = neighbours.prepared(frame(spark, x, np.zeros(900, int)), "vec_id", "embedding")
+    ix = neighbours.build(rows, cells=30)
+    assert len(ix.centres) == 30
+    asks = pd.DataFrame({"id": np.arange(900), "v": list(x / np.linalg.norm(x, axis=1, keepdims=True)), "g": np.arange(900), "core": 0.0, "tau": np.nan})
+    sent = [len(f) for f in neighbours._visits(ix, 0, None, None)(iter([asks]))]
+    assert sum(sent) == 900  # a group of all rows; 27,000 if each cell is visited
+    small = neighbours.build(rows, cells=30, block=100)
+    sent = [len(f) for f in neighbours._visits(small, 0, None, None)(iter([asks] * 2))]
+    assert sum(sent) <= 2 * 900 * 18 and max(sent) <= neighbours.SENT
