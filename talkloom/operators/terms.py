@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +67,36 @@ def class_tf_idf(docs: DataFrame, group: str, text: str, k: int = 5) -> DataFram
     return w.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _window_sums(width: int, least: float):
+    """Sums of cosines by topic over the windows of each document, from the places, weights and topics of its known words: a
+    document at a time, as its windows times topics are many more than its words."""
+
+    def sums(pos: pd.Series, term: pd.Series, idf: pd.Series, topics: pd.Series, wts: pd.Series, end: pd.Series) -> pd.Series:
+        out = []
+        for p, t, i, of, wt, e in zip(pos, term, idf, topics, wts, end, strict=True):
+            last = max(e + 1 - width, 0)
+            lo, hi = np.minimum(np.maximum(p - width + 1, 0), last), np.minimum(p, last)
+            at = np.repeat(np.arange(len(p)), hi - lo + 1)  # a word in each of its windows
+            win = np.arange(len(at)) - np.repeat((hi - lo + 1).cumsum() - hi - 1, hi - lo + 1)
+            first, same = np.unique(t.astype(str), return_index=True, return_inverse=True)[1:]
+            key, n = np.unique(same[at] * (last + 1) + win, return_counts=True)
+            word, win = first[key // (last + 1)], key % (last + 1)
+            ww = n * i[word]
+            length = np.sqrt(np.bincount(win, ww * ww, last + 1))
+            many = np.array([len(of[w]) for w in word])
+            row = np.repeat(np.arange(len(word)), many)
+            names, topic = np.unique(np.concatenate([of[w] for w in word]), return_inverse=True)
+            pair, inverse = np.unique(win[row] * len(names) + topic, return_inverse=True)
+            dots = np.bincount(inverse, ww[row] * np.concatenate([wt[w] for w in word]))
+            s = np.round(dots / length[pair // len(names)], 9)
+            topic, s = (pair % len(names))[s >= least], s[s >= least]
+            total = np.bincount(topic, s, len(names))
+            out.append([{"topic": names[c], "s": total[c]} for c in np.unique(topic)])
+        return pd.Series(out, dtype=object)
+
+    return sums
+
+
 def window_topics(docs: DataFrame, doc: str, text: str, group: str, width: int = 4, least: float = 0.1, noise: int = -1) -> DataFrame:
     """(doc, topic, share): how much of each document its windows of ``width`` words give to each topic.
 
@@ -79,13 +111,11 @@ def window_topics(docs: DataFrame, doc: str, text: str, group: str, width: int =
     weights = tf.join(tf.groupBy("topic").agg(F.sum("tf").alias("words")), "topic").join(idf, "term").withColumn("wt", F.col("tf") / F.col("words") * F.col("idf"))
     size = weights.groupBy("topic").agg(F.sqrt(F.sum(F.col("wt") * F.col("wt"))).alias("nt"))
     topics = weights.join(size, "topic").select("topic", "term", (F.col("wt") / F.col("nt")).alias("wt"))
-    last = words.groupBy(doc).agg(F.greatest(F.max("pos") + 1 - width, F.lit(0)).alias("last"))
-    placed = words.select(doc, "pos", "term").join(last, doc)
-    at = F.explode(F.sequence(F.least(F.greatest(F.col("pos") - width + 1, F.lit(0)), "last"), F.least("pos", "last")))
-    counts = placed.select(doc, at.alias("win"), "term").groupBy(doc, "win", "term").agg(F.count("*").alias("c"))
-    weighed = counts.join(idf, "term").select(doc, "win", "term", (F.col("c") * F.col("idf")).alias("ww"))
-    length = weighed.groupBy(doc, "win").agg(F.sqrt(F.sum(F.col("ww") * F.col("ww"))).alias("nw"))
-    dots = weighed.join(topics, "term").groupBy(doc, "win", "topic").agg(F.sum(F.col("ww") * F.col("wt")).alias("d"))
-    near = dots.join(length, [doc, "win"]).select(doc, "topic", F.round(F.col("d") / F.col("nw"), 9).alias("s")).where(F.col("s") >= least)
-    sums = near.groupBy(doc, "topic").agg(F.sum("s").alias("s"))
-    return sums.select(doc, "topic", F.round(F.col("s") / F.sum("s").over(Window.partitionBy(doc)), 8).alias("share"))
+    of_term = topics.groupBy("term").agg(F.collect_list("topic").alias("topics"), F.collect_list("wt").alias("wts")).join(idf, "term")
+    each = words.select(doc, "pos", "term").join(of_term, "term").select(doc, F.struct("pos", "term", "idf", "topics", "wts").alias("x"))
+    ends = words.groupBy(doc).agg(F.max("pos").alias("end"))
+    of_doc = each.groupBy(doc).agg(F.collect_list("x").alias("x")).join(ends, doc)
+    kind = docs.schema[group].dataType.simpleString()
+    sums = F.pandas_udf(_window_sums(width, least), f"array<struct<topic: {kind}, s: double>>")("x.pos", "x.term", "x.idf", "x.topics", "x.wts", "end")
+    near = of_doc.select(doc, sums.alias("l")).withColumn("_all", F.aggregate("l", F.lit(0.0), lambda a, x: a + x["s"]))
+    return near.select(doc, "_all", F.explode("l").alias("x")).select(doc, "x.topic", F.round(F.col("x.s") / F.col("_all"), 8).alias("share"))

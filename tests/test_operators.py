@@ -232,3 +232,17 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("daily").agg(F.sum("n")).first()[0] == batch.count()
+
+
+def test_window_topics_keep_windows_inside_a_document(spark):
+    """No table of windows times topics is shuffled: one row a document goes in and out of the sums."""
+    from talkloom.operators import terms
+
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 23}" for j in range(i % 9)), i % 3 - 1) for i in range(60)]
+    found = terms.window_topics(spark.createDataFrame(rows, "doc int, text string, topic int"), "doc", "text", "topic")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "win" not in plan.replace("_window", "").replace("Window", "").replace("window", "")
+    shares: dict = {}
+    for r in found.collect():
+        shares.setdefault(r.doc, []).append(r.share)
+    assert shares and all(abs(sum(s) - 1) < 1e-6 for s in shares.values())
