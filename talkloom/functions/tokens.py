@@ -26,11 +26,12 @@ def encoder(path: str, pattern: str = PATTERN):
 
 
 def token_count(text: Column, path: str = VOCABULARY, pattern: str = PATTERN) -> Column:
-    """Number of tokens; 0 for null. What looks like a special token is ordinary text."""
+    """Number of tokens; 0 for null. What looks like a special token is ordinary text. Marked as not deterministic, though it is:
+    else a filter on the count is moved below it and each text is counted twice."""
 
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         e = encoder(path, pattern)
         for texts in batches:
             yield pd.Series([len(e.encode_ordinary(t)) if t else 0 for t in texts], dtype="int32")
 
-    return F.pandas_udf(count, "int")(text)
+    return F.pandas_udf(count, "int").asNondeterministic()(text)

@@ -246,3 +246,10 @@ def test_window_topics_keep_windows_inside_a_document(spark):
     for r in found.collect():
         shares.setdefault(r.doc, []).append(r.share)
     assert shares and all(abs(sum(s) - 1) < 1e-6 for s in shares.values())
+
+
+def test_byte_pairs_are_counted_once(spark):
+    from talkloom.functions.tokens import token_count
+
+    df = spark.createDataFrame([("a b c",), ("d",)], "text string").withColumn("n", token_count(F.col("text"))).where("n >= 2")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
