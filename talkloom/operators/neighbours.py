@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkloom.sources.scratch import cut, drop_cut
@@ -58,6 +58,11 @@ class Index:
         drop_cut(self.rows)
 
 
+def _looked_up(values, place: str) -> Column:
+    """The integer of ``values`` at the place that a column holds: by Spark itself, as each function in Python is one more process a task."""
+    return F.get(F.array(*[F.lit(int(x)) for x in values]), F.col(place))
+
+
 def _stack(values) -> np.ndarray:
     return np.stack([np.asarray(v, float) for v in values])
 
@@ -142,12 +147,12 @@ def build(rows: DataFrame, metric: str = "cosine", cells: int | None = None, blo
     group = _grouped(centres, arrays[3], block, arrays[2] if part else None)
     blocks = np.ceil(np.bincount(group, arrays[3]) / block).astype(int)
 
-    @F.pandas_udf("struct<cell: int, many: int>")
-    def cell(p: pd.Series, at: pd.Series) -> pd.DataFrame:
-        c = np.array([number[x] for x in zip(p, at, strict=True)], np.int32)
-        return pd.DataFrame({"cell": c, "many": blocks[group[c]].astype(np.int32)})
+    @F.pandas_udf("int")
+    def cell_of_part(p: pd.Series, at: pd.Series) -> pd.Series:
+        return pd.Series([number[x] for x in zip(p, at, strict=True)], dtype=np.int32)
 
-    dealt = filed.withColumn("_c", cell("p", "at")).select(*names, "_c.cell", F.pmod(F.xxhash64("id"), F.col("_c.many")).cast("int").alias("block"))
+    cell = cell_of_part("p", "at") if part else _looked_up([number.get((0, i), -1) for i in range(len(base))], "at")
+    dealt = filed.withColumn("cell", cell).select(*names, "cell", F.pmod(F.xxhash64("id"), _looked_up(blocks[group], "cell")).cast("int").alias("block"))
     dealt._scratch_path = filed._scratch_path
     return Index(dealt, centres, arrays[0], blocks, arrays[1], metric, group, block, arrays[2] if part else None)
 
@@ -332,9 +337,8 @@ def ask(ix: Index, asks: DataFrame, k: int, first: int = 0, last: int | None = N
     other = ix.rows.schema["g" if by_group else "id"].dataType.simpleString()
     visits = asks.mapInPandas(_visits(ix, first, last, owner), ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", group int, cells array<int>")
     counts = {r.group: r.n for r in asks.mapInPandas(_visits(ix, first, last, owner, True), "group int, n long").groupBy("group").agg(F.sum("n").alias("n")).collect()}
-    slices = np.array([math.ceil(counts.get(c, 0) / (slice_rows or ix.block)) for c in range(len(ix.blocks))], np.int32)
-    blocks, group = ix.blocks.astype(np.int32), ix.group.astype(np.int32)
-    slices_of, blocks_of, group_of = (F.pandas_udf(lambda c, of=of: pd.Series(of[c.to_numpy()]), "int") for of in (slices, blocks, group))
+    slices = [math.ceil(counts.get(c, 0) / (slice_rows or ix.block)) for c in range(len(ix.blocks))]
+    slices_of, blocks_of, group_of = (lambda place, of=of: _looked_up(of, place) for of in (slices, ix.blocks, ix.group))
     upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     keys = ["group", "block", "slice"]
     left = ix.rows.withColumn("group", group_of("cell")).withColumn("_n", slices_of("group")).where("_n > 0").withColumn("slice", upto(F.col("_n"))).select(*keys, "cell", "id", "v", "g", "core")

@@ -242,3 +242,13 @@ def test_questions_are_sent_once_a_group_of_cells(spark):
     small = neighbours.build(rows, cells=30, block=100)
     sent = [len(f) for f in neighbours._visits(small, 0, None, None)(iter([asks] * 2))]
     assert sum(sent) <= 2 * 900 * 18 and max(sent) <= neighbours.SENT
+
+
+def test_questions_need_no_further_python_process(spark):
+    """What Spark can look up itself isn't looked up in Python: each such function is one more process a task, beside the two that compare."""
+    x, y = blobs(120, 3, 4, 5)
+    rows = neighbours.prepared(frame(spark, x, y), "vec_id", "embedding", metric="euclidean").localCheckpoint()
+    ix = neighbours.build(rows, "euclidean", block=20)
+    plan = neighbours.ask(ix, rows.withColumn("tau", F.lit(None).cast("double")), 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan and plan.count("MapInPandas") == 1
+    assert ix.rows.select("id").distinct().count() == 120 and len(ix.blocks) > 1
