@@ -6,8 +6,6 @@ number of rows. The forest hangs on ``min_samples`` alone, so a sweep builds it
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -59,61 +57,121 @@ def sweep(df: DataFrame, sizes: list[int], samples: list[int], methods: list[str
 
 
 # --- memberships ------------------------------------------------------------------------------------------------------
-def memberships(df: DataFrame, found: forests.Forest, tree: forests.Tree | None, method: str = "eom", uid: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(id, cluster_id, membership) of each noise row for each cluster; memberships of a row sum to 1.
-
-    A membership is the product of two shares, made to sum to 1: by distance, the reciprocal of that to the cluster's nearest
-    exemplar (the densest rows of the leaves in it; at distance 0 only such clusters count), and by height, the density at
-    which the row and the cluster come together over the cluster's largest.
-    """
-    kind = df.schema[uid].dataType.simpleString()
-    schema = f"id {kind}, cluster_id long, membership double"
-    chosen = tree.chosen(method) if tree is not None else []
-    if not chosen:
-        return df.sparkSession.createDataFrame([], schema)
-    heirs = tree.heirs(chosen)
+#: Pairs whose distances are made exactly at once; heights held at once.
+EXACT, HELD = 1 << 15, 2_000_000
+
+
+def _heights(parent: np.ndarray, birth: np.ndarray, children: list[list[int]], nodes: list[int]):
+    """For a node of the tree the density at which it meets each of ``nodes`` (none inside another): that at which their branches part."""
+    chosen, count = set(nodes), np.zeros(len(parent), int)
+    for i in range(len(parent)):  # children come before their parents
+        count[i] = (i in chosen) + sum(count[k] for k in children[i])
+    first, free = np.zeros(len(parent), int), 0
+    for i in range(len(parent) - 1, -1, -1):  # what lies in a node stands together
+        if parent[i] < 0:
+            first[i], free = free, free + count[i]
+        at = first[i] + (i in chosen)
+        for k in children[i]:
+            first[k], at = at, at + count[k]
+    place, known = first[nodes], {}
+
+    def of(node: int) -> np.ndarray:
+        if node not in known:
+            if (len(known) + 1) * len(nodes) > HELD:
+                known.clear()
+            out, at, came, mine = np.full(free, np.inf), node, -1, np.inf
+            while at >= 0:
+                if at in chosen:
+                    out[first[at]] = mine
+                for k in children[at]:
+                    if k != came and count[k]:
+                        out[first[k] : first[k] + count[k]] = min(mine, birth[k])
+                came, mine, at = at, birth[at], parent[at]
+            known[node] = out[place]
+        return known[node]
+
+    return of
+
+
+def _by_cluster(shape: tuple, cluster_node: dict, largest: dict, take):
+    """Calls ``take(ids, clusters, d, h)`` with some rows of noise and the clusters of a part: distances to the nearest exemplar, and shares by height."""
+    apart, look, digits = neighbours._apart, neighbours.LOOK, neighbours.DIGITS["euclidean"]
+
+    def of(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("g", ignore_index=True)
+        asks = asks.sort_values(["node", "id"], ignore_index=True)
+        names, starts, sizes = np.unique(rows.g.to_numpy(np.int64), return_index=True, return_counts=True)
+        top = np.array([largest[c] for c in names], float)
+        height = _heights(*shape, [cluster_node[c] for c in names]) if len(names) else None
+        x, code, out = np.stack(rows.v) if len(rows) else None, np.repeat(np.arange(len(names)), sizes), [take(asks.id.to_numpy()[:0], names, np.zeros((0, len(names))), np.zeros((0, len(names))))]
+        step = max(1, look // max(1, len(rows)))
+        for i in range(0, len(asks) if len(rows) else 0, step):
+            part = asks.iloc[i : i + step]
+            q = np.stack(part.v)
+            rough = apart(q, x)
+            r, j = np.nonzero(rough <= np.minimum.reduceat(rough, starts, axis=1)[:, code] + 1e-5)
+            d = np.full((len(part), len(names)), np.inf)
+            for k in range(0, len(r), EXACT):
+                a, b = r[k : k + EXACT], j[k : k + EXACT]
+                np.minimum.at(d, (a, code[b]), np.round(np.sqrt(((q[a] - x[b]) ** 2).sum(1)), digits))
+            h = np.minimum(np.stack([height(n) for n in part.node]), part.density.to_numpy(float)[:, None])
+            out.append(take(part.id.to_numpy(), names, d, np.where(top > 0, h / np.where(top > 0, top, 1), 1.0)))
+        return pd.concat(out, ignore_index=True)
+
+    return of
+
+
+def _pairs(ids, clusters, d, h) -> pd.DataFrame:
+    return pd.DataFrame({"anchor": np.repeat(ids, len(clusters)), "other": np.tile(clusters, len(ids)), "d": d.ravel(), "h": h.ravel()})
+
+
+def _largest(ids, clusters, d, h) -> pd.DataFrame:
+    """Of each row whether it is at distance 0 of a cluster, the sum of its scores, and the largest with its cluster."""
+    touch = (d == 0).any(1)
+    with np.errstate(divide="ignore"):
+        m = np.where(touch[:, None], d == 0, 1 / d) * h
+    best = m.argmax(1) if len(clusters) and len(ids) else np.zeros(len(ids), int)
+    return pd.DataFrame({"anchor": ids, "touch": touch, "total": m.sum(1), "top": m[np.arange(len(ids)), best], "other": clusters[best]})
+
+
+def _compared(df: DataFrame, found: forests.Forest, tree: forests.Tree, method: str, uid: str, vector: str, take, schema: str, block: int | None = None) -> DataFrame:
+    """What ``take`` makes of the noise rows and the clusters: exemplars (equal ones of a cluster once) are dealt into parts by cluster,
+    noise rows into slices, and each slice meets each part in one task."""
+    heirs = tree.heirs(tree.chosen(method))
     labels = cut(forests.labelled(found, tree, method), "member-labels")
-    parent, birth = tree.parent, tree.birth
     leaf = np.array([not c for c in tree.children])
     own = cut(tree.rows.join(labels.select("id", "cluster_id"), "id"), "member-rows")
     tops = own.where("cluster_id >= 0").groupBy("node").agg(F.max("density").alias("_top"), F.min("cluster_id").alias("_cluster"))
     tops = cut(tops, "member-tops")
-    number, largest = {}, {}
+    cluster_node, largest = {}, {}
     for r in tops.collect():  # a row a cluster of the tree, as many as the tree holds
-        number[int(heirs[r.node])] = r["_cluster"]
+        cluster_node[r["_cluster"]] = int(heirs[r.node])
         largest[r["_cluster"]] = max(largest.get(r["_cluster"], 0.0), r["_top"])
     is_leaf = F.pandas_udf(lambda n: pd.Series(leaf[n.to_numpy()]), "boolean")
-    vectors = df.select(F.col(uid).alias("id"), F.col(vector).alias("v"))
+    vectors = df.select(F.col(uid).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     exemplars = own.join(tops, "node").where(F.col("density") == F.col("_top")).where(is_leaf("node")).join(vectors, "id")
-    ix = neighbours.build(cut(neighbours.prepared(exemplars, "id", "v", "cluster_id", metric="euclidean"), "member-exemplars"), "euclidean")
-    noise = cut(own.where("cluster_id < 0").join(vectors, "id"), "member-noise")
-    asks = neighbours.prepared(noise.withColumn("_none", F.lit(-1).cast("long")), "id", "v", "_none", metric="euclidean").withColumn("tau", F.lit(None).cast("double"))
-    near = neighbours.ask(ix, cut(asks, "member-asks"), 1, by_group=True).groupBy("anchor", "other").agg(F.min("value").alias("d"))
-    pairs = near.join(noise.select(F.col("id").alias("anchor"), "node", "density"), "anchor")
-    cluster_node = {c: n for n, c in number.items()}
-
-    def height(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The density at which a row that left ``node`` meets the cluster: that at which their branches part."""
-        known: dict[tuple, float] = {}
-        for f in frames:
-            out = []
-            for r in f.itertuples():
-                key = (r.node, r.other)
-                if key not in known:
-                    up = {}
-                    at = cluster_node[r.other]
-                    last = np.inf
-                    while at >= 0:
-                        up[at] = last
-                        last, at = birth[at], parent[at]
-                    at, mine = r.node, np.inf
-                    while at not in up:
-                        mine, at = birth[at], parent[at]
-                    known[key] = min(mine, up[at])
-                out.append(min(known[key], r.density) / largest[r.other] if largest[r.other] > 0 else 1.0)
-            yield pd.DataFrame({"anchor": f.anchor, "other": f.other, "d": f.d, "h": np.array(out, float)})
-
-    scored = pairs.mapInPandas(height, f"anchor {kind}, other long, d double, h double")
+    exemplars = cut(exemplars.select(F.col("cluster_id").alias("g"), "v").distinct(), "member-exemplars")
+    noise = cut(own.where("cluster_id < 0").join(vectors, "id").select("id", "v", "node", "density"), "member-noise")
+    n = noise.count()
+    parts = max(1, -(-exemplars.count() // (block or neighbours.LEAST_BLOCK * 2)))
+    slices = max(1, -(-n // (block or min(max(n // neighbours.GROUPS, neighbours.LEAST_BLOCK), neighbours.MOST_BLOCK))))
+    upto = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = exemplars.select("g", "v", F.pmod(F.xxhash64("g"), F.lit(parts)).cast("int").alias("part"), upto(slices).alias("slice"))
+    right = noise.select("*", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice"), upto(parts).alias("part"))
+    return left.groupBy("part", "slice").cogroup(right.groupBy("part", "slice")).applyInPandas(_by_cluster((tree.parent, tree.birth, tree.children), cluster_node, largest, take), schema)
+
+
+def memberships(df: DataFrame, found: forests.Forest, tree: forests.Tree | None, method: str = "eom", uid: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(id, cluster_id, membership) of each noise row for each cluster; memberships of a row sum to 1.
+
+    A membership is the product of two shares, made to sum to 1: by distance, the reciprocal of that to the cluster's nearest
+    exemplar (the densest rows of the leaves in it; at distance 0 only such clusters count), and by height, the density at
+    which the row and the cluster come together over the cluster's largest.
+    """
+    kind = df.schema[uid].dataType.simpleString()
+    if tree is None or not tree.chosen(method):
+        return df.sparkSession.createDataFrame([], f"id {kind}, cluster_id long, membership double")
+    scored = _compared(df, found, tree, method, uid, vector, _pairs, f"anchor {kind}, other long, d double, h double")
     from pyspark.sql import Window
 
     w = Window.partitionBy("anchor")
@@ -123,16 +181,28 @@ def memberships(df: DataFrame, found: forests.Forest, tree: forests.Tree | None,
     return scored.select(F.col("anchor").alias("id"), F.col("other").alias("cluster_id"), (F.col("_m") / F.nullif(F.sum("_m").over(w), F.lit(0.0))).alias("membership"))
 
 
+def largest_memberships(df: DataFrame, found: forests.Forest, tree: forests.Tree | None, method: str = "eom", uid: str = "vec_id", vector: str = "embedding", block: int | None = None) -> DataFrame:
+    """(id, cluster_id, membership): the largest of ``memberships`` of each noise row, of equal ones that of the smaller number; a task sends
+    on one row for each of noise, whatever the number of clusters."""
+    kind = df.schema[uid].dataType.simpleString()
+    if tree is None or not tree.chosen(method):
+        return df.sparkSession.createDataFrame([], f"id {kind}, cluster_id long, membership double")
+    each = _compared(df, found, tree, method, uid, vector, _largest, f"anchor {kind}, touch boolean, total double, top double, other long", block)
+    total = lambda touch: F.sum(F.when(F.col("touch") == touch, F.col("total")))
+    best = each.groupBy("anchor").agg(F.max(F.struct("touch", "top", (-F.col("other")).alias("less"))).alias("b"), total(True).alias("_near"), total(False).alias("_all"))
+    return best.select(F.col("anchor").alias("id"), (-F.col("b.less")).alias("cluster_id"), (F.col("b.top") / F.nullif(F.when(F.col("b.touch"), F.col("_near")).otherwise(F.col("_all")), F.lit(0.0))).alias("membership"))
+
+
 def assign_noise(df: DataFrame, least: float = 0.1, min_cluster_size: int = 5, min_samples: int = 5, method: str = "eom", uid: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(uid, cluster_id, hdbscan_prob, soft_assigned): ``density_clusters`` whose noise rows join the cluster of their largest
     membership, if that is ``least`` or more; of equal ones that of the smaller number."""
     found = forests.spanning_forest(df, uid, vector, min_samples)
     tree = forests.cluster_tree(found, min_cluster_size)
     labels = forests.labelled(found, tree, method)
-    best = memberships(df, found, tree, method, uid, vector).groupBy("id").agg(F.max(F.struct("membership", (-F.col("cluster_id")).alias("less"))).alias("b"))
-    given = F.coalesce((F.col("cluster_id") < 0) & (F.col("b.membership") >= least), F.lit(False))
+    best = largest_memberships(df, found, tree, method, uid, vector).withColumnRenamed("cluster_id", "_best")
+    given = F.coalesce((F.col("cluster_id") < 0) & (F.col("membership") >= least), F.lit(False))
     out = labels.join(best, "id", "left").withColumn("_given", given)
-    return out.select(F.col("id").alias(uid), F.when(F.col("_given"), -F.col("b.less")).otherwise(F.col("cluster_id")).alias("cluster_id"), F.when(F.col("_given"), F.col("b.membership")).otherwise(F.col("prob")).alias("hdbscan_prob"), F.col("_given").alias("soft_assigned"))
+    return out.select(F.col("id").alias(uid), F.when(F.col("_given"), F.col("_best")).otherwise(F.col("cluster_id")).alias("cluster_id"), F.when(F.col("_given"), F.col("membership")).otherwise(F.col("prob")).alias("hdbscan_prob"), F.col("_given").alias("soft_assigned"))
 
 
 # --- validity ---------------------------------------------------------------------------------------------------------

@@ -260,31 +260,19 @@ def _pieces(ix: Index, owner: list | None, take):
     return of
 
 
-def _answers(metric: str, k: int, by_group: bool = False, shared: bool = False):
-    """The ``k`` best of a block for each question; ``by_group``: the best of each group instead, ``other`` being the group.
+def _answers(metric: str, k: int, shared: bool = False):
+    """The ``k`` best of a block for each question.
     ``shared`` (one answer each): what is best for one question of a ``g`` bounds all of them, worse ones are left out."""
     digits = DIGITS[metric]
 
     def of(rows: pd.DataFrame, asks: pd.DataFrame, pieces) -> pd.DataFrame:
-        none = pd.DataFrame({"anchor": asks.id.iloc[:0], "other": (rows.g if by_group else rows.id).iloc[:0], "value": pd.Series([], dtype=float)})
+        none = pd.DataFrame({"anchor": asks.id.iloc[:0], "other": rows.id.iloc[:0], "value": pd.Series([], dtype=float)})
         if rows.empty or asks.empty:
             return none
         x, core, g, ids = _stack(rows.v), rows.core.to_numpy(float), rows.g.to_numpy(), rows.id.to_numpy()
-        if by_group:
-            by = np.argsort(g, kind="stable")
-            names, starts = np.unique(g[by], return_index=True)
-            ends, code = [*starts[1:], len(g)], np.unique(g, return_inverse=True)[1]
         found = []
         for part, q, low, spans, far in pieces():
             qcore, anchors = part.core.to_numpy(float), part.id.to_numpy()
-            if by_group:
-                for i in range(0, len(part), step := max(1, LOOK // len(x))):
-                    rough = np.maximum(_apart(q[i : i + step], x), np.maximum(qcore[i : i + step, None], core[None]))
-                    least = np.stack([rough[:, by[a:z]].min(1) for a, z in zip(starts, ends, strict=True)], 1)
-                    r, j = np.nonzero(rough <= least[:, code] + 1e-5)
-                    value = np.round(np.maximum(np.sqrt(((q[i + r] - x[j]) ** 2).sum(1)), np.maximum(qcore[i + r], core[j])), digits)
-                    found.append(pd.DataFrame({"anchor": anchors[i + r], "other": names[code[j]], "value": value}).groupby(["anchor", "other"], as_index=False).min())
-                continue
             mine = part.g.to_numpy()
             tau = part.tau.fillna(np.inf).to_numpy(float)
             few = np.unique(mine, return_inverse=True)[1] if shared else None
@@ -329,12 +317,12 @@ def _answers(metric: str, k: int, by_group: bool = False, shared: bool = False):
     return of
 
 
-def ask(ix: Index, asks: DataFrame, k: int, first: int = 0, last: int | None = None, owner: list | None = None, slice_rows: int | None = None, by_group: bool = False, shared: bool = False, kernel=None, schema: str | None = None) -> DataFrame:
+def ask(ix: Index, asks: DataFrame, k: int, first: int = 0, last: int | None = None, owner: list | None = None, slice_rows: int | None = None, shared: bool = False, kernel=None, schema: str | None = None) -> DataFrame:
     """(anchor, other, value): for each of ``asks`` (id, v, g, core, tau) the ``k`` best of each block it visits, as good as ``tau``;
-    ``by_group``: the best of each group in it (euclidean); ``shared``: see ``_answers``. ``kernel`` puts another function of a
+    ``shared``: see ``_answers``. ``kernel`` puts another function of a
     block's rows and questions in place of that."""
     kinds = {f.name: f.dataType.simpleString() for f in asks.schema}
-    other = ix.rows.schema["g" if by_group else "id"].dataType.simpleString()
+    other = ix.rows.schema["id"].dataType.simpleString()
     visits = asks.mapInPandas(_visits(ix, first, last, owner), ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", group int, cells array<int>")
     counts = {r.group: r.n for r in asks.mapInPandas(_visits(ix, first, last, owner, True), "group int, n long").groupBy("group").agg(F.sum("n").alias("n")).collect()}
     slices = [math.ceil(counts.get(c, 0) / (slice_rows or ix.block)) for c in range(len(ix.blocks))]
@@ -343,7 +331,7 @@ def ask(ix: Index, asks: DataFrame, k: int, first: int = 0, last: int | None = N
     keys = ["group", "block", "slice"]
     left = ix.rows.withColumn("group", group_of("cell")).withColumn("_n", slices_of("group")).where("_n > 0").withColumn("slice", upto(F.col("_n"))).select(*keys, "cell", "id", "v", "g", "core")
     right = visits.withColumns({"_n": slices_of("group"), "_m": blocks_of("group")}).withColumn("slice", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int")).withColumn("block", upto(F.col("_m"))).select(*keys, *kinds, "cells")
-    take = _pieces(ix, owner, kernel or _answers(ix.metric, k, by_group, shared))
+    take = _pieces(ix, owner, kernel or _answers(ix.metric, k, shared))
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(take, schema or f"anchor {kinds['id']}, other {other}, value double")
 
 

@@ -252,3 +252,35 @@ def test_questions_need_no_further_python_process(spark):
     plan = neighbours.ask(ix, rows.withColumn("tau", F.lit(None).cast("double")), 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" not in plan and plan.count("MapInPandas") == 1
     assert ix.rows.select("id").distinct().count() == 120 and len(ix.blocks) > 1
+
+
+def test_largest_memberships_without_a_row_a_pair(spark):
+    """Those of ``memberships``, from one row a part and row of noise, whatever the number of clusters; heights as by climbing."""
+    x, y = blobs(500, 3, 12, 9, 0.4)
+    x[480:490] = x[:10]  # copies
+    df = frame(spark, x, y)
+    found = forest.spanning_forest(df, min_samples=3)
+    tree = forest.cluster_tree(found, 4)
+    nodes = tree.chosen("leaf")
+    height = density._heights(tree.parent, tree.birth, tree.children, nodes)
+
+    def up(v):
+        out, last = {}, np.inf
+        while v >= 0:
+            out[v], last, v = last, tree.birth[v], tree.parent[v]
+        return out
+
+    for v in range(len(tree.parent)):
+        mine = up(v)
+        if len(set(mine) & set(nodes)) == 0:
+            meets = [next((mine[a], up(c)[a]) for a in mine if a in up(c)) for c in nodes]
+            assert height(v).tolist() == [min(m) for m in meets]
+    rows = density.memberships(df, found, tree, "leaf").toPandas()
+    assert rows.cluster_id.nunique() > 5 and np.allclose(rows.groupby("id").membership.sum(), 1)
+    want = rows.sort_values(["membership", "cluster_id"], ascending=[True, False]).groupby("id").tail(1).set_index("id")
+    for block in (None, 6):
+        got = density.largest_memberships(df, found, tree, "leaf", block=block).toPandas().set_index("id").loc[want.index]
+        assert np.allclose(got.membership, want.membership) and (got.cluster_id == want.cluster_id).all()
+    schema = "anchor long, touch boolean, total double, top double, other long"
+    sent = density._compared(df, found, tree, "leaf", "vec_id", "embedding", density._largest, schema)
+    assert sent.count() == rows.id.nunique() < len(rows)
