@@ -32,6 +32,8 @@ MOST_CELLS = 1024
 GROUPS, LEAST_BLOCK, MOST_BLOCK = 24, 2000, 32_768
 #: Rows and questions compared at once; rows and questions looked at together for cells; questions sent on at once.
 PIECE, STEP, LOOK, SENT = 1024, 1000, 2_000_000, 10_000
+#: Pairs of a question and a row that are held at once, and those whose distances are made exactly at once.
+HITS, EXACT = 1 << 18, 1 << 15
 PROBES = 8
 SLACK = 1e-8
 #: Answers are compared as these values, smaller is better.
@@ -147,12 +149,14 @@ def build(rows: DataFrame, metric: str = "cosine", cells: int | None = None, blo
     group = _grouped(centres, arrays[3], block, arrays[2] if part else None)
     blocks = np.ceil(np.bincount(group, arrays[3]) / block).astype(int)
 
-    @F.pandas_udf("int")
-    def cell_of_part(p: pd.Series, at: pd.Series) -> pd.Series:
-        return pd.Series([number[x] for x in zip(p, at, strict=True)], dtype=np.int32)
-
-    cell = cell_of_part("p", "at") if part else _looked_up([number.get((0, i), -1) for i in range(len(base))], "at")
-    dealt = filed.withColumn("cell", cell).select(*names, "cell", F.pmod(F.xxhash64("id"), _looked_up(blocks[group], "cell")).cast("int").alias("block"))
+    if part:
+        numbers = [(r.p, r["at"], i, int(blocks[group[i]])) for i, r in enumerate(found)]
+        placed = filed.join(rows.sparkSession.createDataFrame(numbers, "p long, at int, cell int, _blocks int"), ["p", "at"])
+        of_block = F.col("_blocks")
+    else:
+        placed = filed.withColumn("cell", _looked_up([number.get((0, i), -1) for i in range(len(base))], "at"))
+        of_block = _looked_up(blocks[group], "cell")
+    dealt = placed.select(*names, "cell", F.pmod(F.xxhash64("id"), of_block).cast("int").alias("block"))
     dealt._scratch_path = filed._scratch_path
     return Index(dealt, centres, arrays[0], blocks, arrays[1], metric, group, block, arrays[2] if part else None)
 
@@ -276,14 +280,44 @@ def _answers(metric: str, k: int, shared: bool = False):
             mine = part.g.to_numpy()
             tau = part.tau.fillna(np.inf).to_numpy(float)
             few = np.unique(mine, return_inverse=True)[1] if shared else None
-            best, hits = np.full((len(part), k), np.inf), []
+            best, hits, held = np.full((len(part), k), np.inf), [], 0
+            kept = (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+            def least(r, j, qcore=qcore):
+                """What the distance of a pair counts as at least."""
+                return np.maximum(qcore[r], core[j]) if metric == "euclidean" else np.full(len(r), -np.inf)
+
+            def near(hits, tau=tau, best=best, least=least):
+                r, j, apart = (np.concatenate(h) for h in zip(*hits, strict=True))
+                on = np.maximum(apart, least(r, j)) <= np.minimum(tau, best[:, -1])[r] + 1e-5
+                return r[on], j[on], apart[on]
+
+            def settled(hits, kept, q=q, near=near, least=least):
+                """The ``k`` best of each question among ``hits`` and what is ``kept`` of earlier ones, exactly."""
+                r, j, apart = near(hits)
+                value = least(r, j)
+                # distances that are surely under what they count as are never made
+                some = np.flatnonzero(apart >= value - 1e-5)
+                for i in range(0, len(some), EXACT):
+                    at = some[i : i + EXACT]
+                    if metric == "cosine":
+                        value[at] = -(q[r[at]] * x[j[at]]).sum(1)
+                    else:
+                        value[at] = np.maximum(np.sqrt(((q[r[at]] - x[j[at]]) ** 2).sum(1)), value[at])
+                r, j, value = (np.concatenate(h) for h in zip(kept, (r, j, np.round(value, digits)), strict=True))
+                order = np.lexsort((ids[j], value, r))
+                r, j, value = r[order], j[order], value[order]
+                first = np.arange(len(r)) - np.searchsorted(r, r, "left") < k
+                return r[first], j[first], value[first]
+
             for c in np.argsort(np.where(np.isfinite(low), low + 1e-3 * far, np.inf).min(0), kind="stable"):
                 for a, z in spans[c]:
                     bound = np.minimum(tau, best[:, -1])
                     w = np.flatnonzero((low[:, c] <= _within(bound, metric) + SLACK) & np.isfinite(low[:, c]))
                     if not len(w):
                         break
-                    rough = -(q[w] @ x[a:z].T) if metric == "cosine" else np.maximum(_apart(q[w], x[a:z]), np.maximum(qcore[w, None], core[None, a:z]))
+                    apart = -(q[w] @ x[a:z].T) if metric == "cosine" else _apart(q[w], x[a:z])
+                    rough = apart if metric == "cosine" else np.maximum(apart, np.maximum(qcore[w, None], core[None, a:z]))
                     ok = rough <= bound[w, None] + 1e-5
                     some = np.flatnonzero(ok.any(1))
                     if not len(some):
@@ -292,26 +326,23 @@ def _answers(metric: str, k: int, shared: bool = False):
                     r, j = np.nonzero(ok)
                     if not len(r):
                         continue
-                    hits.append((w[some[r]], a + j, rough[r, j]))
+                    hits.append((w[some[r]], a + j, apart[some[r], j]))
                     rough[~ok] = np.inf
                     best[w[some]] = np.sort(np.partition(np.concatenate([best[w[some]], rough], 1), k - 1, axis=1)[:, :k], axis=1)
                     if shared:
                         of_all = np.full(few.max() + 1, np.inf)
                         np.minimum.at(of_all, few, best[:, -1])
                         best[:, -1] = of_all[few]
-            if not hits:
+                    held += len(r)
+                    if held > HITS:  # equal rows and equal core distances are ties, which may be all pairs of a block
+                        hits = [near(hits)]
+                        held = len(hits[0][0])
+                        if held > HITS // 2:
+                            kept, hits, held = settled(hits, kept), [], 0
+            if not hits and not len(kept[0]):
                 continue
-            r, j, rough = (np.concatenate(h) for h in zip(*hits, strict=True))
-            near = rough <= np.minimum(tau, best[:, -1])[r] + 1e-5
-            r, j = r[near], j[near]
-            if metric == "cosine":
-                value = -np.round((q[r] * x[j]).sum(1), digits)
-            else:
-                value = np.round(np.maximum(np.sqrt(((q[r] - x[j]) ** 2).sum(1)), np.maximum(qcore[r], core[j])), digits)
-            order = np.lexsort((ids[j], value, r))
-            r, j, value = r[order], j[order], value[order]
-            first = np.arange(len(r)) - np.searchsorted(r, r, "left") < k
-            found.append(pd.DataFrame({"anchor": anchors[r[first]], "other": ids[j[first]], "value": value[first]}))
+            r, j, value = settled(hits, kept) if hits else kept
+            found.append(pd.DataFrame({"anchor": anchors[r], "other": ids[j], "value": value}))
         return pd.concat(found, ignore_index=True) if found else none
 
     return of

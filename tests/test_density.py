@@ -1,6 +1,9 @@
 """Neighbours, spanning forest, cluster tree, memberships and validity against plain versions over all pairs."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,6 +196,32 @@ def test_dbcv_equals_a_plain_version(spark):
     assert density.dbcv(frame(spark, x, np.where(y == 0, 0, -1))) is None
 
 
+def test_cells_of_parts_are_looked_up_by_spark(spark):
+    x, y = blobs(300, 4, 3, 5)
+    rows = frame(spark, x, y).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.col("vec_id").alias("g"), F.lit(0.0).alias("core"), (F.col("cluster_id") + 1).cast("int").alias("p"))
+    ix = neighbours.build(rows, "euclidean", part="p")
+    assert "Python" not in ix.rows._jdf.queryExecution().executedPlan().toString()
+    own = {r.id: r.p for r in rows.collect()}
+    got = ix.rows.collect()
+    assert sorted(r.id for r in got) == sorted(own) and all(ix.part[r.cell] == own[r.id] and 0 <= r.block < ix.blocks[ix.group[r.cell]] for r in got)
+
+
+@pytest.mark.parametrize("core", [0.0, 2.0])
+def test_ties_are_not_held_all_at_once(core):
+    # copies (core 0), or rows whose core distances hide the distances: every pair of a block is as good as the best
+    rng = np.random.default_rng(4)
+    v = np.tile(rng.normal(0, 0.1, 64), (2000, 1)) + (rng.normal(0, 0.01, (2000, 64)) if core else 0)
+    rows = pd.DataFrame({"cell": 0, "id": rng.permutation(2000), "v": list(v), "g": -1, "core": core})
+    asks = pd.DataFrame({"id": np.arange(500), "v": list(v[:500]), "g": -2, "core": core, "tau": np.nan, "cells": None})
+    ix = neighbours.Index(None, v[:1].copy(), np.array([10.0]), np.array([1]), np.array([0.0]), "euclidean", np.array([0]), 2000)
+    tracemalloc.start()
+    got = neighbours._pieces(ix, None, neighbours._answers("euclidean", 3))(rows, asks)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200e6
+    assert got.groupby("anchor").other.apply(list).tolist() == [[0, 1, 2]] * 500 and set(got.value) == {core}
+
+
 def test_neighbours_exact_and_probed(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "PROBES", 3)
     x, y = blobs(700, 6, 9, 2)
