@@ -13,7 +13,8 @@ No link is lost. Classes that ask meet all classes in blocks of some ``BLOCK_INT
 work is the product of both, shuffled rows are those of all classes once per block that asks). In a block every integer of a query is
 looked up among all that are held; those with ``MAX_WRONG`` (4) wrong bits or fewer are hits, which are counted by class and
 offset (the offset histogram). At a share of 0.15 an overlap of n integers has n * ``LEAST_VOTES`` hits at least, as all others have 5 wrong
-bits or more; the bit errors at each such offset decide. Only links leave a block.
+bits or more; the bit errors at each such offset decide. Only links leave a block (``align``, ``op1``: a row each), or their number and
+the best one of each class that asks (``summed``, ``op1_turns``, which the query registers: a row per turn).
 
 Media: 16-bit WAV bytes of any rate and channels, or a text played as a score: each word is a tone of ``NOTE`` samples whose pitch is hashed from
 the word. Samples are made or decoded a block of frames at a time, so a recording of any length needs little memory, and
@@ -238,8 +239,8 @@ def _wrong_bits(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray
     return out
 
 
-def _block(asked: pa.Table, held: pa.Table) -> pa.Table:
-    """Links of the classes ``asked`` with those ``held``."""
+def _links(asked: pa.Table, held: pa.Table) -> np.ndarray:
+    """Links of the classes ``asked`` with those ``held``: rows of q, r, offset, n, wrong bits."""
     (a, a0), (b, b0) = _prints(asked), _prints(held)
     size, found = np.diff(b0), [np.zeros((5, 0), np.int64)]
     owner, place = np.repeat(np.arange(len(size)), size), np.arange(len(b)) - np.repeat(b0[:-1], size)
@@ -258,11 +259,35 @@ def _block(asked: pa.Table, held: pa.Table) -> pa.Table:
         on = on[np.lexsort((offset[on], np.abs(offset[on]), -votes[on], wrong[on] / n[on], r[on]))]
         on = on[np.unique(r[on], return_index=True)[1]]
         found.append(np.stack([np.full(len(on), q), r[on], offset[on], n[on], wrong[on]]))
-    q, r, offset, n, wrong = np.concatenate(found, 1)
+    return np.concatenate(found, 1)
+
+
+LINK = "qk1 long, qk2 long, rk1 long, rk2 long, offset int, n int, error double"
+
+
+def _table_of(asked: pa.Table, held: pa.Table, links: np.ndarray) -> pa.Table:
+    q, r, offset, n, wrong = links
     ids = {x + k: t.column(k).combine_chunks().take(pa.array(at)) for x, t, at in (("q", asked, q), ("r", held, r)) for k in ("k1", "k2")}
     return pa.table(ids | {"offset": offset.astype(np.int32), "n": n.astype(np.int32), "error": wrong / np.maximum(1, n * 32.0)})
 
 
+def _block(asked: pa.Table, held: pa.Table) -> pa.Table:
+    """A row per link of the classes ``asked`` with those ``held``."""
+    return _table_of(asked, held, _links(asked, held))
+
+
+def _counts(asked: pa.Table, held: pa.Table) -> pa.Table:
+    """A row per class ``asked``: the number of its links with those ``held``, other than itself, and the best of them."""
+    links = _links(asked, held)
+    (a1, a2), (b1, b2) = ([t.column(k).to_numpy() for k in ("k1", "k2")] for t in (asked, held))
+    q, r = links[0], links[1]
+    links = links[:, (a1[q] != b1[r]) | (a2[q] != b2[r])]
+    q, r, _, n, wrong = links
+    links = links[:, np.lexsort((b2[r], b1[r], -n, wrong / n, q))]
+    _, first, many = np.unique(links[0], return_index=True, return_counts=True)
+    return _table_of(asked, held, links[:, first]).append_column("n_links", pa.array(many.astype(np.int64)))
+
+
 def classes_of(prints: DataFrame) -> DataFrame:
     """One row per fingerprint of ``prints`` (conv_id, turn, print, k1, k2) that isn't empty: k1, k2, rep (its smallest conv_id and turn), asks, print."""
     query = F.coalesce(F.col("conv_id") % QUERY_EVERY == 0, F.lit(False))
@@ -270,8 +295,8 @@ def classes_of(prints: DataFrame) -> DataFrame:
     return prints.where(F.size("print") > 0).groupBy("k1", "k2").agg(named.alias("rep"), F.bool_or(query).alias("asks"), F.first("print").alias("print"))
 
 
-def linked(classes: DataFrame, block: int = BLOCK_INTEGERS) -> DataFrame:
-    """(qk1, qk2, rk1, rk2, offset, n, error) of all pairs of a class that asks and another one that align."""
+def _met(classes: DataFrame, block: int, take, schema: str) -> DataFrame:
+    """What ``take`` makes of each block of classes that ask and of classes that are held; all of them meet."""
     size = F.size("print").cast("long")
     n, asking = classes.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(F.when(F.col("asks"), size)), F.lit(0))).first()
     parts = {"_r": max(1, -(-n // block)), "_q": max(1, -(-asking // block))}
@@ -281,9 +306,20 @@ def linked(classes: DataFrame, block: int = BLOCK_INTEGERS) -> DataFrame:
         return df.select(F.col("k1").alias("k1"), F.col("k2").alias("k2"), F.col("print").alias("print"), mine, F.explode(F.sequence(F.lit(0), F.lit(parts[other] - 1))).alias(other))
 
     a, b = dealt(classes.where("asks"), "_q", "_r"), dealt(classes, "_r", "_q")
-    schema = "qk1 long, qk2 long, rk1 long, rk2 long, offset int, n int, error double"
-    met = a.groupBy("_q", "_r").cogroup(b.groupBy("_q", "_r")).applyInArrow(_block, schema)
-    return met.where("qk1 != rk1 or qk2 != rk2")
+    return a.groupBy("_q", "_r").cogroup(b.groupBy("_q", "_r")).applyInArrow(take, schema)
+
+
+def linked(classes: DataFrame, block: int = BLOCK_INTEGERS) -> DataFrame:
+    """(qk1, qk2, rk1, rk2, offset, n, error) of all pairs of a class that asks and another one that align."""
+    return _met(classes, block, _block, LINK).where("qk1 != rk1 or qk2 != rk2")
+
+
+def counted(classes: DataFrame, block: int = BLOCK_INTEGERS) -> DataFrame:
+    """(k1, k2, n_links, best) of each class that asks and has links: their number, all counted, and the one with fewest errors (of
+    equal ones the longer one, then that of the smaller hash)."""
+    met = _met(classes, block, _counts, LINK + ", n_links long")
+    best = F.min(F.struct("error", (-F.col("n")).alias("less"), "rk1", "rk2", "offset", "n"))
+    return met.groupBy(F.col("qk1").alias("k1"), F.col("qk2").alias("k2")).agg(F.sum("n_links").alias("n_links"), best.alias("best"))
 
 
 def align(prints: DataFrame, block: int = BLOCK_INTEGERS) -> DataFrame:
@@ -309,6 +345,30 @@ def align(prints: DataFrame, block: int = BLOCK_INTEGERS) -> DataFrame:
     return out.join(links, ["k1", "k2", "first"], "left").drop("k1", "k2", "first")
 
 
+def summed(prints: DataFrame, block: int = BLOCK_INTEGERS) -> DataFrame:
+    """Each row of ``prints`` (conv_id, turn, print) once, and one row for each: class_conv, class_turn, n_frames, is_query, and of a class with
+    a query in it n_links, the number of classes that align with it (0 too), and the best of them: link_conv, link_turn, offset, n, error.
+
+    The links are those of ``align``, each counted where it is found: their number grows with queries times rows, that of the rows doesn't."""
+    keys = [F.xxhash64("print").alias("k1"), F.xxhash64(F.lit("print"), "print").alias("k2")]
+    prints = cut(prints.select("*", *keys), "audio-prints")
+    classes = cut(classes_of(prints), "audio-classes")
+    counts = cut(counted(classes, block), "audio-counts")
+    ids = classes.select(F.col("k1").alias("rk1"), F.col("k2").alias("rk2"), F.col("rep").alias("link"))
+    best = counts.select("k1", "k2", "n_links", "best.*").join(ids, ["rk1", "rk2"]).select("k1", "k2", "n_links", "link", "offset", "n", F.round("error", 4).alias("error"))
+    named = classes.select("k1", "k2", "rep", "asks").join(best, ["k1", "k2"], "left")
+    query = F.coalesce(F.col("conv_id") % QUERY_EVERY == 0, F.lit(False))
+    return prints.join(named, ["k1", "k2"], "left").select(
+        "conv_id", "turn", F.size("print").cast("long").alias("n_frames"), F.col("rep.conv_id").alias("class_conv"), F.col("rep.turn").alias("class_turn"), query.alias("is_query"),
+        F.when(F.col("asks"), F.coalesce("n_links", F.lit(0))).alias("n_links"), F.col("link.conv_id").alias("link_conv"), F.col("link.turn").alias("link_turn"), "offset", "n", "error",
+    )
+
+
 def op1(turns: DataFrame) -> DataFrame:
     """The class of every turn's fingerprint, and the classes that align with it (see ``align``); queries are all conv_id divisible by 50."""
     return align(turns.select("conv_id", "turn", score_print("text").alias("print")))
+
+
+def op1_turns(turns: DataFrame) -> DataFrame:
+    """One row per turn: the class of its fingerprint, and the number and the best of the links of a class with a query in it (see ``summed``)."""
+    return summed(turns.select("conv_id", "turn", score_print("text").alias("print")))

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from talkloom.llm import audio, bytewords, decontaminate, lbl, linededup, mixing, pagetext, quality, secrets, simhash, toxicity
+from talkloom.llm import audio, bytewords, decontaminate, lbl, linededup, mixing, pagetext, quality, queries, secrets, simhash, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 AWKWARD = [
@@ -528,6 +528,33 @@ def test_links_of_short_turns_inside_longer_ones(spark):
     assert len(want) >= 30 and links_of(audio.align(frame).collect()).keys() == want.keys()
 
 
+@pytest.mark.parametrize("block", [100, 5000])
+def test_numbers_of_links_are_those_of_all_links(spark, block):
+    # every integer is like every other one: links grow with queries times rows, and a turn has one row all the same
+    rng = np.random.default_rng(14)
+    rows = [(c, 0, (rng.integers(-(1 << 31), 1 << 31) * 0 + (1 << int(rng.integers(0, 31))) * np.ones(1 + c % 2, np.int64)).astype(np.int32)) for c in range(150)]
+    rows += [(50, 1, rng.integers(-(1 << 31), 1 << 31, 9).astype(np.int32)), (None, 2, rows[0][2]), (51, 1, np.zeros(0, np.int32))]
+    frame = spark.createDataFrame([(c, t, p.tolist()) for c, t, p in rows], "conv_id long, turn long, print array<int>")
+    links = links_of(audio.align(frame, block).collect())
+    got = audio.summed(frame, block).collect()
+    assert len(got) == len(rows) and len(links) > 80
+    many = Counter(q for q, _ in links)
+    asking = {(r.class_conv, r.class_turn) for r in got if r.is_query and r.n_frames}
+    for r in got:
+        own = (r.class_conv, r.class_turn)
+        assert r.n_links == (many[own] if own in asking else None)
+        assert (r.error is None) == (not r.n_links)
+        if r.n_links:
+            assert r.error == links[own, (r.link_conv, r.link_turn)] == min(e for (q, _), e in links.items() if q == own)
+
+
+def test_the_query_has_a_row_for_each_turn(spark, tmp_path):
+    turns = [(c, t, " ".join(["one", "two"][: 1 + c % 2])) for c in range(0, 100, 25) for t in range(3)] + [(50, 9, "three"), (0, 9, "four"), (None, 1, None)]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    out = queries.queries()["op1_audio_fingerprints"](spark, str(tmp_path)).collect()
+    assert sorted(map(str, ((r.conv_id, r.turn) for r in out))) == sorted(map(str, (x[:2] for x in turns)))
+
+
 def test_wav_and_shift():
     rng = np.random.default_rng(10)
     s = audio.Score(" ".join(f"w{i}" for i in rng.integers(0, 30, 150)))
