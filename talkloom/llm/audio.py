@@ -9,9 +9,10 @@ indexed. Two classes are linked if at some offset the share of wrong bits over t
 overlap is ``MIN_OVERLAP`` integers at least, or the whole of a fingerprint that has fewer, and ``MIN_SHARE`` of the shorter one.
 The offset with fewest errors stands for the pair.
 
-No link is lost. Classes that ask meet all classes in blocks of some ``BLOCK_INTEGERS`` integers a side (a stated query set against all rows:
-work is the product of both, shuffled rows are those of all classes once per block that asks). In a block every integer of a query is
-looked up among all that are held; those with ``MAX_WRONG`` (4) wrong bits or fewer are hits, which are counted by class and
+No link is lost. Classes that ask meet all classes in blocks of some ``BLOCK_INTEGERS`` integers held and a share of that asking (a stated query set
+against all rows: shuffled rows are those of all classes once per block that asks). In a block the integers held are filed under two parts of
+their bits (``PARTS``); one of ``MAX_WRONG`` (4) wrong bits or fewer has 2 at most in the first part or 1 at most in the second, so a query's integer is
+compared only with what stands under those values, some hundredth of the block. What is left still grows as queries times rows. Hits are counted by class and
 offset (the offset histogram). At a share of 0.15 an overlap of n integers has n * ``LEAST_VOTES`` hits at least, as all others have 5 wrong
 bits or more; the bit errors at each such offset decide. Only links leave a block (``align``, ``op1``: a row each), or their number and
 the best one of each class that asks (``summed``, ``op1_turns``, which the query registers: a row per turn).
@@ -27,7 +28,9 @@ never queries.
 
 from __future__ import annotations
 
+import itertools
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,7 +45,8 @@ RATE, FRAME, HOP = 11025, 4096, 1365
 NOTE = 512
 LOWEST, HIGHEST = 110.0, 3520.0
 PITCHES = 36
-BLOCK = 128
+#: Frames decoded at once and transformed at once; recordings, and rows of them, that pass the filters together.
+BLOCK, AT_ONCE, RECORDINGS, ROWS = 128, 16, 512, 2048
 SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
 #: Kind, first pitch class, pitch classes, frames; kinds are how the rectangle's halves or quarters or thirds are compared.
 FILTERS = [(kind, (5 * i + 3) % (9 - i % 3 * 2), 4 + i % 3 * 2, 3 * (1 + i % 4)) for i, kind in enumerate([0, 1, 2, 3, 4, 5, 1, 2, 3, 1, 2, 4, 5, 3, 1, 2])]
@@ -55,7 +59,9 @@ MAX_ERROR, MIN_OVERLAP, MIN_SHARE = 0.15, 4, 0.5
 MAX_WRONG = int(32 * MAX_ERROR)
 LEAST_VOTES = 1 - 32 * MAX_ERROR / (MAX_WRONG + 1)
 QUERY_EVERY = 50
-BLOCK_INTEGERS, MOST_HITS = 1 << 15, 1 << 20
+#: Integers held in a block; those that ask in it are a share of that.
+BLOCK_INTEGERS, ASKING = 1 << 18, 1 / 16
+MOST_HITS, KEYS_AT_ONCE, HELD_AT_ONCE = 1 << 16, 256, 1 << 16
 
 
 def _pitch_matrix() -> np.ndarray:
@@ -121,29 +127,50 @@ class Wav:
         return (np.interp(np.arange(lo, hi) * self.step - first, np.arange(len(part)), part) / 32768).astype(np.float32)
 
 
-def chroma(media) -> np.ndarray:
-    """Rows of twelve shares, one a frame."""
-    frames = max(1, (media.size - FRAME) // HOP + 1)
-    out = np.empty((frames, 12))
-    for k in range(0, frames, BLOCK):
-        n = min(BLOCK, frames - k)
-        lo, hi = k * HOP, (k + n - 1) * HOP + FRAME
-        x = media.samples(lo, min(hi, media.size))
-        if len(x) < hi - lo:
-            x = np.pad(x, (0, hi - lo - len(x)))
-        views = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
-        spectrum = np.fft.rfft(views * WINDOW)
-        out[k : k + n] = (spectrum.real**2 + spectrum.imag**2) @ PITCH
-    smooth = np.stack([np.convolve(c, SMOOTH, "same") if frames >= len(SMOOTH) else c for c in out.T], 1)
-    norm = np.sqrt((smooth**2).sum(1, keepdims=True))
-    return np.where(norm > 1e-6, smooth / np.maximum(norm, 1e-6), 0)
+class Spectra:
+    """Powers of frames by pitch class, in arrays that are used again: fresh ones of this size cost more than the transform."""
+
+    def __init__(self):
+        self.frames = np.empty((AT_ONCE, FRAME), np.float32)
+        self.spectrum = np.empty((AT_ONCE, FRAME // 2 + 1), np.complex64)
+        self.power, self.other = (np.empty((n, FRAME // 2 + 1), np.float32) for n in (BLOCK, AT_ONCE))
+
+    def of(self, media) -> np.ndarray:
+        """Rows of twelve sums, one a frame."""
+        frames = max(1, (media.size - FRAME) // HOP + 1)
+        out = np.empty((frames, 12))
+        for k in range(0, frames, BLOCK):
+            n = min(BLOCK, frames - k)
+            lo, hi = k * HOP, (k + n - 1) * HOP + FRAME
+            x = media.samples(lo, min(hi, media.size))
+            if len(x) < hi - lo:
+                x = np.pad(x, (0, hi - lo - len(x)))
+            views = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+            for i in range(0, n, AT_ONCE):
+                m = min(AT_ONCE, n - i)
+                windowed, spectrum, power, other = self.frames[:m], self.spectrum[:m], self.power[i : i + m], self.other[:m]
+                np.multiply(views[i : i + m], WINDOW, out=windowed)
+                np.fft.rfft(windowed, out=spectrum)
+                np.square(spectrum.real, out=power)
+                np.square(spectrum.imag, out=other)
+                np.add(power, other, out=power)
+            out[k : k + n] = self.power[:n] @ PITCH
+        return out
+
+
+def chroma(powers: np.ndarray, frames: np.ndarray) -> np.ndarray:
+    """Rows of twelve shares, smoothed over time: of recordings of so many frames, each padded with rows of zeros."""
+    own = np.arange(powers.shape[1]) < frames[:, None]
+    wide = np.pad(powers, ((0, 0), (2, 2), (0, 0)))
+    smooth = sum(SMOOTH[k] * wide[:, k : k + powers.shape[1]] for k in range(len(SMOOTH)))
+    smooth = np.where((frames >= len(SMOOTH))[:, None, None], smooth, powers)
+    norm = np.sqrt((smooth**2).sum(2, keepdims=True))
+    return np.where((norm > 1e-6) & own[:, :, None], smooth / np.maximum(norm, 1e-6), 0)
 
 
 def packed(rows: np.ndarray) -> np.ndarray:
-    """32-bit integers of rows of pitch classes, one for each place of a window of WIDTH rows."""
-    if len(rows) < WIDTH:
-        rows = np.pad(rows, ((0, WIDTH - len(rows)), (0, 0)))
-    out = np.zeros(len(rows) - WIDTH + 1, np.uint32)
+    """32-bit integers of rows of pitch classes of some recordings, one for each place of a window of WIDTH rows."""
+    out = np.zeros((len(rows), rows.shape[1] - WIDTH + 1), np.uint32)
     for i, ratio in enumerate(log_ratios(rows)):
         level = sum((ratio - CENTRE[i] > x).astype(np.int64) for x in LEVELS)
         out |= GRAY[level] << np.uint32(2 * i)
@@ -151,13 +178,14 @@ def packed(rows: np.ndarray) -> np.ndarray:
 
 
 def log_ratios(rows: np.ndarray):
-    """The value of each filter at all places of its window."""
-    total = np.zeros((len(rows) + 1, 13))
-    total[1:, 1:] = rows.cumsum(0).cumsum(1)
-    at = np.arange(len(rows) - WIDTH + 1)
+    """The value of each filter at all places of its window, for some recordings."""
+    places = rows.shape[1] - WIDTH + 1
+    total = np.zeros((13, len(rows), rows.shape[1] + 1))
+    total[1:, :, 1:] = np.moveaxis(rows.cumsum(1).cumsum(2), 2, 0)
 
     def area(t0, t1, p0, p1):
-        return total[at + t1, p1] - total[at + t0, p1] - total[at + t1, p0] + total[at + t0, p0]
+        to, since = slice(t1, t1 + places), slice(t0, t0 + places)
+        return total[p1, :, to] - total[p1, :, since] - total[p0, :, to] + total[p0, :, since]
 
     for kind, p, h, w in FILTERS:
         q, m, v = p + h, p + h // 2, w // 2
@@ -182,21 +210,41 @@ def log_ratios(rows: np.ndarray):
         yield np.log1p(np.maximum(a, 0)) - np.log1p(np.maximum(b, 0))
 
 
-CENTRE = [float(x[0]) for x in log_ratios(np.full((WIDTH, 12), 12**-0.5))]
+CENTRE = [float(x[0, 0]) for x in log_ratios(np.full((1, WIDTH, 12), 12**-0.5))]
+
+
+def fingerprints(recordings: Iterable) -> Iterator[np.ndarray]:
+    """The fingerprint of each recording. Small arrays cost more to handle than to fill, so recordings of like lengths go through the filters together."""
+    spectra, rest = Spectra(), iter(recordings)
+    while some := [spectra.of(media) if media is not None and media.size else np.zeros((0, 12)) for media in itertools.islice(rest, RECORDINGS)]:
+        out, frames = [np.zeros(0, np.int32)] * len(some), np.array([len(x) for x in some])
+        order = [int(i) for i in np.argsort(frames, kind="stable") if frames[i]]
+        while order:
+            # the longest ones that are left, as many as fill ROWS
+            length = max(WIDTH, int(frames[order[-1]]))
+            many = max(1, ROWS // length)
+            order, group = order[:-many], order[-many:]
+            powers = np.zeros((len(group), length, 12))
+            for k, i in enumerate(group):
+                powers[k, : frames[i]] = some[i]
+            integers = packed(chroma(powers, frames[group])).view(np.int32)
+            for k, i in enumerate(group):
+                out[i] = integers[k, : max(1, frames[i] - WIDTH + 1)].copy()
+        yield from out
 
 
 def fingerprint(media) -> np.ndarray:
-    return packed(chroma(media)).view(np.int32) if media.size else np.zeros(0, np.int32)
+    return next(fingerprints([media]))
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def score_print(texts: pd.Series) -> pd.Series:
-    return pd.Series([fingerprint(Score(t)) if isinstance(t, str) else np.zeros(0, np.int32) for t in texts], dtype=object)
+    return pd.Series(list(fingerprints(Score(t) if isinstance(t, str) else None for t in texts)), dtype=object)
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def wav_print(media: pd.Series) -> pd.Series:
-    return pd.Series([fingerprint(Wav(bytes(b))) if b is not None and len(b) else np.zeros(0, np.int32) for b in media], dtype=object)
+    return pd.Series(list(fingerprints(Wav(bytes(b)) if b is not None and len(b) else None for b in media)), dtype=object)
 
 
 def _prints(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -206,24 +254,70 @@ def _prints(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return values, np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
 
 
-def _histogram(a: np.ndarray, b: np.ndarray, owner: np.ndarray, place: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hits of a's integers in b's by (class, offset), both in one number, class * span + offset + len(a); and how many each has."""
-    keys, votes, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+def _near(width: int, radius: int) -> np.ndarray:
+    """All numbers of ``width`` bits with ``radius`` bits set or fewer."""
+    return np.array([sum(1 << i for i in c) for k in range(radius + 1) for c in itertools.combinations(range(width), k)], np.int64)
+
+
+#: Parts of an integer: first bit, bits, the most wrong bits looked up there, and the numbers that differ by so many. With MAX_WRONG bits wrong, one part has no more than those.
+PARTS = [(14, 18, 2, _near(18, 2)), (0, 14, MAX_WRONG - 3, _near(14, MAX_WRONG - 3))]
+
+
+def _filed(b: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Integers in the order of each of PARTS: their places, where each value of the part begins, and the integers."""
+    out = []
+    for first, width, _, _ in PARTS:
+        part = (b >> np.uint32(first) & np.uint32((1 << width) - 1)).astype(np.int32)
+        order = np.argsort(part, kind="stable").astype(np.int32)
+        out.append((order, np.concatenate([[0], np.cumsum(np.bincount(part, minlength=1 << width))]), b[order]))
+    return out
+
+
+def _hits(a: np.ndarray, filed: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+    """Places in a and in the integers ``filed`` of all pairs with MAX_WRONG wrong bits or fewer, each once, some at a time."""
+    for k, ((first, width, _, near), (order, begins, b)) in enumerate(zip(PARTS, filed)):
+        # some integers at a time, so that keys and what stands under them stay small
+        for j in range(0, len(a), KEYS_AT_ONCE):
+            own = a[j : j + KEYS_AT_ONCE]
+            keys = (own >> np.uint32(first) & np.uint32((1 << width) - 1)).astype(np.int64)[:, None] ^ near
+            low = begins[keys]
+            size = begins[keys + 1] - low
+            many, i = size.sum(1), 0
+            ends = np.cumsum(many)
+            while i < len(own):
+                stop = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + HELD_AT_ONCE, "right")))
+                on = np.flatnonzero(size[i:stop])
+                n, at = size[i:stop].ravel()[on], low[i:stop].ravel()[on]
+                at = np.arange(n.sum()) + np.repeat(at - (np.cumsum(n) - n), n)
+                who = np.repeat(np.arange(i, stop, dtype=np.int32), many[i:stop])
+                differ = b[at] ^ own[who]
+                v = np.flatnonzero(np.bitwise_count(differ) <= MAX_WRONG)
+                if k:
+                    # those that the first part has found
+                    v = v[np.bitwise_count(differ[v] >> np.uint32(PARTS[0][0])) > PARTS[0][2]]
+                if len(v):
+                    yield who[v].astype(np.int64) + j, order[at[v]]
+                i = stop
+
+
+def _histogram(a: np.ndarray, filed: list, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hits of a's integers in those ``filed`` by class and offset in one number, where a would begin: at ``begin`` of the integer hit less its
+    place in a; and how many each has."""
+    keys, held, key, votes = [np.zeros(0, np.int64)], 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def folded():
-        key, at = np.unique(np.concatenate(keys), return_inverse=True)
-        return key, np.bincount(at, np.concatenate(votes), len(key)).astype(np.int64)
-
-    for i, x in enumerate(a):
-        v = np.flatnonzero(np.bitwise_count(b ^ x) <= MAX_WRONG)
-        if len(v):
-            keys.append(owner[v] * span + place[v] + (len(a) - i))
-            votes.append(np.ones(len(v), np.int64))
-            held += len(v)
+        more, many = np.unique(np.concatenate(keys), return_counts=True)
+        if not len(key):
+            return more, many
+        both, at = np.unique(np.concatenate([key, more]), return_inverse=True)
+        return both, np.bincount(at, np.concatenate([votes, many]), len(both)).astype(np.int64)
+
+    for i, v in _hits(a, filed):
+        keys.append(begin[v] - i)
+        held += len(v)
         if held > MOST_HITS:
-            key, vote = folded()
-            keys, votes, held = [key], [vote], 0
-    return folded()
+            (key, votes), keys, held = folded(), [], 0
+    return folded() if keys else (key, votes)
 
 
 def _wrong_bits(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -243,12 +337,17 @@ def _links(asked: pa.Table, held: pa.Table) -> np.ndarray:
     """Links of the classes ``asked`` with those ``held``: rows of q, r, offset, n, wrong bits."""
     (a, a0), (b, b0) = _prints(asked), _prints(held)
     size, found = np.diff(b0), [np.zeros((5, 0), np.int64)]
-    owner, place = np.repeat(np.arange(len(size)), size), np.arange(len(b)) - np.repeat(b0[:-1], size)
-    for q in range(len(a0) - 1 if len(b) else 0):
+    if not len(b):
+        return found[0]
+    filed, longest = _filed(b), int(np.diff(a0).max(initial=0))
+    # offsets of a class are numbers of their own: span of them, from one where the longest that asks begins before it
+    span = longest + int(size.max()) + 1
+    begins = np.repeat(np.arange(len(size)) * span - b0[:-1] + longest, size) + np.arange(len(b))
+    for q in range(len(a0) - 1):
         m = int(a0[q + 1] - a0[q])
-        span = m + int(size.max()) + 1
-        key, votes = _histogram(a[a0[q] : a0[q + 1]], b, owner, place, span)
-        r, offset = key // span, key % span - m
+        key, votes = _histogram(a[a0[q] : a0[q + 1]], filed, begins)
+        r = key // span
+        offset = key - r * span - longest
         begin = np.maximum(0, -offset)
         n, shorter = np.minimum(m, size[r] - offset) - begin, np.minimum(m, size[r])
         on = np.flatnonzero((n >= np.minimum(shorter, MIN_OVERLAP)) & (n >= MIN_SHARE * shorter) & (votes >= n * LEAST_VOTES - 1e-9))
@@ -299,7 +398,7 @@ def _met(classes: DataFrame, block: int, take, schema: str) -> DataFrame:
     """What ``take`` makes of each block of classes that ask and of classes that are held; all of them meet."""
     size = F.size("print").cast("long")
     n, asking = classes.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(F.when(F.col("asks"), size)), F.lit(0))).first()
-    parts = {"_r": max(1, -(-n // block)), "_q": max(1, -(-asking // block))}
+    parts = {"_r": max(1, -(-n // block)), "_q": max(1, -(-asking // max(1, int(block * ASKING))))}
 
     def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
         mine = F.pmod("k1", F.lit(parts[own])).cast("int").alias(own)

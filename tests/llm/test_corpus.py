@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pandas as pd
 import pytest
 import xxhash
@@ -555,6 +556,63 @@ def test_the_query_has_a_row_for_each_turn(spark, tmp_path):
     assert sorted(map(str, ((r.conv_id, r.turn) for r in out))) == sorted(map(str, (x[:2] for x in turns)))
 
 
+def test_few_integers_are_compared_and_no_hit_is_lost(monkeypatch):
+    rng = np.random.default_rng(15)
+    held = rng.integers(0, 1 << 32, 60_000, dtype=np.uint32)
+    # every number of wrong bits up to 5 in either part of an integer, and integers of which all bits or none are set
+    asked = [int(held[i]) ^ sum(1 << int(k) for k in [*rng.choice(14, low, replace=False), *(14 + rng.choice(18, high, replace=False))]) for low in range(6) for high in range(6 - low) for i in rng.integers(0, len(held), 20)]
+    asked = np.array(asked + [0, 0xFFFFFFFF], np.uint32)
+    held[:4] = [0, 0xFFFFFFFF, 0b10111, 0xFFFFFFFF ^ 0b11 << 13]
+    want = {(i, int(v)) for i, x in enumerate(asked) for v in np.flatnonzero(np.bitwise_count(held ^ x) <= audio.MAX_WRONG)}
+    assert len(want) >= 300
+    compared, count = [0], np.bitwise_count
+
+    def counted(x):
+        compared[0] += np.size(x)
+        return count(x)
+
+    tables = [pa.table({"k1": np.arange(len(x)), "k2": np.arange(len(x)), "print": pa.array(x.view(np.int32)[:, None].tolist(), pa.list_(pa.int32()))}) for x in (asked, held)]
+    monkeypatch.setattr(np, "bitwise_count", counted)
+    for keys, at_once in ((3, 10), (audio.KEYS_AT_ONCE, audio.HELD_AT_ONCE)):
+        monkeypatch.setattr(audio, "KEYS_AT_ONCE", keys)
+        monkeypatch.setattr(audio, "HELD_AT_ONCE", at_once)
+        compared[0] = 0
+        links = audio._links(*tables)
+        assert {(int(q), int(r)) for q, r in links[:2].T} == want and links.shape[1] == len(want)
+        assert compared[0] < len(asked) * len(held) // 100
+
+
+def test_votes_of_one_offset_add_up_over_parts_of_the_hits(monkeypatch):
+    # one long fingerprint and copies of it with wrong bits: hits of the same offset are counted at different times
+    rng = np.random.default_rng(16)
+    a = np.repeat(rng.integers(0, 1 << 32, 20, dtype=np.uint32), 5)
+    rows = [a] + [np.concatenate([a[k:], a[:k]]) ^ np.uint32(1 << k) for k in range(0, 30, 3)]
+    t = pa.table({"k1": np.arange(len(rows)), "k2": np.arange(len(rows)), "print": pa.array([x.view(np.int32).tolist() for x in rows], pa.list_(pa.int32()))})
+    want = audio._links(t, t)
+    assert want.shape[1] == len(rows) ** 2
+    for most in (1, 50, 1000):
+        monkeypatch.setattr(audio, "MOST_HITS", most)
+        assert np.array_equal(audio._links(t, t), want)
+
+
+def test_fingerprints_made_together_are_those_made_alone():
+    rng = np.random.default_rng(17)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 30, n)) for n in (1, 3, 8, 9, 20, 45, 46, 47, 60, 700, 2, 150, 0, 46)] + ["x " * 400, None]
+    media = [audio.Score(t) if t is not None else None for t in texts]
+    together = list(audio.fingerprints(media))
+    assert len(together) == len(texts) and [len(x) for x in together[-4:]] == [0, len(together[6]), len(together[-2]), 0]
+    for x, m in zip(together, media):
+        assert x.dtype == np.int32 and x.tolist() == audio.fingerprint(m).tolist()
+        if m is not None and m.size:
+            # one recording by itself, its rows smoothed by numpy
+            power = audio.Spectra().of(m)
+            smooth = np.stack([np.convolve(c, audio.SMOOTH, "same") if len(power) >= len(audio.SMOOTH) else c for c in power.T], 1)
+            norm = np.sqrt((smooth**2).sum(1, keepdims=True))
+            rows = np.where(norm > 1e-6, smooth / np.maximum(norm, 1e-6), 0)
+            rows = np.pad(rows, ((0, max(0, audio.WIDTH - len(rows))), (0, 0)))
+            assert audio.packed(rows[None])[0].view(np.int32).tolist() == x.tolist()
+
+
 def test_wav_and_shift():
     rng = np.random.default_rng(10)
     s = audio.Score(" ".join(f"w{i}" for i in rng.integers(0, 30, 150)))
