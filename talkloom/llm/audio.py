@@ -9,7 +9,7 @@ indexed. Two classes are linked if at some offset the share of wrong bits over t
 overlap is ``MIN_OVERLAP`` integers at least, or the whole of a fingerprint that has fewer, and ``MIN_SHARE`` of the shorter one.
 The offset with fewest errors stands for the pair.
 
-No link is lost. Classes that ask meet all classes in blocks of some ``BLOCK_INTEGERS`` integers held and a share of that asking (a stated query set
+No link is lost. Classes that ask meet all classes in blocks of some ``BLOCK_INTEGERS`` integers a side (a stated query set
 against all rows: shuffled rows are those of all classes once per block that asks). In a block the integers held are filed under two parts of
 their bits (``PARTS``); one of ``MAX_WRONG`` (4) wrong bits or fewer has 2 at most in the first part or 1 at most in the second, so a query's integer is
 compared only with what stands under those values, some hundredth of the block. What is left still grows as queries times rows. Hits are counted by class and
@@ -59,8 +59,7 @@ MAX_ERROR, MIN_OVERLAP, MIN_SHARE = 0.15, 4, 0.5
 MAX_WRONG = int(32 * MAX_ERROR)
 LEAST_VOTES = 1 - 32 * MAX_ERROR / (MAX_WRONG + 1)
 QUERY_EVERY = 50
-#: Integers held in a block; those that ask in it are a share of that.
-BLOCK_INTEGERS, ASKING = 1 << 18, 1 / 16
+BLOCK_INTEGERS = 1 << 18
 MOST_HITS, KEYS_AT_ONCE, HELD_AT_ONCE = 1 << 16, 256, 1 << 16
 
 
@@ -333,12 +332,12 @@ def _wrong_bits(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray
     return out
 
 
-def _links(asked: pa.Table, held: pa.Table) -> np.ndarray:
-    """Links of the classes ``asked`` with those ``held``: rows of q, r, offset, n, wrong bits."""
+def _found(asked: pa.Table, held: pa.Table) -> Iterator[np.ndarray]:
+    """Links of each of the classes ``asked`` with those ``held``: rows of q, r, offset, n, wrong bits."""
     (a, a0), (b, b0) = _prints(asked), _prints(held)
-    size, found = np.diff(b0), [np.zeros((5, 0), np.int64)]
     if not len(b):
-        return found[0]
+        return
+    size = np.diff(b0)
     filed, longest = _filed(b), int(np.diff(a0).max(initial=0))
     # offsets of a class are numbers of their own: span of them, from one where the longest that asks begins before it
     span = longest + int(size.max()) + 1
@@ -357,8 +356,12 @@ def _links(asked: pa.Table, held: pa.Table) -> np.ndarray:
         # of the offsets that align two classes the one with fewest errors stands for them
         on = on[np.lexsort((offset[on], np.abs(offset[on]), -votes[on], wrong[on] / n[on], r[on]))]
         on = on[np.unique(r[on], return_index=True)[1]]
-        found.append(np.stack([np.full(len(on), q), r[on], offset[on], n[on], wrong[on]]))
-    return np.concatenate(found, 1)
+        yield np.stack([np.full(len(on), q), r[on], offset[on], n[on], wrong[on]])
+
+
+def _links(asked: pa.Table, held: pa.Table) -> np.ndarray:
+    """All of ``_found``."""
+    return np.concatenate([np.zeros((5, 0), np.int64), *_found(asked, held)], 1)
 
 
 LINK = "qk1 long, qk2 long, rk1 long, rk2 long, offset int, n int, error double"
@@ -377,14 +380,17 @@ def _block(asked: pa.Table, held: pa.Table) -> pa.Table:
 
 def _counts(asked: pa.Table, held: pa.Table) -> pa.Table:
     """A row per class ``asked``: the number of its links with those ``held``, other than itself, and the best of them."""
-    links = _links(asked, held)
     (a1, a2), (b1, b2) = ([t.column(k).to_numpy() for k in ("k1", "k2")] for t in (asked, held))
-    q, r = links[0], links[1]
-    links = links[:, (a1[q] != b1[r]) | (a2[q] != b2[r])]
-    q, r, _, n, wrong = links
-    links = links[:, np.lexsort((b2[r], b1[r], -n, wrong / n, q))]
-    _, first, many = np.unique(links[0], return_index=True, return_counts=True)
-    return _table_of(asked, held, links[:, first]).append_column("n_links", pa.array(many.astype(np.int64)))
+    best, many = [np.zeros((5, 0), np.int64)], []
+    for links in _found(asked, held):
+        q, r = links[0], links[1]
+        links = links[:, (a1[q] != b1[r]) | (a2[q] != b2[r])]
+        if links.shape[1]:
+            _, r, _, n, wrong = links
+            first = np.lexsort((b2[r], b1[r], -n, wrong / n))[:1]
+            best.append(links[:, first])
+            many.append(links.shape[1])
+    return _table_of(asked, held, np.concatenate(best, 1)).append_column("n_links", pa.array(many, pa.int64()))
 
 
 def classes_of(prints: DataFrame) -> DataFrame:
@@ -398,7 +404,7 @@ def _met(classes: DataFrame, block: int, take, schema: str) -> DataFrame:
     """What ``take`` makes of each block of classes that ask and of classes that are held; all of them meet."""
     size = F.size("print").cast("long")
     n, asking = classes.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(F.when(F.col("asks"), size)), F.lit(0))).first()
-    parts = {"_r": max(1, -(-n // block)), "_q": max(1, -(-asking // max(1, int(block * ASKING))))}
+    parts = {"_r": max(1, -(-n // block)), "_q": max(1, -(-asking // block))}
 
     def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
         mine = F.pmod("k1", F.lit(parts[own])).cast("int").alias(own)
