@@ -4,7 +4,8 @@ Fingerprints of 64 bits are linked at ``MAX_BITS`` = 3 or fewer differing bits.
 linked pair differs by at most one bit. Each distinct fingerprint is indexed under both halves as they are and under
 each half with one bit left out; equality joins on those keys yield every pair once per half, and the full distance is
 verified. A pair whose half is equal is found under the half itself; a pair that differs in bit p of it is found under
-the variant without p, where only rows with p = 0 meet rows with p = 1.
+the variant without p, where only rows with p = 0 meet rows with p = 1. These joins are asked to sort and merge: Spark sizes
+the index as the table before its explosion, 66 times too low, and would send it whole through the driver.
 
 Copies share a fingerprint and stand in the index once, so a group of copies of any size is one row. A half that very
 many distinct fingerprints share is indexed a level deeper (``HOT_HALF``): its rows carry also the variants of the other
@@ -102,7 +103,7 @@ def links(distinct: DataFrame, hot_half: int = HOT_HALF) -> DataFrame:
         left, right = rows.where("side != 1").alias("l"), rows.where("side != 0").alias("r")
         same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in on]
         meet = (F.col("l.side") == 0) & (F.col("r.side") == 1) | (F.col("l.side") == 2) & (F.col("r.side") == 2) & (F.col("l.node") < F.col("r.node"))
-        return left.join(right, [*same, meet, near]).select(*ends)
+        return left.join(right.hint("merge"), [*same, meet, near]).select(*ends)
 
     if hot.isEmpty():
         return pairs(index, ["key"])
@@ -124,7 +125,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds if was[0] else 0):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
         lower = large.groupBy("b").agg(F.min("a").alias("m"))
         star = large.join(lower, "b")
         small = star.select(F.col("m").alias("a"), F.col("b")).unionByName(star.where("a > m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct()

@@ -162,6 +162,14 @@ def test_links_against_all_pairs(spark, hot):
     assert got == want and want
 
 
+@pytest.mark.parametrize("hot", [simhash.HOT_HALF, 2])
+def test_index_of_links_is_never_broadcast(spark, hot):
+    rows = spark.range(6).select(F.col("id").alias("node"), F.col("id").alias("fp"))  # of known size; one upper half, hot at 2
+    plan = simhash.links(rows, hot)._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in plan.split("\n") if "Join" in x and "bit_count" in x]
+    assert len(joins) == (1 if hot > 2 else 2) and all("SortMergeJoin" in x for x in joins)
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (100, 102), (102, 103)]
     got = dict(tuple(r) for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect())
