@@ -75,46 +75,73 @@ def _heights(parent: np.ndarray, birth: np.ndarray, children: list[list[int]], n
             first[k], at = at, at + count[k]
     place, known = first[nodes], {}
 
+    def spread(out: np.ndarray, at: int) -> None:
+        if at in chosen:
+            out[first[at]] = np.inf
+        for k in children[at]:
+            out[first[k] : first[k] + count[k]] = birth[k]
+
     def of(node: int) -> np.ndarray:
-        if node not in known:
-            if (len(known) + 1) * len(nodes) > HELD:
-                known.clear()
-            out, at, came, mine = np.full(free, np.inf), node, -1, np.inf
-            while at >= 0:
-                if at in chosen:
-                    out[first[at]] = mine
-                for k in children[at]:
-                    if k != came and count[k]:
-                        out[first[k] : first[k] + count[k]] = min(mine, birth[k])
-                came, mine, at = at, birth[at], parent[at]
-            known[node] = out[place]
-        return known[node]
+        """As that of the nearest node above that is known, but for what lies in the branches between; so nodes are best asked for from above."""
+        way, at = [], node
+        while at >= 0 and at not in known:
+            way.append(at)
+            at = parent[at]
+        if not way:
+            return known[node][place]
+        out = known[at].copy() if at >= 0 else np.full(free, np.inf)
+        for at in reversed(way):
+            if (up := parent[at]) >= 0:
+                if up in chosen:
+                    out[first[up]] = birth[at]
+                for k in children[up]:
+                    out[first[k] : first[k] + count[k]] = min(birth[at], birth[k])
+            spread(out, at)
+        if (len(known) + 1) * free > HELD:
+            known.clear()
+        known[node] = out
+        return out[place]
 
     return of
 
 
 def _by_cluster(shape: tuple, cluster_node: dict, largest: dict, take):
     """Calls ``take(ids, clusters, d, h)`` with some rows of noise and the clusters of a part: distances to the nearest exemplar, and shares by height."""
-    apart, look, digits = neighbours._apart, neighbours.LOOK, neighbours.DIGITS["euclidean"]
+    look, digits = neighbours.LOOK, neighbours.DIGITS["euclidean"]
+
+    def nearest(q: np.ndarray, x: np.ndarray, n: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Distances to the nearest exemplar of each cluster, from products of matrices where these are good to 1e-11, else made exactly."""
+        m = (q * q).sum(1)
+        rough = (-2 * q) @ x.T
+        rough += n
+        least = np.minimum.reduceat(rough, starts, axis=1) + m[:, None]
+        d = np.sqrt(np.maximum(least, 0))
+        r, c = np.nonzero(d <= 5e-4 * (m + n.max())[:, None])
+        d_rough, d[r, c] = d[r, c], np.inf
+        ends = sizes[c].cumsum()
+        for i in range(0, int(ends[-1]) if len(ends) else 0, EXACT):
+            nth = np.arange(i, min(i + EXACT, int(ends[-1])))
+            pair = np.searchsorted(ends, nth, "right")
+            a, b = r[pair], starts[c[pair]] + nth - ends[pair] + sizes[c[pair]]
+            on = np.sqrt(np.maximum(rough[a, b] + m[a], 0)) <= d_rough[pair] + 1e-5
+            a, b = a[on], b[on]
+            np.minimum.at(d, (a, c[pair[on]]), np.sqrt(((q[a] - x[b]) ** 2).sum(1)))
+        return np.round(d, digits)
 
     def of(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("g", ignore_index=True)
-        asks = asks.sort_values(["node", "id"], ignore_index=True)
+        asks = asks.sort_values(["node", "id"], ascending=[False, True], ignore_index=True)
         names, starts, sizes = np.unique(rows.g.to_numpy(np.int64), return_index=True, return_counts=True)
         top = np.array([largest[c] for c in names], float)
         height = _heights(*shape, [cluster_node[c] for c in names]) if len(names) else None
-        x, code, out = np.stack(rows.v) if len(rows) else None, np.repeat(np.arange(len(names)), sizes), [take(asks.id.to_numpy()[:0], names, np.zeros((0, len(names))), np.zeros((0, len(names))))]
+        x, out = np.stack(rows.v) if len(rows) else None, [take(asks.id.to_numpy()[:0], names, np.zeros((0, len(names))), np.zeros((0, len(names))))]
+        n = (x * x).sum(1) if len(rows) else None
         step = max(1, look // max(1, len(rows)))
         for i in range(0, len(asks) if len(rows) else 0, step):
             part = asks.iloc[i : i + step]
-            q = np.stack(part.v)
-            rough = apart(q, x)
-            r, j = np.nonzero(rough <= np.minimum.reduceat(rough, starts, axis=1)[:, code] + 1e-5)
-            d = np.full((len(part), len(names)), np.inf)
-            for k in range(0, len(r), EXACT):
-                a, b = r[k : k + EXACT], j[k : k + EXACT]
-                np.minimum.at(d, (a, code[b]), np.round(np.sqrt(((q[a] - x[b]) ** 2).sum(1)), digits))
-            h = np.minimum(np.stack([height(n) for n in part.node]), part.density.to_numpy(float)[:, None])
+            d = nearest(np.stack(part.v), x, n, starts, sizes)
+            nodes, at = np.unique(-part.node.to_numpy(), return_inverse=True)
+            h = np.minimum(np.stack([height(-k) for k in nodes.tolist()])[at], part.density.to_numpy(float)[:, None])
             out.append(take(part.id.to_numpy(), names, d, np.where(top > 0, h / np.where(top > 0, top, 1), 1.0)))
         return pd.concat(out, ignore_index=True)
 

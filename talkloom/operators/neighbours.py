@@ -34,6 +34,8 @@ GROUPS, LEAST_BLOCK, MOST_BLOCK = 24, 2000, 32_768
 PIECE, STEP, LOOK, SENT = 1024, 1000, 2_000_000, 10_000
 #: Pairs of a question and a row that are held at once, and those whose distances are made exactly at once.
 HITS, EXACT = 1 << 18, 1 << 15
+#: One pair in so many, at most, is looked at alone; else distances of all are made together.
+FEW = 16
 PROBES = 8
 SLACK = 1e-8
 #: Answers are compared as these values, smaller is better.
@@ -42,7 +44,7 @@ DIGITS = {"cosine": 6, "euclidean": 9}
 
 @dataclass
 class Index:
-    """``rows``: (cell, block, id, v, g, core); by cell: centre, radius, least core distance, group; by group: number of blocks.
+    """``rows``: (cell, block, id, v, g, core), ``v`` as bytes; by cell: centre, radius, least core distance, group; by group: number of blocks.
     ``part``: whose rows a cell holds, where each part has cells of its own and questions (with a column ``p``) stay in theirs.
     ``block``: rows of a block, about."""
 
@@ -66,9 +68,17 @@ def _looked_up(values, place: str) -> Column:
 
 
 def _stack(values) -> np.ndarray:
+    """Vectors, as arrays or as the bytes of doubles: an index and the questions sent to it have bytes, which cost Spark and Arrow far less."""
+    values = list(values)
+    if values and isinstance(values[0], bytes):
+        return np.frombuffer(b"".join(values)).reshape(len(values), -1)
     return np.stack([np.asarray(v, float) for v in values])
 
 
+def _packed(x: np.ndarray) -> list[bytes]:
+    return [v.tobytes() for v in x]
+
+
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distances by one product of matrices; good to 1e-7 or so."""
     return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T), 0))
@@ -133,11 +143,11 @@ def build(rows: DataFrame, metric: str = "cosine", cells: int | None = None, blo
         for f in frames:
             for i in range(0, len(f), STEP):
                 x = _stack((one := f.iloc[i : i + STEP].copy()).v)
-                one["at"] = _apart(x, base).argmin(1).astype(np.int32)
+                one["v"], one["at"] = _packed(x), _apart(x, base).argmin(1).astype(np.int32)
                 one["r"] = np.sqrt(((x - base[one["at"]]) ** 2).sum(1))
                 yield one
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema} | {"v": "binary"}
     names = ["id", "v", "g", "core"]
     of = F.col(part) if part else F.lit(0)
     filed = rows.select(*names, of.cast("long").alias("p"))
@@ -201,7 +211,9 @@ def _visits(ix: Index, first: int, last: int | None, owner: list | None, counted
             step = max(1, LOOK // max(1, len(cells)))
             for i in range(0, len(of_part) if len(cells) else 0, step):
                 one = of_part.iloc[i : i + step]
-                low, far = can(one, _stack(one.v), cells)
+                low, far = can(one, x := _stack(one.v), cells)
+                if not counted:
+                    one = one.assign(v=_packed(x))
                 ok = (low <= _within(one.tau.fillna(np.inf).to_numpy(float), metric)[:, None] + SLACK) & np.isfinite(low)
                 if ranked:
                     rank = np.empty(low.shape, np.int32)
@@ -254,8 +266,10 @@ def _pieces(ix: Index, owner: list | None, take):
                 low, far = can(part, q, cells)
                 if len(part) and part["cells"].iloc[0] is not None:
                     named = np.zeros(low.shape, bool)
-                    for k, some in enumerate(part["cells"]):
-                        named[k, np.searchsorted(cells, np.intersect1d(some, cells))] = True
+                    some, of_ask = np.concatenate(list(part["cells"])), np.repeat(np.arange(len(part)), part["cells"].map(len))
+                    at = np.minimum(np.searchsorted(cells, some), len(cells) - 1)
+                    on = cells[at] == some
+                    named[of_ask[on], at[on]] = True
                     low[~named] = np.inf
                 yield part, q, low, spans, far
 
@@ -264,6 +278,36 @@ def _pieces(ix: Index, owner: list | None, take):
     return of
 
 
+def _sieve(x: np.ndarray, metric: str):
+    """For questions which rows of ``x`` can be as near as their bounds, by products of matrices in single precision: all that are, and
+    few others, as their errors (a sum of ``n`` products is good to n / 2 ** 24 of their sizes; twice that is allowed) count for the
+    row. None for values that single precision doesn't hold."""
+    middle = x.mean(0) if metric == "euclidean" else np.zeros(x.shape[1])
+    y = x - middle
+    half = (y * y).sum(1) / 2
+    most, error = float(np.sqrt(2 * half.max())), (x.shape[1] + 8) / 2**23
+    rows = np.hstack([y, -half[:, None] if metric == "euclidean" else np.zeros((len(y), 1))]).astype(np.float32) if most < 1e15 else None
+
+    def of(q: np.ndarray):
+        z = q - middle
+        n = (z * z).sum(1)
+        if rows is None or not (n < 1e30).all():
+            return lambda *_: None
+        asks = np.hstack([z, np.ones((len(z), 1))]).astype(np.float32)
+        spread = error * (np.sqrt(n) * most + most * most / 2)
+
+        def near(w: np.ndarray, a: int, z: int, bound: np.ndarray) -> np.ndarray | None:
+            if not np.isfinite(bound).all():
+                return None
+            need = (n[w] - (bound + 1e-5) ** 2) / 2 if metric == "euclidean" else -bound - 1e-5
+            need = need - spread[w] - error * np.abs(need) - 1e-30
+            return asks[w] @ rows[a:z].T >= need.astype(np.float32)[:, None]
+
+        return near
+
+    return of
+
+
 def _answers(metric: str, k: int, shared: bool = False):
     """The ``k`` best of a block for each question.
     ``shared`` (one answer each): what is best for one question of a ``g`` bounds all of them, worse ones are left out."""
@@ -274,8 +318,10 @@ def _answers(metric: str, k: int, shared: bool = False):
         if rows.empty or asks.empty:
             return none
         x, core, g, ids = _stack(rows.v), rows.core.to_numpy(float), rows.g.to_numpy(), rows.id.to_numpy()
+        sieve = _sieve(x, metric)
         found = []
         for part, q, low, spans, far in pieces():
+            sifted = sieve(q)
             qcore, anchors = part.core.to_numpy(float), part.id.to_numpy()
             mine = part.g.to_numpy()
             tau = part.tau.fillna(np.inf).to_numpy(float)
@@ -287,23 +333,28 @@ def _answers(metric: str, k: int, shared: bool = False):
                 """What the distance of a pair counts as at least."""
                 return np.maximum(qcore[r], core[j]) if metric == "euclidean" else np.full(len(r), -np.inf)
 
+            def exact(r, j, q=q):
+                out = np.empty(len(r))
+                for i in range(0, len(r), EXACT):
+                    a, b = q[r[i : i + EXACT]], x[j[i : i + EXACT]]
+                    out[i : i + EXACT] = -(a * b).sum(1) if metric == "cosine" else np.sqrt(((a - b) ** 2).sum(1))
+                return out
+
+            def better(w, fresh, best=best):
+                best[w] = np.sort(np.partition(np.concatenate([best[w], fresh], 1), k - 1, axis=1)[:, :k], axis=1)
+
             def near(hits, tau=tau, best=best, least=least):
                 r, j, apart = (np.concatenate(h) for h in zip(*hits, strict=True))
                 on = np.maximum(apart, least(r, j)) <= np.minimum(tau, best[:, -1])[r] + 1e-5
                 return r[on], j[on], apart[on]
 
-            def settled(hits, kept, q=q, near=near, least=least):
+            def settled(hits, kept, exact=exact, near=near, least=least):
                 """The ``k`` best of each question among ``hits`` and what is ``kept`` of earlier ones, exactly."""
                 r, j, apart = near(hits)
                 value = least(r, j)
                 # distances that are surely under what they count as are never made
                 some = np.flatnonzero(apart >= value - 1e-5)
-                for i in range(0, len(some), EXACT):
-                    at = some[i : i + EXACT]
-                    if metric == "cosine":
-                        value[at] = -(q[r[at]] * x[j[at]]).sum(1)
-                    else:
-                        value[at] = np.maximum(np.sqrt(((q[r[at]] - x[j[at]]) ** 2).sum(1)), value[at])
+                value[some] = np.maximum(exact(r[some], j[some]), value[some])
                 r, j, value = (np.concatenate(h) for h in zip(kept, (r, j, np.round(value, digits)), strict=True))
                 order = np.lexsort((ids[j], value, r))
                 r, j, value = r[order], j[order], value[order]
@@ -316,19 +367,36 @@ def _answers(metric: str, k: int, shared: bool = False):
                     w = np.flatnonzero((low[:, c] <= _within(bound, metric) + SLACK) & np.isfinite(low[:, c]))
                     if not len(w):
                         break
-                    apart = -(q[w] @ x[a:z].T) if metric == "cosine" else _apart(q[w], x[a:z])
-                    rough = apart if metric == "cosine" else np.maximum(apart, np.maximum(qcore[w, None], core[None, a:z]))
-                    ok = rough <= bound[w, None] + 1e-5
-                    some = np.flatnonzero(ok.any(1))
-                    if not len(some):
-                        continue
-                    ok, rough = ok[some] & (mine[w[some], None] != g[None, a:z]), rough[some]
-                    r, j = np.nonzero(ok)
-                    if not len(r):
-                        continue
-                    hits.append((w[some[r]], a + j, apart[some[r], j]))
-                    rough[~ok] = np.inf
-                    best[w[some]] = np.sort(np.partition(np.concatenate([best[w[some]], rough], 1), k - 1, axis=1)[:, :k], axis=1)
+                    close = sifted(w, a, z, bound[w])
+                    if close is not None and np.count_nonzero(close) * FEW <= close.size:
+                        r, j = np.divmod(np.flatnonzero(close), z - a)
+                        r, j = w[r], a + j
+                        on = (mine[r] != g[j]) & (least(r, j) <= bound[r] + 1e-5)
+                        r, j = r[on], j[on]
+                        apart = exact(r, j)
+                        on = apart <= bound[r] + 1e-5
+                        r, j, apart = r[on], j[on], apart[on]
+                        if not len(r):
+                            continue
+                        hits.append((r, j, apart))
+                        asked, start, count = np.unique(r, return_index=True, return_counts=True)
+                        rough = np.full((len(asked), count.max()), np.inf)
+                        rough[np.repeat(np.arange(len(asked)), count), np.arange(len(r)) - np.repeat(start, count)] = np.maximum(apart, least(r, j))
+                        better(asked, rough)
+                    else:
+                        apart = -(q[w] @ x[a:z].T) if metric == "cosine" else _apart(q[w], x[a:z])
+                        rough = apart if metric == "cosine" else np.maximum(apart, np.maximum(qcore[w, None], core[None, a:z]))
+                        ok = rough <= bound[w, None] + 1e-5
+                        some = np.flatnonzero(ok.any(1))
+                        if not len(some):
+                            continue
+                        ok, rough = ok[some] & (mine[w[some], None] != g[None, a:z]), rough[some]
+                        r, j = np.nonzero(ok)
+                        if not len(r):
+                            continue
+                        hits.append((w[some[r]], a + j, apart[some[r], j]))
+                        rough[~ok] = np.inf
+                        better(w[some], rough)
                     if shared:
                         of_all = np.full(few.max() + 1, np.inf)
                         np.minimum.at(of_all, few, best[:, -1])
@@ -352,7 +420,7 @@ def ask(ix: Index, asks: DataFrame, k: int, first: int = 0, last: int | None = N
     """(anchor, other, value): for each of ``asks`` (id, v, g, core, tau) the ``k`` best of each block it visits, as good as ``tau``;
     ``shared``: see ``_answers``. ``kernel`` puts another function of a
     block's rows and questions in place of that."""
-    kinds = {f.name: f.dataType.simpleString() for f in asks.schema}
+    kinds = {f.name: f.dataType.simpleString() for f in asks.schema} | {"v": "binary"}
     other = ix.rows.schema["id"].dataType.simpleString()
     visits = asks.mapInPandas(_visits(ix, first, last, owner), ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", group int, cells array<int>")
     counts = {r.group: r.n for r in asks.mapInPandas(_visits(ix, first, last, owner, True), "group int, n long").groupBy("group").agg(F.sum("n").alias("n")).collect()}

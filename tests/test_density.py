@@ -313,3 +313,57 @@ def test_largest_memberships_without_a_row_a_pair(spark):
     schema = "anchor long, touch boolean, total double, top double, other long"
     sent = density._compared(df, found, tree, "leaf", "vec_id", "embedding", density._largest, schema)
     assert sent.count() == rows.id.nunique() < len(rows)
+
+
+@pytest.mark.parametrize("metric,scale,shift", [("euclidean", 1.0, 0.0), ("euclidean", 1e-4, 3.0), ("euclidean", 1e9, 0.0), ("euclidean", 1e-20, 0.0), ("cosine", 1.0, 0.0)])
+def test_questions_with_bounds_are_sifted_in_single_precision(monkeypatch, metric, scale, shift):
+    """Answers are those of all pairs made in double precision, which few pairs need; no whole block of distances is made."""
+    r = np.random.default_rng(4)
+    x = np.repeat(r.normal(size=(450, 16)), 2, 0) * scale + shift  # each row twice
+    if metric == "cosine":
+        x /= np.sqrt((x * x).sum(1))[:, None]
+    d = np.round(-(x[:, None] * x[None]).sum(2) if metric == "cosine" else np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), neighbours.DIGITS[metric])
+    core = np.sort(d, 1)[:, 4] if metric == "euclidean" else np.zeros(len(x))
+    if metric == "euclidean":
+        d = np.maximum(d, np.maximum(core[:, None], core[None]))
+    np.fill_diagonal(d, np.inf)
+    order = np.lexsort((np.broadcast_to(np.arange(len(x)), d.shape), d))[:, :3]
+    tau = np.take_along_axis(d, order, 1)[:, -1]
+    rows = pd.DataFrame({"cell": 0, "id": np.arange(len(x)), "v": neighbours._packed(x), "g": np.arange(len(x)), "core": core})
+    ix = neighbours.Index(None, x.mean(0)[None], np.array([np.inf]), np.array([1]), np.array([0.0]), metric, np.array([0]), len(x))
+    asked = rows.assign(tau=tau, cells=None)
+    made, whole = [0], neighbours._apart
+    monkeypatch.setattr(neighbours, "_apart", lambda a, b: made.__setitem__(0, made[0] + (len(b) > 1) * len(a) * len(b)) or whole(a, b))
+    got = neighbours._pieces(ix, None, neighbours._answers(metric, 3))(rows, asked).sort_values(["anchor", "value", "other"])
+    assert got.other.tolist() == order.ravel().tolist() and got.value.tolist() == np.take_along_axis(d, order, 1).ravel().tolist()
+    assert scale < 1e-4 or shift or made[0] == 0
+
+
+def test_index_and_questions_hold_vectors_as_bytes(spark):
+    x, y = blobs(300, 4, 3, 5)
+    rows = neighbours.prepared(frame(spark, x, y), "vec_id", "embedding", metric="euclidean")
+    ix = neighbours.build(rows, "euclidean")
+    assert ix.rows.schema["v"].dataType.simpleString() == "binary"
+    assert {r.id: np.frombuffer(r.v).tolist() for r in ix.rows.collect()} == {i: v.tolist() for i, v in enumerate(x)}
+
+
+def test_heights_of_a_long_tree_take_one_step_a_node():
+    class Counted(list):
+        looked = 0
+
+        def __getitem__(self, i):
+            Counted.looked += 1
+            return super().__getitem__(i)
+
+    n = 1500
+    parent, birth, children, now = np.full(2 * n - 1, -1), np.zeros(2 * n - 1), [[] for _ in range(2 * n - 1)], 0
+    for i in range(1, n):
+        up = n + i - 1
+        children[up], parent[[now, i]], birth[[now, i]], now = [now, i], up, 2 - i / n, up
+    height = density._heights(parent, birth, Counted(children), list(range(n)))
+    Counted.looked = 0
+    got = [height(k) for k in range(2 * n - 2, n - 1, -1)]
+    assert Counted.looked < 20 * n
+    for k in (0, 700, n - 2):  # the split that took leaf i off has the density of both sides
+        split = n + len(got) - 1 - k
+        assert got[k].tolist() == [2 - max(i, split - n + 1, 1) / n for i in range(n)]
