@@ -6,8 +6,12 @@ number of rows. The forest hangs on ``min_samples`` alone, so a sweep builds it
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
+
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,9 +44,15 @@ def few_clusters(df: DataFrame, size: int, most_clusters: int = 40, tries: int =
     return _named(forests.labelled(found, tree), uid), size
 
 
+#: Settings of a sweep whose validity is found at once.
+AT_ONCE = 4
+
+
 def sweep(df: DataFrame, sizes: list[int], samples: list[int], methods: list[str], uid: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(min_cluster_size, min_samples, selection_method, n_clusters, noise_pct, dbcv) of each setting, over all rows."""
-    rows = []
+    """(min_cluster_size, min_samples, selection_method, n_clusters, noise_pct, dbcv) of each setting, over all rows.
+
+    Validity takes many small jobs one after the other, so it is found for ``AT_ONCE`` settings side by side."""
+    settings = []
     for k in samples:
         found = forests.spanning_forest(df, uid, vector, k)
         for s in sizes:
@@ -51,8 +61,10 @@ def sweep(df: DataFrame, sizes: list[int], samples: list[int], methods: list[str
                 labels = cut(forests.labelled(found, tree, m), "sweep-labels")
                 count = labels.agg(F.max("cluster_id"), F.avg((F.col("cluster_id") < 0).cast("double"))).first()
                 joined = df.select(F.col(uid).alias("id"), F.col(vector).alias("embedding")).join(labels, "id")
-                v = dbcv(joined, "id")
-                rows.append((s, k, m, int(count[0]) + 1 if count[0] is not None else 0, round(100 * (count[1] or 0.0), 2), None if v is None else round(v, 6)))
+                settings.append((s, k, m, int(count[0]) + 1 if count[0] is not None else 0, round(100 * (count[1] or 0.0), 2), joined))
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        values = [pool.submit(inheritable_thread_target(df.sparkSession)(copy_context().run), dbcv, x[-1], "id") for x in settings]
+    rows = [(*x[:-1], None if (v := value.result()) is None else round(v, 6)) for x, value in zip(settings, values, strict=True)]
     return df.sparkSession.createDataFrame(rows, "min_cluster_size int, min_samples int, selection_method string, n_clusters int, noise_pct double, dbcv double")
 
 

@@ -367,3 +367,14 @@ def test_heights_of_a_long_tree_take_one_step_a_node():
     for k in (0, 700, n - 2):  # the split that took leaf i off has the density of both sides
         split = n + len(got) - 1 - k
         assert got[k].tolist() == [2 - max(i, split - n + 1, 1) / n for i in range(n)]
+
+
+def test_settings_of_a_sweep_are_judged_side_by_side(spark, monkeypatch):
+    import threading
+
+    x, y = blobs(90, 3, 3, 8)
+    both = threading.Barrier(2, timeout=60)
+    found = density.dbcv
+    monkeypatch.setattr(density, "dbcv", lambda *a: both.wait() * 0.0 + found(*a))
+    rows = density.sweep(frame(spark, x, y), [5], [3], ["eom", "leaf"]).collect()
+    assert [r.selection_method for r in rows] == ["eom", "leaf"] and all(r.dbcv is not None for r in rows)
